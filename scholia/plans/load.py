@@ -2,5 +2,5 @@
 
 import importlib
 
-for _name in ("views", "relational", "usage"):
+for _name in ("views", "relational", "usage", "cleaning"):
     importlib.import_module(f"scholia.plans.{_name}")

@@ -178,3 +178,47 @@ class Tables:
                         F.when(scope.isin(1, 2), F.pmod(conv, F.lit(25))).alias("subject_id"),
                         F.when(scope == 3, F.pmod(conv, F.lit(5))).alias("group_id"),
                         F.when(F.pmod(conv, F.lit(3)) == 0, F.pmod(conv, F.lit(10))).alias("exercise_id")))
+
+    # -- documents with the marks a fixture lacks ---------------------------------------------
+    #
+    # The supplied prose has no Markdown. Each line keeps its text and gets the marks of its place
+    # in a fixed cycle, so every document carries headings, lists, tables, fences and boilerplate.
+
+    def _marked(self, shape) -> DataFrame:
+        return self.documents.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), shape), "\n").alias("text"))
+
+    @property
+    def markdown(self) -> DataFrame:
+        def shape(x, i):
+            m = F.pmod(i, F.lit(14))
+            pre = lambda mark: F.concat(F.lit(mark), x)
+            return (F.when(m == 0, pre("# ")).when(m == 2, pre("- ")).when(m == 3, pre("## ")).when(m == 4, pre("1. "))
+                    .when(m == 5, F.concat(F.lit("| "), F.replace(x, F.lit(" "), F.lit(" | ")), F.lit(" |")))
+                    .when(m == 6, "|---|---|").when(m == 7, pre("#### ")).when(m.isin(8, 10), "```")
+                    .when(m == 9, F.concat(F.lit("x = f("), F.substring(x, 1, 12), F.lit(");")))
+                    .when(m == 11, "").when(m == 12, F.concat(F.lit("![fig]("), F.substring(x, 1, 3), F.lit(".png) see figure 2 "), x))
+                    .when(m == 13, pre("# Topic 4: ")).otherwise(x))
+        return self._marked(shape)
+
+    @property
+    def slides(self) -> DataFrame:
+        def shape(x, i):
+            m = F.pmod(i, F.lit(11))
+            return (F.when(m == 0, F.concat(F.lit("### "), F.substring(x, 1, 20), F.lit(" (1 of 3)")))
+                    .when(m == 1, F.concat(F.lit("© 2024 "), x)).when(m == 2, "•")
+                    .when(m == 3, F.lit("<!-- Start of picture text -->"))
+                    .when(m == 4, F.concat(F.substring(x, 1, 9), F.lit("<br>"), F.substring(x, 1, 18)))
+                    .when(m == 5, F.lit("<!-- End of picture text -->")).when(m == 6, F.concat(F.lit("##### "), x)).when(m == 7, " 12 ")
+                    .when(m == 8, F.concat(x, F.lit(" All rights reserved"))).when(m == 9, F.concat(F.lit("# "), x)).otherwise(x))
+        return self._marked(shape)
+
+    @property
+    def scans(self) -> DataFrame:
+        def shape(x, i):
+            m = F.pmod(i, F.lit(13))
+            return (F.when(m == 0, "SECTION ALPHA-BETA").when(m == 1, F.concat(F.lit("• "), x)).when(m == 2, "1 2 3.5 4 5")
+                    .when(m == 3, ">}").when(m == 4, F.concat(x, F.lit("-"))).when(m == 5, "Page 3").when(m == 6, "www.example.com")
+                    .when(m == 7, F.concat(F.lit("1. "), x)).when(m == 8, F.concat(x, F.lit("|| _____ x·")))
+                    .when(m == 9, F.concat(F.lit("  q  "), x)).when(m == 10, F.concat(F.lit("Page 3 of "), F.length(x).cast("string")))
+                    .when(m == 11, "KPI: 12 ROWS!").when(m == 12, F.concat(F.lit("Chapter 2 "), F.substring(x, 1, 30))).otherwise(x))
+        return self._marked(shape)
