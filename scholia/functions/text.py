@@ -13,6 +13,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it inside ``body``.
+
+    A plain column used inside a lambda would be evaluated again for every array element.
+    """
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def strip(c: Column | str) -> Column:
     """Trim Unicode white space on both sides."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")

@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,12 +65,16 @@ def hashing_encoder(texts: list[str], dim: int = DIM) -> np.ndarray:
 def embed(df: DataFrame, text: str, encoder: Encoder = hashing_encoder, name: str = "embedding") -> DataFrame:
     """Adds the vector of a text column, one encoder call per Arrow batch. Scales by ``df``'s partitions."""
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(list(encoder(texts.fillna("").tolist()).astype("float32")))
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).fill_null("").to_pylist()
+            vectors = encoder(texts).astype("float32")
+            offsets = pa.array(np.arange(len(texts) + 1, dtype="int32") * vectors.shape[1])
+            column = pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
-    return df.withColumn(name, encode(F.col(text)))
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return df.mapInArrow(encode, f"{schema}, `{name}` array<float>")
 
 
 # -- search --------------------------------------------------------------------------------------

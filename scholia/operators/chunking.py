@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.functions.text import joined, lines, strip, words
+from scholia.functions.text import joined, let, lines, strip, words
 
 
 def chunk_words(text: Column | str, size: int = 500, overlap: int = 50) -> Column:
     """Word windows at a stride of size - overlap; a last window inside the one before it is kept."""
-    w = words(text)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: joined(F.slice(w, i + 1, F.lit(size)), " "))
+    def windows(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: joined(F.slice(w, i + 1, F.lit(size)), " "))
+    return let(words(text), windows)
 
 
 def cut_points(items: Column, weight: Callable[[Column], Column], cut: Callable[[Column, Column], Column], before: bool) -> Column:
@@ -42,44 +43,49 @@ def pieces(items: Column, starts: Column, sep: str) -> Column:
 
 def chunk_chars(docs: DataFrame, size: int = 500) -> DataFrame:
     """Greedy word chunks of at least ``size`` characters, with offsets in the white-space-normalised text."""
-    staged = docs.select("doc_id", words("text").alias("_w"))
-    staged = staged.withColumn("_c", cut_points(F.col("_w"), lambda x: F.length(x) + 1, lambda x, n: n >= size, before=False))
-    staged = staged.filter(F.size("_w") > 0).select("doc_id", pieces(F.col("_w"), F.col("_c"), " ").alias("_t"))
-    rows = staged.select("doc_id", "_t", F.posexplode("_t").alias("chunk_index", "text"))
-    offset = F.aggregate(F.slice("_t", F.lit(1), F.col("chunk_index")), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    return rows.select("doc_id", "chunk_index", "text", offset.alias("position"))
+    def cut(w: Column) -> Column:
+        starts = cut_points(w, lambda x: F.length(x) + 1, lambda x, n: n >= size, before=False)
+        return let(starts, lambda c: pieces(w, c, " "))
+    def placed(texts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        offsets = F.aggregate(texts, start, lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"),
+                                                                  F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.arrays_zip(texts.alias("text"), offsets.alias("position"))
+    found = let(words("text"), lambda w: F.when(F.size(w) > 0, let(cut(w), placed)))
+    rows = docs.select("doc_id", F.posexplode(found).alias("chunk_index", "_x"))
+    return rows.select("doc_id", "chunk_index", "_x.text", "_x.position")
 
 
 def chunk_headings(docs: DataFrame, size: int = 800) -> DataFrame:
     """Cut before a ``#`` to ``###`` line once the chunk, that line included, has reached ``size``."""
-    staged = docs.select("doc_id", lines("text").alias("_l"))
-    starts = cut_points(F.col("_l"), lambda x: F.length(x) + 1, lambda x, n: (n >= size) & x.rlike(r"^#{1,3}\s"), before=True)
-    return (staged.withColumn("_c", starts)
-            .select("doc_id", F.posexplode(pieces(F.col("_l"), F.col("_c"), "\n")).alias("chunk_index", "text")))
+    def cut(ls: Column) -> Column:
+        starts = cut_points(ls, lambda x: F.length(x) + 1, lambda x, n: (n >= size) & x.rlike(r"^#{1,3}\s"), before=True)
+        return let(starts, lambda c: pieces(ls, c, "\n"))
+    return docs.select("doc_id", F.posexplode(let(lines("text"), cut)).alias("chunk_index", "text"))
 
 
 def chunk_breaks(docs: DataFrame, size: int = 4000) -> DataFrame:
     """Cut after a heading or a blank line once the chunk has reached ``size``; empty chunks are dropped."""
-    staged = docs.select("doc_id", lines("text").alias("_l"))
-    starts = cut_points(F.col("_l"), lambda x: F.length(x) + 1,
-                        lambda x, n: (n >= size) & (x.rlike(r"^#{1,4}\s") | (strip(x) == "")), before=False)
-    texts = F.filter(F.transform(pieces(F.col("_l"), F.col("_c"), "\n"), lambda x: strip(x)), lambda x: x != "")
-    return staged.withColumn("_c", starts).select("doc_id", F.posexplode(texts).alias("chunk_index", "text"))
+    def cut(ls: Column) -> Column:
+        starts = cut_points(ls, lambda x: F.length(x) + 1,
+                            lambda x, n: (n >= size) & (x.rlike(r"^#{1,4}\s") | (strip(x) == "")), before=False)
+        return let(starts, lambda c: F.filter(F.transform(pieces(ls, c, "\n"), lambda x: strip(x)), lambda x: x != ""))
+    return docs.select("doc_id", F.posexplode(let(lines("text"), cut)).alias("chunk_index", "text"))
 
 
 def sections(docs: DataFrame, level: int = 2) -> DataFrame:
     """(header, content) split at headers of up to ``level``; a section without either is dropped."""
-    ls = F.col("_l")
     is_header = lambda x: x.rlike(rf"^#{{1,{level}}}\s+")
-    staged = docs.select("doc_id", lines("text").alias("_l"))
-    heads = F.array_compact(F.transform(ls, lambda x, i: F.when(is_header(x), i)))
-    staged = staged.withColumn("_s", F.array_distinct(F.concat(F.array(F.lit(0)), heads)))
-    ends = F.concat(F.slice("_s", 2, F.greatest(F.size("_s"), F.lit(1))), F.array(F.size(ls)))
-    def section(a: Column, b: Column) -> Column:
-        first = F.get(ls, a)
-        head = F.when(is_header(first), first).otherwise(F.lit(""))
-        body = F.slice(ls, a + 1, b - a)
-        rest = F.when(is_header(first), F.slice(body, 2, F.greatest(F.size(body), F.lit(1)))).otherwise(body)
-        return F.struct(head.alias("header"), strip(joined(rest)).alias("content"))
-    found = F.filter(F.zip_with("_s", ends, section), lambda s: (strip(s["header"]) != "") | (s["content"] != ""))
-    return staged.select("doc_id", F.posexplode(found).alias("section", "_x")).select("doc_id", "section", "_x.header", "_x.content")
+    def cut(ls: Column) -> Column:
+        heads = F.array_compact(F.transform(ls, lambda x, i: F.when(is_header(x), i)))
+        def section(a: Column, b: Column) -> Column:
+            first = F.get(ls, a)
+            head = F.when(is_header(first), first).otherwise(F.lit(""))
+            skip = F.when(is_header(first), 1).otherwise(0)
+            return F.struct(head.alias("header"), strip(joined(F.slice(ls, a + 1 + skip, b - a - skip))).alias("content"))
+        def spans(s: Column) -> Column:
+            return F.zip_with(s, F.concat(F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), F.array(F.size(ls))), section)
+        found = let(F.array_distinct(F.concat(F.array(F.lit(0)), heads)), spans)
+        return F.filter(found, lambda x: (strip(x["header"]) != "") | (x["content"] != ""))
+    return (docs.select("doc_id", F.posexplode(let(lines("text"), cut)).alias("section", "_x"))
+            .select("doc_id", "section", "_x.header", "_x.content"))

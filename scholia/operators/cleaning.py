@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholia.functions.text import (any_of, is_title, is_upper, joined, keep_lines, last_where, lines, map_lines, replace_all,
+from scholia.functions.text import (any_of, is_title, is_upper, joined, keep_lines, last_where, let, lines, map_lines, replace_all,
                                     strip, tokens, words)
 
 # Boilerplate lines of extracted notes.
@@ -91,12 +91,14 @@ def line_type(line: Column, pos: Column, total: Column, mean: Column) -> Column:
 
 def classified_lines(text: Column | str) -> Column:
     """Array of (pos, line, type, confidence) of one document."""
-    ls = lines(text)
-    mean = F.aggregate(ls, F.lit(0).cast("long"), lambda a, x: a + F.length(x)) / F.size(ls)
-    def one(x: Column, i: Column) -> Column:
-        t = line_type(x, i, F.size(ls), mean)
-        return F.struct(i.alias("pos"), strip(x).alias("line"), t["type"].alias("type"), t["confidence"].alias("confidence"))
-    return F.transform(ls, one)
+    def all_lines(ls: Column, mean: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            t = line_type(x, i, F.size(ls), mean)
+            return let(t, lambda v: F.struct(i.alias("pos"), strip(x).alias("line"), v["type"].alias("type"), v["confidence"].alias("confidence")))
+        return F.transform(ls, one)
+    def mean_of(ls: Column) -> Column:
+        return F.aggregate(ls, F.lit(0).cast("long"), lambda a, x: a + F.length(x)) / F.size(ls)
+    return let(lines(text), lambda ls: let(mean_of(ls), lambda m: all_lines(ls, m)))
 
 
 MARKDOWN_MARKS = [("h1", r"^# "), ("h2", r"^## "), ("h3", r"^### "), ("h4", r"^#### "), ("h5", r"^##### "), ("list", r"^- "),
@@ -267,15 +269,15 @@ PROSE_STARTS = ["An ", "A ", "The ", "For ", "If ", "This ", "That ", "These ",
 
 def code_prose_split(line: Column) -> Column:
     """(code, prose) at the last ``; `` with code on its left and prose on its right; NULL if none."""
-    s = strip(line)
-    cuts = F.filter(F.sequence(F.lit(1), F.length(s)), lambda i: s.substr(i, F.lit(2)).rlike(r"^;\s"))
-    def halves(i: Column) -> Column:
-        return F.struct(strip(s.substr(F.lit(1), i)).alias("code"), strip(s.substr(i + 1, F.length(s))).alias("prose"))
-    good = F.filter(F.transform(cuts, halves), lambda h: h["prose"].rlike("^(" + "|".join(PROSE_STARTS) + ")")
-                    & looks_like_code(h["code"]) & ~looks_like_code(h["prose"]))
     numbered = r"^\s*\d+\.\s+(?=(?:public|private|protected|class|interface|enum)\b)"
-    return F.when(F.length(s) >= 40, F.transform(F.slice(good, F.when(F.size(good) > 0, F.size(good)).otherwise(1), 1), lambda h: F.struct(
-        F.regexp_replace(h["code"], numbered, "").alias("code"), h["prose"].alias("prose"))))
+    def split_at(s: Column) -> Column:
+        cuts = F.filter(F.sequence(F.lit(1), F.length(s)), lambda i: s.substr(i, F.lit(2)).rlike(r"^;\s"))
+        halves = F.transform(cuts, lambda i: F.struct(strip(s.substr(F.lit(1), i)).alias("code"), strip(s.substr(i + 1, F.length(s))).alias("prose")))
+        good = F.filter(halves, lambda h: h["prose"].rlike("^(" + "|".join(PROSE_STARTS) + ")")
+                        & looks_like_code(h["code"]) & ~looks_like_code(h["prose"]))
+        return F.when(F.length(s) >= 40, F.transform(F.slice(F.reverse(good), 1, 1), lambda h: F.struct(
+            F.regexp_replace(h["code"], numbered, "").alias("code"), h["prose"].alias("prose"))))
+    return let(strip(line), split_at)
 
 
 def title_detect(text: Column | str) -> Column:
@@ -341,12 +343,11 @@ def enforce_h1(text: Column, title: Column) -> Column:
 
 
 def only_first_h1(text: Column | str) -> Column:
-    """Later H1 lines are dropped: the text is cut at the first one and filtered after it."""
-    c = F.col(text) if isinstance(text, str) else text
-    ls = lines(c)
+    """Later H1 lines are dropped."""
     h1 = lambda x: x.rlike(r"^#\s+")
-    first = F.array_position(F.transform(ls, lambda x: h1(x)), True)
-    return strip(joined(F.filter(ls, lambda x, i: ~h1(x) | (i + 1 == first))))
+    def rest(ls: Column, first: Column) -> Column:
+        return strip(joined(F.filter(ls, lambda x, i: ~h1(x) | (i + 1 == first))))
+    return let(lines(text), lambda ls: let(F.array_position(F.transform(ls, h1), True), lambda first: rest(ls, first)))
 
 
 def reasoning_scrub(text: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.ordered import top_per_key
-from scholia.functions.text import joined, strip, tokens
+from scholia.functions.text import joined, let, strip, tokens
 from scholia.functions.vectors import Encoder, cosine_percent, embed, hashing_encoder, topk_blocks
 from scholia.operators.chunking import chunk_chars, chunk_words
 from scholia.operators.cleaning import strip_images
@@ -38,8 +38,9 @@ def similar_documents(docs: DataFrame, encoder: Encoder = hashing_encoder, k: in
     asked for, because the document itself can take one place and is then dropped.
     """
     head = F.try_element_at(chunk_words("text"), F.lit(1))
-    q = embed(docs.select("owner", F.col("doc_id").alias("query_id"), head.alias("_t")).filter("_t is not null"), "_t", encoder)
-    c = embed(docs.filter("text <> ''").select("owner", "doc_id", F.substring("text", 1, 1000).alias("_t")), "_t", encoder)
+    docs = docs.filter(strip("text") != "")
+    q = embed(docs.select("owner", F.col("doc_id").alias("query_id"), head.alias("_t")), "_t", encoder)
+    c = embed(docs.select("owner", "doc_id", F.substring("text", 1, 1000).alias("_t")), "_t", encoder)
     near = topk_blocks(q, c, k + 1, ["doc_id"], group="owner", percent=False).filter("doc_id <> query_id").drop("rank")
     ranked = top_per_key(near, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
     return ranked.select(F.col("query_id").alias("doc_id"), F.col("doc_id").alias("similar_id"), "score", "rank")
@@ -120,14 +121,16 @@ def keyword_relevance(queries: DataFrame, items: DataFrame, min_score: float = 5
     by_title = parts.join(words_of, "w").select("query_id", "item_id")
     pairs = by_body.unionByName(by_title).distinct()
     full = pairs.join(q, "query_id").join(items.select("item_id", "title", "body"), "item_id")
-    title, text = F.lower("title"), F.lower("body")
-    bw = tokens(text)
-    hit = F.size(F.filter("qw", lambda w: title.contains(w))) / F.size("qw") * 100
-    density = F.try_divide(F.size(F.filter(bw, lambda w: F.array_contains(F.col("qw"), w))), F.size(bw))
-    nexts = F.slice("qw", 2, F.greatest(F.size("qw"), F.lit(1)))
-    phrases = F.zip_with(F.slice("qw", F.lit(1), F.size("qw") - 1), nexts, lambda a, b: F.concat(a, F.lit(" "), b))
-    bonus = F.least(F.size(F.filter(phrases, lambda p: text.contains(p) | title.contains(p))) * 15, F.lit(100))
-    score = F.least(hit * 0.60 + F.coalesce(F.least(density * 150, F.lit(100.0)), F.lit(0.0)) * 0.35 + bonus * 0.25, F.lit(100.0))
+    def points(v: Column) -> Column:
+        title, text, qw, bw = v["t"], v["b"], v["q"], v["w"]
+        hit = F.size(F.filter(qw, lambda w: title.contains(w))) / F.size(qw) * 100
+        density = F.try_divide(F.size(F.filter(bw, lambda w: F.array_contains(qw, w))), F.size(bw))
+        phrases = F.zip_with(F.slice(qw, F.lit(1), F.size(qw) - 1), F.slice(qw, 2, F.greatest(F.size(qw), F.lit(1))),
+                             lambda a, b: F.concat(a, F.lit(" "), b))
+        bonus = F.least(F.size(F.filter(phrases, lambda p: text.contains(p) | title.contains(p))) * 15, F.lit(100))
+        return F.least(hit * 0.60 + F.coalesce(F.least(density * 150, F.lit(100.0)), F.lit(0.0)) * 0.35 + bonus * 0.25, F.lit(100.0))
+    once = F.struct(F.lower("title").alias("t"), F.lower("body").alias("b"), F.col("qw").alias("q"), tokens(F.lower("body")).alias("w"))
+    score = let(once, points)
     kept = full.select("query_id", "item_id", score.alias("raw")).filter(F.col("raw") >= min_score)
     rounded = kept.select("query_id", "item_id", F.bround("raw", 1).alias("score"))
     return top_per_key(rounded, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
@@ -159,12 +162,13 @@ def cite_sentences(responses: DataFrame) -> DataFrame:
     places = F.when(F.size("_src") > 0, F.sequence(F.lit(0), F.size("_src") - 1)).otherwise(F.array().cast("array<int>"))
     base = base.withColumn("_taken", F.aggregate(places, none, assign))
 
-    def cited(s: Column, i: Column) -> Column:
-        n = F.get(F.filter("_taken", lambda t: t["at"] == i), F.lit(0))["n"]
-        tag = F.concat(F.lit(" ["), n.cast("string"), F.lit("]"))
-        ended = F.concat(F.regexp_replace(s, r"[.!?]\z", ""), tag, F.regexp_extract(s, r"([.!?])\z", 1))
-        row = s.rlike(r"(?m)^\s*\|.*\|\s*$")
-        return F.when(n.isNotNull() & ~row, ended).otherwise(s)
+    def tagged(sentences: Column, taken: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            n = F.get(F.filter(taken, lambda t: t["at"] == i), F.lit(0))["n"]
+            tag = F.concat(F.lit(" ["), n.cast("string"), F.lit("]"))
+            ended = F.concat(F.regexp_replace(s, r"[.!?]\z", ""), tag, F.regexp_extract(s, r"([.!?])\z", 1))
+            return F.when(n.isNotNull() & ~s.rlike(r"(?m)^\s*\|.*\|\s*$"), ended).otherwise(s)
+        return F.transform(sentences, one)
 
-    out = F.zip_with(F.transform("_s", cited), "_sep", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    out = F.zip_with(let(F.col("_taken"), lambda taken: tagged(F.col("_s"), taken)), "_sep", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return base.select("response_id", joined(out, "").alias("cited_text"))

@@ -194,7 +194,7 @@ TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 @query("vec_keyword_relevance", rf"""
 WITH q AS (SELECT item_id AS query_id, list_filter({TOK.format("array_to_string(string_split(text, ' ')[1:5], ' ')")}, lambda w: length(w) > 2 AND w NOT IN
    ('what', 'this', 'that', 'with', 'from', 'into', 'have', 'been', 'does', 'is', 'a', 'an', 'the')) AS qw FROM benchmark),
-p AS (SELECT q.query_id, d.doc_id AS item_id, qw, lower(substr(d.text, 1, 60)) AS title, lower(d.text) AS body, {TOK.format('d.text')} AS bw
+p AS (SELECT q.query_id, d.doc_id AS item_id, qw, lower(substr(d.text, 1, 300)) AS title, lower(d.text) AS body, {TOK.format('d.text')} AS bw
   FROM q, documents d WHERE len(qw) > 0),
 s AS (SELECT query_id, item_id, len(list_filter(qw, lambda w: contains(title, w))) / len(qw) * 100 * 0.60
    + coalesce(least(len(list_filter(bw, lambda w: list_contains(qw, w))) / nullif(len(bw), 0) * 150, 100.0), 0) * 0.35
@@ -204,7 +204,7 @@ SELECT query_id, item_id, round_even(least(raw, 100.0), 1) AS score,
 def _(t):
     head = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), head.alias("query"))
-    items = t.documents.select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"))
+    items = t.documents.select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 300).alias("title"), F.col("text").alias("body"))
     return retrieval.keyword_relevance(queries, items)
 
 
