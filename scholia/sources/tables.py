@@ -222,3 +222,65 @@ class Tables:
                     .when(m == 9, F.concat(F.lit("  q  "), x)).when(m == 10, F.concat(F.lit("Page 3 of "), F.length(x).cast("string")))
                     .when(m == 11, "KPI: 12 ROWS!").when(m == 12, F.concat(F.lit("Chapter 2 "), F.substring(x, 1, 30))).otherwise(x))
         return self._marked(shape)
+
+    # -- blocks, spans and images as an extractor would give them -------------------------------
+
+    @property
+    def blocks(self) -> DataFrame:
+        """One row per document with its block array; line i of the text is block i."""
+        def block(x, i):
+            m = F.pmod(i, F.lit(12))
+            num = F.floor(i / 12).cast("string")
+            cat = F.concat
+            lit = F.lit
+            kind = (F.when(m == 0, "h1").when(m == 5, "h2").when(m == 7, "h3").when(m.isin(2, 4, 9), "list").when(m == 11, "ordered_list")
+                    .otherwise("body"))
+            text = (F.when(m == 0, cat(lit("Chapter "), num, lit(" "), F.substring(x, 1, 20)))
+                    .when((m == 1) & (F.pmod(F.col("doc_id"), lit(4)) == 1), cat(F.substring(x, 1, 12), lit(" Letter: A = 0101 Number: 9 = 1001")))
+                    .when(m == 3, cat(lit("and "), F.substring(x, 1, 50)))
+                    .when(m == 5, cat(lit("2."), num, lit(" "), F.substring(x, 1, 30)))
+                    .when(m == 6, cat(lit("• "), F.substring(x, 1, 20), lit(" • "), F.substring(x, 21, 20), lit(" ‣ z")))
+                    .when(m == 7, cat(F.substring(x, 1, 8), lit(" (cont.)"))).when(m == 8, cat(lit("- -"), F.substring(x, 1, 80), lit(": -Tail")))
+                    .when(m == 9, cat(F.substring(x, 1, 40), lit(" Advantages of it: ")))
+                    .when(m == 10, cat(F.substring(x, 1, 40), lit(". Types of nets:"))).when(m == 11, cat(lit("1. "), x)).otherwise(x))
+            size = F.when(m == 0, 24.0).when(m == 5, 18.0).when(m == 7, 14.04).otherwise(11.0)
+            return F.struct(i.alias("pos"), (F.floor(i / 20) + 1).cast("int").alias("page"), (F.pmod(i, lit(20)) * 10.0).alias("y"),
+                            kind.alias("type"), text.alias("text"), size.alias("font_size"),
+                            F.when(m.isin(3, 4), 1).otherwise(0).alias("indent"))
+        kind = "array<struct<pos:int,page:int,y:double,type:string,text:string,font_size:double,indent:int>>"
+        return self.documents.select("doc_id", F.transform(F.split("text", "\n"), block).cast(kind).alias("blocks"))
+
+    @property
+    def span_pages(self) -> DataFrame:
+        """One row per page (a line of the text) with its spans: six words each, two spans to a row."""
+        page = self.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+        page = page.select("doc_id", (F.col("line_no") + 1).alias("page"), F.filter(F.split("line", r"\s+"), lambda w: w != "").alias("w"))
+        two = F.pmod("page", F.lit(7)) == 0
+        def span(g):
+            r, c = F.floor(g / 2), F.pmod(g, F.lit(2))
+            text = F.array_join(F.slice("w", (g * 6 + 1).cast("int"), F.lit(6)), " ")
+            bullet = F.pmod(r, F.lit(4)) == 3
+            text = F.when(bullet & (c == 0), F.concat(F.lit("• "), text)).otherwise(text)
+            x0 = F.when(c == 1, 320.0).when(bullet, 70.0).otherwise(50.0)
+            size = F.when((r == 0) & (F.pmod("page", F.lit(3)) == 1), 24.0).when((r == 0) & (F.pmod("page", F.lit(3)) == 2), 18.0).otherwise(11.0)
+            top = 60.0 + r * 14
+            x1 = F.when(two, x0 + F.least(F.length(text) * 5, F.lit(200))).otherwise(x0 + F.when(c == 0, 269.0).otherwise(F.length(text) * 5.0))
+            name = F.when(F.pmod("page", F.lit(5)) == 4, "Courier").otherwise("Arial")
+            return F.struct(g.cast("int").alias("span_no"), text.alias("text"), name.alias("font_name"), size.alias("font_size"),
+                            (size > 20).alias("is_bold"), F.lit(False).alias("is_italic"), x0.alias("x0"), x1.cast("double").alias("x1"),
+                            top.cast("double").alias("top"), (top + size).cast("double").alias("bottom"))
+        n = F.ceil(F.size("w") / 6)
+        spans = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), span))
+        return page.select("doc_id", "page", F.lit(600.0).alias("width"), (180.0 + F.ceil(n / 2) * 14).cast("double").alias("height"),
+                           spans.alias("spans")).filter("spans is not null")
+
+    @property
+    def images(self) -> DataFrame:
+        v = F.floor("value").cast("double")
+        k = F.get_json_object("props", "$.k").cast("int")
+        shape = F.when(F.col("event_type") == "click", "chart").when(F.col("event_type") == "view", "picture").otherwise("other")
+        return self.events.select(
+            F.col("user_id").alias("doc_id"), F.col("event_id").alias("image_id"), (F.pmod(k, F.lit(4)) + 1).alias("page"),
+            (k * 5.0).alias("x"), (v * 3).alias("y"), (v * 20).alias("width"), (k * 8.0).alias("height"), F.lit(600.0).alias("page_width"),
+            F.lit(800.0).alias("page_height"), shape.alias("shape"), F.md5("props").alias("md5"),
+            F.concat(F.lit("![img]("), F.col("event_id").cast("string"), F.lit(".png)")).alias("ref"))
