@@ -90,9 +90,21 @@ def replace_all(c: Column | str, mapping: dict[str, str]) -> Column:
     return out
 
 
-def code_block_lines(items: Column) -> Column:
-    """Whether each line lies inside an open fence (the fences themselves count as outside)."""
-    state = F.aggregate(items, F.struct(F.lit(False).alias("open"), F.array().cast("array<boolean>").alias("out")),
-                        lambda a, x: F.struct((a["open"] != F.trim(x).startswith("```")).alias("open"),
-                                              F.concat(a["out"], F.array(a["open"])).alias("out")))
-    return state["out"]
+def running_count(items: Column, test: Callable[[Column], Column]) -> Column:
+    """How many elements up to and including each one pass the test."""
+    state = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    def add(a: Column, x: Column) -> Column:
+        n = a["n"] + F.when(test(x), 1).otherwise(0)
+        return F.struct(n.alias("n"), F.concat(a["out"], F.array(n)).alias("out"))
+    return F.aggregate(items, state, add, lambda a: a["out"])
+
+
+def runs_of(items: Column, starts: Callable[[Column, Column], Column], build: Callable[[Column, Column], Column]) -> Column:
+    """Cut an array where ``starts(previous, item)`` holds and build one element per run."""
+    def cut(xs: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | starts(F.get(xs, i - 1), F.get(xs, i)))
+        def runs(f: Column) -> Column:
+            ends = F.concat(F.slice(f, 2, F.greatest(F.size(f), F.lit(1))), F.array(F.size(xs)))
+            return F.zip_with(f, ends, lambda a, b: build(F.slice(xs, a + 1, b - a), a))
+        return let(firsts, runs)
+    return let(items, cut)

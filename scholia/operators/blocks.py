@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholia.functions.text import any_of, first_where, is_title, joined, let, strip, words
+from scholia.functions.text import any_of, first_where, joined, let, running_count, strip, words
 from scholia.operators.cleaning import is_noise, looks_like_code
 
 BLOCK = "struct<pos:int,page:int,y:double,type:string,text:string,font_size:double,indent:int>"
@@ -216,15 +216,6 @@ def _let_chain(value: Column, *steps: Callable[[Column], Column]) -> Column:
     return out
 
 
-def running_count(items: Column, test: Callable[[Column], Column]) -> Column:
-    """How many elements up to and including each one pass the test."""
-    state = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-    def add(a: Column, x: Column) -> Column:
-        n = a["n"] + F.when(test(x), 1).otherwise(0)
-        return F.struct(n.alias("n"), F.concat(a["out"], F.array(n)).alias("out"))
-    return F.aggregate(items, state, add, lambda a: a["out"])
-
-
 def split_bullets(docs: DataFrame) -> DataFrame:
     """Two or more inline bullets make one list block per item; a single one is read or removed."""
     def one(b: Column) -> Column:

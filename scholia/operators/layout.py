@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import any_of, joined, let, strip
-from scholia.operators.blocks import running_count
+from scholia.functions.text import any_of, joined, let, runs_of, strip
 
 # Footers to drop, list marks, headings to skip, monospace fonts and code words.
 FOOTERS = [r"(?i)©.*Cisco", r"(?i)Cisco\s*(Confidential|Public)", r"(?i)All rights reserved", r"(?i)Cisco\s+and/or\s+its\s+affiliates"]
@@ -67,17 +66,6 @@ def font_hierarchy(pages: DataFrame) -> DataFrame:
                     (F.col("font_key") == F.col("_b.font_key")).alias("is_body"), F.col("_b.size").alias("body_size")))
 
 
-def _groups(items: Column, starts: Callable[[Column, Column], Column], build: Callable[[Column, Column], Column]) -> Column:
-    """Cut an array where ``starts(previous, item)`` holds and build one element per run."""
-    def cut(xs: Column) -> Column:
-        firsts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | starts(F.get(xs, i - 1), F.get(xs, i)))
-        def runs(f: Column) -> Column:
-            ends = F.concat(F.slice(f, 2, F.greatest(F.size(f), F.lit(1))), F.array(F.size(xs)))
-            return F.zip_with(f, ends, lambda a, b: build(F.slice(xs, a + 1, b - a), a))
-        return let(firsts, runs)
-    return let(items, cut)
-
-
 def _dominant(parts: Column, weight: Callable[[Column], Column], font: Callable[[Column], Column]) -> Column:
     """Font with most characters; the earliest on a tie."""
     def pick(ps: Column) -> Column:
@@ -108,7 +96,7 @@ def spans_to_lines(pages: DataFrame) -> DataFrame:
                         high("bottom").alias("bottom"), _dominant(spans, lambda s: F.length(s["text"]), font).alias("font"))
     key = lambda s: F.struct(F.bround(s["top"], 1).alias("t"), s["x0"].alias("x"), s["span_no"].alias("n"), s.alias("s"))
     order = F.transform(F.array_sort(F.transform("spans", key)), lambda k: k["s"])
-    found = _groups(order, lambda p, s: ~same(p, s), line)
+    found = runs_of(order, lambda p, s: ~same(p, s), line)
     return pages.select("doc_id", "page", "width", "height", found.alias("lines"))
 
 
@@ -121,7 +109,7 @@ def columns(pages: DataFrame) -> DataFrame:
     content = F.filter("spans", lambda s: strip(s["text"]) != "")
     def by_bullets(ss: Column) -> Column:
         xs = F.array_sort(F.transform(F.filter(ss, lambda s: strip(s["text"]).rlike(f"^[{BULLETS}]")), lambda s: s["x0"]))
-        clusters = lambda v: F.when(F.size(v) >= 6, _groups(v, lambda a, b: b - a >= 20, lambda run, i: run))
+        clusters = lambda v: F.when(F.size(v) >= 6, runs_of(v, lambda a, b: b - a >= 20, lambda run, i: run))
         def centres(cs: Column) -> Column:
             big = F.filter(cs, lambda c: F.size(c) >= 3)
             mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
@@ -200,7 +188,7 @@ def lines_to_blocks(pages: DataFrame) -> DataFrame:
                 return F.struct(text.alias("text"), indent.alias("indent"), F.size(xs).alias("n_lines"), low("x0").alias("x0"), high("x1").alias("x1"),
                                 low("top").alias("top"), high("bottom").alias("bottom"),
                                 _dominant(xs, lambda x: F.length(x["text"]), lambda x: x["font"]).alias("font"))
-            return _groups(ls, starts, block)
+            return runs_of(ls, starts, block)
         return let(margin, build)
     found = F.when(F.size("lines") > 0, let(F.col("lines"), run))
     return (pages.select("doc_id", "page", F.posexplode(found).alias("block_no", "_b")).select("doc_id", "page", "block_no", "_b.*"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.text import lines, map_lines, strip
 from scholia.operators import cleaning as C
+from scholia.operators import rewriting as R
 from scholia.plans.registry import query, view
 
 STRIP = r"regexp_replace({}, '^[\s\p{{Z}}\x{{0b}}\x{{85}}]+|[\s\p{{Z}}\x{{0b}}\x{{85}}]+$', '', 'g')"
@@ -69,7 +70,7 @@ c AS (SELECT *, CASE WHEN starts_with(s, '|') AND length(s) - length(replace(s,
    WHEN regexp_matches(s, '^(\d+\.?\s+)?[A-Z][^.!?]*$') AND n < mean * 0.7 THEN 9
    WHEN regexp_matches(s, '^\s*[-•*]\s+|^\s*\d+\.\s+|^\s*[a-z]\)\s+') THEN 10 ELSE 11 END AS k FROM l)
 SELECT doc_id, pos, line, s, k, CASE WHEN k <= 2 THEN 'table_row' WHEN k IN (3, 5, 7) THEN 'h1' WHEN k IN (4, 6, 8, 9) THEN 'h2' WHEN k = 10 THEN 'list' ELSE 'body' END AS type,
-  [0.0, 0.95, 0.85, 0.80, 0.80, 0.75, 0.90, 0.80, 0.75, 0.85, 0.60]::DOUBLE[][k] AS confidence FROM c""")
+  list_extract([0.0, 0.95, 0.85, 0.80, 0.80, 0.75, 0.90, 0.80, 0.75, 0.85, 0.60]::DOUBLE[], k) AS confidence FROM c""")
 
 
 @query("txt_line_classify", "SELECT doc_id, pos, type, confidence FROM v_classes")
@@ -364,3 +365,64 @@ SELECT doc_id, CAST(count(*) AS INTEGER) AS total, CAST(count(*) FILTER (starts_
   CAST(count(*) FILTER (type = 'body') AS INTEGER) AS body FROM v_md_kinds GROUP BY 1""")
 def _(t):
     return t.markdown.select("doc_id", *[c.alias(n) for n, c in C.line_kinds("text").items()])
+
+
+# -- rewrites with state --------------------------------------------------------------------------
+
+
+@query("txt_segments", rf"""
+WITH f AS (SELECT *, regexp_matches(s, '{BLACK}') OR length(s) < 3 AS b, regexp_matches(s, '(?i)^(Footer|Header):\s*|^\d+\s*$|^Page\s+\d+\s+of\s+\d+$|^www\..*$') AS hf FROM v_classes WHERE s <> ''),
+g AS (SELECT *, b OR type IN ('h1', 'h2', 'table_row') AS cut FROM f),
+r AS (SELECT *, sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY pos) * 2 + CASE WHEN cut THEN 0 ELSE 1 END AS run FROM g),
+o AS (SELECT *, min(pos) FILTER (NOT hf) OVER (PARTITION BY doc_id, run) AS open_at FROM r),
+k AS (SELECT * FROM o WHERE CASE WHEN cut THEN NOT b AND NOT hf AND confidence > 0 ELSE pos >= open_at END),
+s AS (SELECT doc_id, run, arg_min(type, pos) AS type, arg_min(confidence, pos) AS confidence, string_agg(s, ' ' ORDER BY pos) AS text FROM k GROUP BY 1, 2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS seg, type,
+  translate({st("regexp_replace(regexp_replace(text, '(?m)^\\s*\\|\\s*$', '', 'g'), '[\\s\\p{Z}\\x{0b}\\x{85}]+', ' ', 'g')")}, '–—', '--') AS content, confidence FROM s""".replace("\\\\", "\\"))
+def _(t):
+    rows = t.markdown.select("doc_id", F.posexplode(R.segments("text")).alias("seg", "x"))
+    return rows.select("doc_id", "seg", "x.type", "x.content", "x.confidence")
+
+
+@query("txt_validate_markdown")
+def _(t):
+    return rewritten(t.markdown, R.validate_markdown(F.col("text")))
+
+
+@query("txt_slide_headings")
+def _(t):
+    return rewritten(t.slides, R.slide_headings("text"))
+
+
+@query("txt_dup_fences")
+def _(t):
+    """Every fenced line group of the fixture is written twice, so half of the blocks must go."""
+    block = F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```\n"))
+    return rewritten(t.documents, R.duplicate_fences(F.concat(F.lit("intro\n"), block, block, F.lit("end"))))
+
+
+@query("txt_table_overlap_dedup")
+def _(t):
+    def shape(x, i):
+        return F.when(F.pmod(i, F.lit(3)) == 0, F.concat(F.lit("| "), F.replace(x, F.lit(" "), F.lit(" | ")), F.lit(" |\n"), F.substring(x, 1, 40))).otherwise(x)
+    return rewritten(t._marked(shape), R.table_overlap("text"))
+
+
+@query("txt_final_answer")
+def _(t):
+    m, body = F.pmod("turn", F.lit(6)), F.col("text")
+    around = lambda before, after="": F.concat(F.lit(before), body, F.lit(after))
+    text = (F.when(m == 0, '{"final_answer": "yes", "k": 1}')
+            .when(m == 1, around("<think>plan</think> text before <FINAL_ANSWER>", "</FINAL_ANSWER>"))
+            .when(m == 2, around("===START=== a ===END=== ===START===", "===END===")).when(m == 3, around("Answer: "))
+            .when(m == 4, around("Wait, let me see\n")).otherwise(body))
+    return t.turns.select("conversation_id", "turn", R.final_answer(text).alias("answer"))
+
+
+@query("txt_json_recover", """
+SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN props ELSE '[' || user_id || ']' END AS json FROM events""")
+def _(t):
+    m = F.pmod("event_id", F.lit(3))
+    raw = (F.when(m == 0, F.col("props")).when(m == 1, F.concat(F.lit("Here {you} go:\n```json\n"), F.col("props"), F.lit("\n```")))
+           .otherwise(F.concat(F.lit("see ["), F.lit("x and ["), F.col("user_id").cast("string"), F.lit("] done"))))
+    return t.events.select(F.col("event_id").alias("id"), R.json_recover(raw).alias("json"))
