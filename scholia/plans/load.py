@@ -2,5 +2,5 @@
 
 import importlib
 
-for _name in ("views", "relational", "usage", "cleaning", "retrieval", "blocks"):
+for _name in ("views", "relational", "usage", "cleaning", "retrieval", "blocks", "questions"):
     importlib.import_module(f"scholia.plans.{_name}")
