@@ -2,5 +2,5 @@
 
 import importlib
 
-for _name in ("views", "relational", "usage", "cleaning", "retrieval", "blocks", "questions"):
+for _name in ("views", "relational", "usage", "cleaning", "retrieval", "blocks", "questions", "sources"):
     importlib.import_module(f"scholia.plans.{_name}")
