@@ -2,5 +2,5 @@
 
 import importlib
 
-for _name in ("views", "relational", "usage", "cleaning", "retrieval", "blocks", "questions", "sources"):
+for _name in ("views", "relational", "usage", "cleaning", "retrieval", "blocks", "questions", "sources", "streams"):
     importlib.import_module(f"scholia.plans.{_name}")
