@@ -164,7 +164,7 @@ def _(t):
 
 
 @query("txt_heading_detect_slides", r"""
-WITH x AS (SELECT doc_id, pos, CASE pos % 4 WHEN 1 THEN regexp_replace(substr(s, 1, 30), '[.,]', '', 'g') WHEN 2 THEN '2.1 ' || s ELSE s END AS s FROM v_scan_lines)
+WITH x AS (SELECT doc_id, pos, CASE pos % 4 WHEN 1 THEN trim(regexp_replace(substr(s, 1, 30), '[.,]', '', 'g')) WHEN 2 THEN '2.1 ' || s ELSE s END AS s FROM v_scan_lines)
 SELECT doc_id, pos, CASE WHEN s = '' THEN 0 WHEN regexp_matches(s, '^[0-9A-Fa-f\s,=+*/_()\-]+$') AND NOT regexp_matches(s, '[A-Za-z]{3,}') THEN 0
   WHEN regexp_matches(s, '[=+*<>⇒∈≤≥÷±≠]') THEN 0 WHEN regexp_matches(s, '(?i)^(Chapter|Topic|Section)\s+\d+') THEN CASE WHEN pos = 0 THEN 1 ELSE 2 END
   WHEN regexp_matches(s, '^\d+(\.\d+)+(\)|\.)?\s+[A-Za-z]') THEN 2

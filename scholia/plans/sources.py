@@ -20,12 +20,12 @@ def _(t):
     return R.catalog(t)
 
 
-@query("src_text_docs", "SELECT doc_id, text FROM documents")
+@query("src_text_docs", "SELECT item_id, text FROM benchmark")
 def _(t):
     path = scratch_path(t.spark, "text")
-    t.documents.select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    t.benchmark.select("item_id", "text").write.partitionBy("item_id").text(path)
     docs = R.text_documents(t.spark, path)
-    return docs.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+    return docs.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), F.regexp_replace("text", r"\n\z", "").alias("text"))
 
 
 @query("src_json_side", "SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

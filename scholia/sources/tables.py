@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholia.functions.text import let
+
 NAMES = ("benchmark conversations customer documents embeddings events labels lineitem nation orders "
          "pages part region supplier").split()
 
@@ -254,25 +256,29 @@ class Tables:
     def span_pages(self) -> DataFrame:
         """One row per page (a line of the text) with its spans: six words each, two spans to a row."""
         page = self.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        page = page.select("doc_id", (F.col("line_no") + 1).alias("page"), F.filter(F.split("line", r"\s+"), lambda w: w != "").alias("w"))
+        page = page.select("doc_id", (F.col("line_no") + 1).alias("page"), "line")
         two = F.pmod("page", F.lit(7)) == 0
-        def span(g):
-            r, c = F.floor(g / 2), F.pmod(g, F.lit(2))
-            text = F.array_join(F.slice("w", (g * 6 + 1).cast("int"), F.lit(6)), " ")
-            bullet = F.pmod(r, F.lit(4)) == 3
-            text = F.when(bullet & (c == 0), F.concat(F.lit("• "), text)).otherwise(text)
-            x0 = F.when(c == 1, 320.0).when(bullet, 70.0).otherwise(50.0)
-            size = F.when((r == 0) & (F.pmod("page", F.lit(3)) == 1), 24.0).when((r == 0) & (F.pmod("page", F.lit(3)) == 2), 18.0).otherwise(11.0)
-            top = 60.0 + r * 14
-            x1 = F.when(two, x0 + F.least(F.length(text) * 5, F.lit(200))).otherwise(x0 + F.when(c == 0, 269.0).otherwise(F.length(text) * 5.0))
-            name = F.when(F.pmod("page", F.lit(5)) == 4, "Courier").otherwise("Arial")
-            return F.struct(g.cast("int").alias("span_no"), text.alias("text"), name.alias("font_name"), size.alias("font_size"),
-                            (size > 20).alias("is_bold"), F.lit(False).alias("is_italic"), x0.alias("x0"), x1.cast("double").alias("x1"),
-                            top.cast("double").alias("top"), (top + size).cast("double").alias("bottom"))
-        n = F.ceil(F.size("w") / 6)
-        spans = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), span))
-        return page.select("doc_id", "page", F.lit(600.0).alias("width"), (180.0 + F.ceil(n / 2) * 14).cast("double").alias("height"),
-                           spans.alias("spans")).filter("spans is not null")
+        def cut(w):
+            def span(g):
+                r, c = F.floor(g / 2), F.pmod(g, F.lit(2))
+                text = F.array_join(F.slice(w, (g * 6 + 1).cast("int"), F.lit(6)), " ")
+                bullet = F.pmod(r, F.lit(4)) == 3
+                text = F.when(bullet & (c == 0), F.concat(F.lit("• "), text)).otherwise(text)
+                x0 = F.when(c == 1, 320.0).when(bullet, 70.0).otherwise(50.0)
+                size = F.when((r == 0) & (F.pmod("page", F.lit(3)) == 1), 24.0).when((r == 0) & (F.pmod("page", F.lit(3)) == 2), 18.0).otherwise(11.0)
+                top = 60.0 + r * 14
+                name = F.when(F.pmod("page", F.lit(5)) == 4, "Courier").otherwise("Arial")
+                def build(x):
+                    x1 = F.when(two, x0 + F.least(F.length(x) * 5, F.lit(200))).otherwise(x0 + F.when(c == 0, 269.0).otherwise(F.length(x) * 5.0))
+                    return F.struct(g.cast("int").alias("span_no"), x.alias("text"), name.alias("font_name"), size.alias("font_size"),
+                                    (size > 20).alias("is_bold"), F.lit(False).alias("is_italic"), x0.alias("x0"), x1.cast("double").alias("x1"),
+                                    top.cast("double").alias("top"), (top + size).cast("double").alias("bottom"))
+                return let(text, build)
+            n = F.ceil(F.size(w) / 6)
+            spans = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), span)
+            return F.when(n > 0, F.struct(spans.alias("spans"), (180.0 + F.ceil(n / 2) * 14).cast("double").alias("height")))
+        made = page.select("doc_id", "page", let(F.filter(F.split("line", r"\s+"), lambda x: x != ""), cut).alias("_p")).filter("_p is not null")
+        return made.select("doc_id", "page", F.lit(600.0).alias("width"), "_p.height", "_p.spans")
 
     @property
     def images(self) -> DataFrame:
