@@ -21,6 +21,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
+def unroll(df, keys: list[str], items: Column | str, index: str, fields: dict[str, Callable[[Column], Column]]):
+    """One row per element with the wanted fields as plain columns.
+
+    Reading fields of an exploded struct would make the optimiser split the array into one array per
+    field and evaluate its expression for each of them.
+    """
+    flat = F.transform(col(items), lambda x, i: F.struct(i.alias(index), *[get(x).alias(n) for n, get in fields.items()]))
+    return df.select(*keys, F.inline(flat))
+
+
+def field(name: str) -> Callable[[Column], Column]:
+    """Field, or field of a field, of a struct element."""
+    def get(x: Column) -> Column:
+        for part in name.split("."):
+            x = x[part]
+        return x
+    return get
+
+
 def strip(c: Column | str) -> Column:
     """Trim Unicode white space on both sides."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholia.functions.text import any_of, first_where, joined, let, running_count, strip, words
+from scholia.functions.text import any_of, field, first_where, joined, let, running_count, strip, unroll, words
 from scholia.operators.cleaning import is_noise, looks_like_code
 
 BLOCK = "struct<pos:int,page:int,y:double,type:string,text:string,font_size:double,indent:int>"
@@ -50,7 +50,7 @@ def flat_map(blocks: Column, fn: Callable[[Column], Column]) -> Column:
 
 
 def rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode("blocks").alias("seq", "_b")).select("doc_id", "seq", "_b.*")
+    return unroll(docs, ["doc_id"], "blocks", "seq", {f: field(f) for f in FIELDS})
 
 
 def union_sort(blocks: DataFrame, tables: DataFrame) -> DataFrame:

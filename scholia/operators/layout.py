@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import any_of, joined, let, runs_of, strip
+from scholia.functions.text import any_of, field, joined, let, runs_of, strip, unroll
 
 # Footers to drop, list marks, headings to skip, monospace fonts and code words.
 FOOTERS = [r"(?i)©.*Cisco", r"(?i)Cisco\s*(Confidential|Public)", r"(?i)All rights reserved", r"(?i)Cisco\s+and/or\s+its\s+affiliates"]
@@ -54,7 +54,8 @@ def font_hierarchy(pages: DataFrame) -> DataFrame:
 
     Spans shrink to one row per document and font before fonts are compared.
     """
-    s = pages.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").filter(strip("text") != "")
+    names = ("text", "font_name", "font_size", "is_bold", "is_italic")
+    s = unroll(pages, ["doc_id"], "spans", "n", {n: field(n) for n in names}).filter(strip("text") != "")
     fonts = (s.groupBy("doc_id", font_key().alias("font_key"), "font_size", "is_bold")
              .agg(F.sum(F.length(strip("text"))).alias("chars")))
     body = fonts.groupBy("doc_id").agg(F.max_by(F.struct("font_key", F.col("font_size").alias("size")), F.struct("chars", "font_key")).alias("_b"),
@@ -153,11 +154,11 @@ def columns(pages: DataFrame) -> DataFrame:
     enough = (F.size(content) >= 4) & (F.col("width") >= 100)
     bullets = let(content, by_bullets)
     edges = pages.withColumn("_b", F.when(enough, bullets)).withColumn("_g", F.when(enough, let(content, by_gaps)))
-    spans = edges.select("doc_id", "page", "_b", "_g", F.explode("spans").alias("s"))
-    mid = (F.col("s.x0") + F.col("s.x1")) / 2
-    number = (F.when(F.col("_b").isNotNull(), F.coalesce(column_of(F.col("s.x0"), F.col("_b")), nearest(F.col("s.x0"), F.col("_b"))))
+    spans = unroll(edges, ["doc_id", "page", "_b", "_g"], "spans", "n", {n: field(n) for n in ("span_no", "x0", "x1")})
+    mid, x0 = (F.col("x0") + F.col("x1")) / 2, F.col("x0")
+    number = (F.when(F.col("_b").isNotNull(), F.coalesce(column_of(x0, F.col("_b")), nearest(x0, F.col("_b"))))
               .when(F.col("_g").isNotNull(), F.coalesce(column_of(mid, F.col("_g")), nearest(mid, F.col("_g")))).otherwise(0))
-    return spans.select("doc_id", "page", F.col("s.span_no").alias("span_no"), number.alias("column_no"))
+    return spans.select("doc_id", "page", "span_no", number.alias("column_no"))
 
 
 def drop_headers_footers(pages: DataFrame) -> DataFrame:
@@ -190,8 +191,9 @@ def lines_to_blocks(pages: DataFrame) -> DataFrame:
                                 _dominant(xs, lambda x: F.length(x["text"]), lambda x: x["font"]).alias("font"))
             return runs_of(ls, starts, block)
         return let(margin, build)
-    found = F.when(F.size("lines") > 0, let(F.col("lines"), run))
-    return (pages.select("doc_id", "page", F.posexplode(found).alias("block_no", "_b")).select("doc_id", "page", "block_no", "_b.*"))
+    found = let(F.col("lines"), lambda ls: F.when(F.size(ls) > 0, run(ls)))
+    names = ("text", "indent", "n_lines", "x0", "x1", "top", "bottom", "font")
+    return unroll(pages, ["doc_id", "page"], found, "block_no", {n: field(n) for n in names})
 
 
 def block_classify(blocks: DataFrame, hierarchy: DataFrame) -> DataFrame:
@@ -227,7 +229,7 @@ def size_thresholds(pages: DataFrame, h1: float = 1.6, h2: float = 1.3, h3: floa
 
     Sizes are counted first, so the running count sees one row per distinct size.
     """
-    s = pages.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.font_size").alias("size"))
+    s = unroll(pages, ["doc_id"], "spans", "n", {"size": field("font_size")})
     n = s.groupBy("doc_id", "size").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("doc_id").orderBy("size"))
     total = F.sum("n").over(Window.partitionBy("doc_id"))

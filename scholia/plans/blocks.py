@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scholia.functions.text import field, unroll
 from scholia.operators import blocks as B
 from scholia.operators import images as I
 from scholia.operators import layout as L
@@ -245,8 +246,8 @@ def _(t):
 
 @query("lay_spans_to_lines")
 def _(t):
-    lines = L.spans_to_lines(t.span_pages).select("doc_id", "page", F.posexplode("lines").alias("line_no", "l"))
-    return lines.select("doc_id", "page", "line_no", "l.text", "l.x0", "l.x1", "l.top", "l.bottom", F.col("l.font.key").alias("font"))
+    wanted = {n: field(n) for n in ("text", "x0", "x1", "top", "bottom")} | {"font": field("font.key")}
+    return unroll(L.spans_to_lines(t.span_pages), ["doc_id", "page"], "lines", "line_no", wanted)
 
 
 @query("lay_lines_to_blocks")
@@ -261,8 +262,8 @@ def _(t):
 
 @query("lay_header_footer")
 def _(t):
-    kept = L.drop_headers_footers(L.spans_to_lines(t.span_pages)).select("doc_id", "page", F.posexplode("lines").alias("line_no", "l"))
-    return kept.select("doc_id", "page", "line_no", "l.text", "l.top")
+    kept = L.drop_headers_footers(L.spans_to_lines(t.span_pages))
+    return unroll(kept, ["doc_id", "page"], "lines", "line_no", {n: field(n) for n in ("text", "top")})
 
 
 @query("lay_block_classify")

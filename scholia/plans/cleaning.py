@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scholia.functions.text import lines, map_lines, strip
+from scholia.functions.text import field, lines, strip, unroll
 from scholia.operators import cleaning as C
 from scholia.operators import rewriting as R
 from scholia.plans.registry import query, view
@@ -75,7 +75,8 @@ SELECT doc_id, pos, line, s, k, CASE WHEN k <= 2 THEN 'table_row' WHEN k IN (3,
 
 @query("txt_line_classify", "SELECT doc_id, pos, type, confidence FROM v_classes")
 def _(t):
-    return (t.markdown.select("doc_id", F.inline(C.classified_lines("text"))).select("doc_id", "pos", "type", "confidence"))
+    wanted = {n: field(n) for n in ("pos", "type", "confidence")}
+    return unroll(t.markdown, ["doc_id"], C.classified_lines("text"), "_i", wanted).drop("_i")
 
 
 view("v_md_kinds", r"""
@@ -88,8 +89,7 @@ SELECT doc_id, pos, s, CASE WHEN starts_with(s, '# ') THEN 'h1' WHEN starts_with
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS seg, type,
   CASE WHEN type IN ('body', 'table_row') THEN s ELSE regexp_replace(s, '^(#{1,5} |- |\d+\.\s)', '') END AS content FROM v_md_kinds""")
 def _(t):
-    return (t.markdown.select("doc_id", F.posexplode(C.markdown_segments("text")).alias("seg", "x"))
-            .select("doc_id", "seg", "x.type", "x.content"))
+    return unroll(t.markdown, ["doc_id"], C.markdown_segments("text"), "seg", {n: field(n) for n in ("type", "content")})
 
 
 @query("txt_join_sentences", """
@@ -380,8 +380,7 @@ s AS (SELECT doc_id, run, arg_min(type, pos) AS type, arg_min(confidence, pos) A
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS seg, type,
   translate({st("regexp_replace(regexp_replace(text, '(?m)^\\s*\\|\\s*$', '', 'g'), '[\\s\\p{Z}\\x{0b}\\x{85}]+', ' ', 'g')")}, '–—', '--') AS content, confidence FROM s""".replace("\\\\", "\\"))
 def _(t):
-    rows = t.markdown.select("doc_id", F.posexplode(R.segments("text")).alias("seg", "x"))
-    return rows.select("doc_id", "seg", "x.type", "x.content", "x.confidence")
+    return unroll(t.markdown, ["doc_id"], R.segments("text"), "seg", {n: field(n) for n in ("type", "content", "confidence")})
 
 
 @query("txt_validate_markdown")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from scholia.functions.text import let
 
+TEXTS = ("documents", "pages", "conversations")
+SMALL_SPLIT = 16 << 20
 NAMES = ("benchmark conversations customer documents embeddings events labels lineitem nation orders "
          "pages part region supplier").split()
 
@@ -23,9 +25,20 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in NAMES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return self._spread(df) if name in TEXTS else df
         raise AttributeError(name)
 
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Small text tables come as one row group, which one core would read and process alone.
+
+        Rows are dealt out evenly when the input could not fill the cores; a large input keeps its splits
+        and is never shuffled here. The size is the planner's own estimate from the file listing.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return df.repartition(cores) if size < cores * SMALL_SPLIT else df
+
     # -- people and the group > subject > resource > note hierarchy ------------------------
 
     @property
