@@ -94,43 +94,39 @@ def _lits(items: list[str]) -> Column:
 def keyword_relevance(queries: DataFrame, items: DataFrame, min_score: float = 50.0, k: int = 5) -> DataFrame:
     """Lexical score from title hits, density in the body and adjacent pairs; best k of at least ``min_score``.
 
-    Adjacent pairs alone give at most 25 points, so a result must share a query word with the title
-    (as a part of it) or, as a whole word, with the body. Candidates therefore come from two equi-joins,
-    on the pieces of title words and on body words. Without a title hit the score needs 25 points or more
-    from density, that is a body word share of 0.25 / 0.525; such a body shares a query word with every
-    choice of more than the other 52.3 % of its words, so only its rarest words are joined.
+    Title hits and density are sums over query words, so they come from equi-joins on words and one
+    grouped sum per (query, item), without any text. Adjacent pairs add 25 points at most: only where the
+    rest lacks no more than that are the texts fetched to look for them.
     """
     usable = F.filter(tokens(F.lower("query")), lambda w: (F.length(w) > 2) & ~F.array_contains(_lits(QUERY_STOP), w))
     q = queries.select("query_id", usable.alias("qw")).filter(F.size("qw") > 0)
-    words_of = q.select("query_id", F.explode(F.array_distinct("qw")).alias("w"))
-    body = items.select("item_id", tokens(F.lower("body")).alias("bw"))
-    counts = body.select("item_id", F.explode("bw").alias("w")).groupBy("item_id", "w").agg(F.count("*").alias("n"))
-    # Rarest first, by how many queries ask for the word: words nobody asks for cost nothing.
-    asked = words_of.groupBy("w").agg(F.count("*").alias("df"))
-    ordered = counts.join(asked, "w", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    by = Window.partitionBy("item_id").orderBy("df", "w").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy("item_id")
-    need = 1 - (min_score - 25) / 0.35 / 150 * 1.0 if min_score > 25 else 1.0
-    rare = (ordered.withColumn("_before", F.coalesce(F.sum("n").over(by), F.lit(0))).withColumn("_all", F.sum("n").over(total))
-            .filter((F.col("df") > 0) & (F.col("_before") <= F.col("_all") * need)))
-    by_body = rare.select("item_id", "w").join(words_of, "w").select("query_id", "item_id")
-    tw = items.select("item_id", F.explode(F.array_distinct(tokens(F.lower("title")))).alias("t"))
-    parts = (tw.withColumn("_s", F.explode(F.sequence(F.lit(1), F.length("t"))))
-             .withColumn("w", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("_s") + 1),
-                                                    lambda n: F.col("t").substr(F.col("_s"), n)))).select("item_id", "w").distinct())
-    by_title = parts.join(words_of, "w").select("query_id", "item_id")
-    pairs = by_body.unionByName(by_title).distinct()
-    full = pairs.join(q, "query_id").join(items.select("item_id", "title", "body"), "item_id")
-    def points(v: Column) -> Column:
-        title, text, qw, bw = v["t"], v["b"], v["q"], v["w"]
-        hit = F.size(F.filter(qw, lambda w: title.contains(w))) / F.size(qw) * 100
-        density = F.try_divide(F.size(F.filter(bw, lambda w: F.array_contains(qw, w))), F.size(bw))
+    asked = q.select("query_id", F.size("qw").alias("nq"), F.explode("qw").alias("w")).groupBy("query_id", "w", "nq").agg(F.count("*").alias("times"))
+    vocabulary = asked.select("w").distinct()
+
+    body = items.select("item_id", tokens(F.lower("body")).alias("bw")).select("item_id", F.size("bw").alias("nb"), F.explode("bw").alias("w"))
+    in_body = body.join(vocabulary, "w", "left_semi").groupBy("item_id", "w", "nb").agg(F.count("*").alias("n"))
+    by_body = in_body.join(asked, "w").select("query_id", "item_id", F.lit(0.0).alias("t"), (F.col("n") / F.col("nb")).alias("d"), "nq")
+
+    title_words = items.select("item_id", F.explode(F.array_distinct(tokens(F.lower("title")))).alias("word"))
+    pieces = (title_words.select("word").distinct().withColumn("_s", F.explode(F.sequence(F.lit(1), F.length("word"))))
+              .select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("_s") + 1),
+                                                    lambda n: F.col("word").substr(F.col("_s"), n))).alias("w")).distinct().join(vocabulary, "w", "left_semi"))
+    in_title = title_words.join(pieces, "word").select("item_id", "w").distinct()
+    by_title = in_title.join(asked, "w").select("query_id", "item_id", (F.col("times") / F.col("nq")).alias("t"), F.lit(0.0).alias("d"), "nq")
+
+    base = by_title.unionByName(by_body).groupBy("query_id", "item_id").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+    points = F.col("t") * 100 * 0.60 + F.least(F.col("d") * 150, F.lit(100.0)) * 0.35
+    near = base.select("query_id", "item_id", points.alias("points")).filter(F.col("points") + 25 >= min_score - 1e-9)
+    full = near.join(q, "query_id").join(items.select("item_id", "title", "body"), "item_id")
+
+    def bonus(v: Column) -> Column:
+        qw = v["q"]
         phrases = F.zip_with(F.slice(qw, F.lit(1), F.size(qw) - 1), F.slice(qw, 2, F.greatest(F.size(qw), F.lit(1))),
                              lambda a, b: F.concat(a, F.lit(" "), b))
-        bonus = F.least(F.size(F.filter(phrases, lambda p: text.contains(p) | title.contains(p))) * 15, F.lit(100))
-        return F.least(hit * 0.60 + F.coalesce(F.least(density * 150, F.lit(100.0)), F.lit(0.0)) * 0.35 + bonus * 0.25, F.lit(100.0))
-    once = F.struct(F.lower("title").alias("t"), F.lower("body").alias("b"), F.col("qw").alias("q"), tokens(F.lower("body")).alias("w"))
-    score = let(once, points)
+        found = F.filter(phrases, lambda p: v["b"].contains(p) | v["t"].contains(p))
+        return F.least(F.size(found) * 15, F.lit(100)) * 0.25
+    once = F.struct(F.lower("title").alias("t"), F.lower("body").alias("b"), F.col("qw").alias("q"))
+    score = F.least(F.round(F.col("points") + let(once, bonus), 9), F.lit(100.0))
     kept = full.select("query_id", "item_id", score.alias("raw")).filter(F.col("raw") >= min_score)
     rounded = kept.select("query_id", "item_id", F.bround("raw", 1).alias("score"))
     return top_per_key(rounded, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)

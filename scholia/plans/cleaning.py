@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scholia.functions.text import field, lines, strip, unroll
+from scholia.functions.text import field, let, lines, strip, unroll
 from scholia.operators import cleaning as C
 from scholia.operators import rewriting as R
 from scholia.plans.registry import query, view
@@ -302,16 +302,14 @@ def _(t):
 
 
 @query("txt_table_rows_to_md", """
-WITH r AS (SELECT r_regionkey AS table_id, r_name, n_nationkey, coalesce(n_name, '') AS n_name FROM nation JOIN region ON r_regionkey = n_regionkey)
-SELECT table_id, '| id | name of |' || chr(10) || '| --- | ------- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_name END || ' |', chr(10) ORDER BY n_nationkey) AS markdown
-FROM r GROUP BY 1""")
-def _(t):
-    row = F.array(F.col("n_nationkey").cast("string"), F.when(F.pmod("n_nationkey", F.lit(4)) != 0, F.col("n_name")))
-    # A table is one printed object; its rows are gathered in the order of their number.
-    rows = t.nation.groupBy(F.col("n_regionkey").alias("table_id")).agg(
-        F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("cells")))).alias("rows"))
+SELECT doc_id AS table_id, '| id | name of |' || chr(10) || '| --- | ------- |' || chr(10) || string_agg('| ' || pos || ' | ' || CASE WHEN pos % 4 = 0 THEN '' ELSE s END || ' |', chr(10) ORDER BY pos) AS markdown
+FROM v_doc_lines GROUP BY 1""")
+def _(t):
+    """One table per document, a row per line; the cells are an array of arrays in the document's row."""
+    row = lambda x, i: F.array(i.cast("string"), F.when(F.pmod(i, F.lit(4)) != 0, x))
     head = F.array(F.array(F.lit("id"), F.lit(" name of ")))
-    return rows.select("table_id", C.table_markdown(F.concat(head, F.transform("rows", lambda r: r["cells"]))).alias("markdown"))
+    cells = F.concat(head, F.transform(lines("text"), row))
+    return t.documents.select(F.col("doc_id").alias("table_id"), let(cells, C.table_markdown).alias("markdown"))
 
 
 view("v_cells", """

@@ -198,9 +198,10 @@ p AS (SELECT q.query_id, d.doc_id AS item_id, qw, lower(substr(d.text, 1, 300))
   FROM q, documents d WHERE len(qw) > 0),
 s AS (SELECT query_id, item_id, len(list_filter(qw, lambda w: contains(title, w))) / len(qw) * 100 * 0.60
    + coalesce(least(len(list_filter(bw, lambda w: list_contains(qw, w))) / nullif(len(bw), 0) * 150, 100.0), 0) * 0.35
-   + least(len(list_filter(list_zip(qw[1:-2], qw[2:]), lambda z: contains(body, z[1] || ' ' || z[2]) OR contains(title, z[1] || ' ' || z[2]))) * 15, 100) * 0.25 AS raw FROM p)
+   + least(len(list_filter(list_zip(qw[1:-2], qw[2:]), lambda z: contains(body, z[1] || ' ' || z[2]) OR contains(title, z[1] || ' ' || z[2]))) * 15, 100) * 0.25 AS raw0 FROM p),
+r AS (SELECT query_id, item_id, round(raw0, 9) AS raw FROM s)
 SELECT query_id, item_id, round_even(least(raw, 100.0), 1) AS score,
-  CAST(row_number() OVER (PARTITION BY query_id ORDER BY round_even(least(raw, 100.0), 1) DESC, item_id) AS INTEGER) AS rank FROM s WHERE raw >= 50 QUALIFY rank <= 5""")
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY round_even(least(raw, 100.0), 1) DESC, item_id) AS INTEGER) AS rank FROM r WHERE raw >= 50 QUALIFY rank <= 5""")
 def _(t):
     head = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), head.alias("query"))

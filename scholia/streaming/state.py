@@ -55,15 +55,12 @@ class RateLimiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        recent = [r[0] for r in self.accepted.get()] if self.accepted.exists() else []
+        recent = [r[0] for r in self.accepted.get()]
         flags = []
         for now in _times(frame["ts"]):
             recent, ok = admit(recent, now, self.most, self.window)
             flags.append(ok)
-        if recent:
-            self.accepted.put([(t,) for t in recent])
-        elif self.accepted.exists():
-            self.accepted.clear()
+        self.accepted.put([(t,) for t in recent])  # never empty: a lone request is accepted
         yield pd.DataFrame({"key": key[0], "event_id": frame["event_id"], "ts": frame["ts"], "accepted": flags})
 
     def close(self) -> None:
@@ -116,7 +113,7 @@ class Lockout(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        failures, locked = self.value.get() if self.value.exists() else (0, 0.0)
+        failures, locked = self.value.get() or (0, 0.0)
         seen = []
         for now, ok, most in zip(_times(frame["ts"]), frame["ok"], frame["most"]):
             failures, locked, outcome = attempt(failures, locked, now, bool(ok), int(most), self.seconds)
@@ -142,7 +139,7 @@ def login_lockout(keyed: DataFrame, minutes: int = 30) -> DataFrame:
 
 
 def login_lockout_batch(keyed: DataFrame, minutes: int = 30) -> DataFrame:
-    """The same over a table. A success clears everything, so a key is cut after each of its accepted ones only by the fold itself."""
+    """The same over a table: rows of a key follow each other in time order, with two numbers of state."""
     parts = keyed.repartition("key").sortWithinPartitions("key", "ts", "event_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,14 +172,16 @@ class HungTasks(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        before, active = self.last.get() if self.last.exists() else (0.0, False)
+        before, active = self.last.get() or (0.0, False)
+        timed = active
         hung = []
         for now, status in zip(_times(frame["ts"]), frame["status"]):
             if active and now - before > self.seconds:
                 hung.append(before + self.seconds)
             before, active = now, status in ("pending", "running")
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if timed:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         if active:
             self.handle.registerTimer(int((before + self.seconds) * 1000))
         self.last.update((before, active))
