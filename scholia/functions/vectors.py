@@ -100,8 +100,9 @@ def topk_blocks(queries: DataFrame, items: DataFrame, k: int, order: list[str],
     """
     g = "_g"
     own = F.col(group) if group else F.lit(0)
-    queries = queries.select(own.alias(g), "query_id", "embedding")
-    items = items.select(own.alias(g), *order, "embedding")
+    # Fresh aliases: both sides may come from the same table.
+    fresh = lambda df, cols: df.select(own.alias(g), *[F.col(c).alias(c) for c in cols])
+    queries, items = fresh(queries, ["query_id", "embedding"]), fresh(items, [*order, "embedding"])
     blocks = lambda df, name: df.groupBy(g).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     sizes = blocks(queries, "_nq").join(blocks(items, "_ni"), g)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -204,7 +204,7 @@ def final_answer(text: Column) -> Column:
         fenced = F.nullif(F.regexp_extract(t, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
         braces = F.nullif(F.regexp_extract(t, r"(?s)(\{.*\})", 1), F.lit(""))
         valid = lambda j: F.try_parse_json(j).isNotNull()
-        bad = F.coalesce(~valid(fenced), F.lit(False))
+        bad = fenced.isNotNull() & ~valid(fenced)
         listed = F.when(t.contains("]"), balanced_list(t))
         return F.coalesce(F.when(~bad, F.coalesce(key_of(fenced), key_of(braces))), F.when(valid(listed), listed))
 

@@ -6,10 +6,11 @@ more, partitions are sorted by key and time, and rows stream through one at a ti
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -42,26 +43,35 @@ def _times(col: pd.Series) -> list[float]:
     return [v / 1e6 for v in t.astype("datetime64[us]").astype("int64")]
 
 
+def _seconds(ts: datetime.datetime) -> float:
+    """Seconds since 1970 of a row's time stamp, which carries the worker's local zone."""
+    return ts.timestamp()
+
+
+def _moment(seconds: float) -> datetime.datetime | None:
+    return None if seconds == 0.0 else datetime.datetime.fromtimestamp(round(seconds * 1e6) / 1e6)
+
+
 def _stamp(seconds: float):
     return None if seconds == 0.0 else pd.Timestamp(round(seconds * 1e6), unit="us")
 
 
 class RateLimiter(StatefulProcessor):
+    """Works on rows: a key gets a handful per batch, for which a frame each would cost more than the work."""
+
     def __init__(self, most: int, window: float):
         self.most, self.window = most, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getListState("accepted", T.StructType([T.StructField("t", T.DoubleType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        recent = [r[0] for r in self.accepted.get()]
-        flags = []
-        for now in _times(frame["ts"]):
-            recent, ok = admit(recent, now, self.most, self.window)
-            flags.append(ok)
-        self.accepted.put([(t,) for t in recent])  # never empty: a lone request is accepted
-        yield pd.DataFrame({"key": key[0], "event_id": frame["event_id"], "ts": frame["ts"], "accepted": flags})
+        self.accepted = handle.getValueState("accepted", T.StructType([T.StructField("t", T.ArrayType(T.DoubleType()))]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state = self.accepted.get()
+        recent = list(state[0]) if state else []
+        for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+            recent, ok = admit(recent, _seconds(r.ts), self.most, self.window)
+            yield Row(key=key[0], event_id=r.event_id, ts=r.ts, accepted=ok)
+        self.accepted.update((recent,))
 
     def close(self) -> None:
         pass
@@ -69,7 +79,7 @@ class RateLimiter(StatefulProcessor):
 
 def rate_limit(requests: DataFrame, most: int, window: float) -> DataFrame:
     """Accept or reject each request of a stream (key, event_id, ts); only accepted ones count."""
-    return requests.groupBy("key").transformWithStateInPandas(
+    return requests.groupBy("key").transformWithState(
         statefulProcessor=RateLimiter(most, window), outputStructType=LIMIT_OUT, outputMode="append", timeMode="None")
 
 
@@ -111,16 +121,12 @@ class Lockout(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.value = handle.getValueState("lock", T.StructType([T.StructField("failures", T.IntegerType()), T.StructField("locked", T.DoubleType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         failures, locked = self.value.get() or (0, 0.0)
-        seen = []
-        for now, ok, most in zip(_times(frame["ts"]), frame["ok"], frame["most"]):
-            failures, locked, outcome = attempt(failures, locked, now, bool(ok), int(most), self.seconds)
-            seen.append((outcome, failures, _stamp(locked)))
+        for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+            failures, locked, outcome = attempt(failures, locked, _seconds(r.ts), r.ok, r.most, self.seconds)
+            yield Row(key=key[0], event_id=r.event_id, ts=r.ts, outcome=outcome, failures=failures, locked_until=_moment(locked))
         self.value.update((failures, locked))
-        yield pd.DataFrame({"key": key[0], "event_id": frame["event_id"].values, "ts": frame["ts"].values, "outcome": [s[0] for s in seen],
-                            "failures": [s[1] for s in seen], "locked_until": pd.Series([s[2] for s in seen], dtype="datetime64[us]")})
 
     def close(self) -> None:
         pass
@@ -134,7 +140,7 @@ def lockout_keys(attempts: DataFrame, user_max: int = 5, ip_max: int = 10) -> Da
 
 
 def login_lockout(keyed: DataFrame, minutes: int = 30) -> DataFrame:
-    return keyed.groupBy("key").transformWithStateInPandas(
+    return keyed.groupBy("key").transformWithState(
         statefulProcessor=Lockout(minutes * 60.0), outputStructType=LOCK_OUT, outputMode="append", timeMode="None")
 
 
@@ -167,35 +173,31 @@ class HungTasks(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("t", T.DoubleType()), T.StructField("active", T.BooleanType())]))
 
-    def _out(self, key, times: list[float]) -> pd.DataFrame:
-        return pd.DataFrame({"task_id": [key[0]] * len(times), "hung_at": pd.Series([_stamp(t) for t in times], dtype="datetime64[us]")})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         before, active = self.last.get() or (0.0, False)
         timed = active
-        hung = []
-        for now, status in zip(_times(frame["ts"]), frame["status"]):
+        for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+            now = _seconds(r.ts)
             if active and now - before > self.seconds:
-                hung.append(before + self.seconds)
-            before, active = now, status in ("pending", "running")
+                yield Row(task_id=key[0], hung_at=_moment(before + self.seconds))
+            before, active = now, r.status in ("pending", "running")
         if timed:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
         if active:
             self.handle.registerTimer(int((before + self.seconds) * 1000))
         self.last.update((before, active))
-        yield self._out(key, hung)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         before, active = self.last.get()
         self.last.update((before, False))
-        yield self._out(key, [before + self.seconds] if active else [])
+        if active:
+            yield Row(task_id=key[0], hung_at=_moment(before + self.seconds))
 
     def close(self) -> None:
         pass
 
 
 def hung_tasks(updates: DataFrame, seconds: int = 3600) -> DataFrame:
-    return (updates.withWatermark("ts", "0 seconds").groupBy("task_id").transformWithStateInPandas(
+    return (updates.withWatermark("ts", "0 seconds").groupBy("task_id").transformWithState(
         statefulProcessor=HungTasks(seconds), outputStructType="task_id long, hung_at timestamp", outputMode="append", timeMode="EventTime"))
