@@ -19,17 +19,40 @@ def _(t):
     return t.documents.select("doc_id", F.posexplode(chunking.chunk_words("text")).alias("chunk_index", "text"))
 
 
-@query("vec_chunk_chars")
+view("v_char_chunks", """
+WITH f AS (SELECT doc_id, w, list_reduce(list_transform(w, lambda x: {'s': length(x) + 1, 'c': []::BIGINT[]}), lambda a, x, i:
+    CASE WHEN a.s + x.s >= 500 THEN {'s': 0::BIGINT, 'c': list_append(a.c, i)} ELSE {'s': a.s + x.s, 'c': a.c} END, {'s': 0::BIGINT, 'c': [0]::BIGINT[]}).c AS c
+  FROM v_word_lists WHERE len(w) > 0),
+g AS (SELECT doc_id, w, list_filter(c, lambda x: x < len(w)) AS c FROM f),
+h AS (SELECT doc_id, w, c, unnest(range(0, len(c))) AS k FROM g),
+t AS (SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, array_to_string(w[c[k + 1] + 1 : coalesce(c[k + 2], len(w))], ' ') AS text FROM h)
+SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS position FROM t""")
+
+
+@query("vec_chunk_chars", "SELECT doc_id, chunk_index, text, position FROM v_char_chunks")
 def _(t):
     return chunking.chunk_chars(t.documents)
 
 
-@query("vec_chunk_headings")
+@query("vec_chunk_headings", r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM v_md),
+f AS (SELECT doc_id, ls, list_reduce(list_transform(ls, lambda x: {'s': length(x) + 1, 'h': regexp_matches(x, '^#{1,3}\s'), 'c': []::BIGINT[]}), lambda a, x, i:
+    CASE WHEN a.s + x.s >= 800 AND x.h AND i - 1 > a.c[-1] THEN {'s': x.s, 'h': x.h, 'c': list_append(a.c, i - 1)} ELSE {'s': a.s + x.s, 'h': x.h, 'c': a.c} END,
+    {'s': 0::BIGINT, 'h': false, 'c': [0]::BIGINT[]}).c AS c FROM l),
+h AS (SELECT doc_id, ls, c, unnest(range(0, len(c))) AS k FROM f)
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, array_to_string(ls[c[k + 1] + 1 : coalesce(c[k + 2], len(ls))], chr(10)) AS text FROM h""")
 def _(t):
     return chunking.chunk_headings(t.markdown)
 
 
-@query("vec_chunk_breaks")
+@query("vec_chunk_breaks", r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM v_md),
+f AS (SELECT doc_id, ls, list_reduce(list_transform(ls, lambda x: {'s': length(x) + 1, 'h': regexp_matches(x, '^#{1,4}\s|^\s*$'), 'c': []::BIGINT[]}), lambda a, x, i:
+    CASE WHEN a.s + x.s >= 4000 AND x.h THEN {'s': 0::BIGINT, 'h': x.h, 'c': list_append(a.c, i)} ELSE {'s': a.s + x.s, 'h': x.h, 'c': a.c} END,
+    {'s': 0::BIGINT, 'h': false, 'c': [0]::BIGINT[]}).c AS c FROM l),
+h AS (SELECT doc_id, ls, list_filter(c, lambda x: x < len(ls)) AS c FROM f), u AS (SELECT doc_id, ls, c, unnest(range(0, len(c))) AS k FROM h),
+t AS (SELECT doc_id, k, regexp_replace(array_to_string(ls[c[k + 1] + 1 : coalesce(c[k + 2], len(ls))], chr(10)), '^\s+|\s+$', '', 'g') AS text FROM u)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, text FROM t WHERE text <> ''""")
 def _(t):
     return chunking.chunk_breaks(t.markdown)
 
@@ -49,9 +72,28 @@ def _(t):
     return t.markdown.select("doc_id", cleaning.strip_images("text").alias("text"))
 
 
-@query("vec_embed_batch")
+def vectors(source: str) -> str:
+    """SQL of the default encoder over (id, text) rows: signed digests of words, unit length, single precision."""
+    return rf"""
+SELECT i.id, list(coalesce(CAST(CAST(s.x / n.n AS FLOAT) AS DOUBLE), 0.0::DOUBLE) ORDER BY d.d) AS v FROM (SELECT DISTINCT id FROM {source}) i
+CROSS JOIN (SELECT unnest(range(64)) AS d) d
+LEFT JOIN (SELECT id, m, sum(g)::DOUBLE AS x FROM (SELECT id, CAST('0x' || substr(h, 1, 8) AS UBIGINT) % 64 AS m, 1 - 2 * (CAST('0x' || substr(h, 9, 2) AS UBIGINT) % 2)::INT AS g
+   FROM (SELECT id, md5(unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))) AS h FROM {source})) GROUP BY 1, 2) s ON s.id = i.id AND s.m = d.d
+LEFT JOIN (SELECT id, sqrt(sum(x * x)) AS n FROM (SELECT id, m, sum(g)::DOUBLE AS x FROM (SELECT id, CAST('0x' || substr(h, 1, 8) AS UBIGINT) % 64 AS m,
+   1 - 2 * (CAST('0x' || substr(h, 9, 2) AS UBIGINT) % 2)::INT AS g FROM (SELECT id, md5(unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))) AS h FROM {source})) GROUP BY 1, 2)
+   GROUP BY 1) n ON n.id = i.id AND n.n > 0 GROUP BY 1""".replace("\\\\", "\\")
+
+
+COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"
+view("v_doc_texts", "SELECT doc_id AS id, text FROM documents")
+view("v_doc_vec", vectors("v_doc_texts"))
+
+
+@query("vec_embed_batch", """
+SELECT id AS doc_id, CAST(d AS INTEGER) AS dim, round_even(v[d + 1], 5) AS value FROM (SELECT id, v, unnest(range(64)) AS d FROM v_doc_vec) WHERE v[d + 1] <> 0""")
 def _(t):
-    return V.embed(t.documents.select("doc_id", "text"), "text").drop("text")
+    vecs = V.embed(t.documents.select("doc_id", "text"), "text").select("doc_id", F.posexplode("embedding").alias("dim", "x"))
+    return vecs.filter("x <> 0").select("doc_id", "dim", F.bround(F.col("x").cast("double"), 5).alias("value"))
 
 
 @query("vec_embed_corpus")
@@ -131,17 +173,51 @@ def _(t):
             .select(F.col("chunk_index").alias("vec_id"), F.col("resource_id").cast("int").alias("label")))
 
 
-@query("vec_search_text")
+view("v_wide_chunks", """
+SELECT doc_id, i / 450 AS chunk_index, array_to_string(w[i + 1 : i + 500], ' ') AS text FROM (SELECT doc_id, w, unnest(range(0, len(w), 450)) AS i FROM v_word_lists)""")
+view("v_chunk_texts", "SELECT doc_id || '-' || CAST(chunk_index AS BIGINT) AS id, text FROM v_wide_chunks")
+view("v_chunk_vec", vectors("v_chunk_texts"))
+view("v_query_texts", "SELECT item_id AS id, text FROM benchmark")
+view("v_query_vec", vectors("v_query_texts"))
+
+
+@query("vec_search_text", f"""
+WITH c AS (SELECT w.doc_id, CAST(w.chunk_index AS INTEGER) AS k, md5(w.text) AS digest, v FROM v_wide_chunks w JOIN v_chunk_vec x ON x.id = w.doc_id || '-' || CAST(w.chunk_index AS BIGINT)),
+f AS (SELECT digest, min(doc_id) AS resource_id FROM c GROUP BY 1),
+s AS (SELECT q.id AS query_id, c.*, round_even(coalesce({COS.format('q.v', 'c.v')}, 0), 9) AS score FROM v_query_vec q, c),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, k, digest) AS INTEGER) AS rank FROM s QUALIFY rank <= 5)
+SELECT query_id, f.resource_id, digest, round_even(score, 6) AS score, rank FROM r JOIN f USING (digest)""")
 def _(t):
-    return retrieval.search_texts(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+    hits = retrieval.search_texts(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+    return hits.withColumn("score", F.bround("score", 6))
+
 
+view("v_head_texts", "SELECT doc_id AS id, array_to_string(w[1:500], ' ') AS text FROM v_word_lists WHERE len(w) > 0")
+view("v_head_vec", vectors("v_head_texts"))
+view("v_start_texts", "SELECT doc_id AS id, substr(text, 1, 1000) AS text FROM documents")
+view("v_start_vec", vectors("v_start_texts"))
 
-@query("vec_similar_docs")
+
+@query("vec_similar_docs", f"""
+WITH d AS (SELECT doc_id, source FROM documents), p AS (SELECT a.doc_id, b.doc_id AS similar_id FROM d a JOIN d b ON a.source = b.source AND a.doc_id <> b.doc_id),
+s AS (SELECT p.*, round_even(coalesce({COS.format('q.v', 'c.v')}, 0), 9) AS score FROM p JOIN v_head_vec q ON q.id = p.doc_id JOIN v_start_vec c ON c.id = p.similar_id
+   JOIN v_head_vec n ON n.id = p.similar_id)
+SELECT doc_id, similar_id, round_even(score, 6) AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, similar_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
 def _(t):
-    return retrieval.similar_documents(t.documents.select("doc_id", F.col("source").alias("owner"), "text"))
+    near_docs = retrieval.similar_documents(t.documents.select("doc_id", F.col("source").alias("owner"), "text"))
+    return near_docs.withColumn("score", F.bround("score", 6))
+
+
+view("v_snip_texts", "SELECT doc_id || '-' || chunk_index AS id, text FROM v_char_chunks")
+view("v_snip_vec", vectors("v_snip_texts"))
+view("v_ask_texts", "SELECT 0 AS id, 'the retention of entire nations' AS text")
+view("v_ask_vec", vectors("v_ask_texts"))
 
 
-@query("vec_snippets")
+@query("vec_snippets", """
+WITH s AS (SELECT c.doc_id, c.chunk_index, c.text, c.position, round_even(list_dot_product(q.v, x.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(x.v, x.v)) + 1e-9) * 100, 1) AS score
+  FROM v_char_chunks c JOIN v_snip_vec x ON x.id = c.doc_id || '-' || c.chunk_index, v_ask_vec q)
+SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_index) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
 def _(t):
     return retrieval.snippets(t.documents, "the retention of entire nations")
 

@@ -372,3 +372,13 @@ def test_lockout_stream_equals_batch(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     batch = {(r.key, r.event_id, r.outcome, r.failures) for r in S.login_lockout_batch(S.lockout_keys(attempts(events)), 60 * 24).collect()}
     assert stream == batch and {o for _, _, o, _ in stream} == {"locked", "failure", "success"}
+
+
+def test_jdbc_reads_in_ranges(spark):
+    from scholia.sources.readers import jdbc
+    url, options = "jdbc:derby:memory:scholia;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.range(100).select(F.col("id").cast("int").alias("ID"), (F.col("id") * 2).cast("int").alias("V"))
+    df.write.jdbc(url, "numbers", mode="overwrite", properties=options)
+    back = jdbc(spark, url, "numbers", "ID", 0, 100, 4, **options)
+    assert back.rdd.getNumPartitions() == 4
+    assert back.filter("ID < 10").agg(F.sum("V")).collect()[0][0] == 90
