@@ -103,13 +103,19 @@ def topk_blocks(queries: DataFrame, items: DataFrame, k: int, order: list[str],
     # Fresh aliases: both sides may come from the same table.
     fresh = lambda df, cols: df.select(own.alias(g), *[F.col(c).alias(c) for c in cols])
     queries, items = fresh(queries, ["query_id", "embedding"]), fresh(items, [*order, "embedding"])
-    blocks = lambda df, name: df.groupBy(g).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    sizes = blocks(queries, "_nq").join(blocks(items, "_ni"), g)
+    count = F.ceil(F.count("*") / block).cast("int")
+    if group:
+        sizes = queries.groupBy(g).agg(count.alias("_nq")).join(items.groupBy(g).agg(count.alias("_ni")), g)
+        sized = lambda df: df.join(sizes, g)
+    else:
+        at_least_one = F.greatest(count, F.lit(1))
+        nq, ni = queries.agg(at_least_one).scalar(), items.agg(at_least_one).scalar()
+        sized = lambda df: df.withColumn("_nq", nq).withColumn("_ni", ni)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = (queries.join(sizes, g)
-         .withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int")).withColumn("_ib", spread("_ni")).drop("_nq", "_ni"))
-    i = (items.join(sizes, g)
-         .withColumn("_ib", F.pmod(F.xxhash64(*order), F.col("_ni")).cast("int")).withColumn("_qb", spread("_nq")).drop("_nq", "_ni"))
+    q = (sized(queries).withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int"))
+         .withColumn("_ib", spread("_ni")).drop("_nq", "_ni"))
+    i = (sized(items).withColumn("_ib", F.pmod(F.xxhash64(*order), F.col("_ni")).cast("int"))
+         .withColumn("_qb", spread("_nq")).drop("_nq", "_ni"))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = ["query_id", *order, "score"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.ordered import latest, top_per_key
-from scholia.functions.text import any_of, joined, let, lines, strip
+from scholia.functions.ordered import add_rank, latest, top_per_key
+from scholia.functions.text import any_of, field, let, lines, strip, unroll
 from scholia.operators.cleaning import FIGURE_REFS
 
 # Limits of the picture rules.
@@ -51,47 +51,47 @@ def image_classify(images: DataFrame, skip: DataFrame, patterns: list[tuple[floa
             .select("image_id", out.otherwise(F.col("_v")).alias("_o")).select("image_id", "_o.*"))
 
 
+LAST = 2147483647
+
+
 def image_place(docs: DataFrame, images: DataFrame) -> DataFrame:
-    """Markdown with each page's images after its figure references, the rest at the page's end.
+    """Lines of each document with its images in place, as rows in the order (pos, page, rank).
 
-    The n-th reference on a page takes the n-th image of that page. Images of a document are only
-    short references, gathered per page; the lines never leave the document's row.
+    The n-th figure reference on a page takes the n-th image of that page, what is left goes to the page's
+    first end, and images of pages that never end or never come to the end of the document. So an image
+    stands at the smaller of two positions found by joins, and no document's images are gathered. A page is
+    taken to come once.
     """
     mark = r"^(?:<!--\s*Page\s+(\d+)\s*-->|\[Page\s+(\d+)\])"
-    refs = images.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("image_id", "ref"))).alias("list"))
-    per_doc = refs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", F.transform("list", lambda r: r["ref"]).alias("refs")))).alias("_im"))
-
-    def weave(ls: Column, im: Column) -> Column:
-        text = "array<string>"
-        kept = "array<struct<page:int,refs:array<string>>>"
-        def images_of(page: Column) -> Column:
-            return F.coalesce(F.get(F.filter(im, lambda p: p["page"] == page), F.lit(0))["refs"], F.array().cast(text))
-        def remaining(a: Column) -> Column:
-            return F.array(F.struct(a["page"].alias("page"), F.slice(images_of(a["page"]), a["used"] + 1, F.lit(1_000_000)).alias("refs"))).cast(kept)
-        state = F.struct(F.lit(0).alias("page"), F.lit(0).alias("used"), F.array(F.lit(0)).alias("met"), F.array().cast(kept).alias("left"),
-                         F.array().cast(text).alias("out"))
+    row = "array<struct<page:int,ref:int,ends:boolean>>"
+
+    def places(ls: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("page"), F.lit(0).alias("refs"), F.array().cast(row).alias("out"))
+        def facts(x: Column, i: Column) -> Column:
+            """What the fold needs of a line, worked out once."""
+            number = F.coalesce(F.regexp_extract(x, mark, 1).try_cast("int"), F.regexp_extract(x, mark, 2).try_cast("int"))
+            nxt = F.get(ls, i + 1)
+            ends = nxt.isNull() | nxt.rlike(r"^<!--\s*Page\s+\d+\s*-->") | ((strip(x) == "") & nxt.startswith("# "))
+            return F.struct(number.alias("number"), any_of(F.lower(x), FIGURE_REFS).cast("int").alias("ref"), ends.alias("ends"))
         def add(a: Column, p: Column) -> Column:
-            line, nxt = p["x"], p["n"]
-            number = F.coalesce(F.nullif(F.regexp_extract(line, mark, 1), F.lit("")), F.nullif(F.regexp_extract(line, mark, 2), F.lit(""))).cast("int")
-            turn = number.isNotNull()
-            page, used = F.coalesce(number, a["page"]), F.when(turn, 0).otherwise(a["used"])
-            def emit(all_refs: Column) -> Column:
-                wants = any_of(F.lower(line), FIGURE_REFS) & (used < F.size(all_refs))
-                one = F.when(wants, F.slice(all_refs, used + 1, F.lit(1))).otherwise(F.array().cast(text))
-                after = used + F.size(one)
-                ends = (p["e"] | nxt.rlike(r"^<!--\s*Page\s+\d+\s*-->") | ((strip(line) == "") & nxt.startswith("# "))) & (page > 0)
-                rest = F.when(ends, F.slice(all_refs, after + 1, F.size(all_refs) + 1)).otherwise(F.array().cast(text))
-                return F.struct(page.alias("page"), (after + F.size(rest)).alias("used"),
-                                F.when(turn, F.concat(a["met"], F.array(page))).otherwise(a["met"]).alias("met"),
-                                F.when(turn, F.concat(a["left"], remaining(a))).otherwise(a["left"]).alias("left"),
-                                F.concat(a["out"], F.array(line), one, rest).alias("out"))
-            return let(images_of(page), emit)
-        def close(a: Column) -> Column:
-            unmet = F.filter(im, lambda p: ~F.array_contains(a["met"], p["page"]))
-            return F.concat(a["out"], F.flatten(F.transform(F.array_sort(F.concat(a["left"], remaining(a), unmet)), lambda p: p["refs"])))
-        steps = F.transform(ls, lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get(ls, i + 1), F.lit("")).alias("n"), (i + 1 == F.size(ls)).alias("e")))
-        return joined(F.aggregate(steps, state, add, close))
-
-    empty = F.array().cast("array<struct<page:int,refs:array<string>>>")
-    together = docs.join(per_doc, "doc_id", "left").withColumn("_im", F.coalesce("_im", empty))
-    return together.select("doc_id", let(lines("text"), lambda ls: let(F.col("_im"), lambda im: weave(ls, im))).alias("markdown"))
+            page = F.coalesce(p["number"], a["page"])
+            refs = F.when(p["number"].isNotNull(), 0).otherwise(a["refs"]) + p["ref"]
+            one = F.struct(page.alias("page"), F.when(p["ref"] > 0, refs).alias("ref"), (p["ends"] & (page > 0)).alias("ends"))
+            return F.struct(page.alias("page"), refs.alias("refs"), F.concat(a["out"], F.array(one)).cast(row).alias("out"))
+        steps = F.transform(ls, facts)
+        return F.aggregate(steps, zero, add, lambda a: a["out"])
+
+    def numbered(ls: Column) -> Column:
+        return F.zip_with(ls, places(ls), lambda x, p: F.struct(x.alias("line"), p["page"].alias("page"), p["ref"].alias("ref"), p["ends"].alias("ends")))
+
+    wanted = {n: field(n) for n in ("line", "page", "ref", "ends")}
+    text = unroll(docs, ["doc_id"], let(lines("text"), numbered), "pos", wanted)
+    refs = text.filter("ref is not null").groupBy("doc_id", "page", "ref").agg(F.min("pos").alias("at_ref"))
+    ends = text.filter("ends").groupBy("doc_id", "page").agg(F.min("pos").alias("at_end"))
+    ranked = add_rank(images.select("doc_id", "page", "image_id", F.col("ref").alias("link")), ["doc_id", "page"], [F.col("image_id")], "rank")
+    placed = (ranked.join(docs.select("doc_id"), "doc_id", "left_semi")
+              .join(refs.withColumn("rank", F.col("ref").cast("long")).drop("ref"), ["doc_id", "page", "rank"], "left")
+              .join(ends, ["doc_id", "page"], "left"))
+    at = F.coalesce(F.least("at_ref", "at_end"), F.lit(LAST))
+    return (text.select("doc_id", "pos", F.lit(0).alias("page"), F.lit(0).cast("long").alias("rank"), F.col("line").alias("markdown"))
+            .unionByName(placed.select("doc_id", at.alias("pos"), "page", "rank", F.col("link").alias("markdown"))))

@@ -94,10 +94,10 @@ def lookup_or_default(users: DataFrame, tiers: DataFrame, default: str = "free")
     """Tier row of each user, else the default tier's row."""
     cols = [c for c in tiers.columns if c != "tier"]
     own = tiers.withColumn("_hit", F.lit(True))
-    fallback = tiers.filter(F.col("tier") == default).limit(1).select(*[F.col(c).alias(f"_{c}") for c in cols])
-    joined = users.select("user_id", "tier").join(own, "tier", "left").join(F.broadcast(fallback), F.lit(True), "left")  # one row
-    pick = [F.when(F.col("_hit").isNotNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in cols]
-    return joined.select("user_id", F.when(F.col("_hit").isNotNull(), F.col("tier")).otherwise(default).alias("tier"), *pick)
+    fallback = tiers.filter(F.col("tier") == default).limit(1)
+    pick = [F.when(F.col("_hit").isNotNull(), F.col(c)).otherwise(fallback.select(c).scalar()).alias(c) for c in cols]
+    return (users.select("user_id", "tier").join(own, "tier", "left")
+            .select("user_id", F.when(F.col("_hit").isNotNull(), F.col("tier")).otherwise(default).alias("tier"), *pick))
 
 
 def invite_acceptors(invites: DataFrame, users: DataFrame) -> DataFrame:

@@ -181,9 +181,8 @@ def split_pairs(pairs: DataFrame, seed: str, frac: float = 0.9) -> DataFrame:
     The digest order is numbered over many tasks; the count is one row.
     """
     keyed = pairs.select("id", F.md5(F.concat(F.col("id").cast("string"), F.lit(seed))).alias("_k"))
-    n = keyed.agg(F.floor(F.count("*") * F.lit(frac)).alias("_cut"))
-    return (add_rank(keyed, [], [F.col("_k"), F.col("id")], "_n").join(F.broadcast(n), F.lit(True))
-            .select("id", F.when(F.col("_n") <= F.col("_cut"), "train").otherwise("valid").alias("split")))
+    cut = keyed.agg(F.floor(F.count("*") * F.lit(frac))).scalar()
+    return add_rank(keyed, [], [F.col("_k"), F.col("id")], "_n").select("id", F.when(F.col("_n") <= cut, "train").otherwise("valid").alias("split"))
 
 
 def pending(resources: DataFrame, existing: DataFrame, limit: int = 200) -> DataFrame:

@@ -130,9 +130,8 @@ def request_metrics(requests: DataFrame, top: int = 20) -> DataFrame:
 
 def correction_types(corrections: DataFrame) -> DataFrame:
     counts = corrections.groupBy(F.coalesce("type", F.lit("unknown")).alias("type")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_t"))  # one row
-    return (counts.join(F.broadcast(total), F.lit(True)).select("type", "n", (F.col("n") / F.col("_t") * 100).alias("pct"))
-            .orderBy(F.col("n").desc(), "type"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("type", "n", (F.col("n") / total * 100).alias("pct")).orderBy(F.col("n").desc(), "type")
 
 
 # Words that reveal where a corrected text came from; the first rule that fits wins.

@@ -227,7 +227,13 @@ def _(t):
     return I.image_classify(t.images, skip, [(160.0, 200.0, 0.6)])
 
 
-@query("blk_image_place")
+@query("blk_image_place", """
+WITH l AS (SELECT doc_id, pos, total, CASE pos % 6 WHEN 0 THEN '<!-- Page ' || (pos // 6 + 1) || ' -->' WHEN 2 THEN 'see figure 3 ' || line ELSE line END AS line FROM v_doc_lines),
+t AS (SELECT doc_id, max(total) AS total FROM l GROUP BY 1),
+r AS (SELECT i.doc_id, i.page, row_number() OVER (PARTITION BY i.doc_id, i.page ORDER BY image_id) AS rank, '![img](' || image_id || '.png)' AS link, total FROM v_images i JOIN t USING (doc_id))
+SELECT doc_id, pos, 0 AS page, 0::BIGINT AS rank, line AS markdown FROM l
+UNION ALL SELECT doc_id, CAST(coalesce(least(CASE WHEN rank = 1 AND (page - 1) * 6 + 2 < total THEN (page - 1) * 6 + 2 END, CASE WHEN (page - 1) * 6 < total THEN least(page * 6, total) - 1 END), 2147483647) AS INTEGER),
+  page, rank, link FROM r""")
 def _(t):
     def shape(x, i):
         m = F.pmod(i, F.lit(6))
