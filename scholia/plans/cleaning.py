@@ -131,7 +131,14 @@ def _(t):
     return rewritten(t.scans, C.bullets("text"))
 
 
-@query("txt_punct_spacing")
+def twice(x: str, pattern: str, new: str) -> str:
+    """A look-behind said without one: its character is matched too, so neighbours need a second pass."""
+    return f"regexp_replace(regexp_replace({x}, '{pattern}', '{new}', 'g'), '{pattern}', '{new}', 'g')"
+
+
+@query("txt_punct_spacing", f"""
+SELECT doc_id, {twice(twice("regexp_replace(text, '([,.]) ', '\\1', 'g')", "(^|[^A-Z])([,;:!])([A-Za-zÀ-ž])", "\\1\\2 \\3"),
+                      "(^|[^A-Z0-9.])([.])([A-ZÀ-ž][a-z])", "\\1\\2 \\3")} AS text FROM documents""")
 def _(t):
     glued = t.documents.select("doc_id", F.regexp_replace("text", r"([,.]) ", "$1").alias("text"))
     return rewritten(glued, C.punctuation_spacing("text"))
@@ -391,7 +398,8 @@ def _(t):
     return rewritten(t.slides, R.slide_headings("text"))
 
 
-@query("txt_dup_fences")
+@query("txt_dup_fences", """
+SELECT doc_id, 'intro' || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || 'end' AS text FROM documents""")
 def _(t):
     """Every fenced line group of the fixture is written twice, so half of the blocks must go."""
     block = F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```\n"))
@@ -405,7 +413,10 @@ def _(t):
     return rewritten(t._marked(shape), R.table_overlap("text"))
 
 
-@query("txt_final_answer")
+@query("txt_final_answer", rf"""
+SELECT conv_id AS conversation_id, turn, CASE turn % 6 WHEN 0 THEN 'yes'
+  WHEN 4 THEN CASE WHEN len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 25 AND regexp_matches(trim(x), '^\p{{Lu}}') AND NOT ends_with(trim(x), ':'))) > 0
+    THEN {st("text")} ELSE {st("'Wait, let me see' || chr(10) || text")} END ELSE {st("text")} END AS answer FROM conversations""".replace("\\\\", "\\"))
 def _(t):
     m, body = F.pmod("turn", F.lit(6)), F.col("text")
     around = lambda before, after="": F.concat(F.lit(before), body, F.lit(after))
