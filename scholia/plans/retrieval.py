@@ -84,7 +84,8 @@ LEFT JOIN (SELECT id, sqrt(sum(x * x)) AS n FROM (SELECT id, m, sum(g)::DOUBLE A
    GROUP BY 1) n ON n.id = i.id AND n.n > 0 GROUP BY 1""".replace("\\\\", "\\")
 
 
-COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"
+COS = ("CASE WHEN list_dot_product({0}, {0}) > 0 AND list_dot_product({1}, {1}) > 0 THEN "
+       "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1}))) ELSE 0 END")
 view("v_doc_texts", "SELECT doc_id AS id, text FROM documents")
 view("v_doc_vec", vectors("v_doc_texts"))
 
