@@ -187,10 +187,9 @@ WITH c AS (SELECT w.doc_id, CAST(w.chunk_index AS INTEGER) AS k, md5(w.text) AS
 f AS (SELECT digest, min(doc_id) AS resource_id FROM c GROUP BY 1),
 s AS (SELECT q.id AS query_id, c.*, round_even(coalesce({COS.format('q.v', 'c.v')}, 0), 9) AS score FROM v_query_vec q, c),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, k, digest) AS INTEGER) AS rank FROM s QUALIFY rank <= 5)
-SELECT query_id, f.resource_id, digest, round_even(score, 6) AS score, rank FROM r JOIN f USING (digest)""")
+SELECT query_id, f.resource_id, digest, score, rank FROM r JOIN f USING (digest)""")
 def _(t):
-    hits = retrieval.search_texts(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
-    return hits.withColumn("score", F.bround("score", 6))
+    return retrieval.search_texts(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
 view("v_head_texts", "SELECT doc_id AS id, array_to_string(w[1:500], ' ') AS text FROM v_word_lists WHERE len(w) > 0")
@@ -203,10 +202,9 @@ view("v_start_vec", vectors("v_start_texts"))
 WITH d AS (SELECT doc_id, source FROM documents), p AS (SELECT a.doc_id, b.doc_id AS similar_id FROM d a JOIN d b ON a.source = b.source AND a.doc_id <> b.doc_id),
 s AS (SELECT p.*, round_even(coalesce({COS.format('q.v', 'c.v')}, 0), 9) AS score FROM p JOIN v_head_vec q ON q.id = p.doc_id JOIN v_start_vec c ON c.id = p.similar_id
    JOIN v_head_vec n ON n.id = p.similar_id)
-SELECT doc_id, similar_id, round_even(score, 6) AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, similar_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+SELECT doc_id, similar_id, score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, similar_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
 def _(t):
-    near_docs = retrieval.similar_documents(t.documents.select("doc_id", F.col("source").alias("owner"), "text"))
-    return near_docs.withColumn("score", F.bround("score", 6))
+    return retrieval.similar_documents(t.documents.select("doc_id", F.col("source").alias("owner"), "text"))
 
 
 view("v_snip_texts", "SELECT doc_id || '-' || chunk_index AS id, text FROM v_char_chunks")
