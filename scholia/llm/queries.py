@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import bpe, lengths, neardup
+from scholia.llm import bpe, decontaminate, lengths, neardup, secret_scan
 from scholia.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -31,3 +31,14 @@ def bpe_round_trip(spark, sf_dir):
 @query("op9_near_duplicates")
 def near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("rid")
+
+
+@query("op2_decontamination")
+def decontamination(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_secret_scan")
+def secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(docs))
