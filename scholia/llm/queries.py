@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import bpe, decontaminate, lengths, neardup, secret_scan
+from scholia.llm import bpe, decontaminate, lengths, neardup, secret_scan, toxicity
 from scholia.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -42,3 +42,9 @@ def decontamination(spark, sf_dir):
 def secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return secret_scan.scan(docs, secret_scan.train(docs))
+
+
+@query("op10_toxicity")
+def toxic_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
