@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import bpe, decontaminate, lengths, neardup, secret_scan, toxicity
+from scholia.llm import bpe, decontaminate, fingerprint, lengths, neardup, secret_scan, toxicity
 from scholia.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -48,3 +48,9 @@ def secrets(spark, sf_dir):
 def toxic_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op1_fingerprints")
+def edited_fingerprints(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return fingerprint.edited_fingerprints(docs, fingerprint.lexicon(docs))
