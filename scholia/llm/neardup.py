@@ -6,9 +6,10 @@ independent hashes. Levels are visited for all elements of a block of documents
 still change. Bands of the signature give candidates; candidates are confirmed on the full sets; union-find over the
 confirmed links gives the groups.
 
-Scale: equal sets are one node, so copies never meet each other. A bucket is never paired with itself: its members are
-compared with one elected member per round, rounds go on until they find nothing new, and only then are members of different groups
-in one bucket compared. Inside a group links need no further proof. Candidates, links and labels stay in Spark.
+Scale: equal sets are one node, so copies never meet each other. A bucket is never paired with itself: in two rounds its members are
+compared with one elected member, and links inside a group need no further proof. What is left are sets in buckets that still hold several groups;
+links between those are found exactly, by the rarest items of each set, so that a template or passage of many texts
+makes no pairs. Candidates, links and labels stay in Spark.
 """
 
 from __future__ import annotations
@@ -200,6 +201,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").filter(100 * both >= percent * union).select("u", "v")
 
 
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """u > v: all pairs of different ``comp`` that may be linked, from node, comp, n, items; exact.
+
+    Sets that are alike enough share an item among the first n - ceil(percent/100 n) + 1 of both, in any order that is the same for all.
+    Here the rarest items come first, so a passage that many texts share leads to no pairs between texts that differ otherwise.
+    """
+    each = sets.select("node", F.explode("items").alias("item"))
+    shared = each.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1")
+    # Items of one text only come first of all; they lead to nobody but take up places.
+    held = each.join(shared, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("held"))
+    room = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - (F.col("n") - F.size("held"))
+    first = (held.join(sets.select("node", "comp", "n"), "node").filter(room > 0)
+             .select("node", "comp", "n", F.explode(F.slice("held", F.lit(1), room.cast("int"))).alias("h")).select("node", "comp", "n", F.col("h.item").alias("item")))
+    other = first.select(F.col("node").alias("other"), F.col("comp").alias("rcomp"), F.col("n").alias("m"), F.col("item").alias("ritem"))
+    pairs = first.join(other, (F.col("item") == F.col("ritem")) & (F.col("comp") < F.col("rcomp")) & close(F.col("n"), F.col("m"), percent))
+    return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+
+
+def close(a, b, percent: int):
+    """Sets of these sizes can be alike enough."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and rid for every row of ``docs`` (doc_id, text; more columns are ignored).
 
@@ -218,38 +242,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "digest", F.col("top.doc_id").alias("doc_id"))
     sets = cut_lineage(shingle_sets(docs, wanted, k))
 
-    near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     links = tested = comp = None
-    step = 0
-    while True:
+    for step in range(3):
         labelled = members.withColumn("comp", F.col("node")) if comp is None else (
             members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
         if step:  # buckets that hold one group only are settled
             open_ = labelled.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("key")
             labelled = labelled.join(open_, "key")
-        last = step == 2
-        if not last:
-            draw = F.struct((F.col("node") if not step else F.xxhash64(F.col("node"), F.lit(step))).alias("h"), F.col("node"), F.col("n"), F.col("comp"))
+        if step < 2:
+            draw = F.struct((F.col("node") if not step else F.xxhash64(F.col("node"))).alias("h"), F.col("node"), F.col("n"), F.col("comp"))
             heads = labelled.groupBy("key").agg(F.min(draw).alias("head")).select("key", "head")
-            pairs = (labelled.join(heads, "key").filter(F.col("comp") != F.col("head.comp"))
-                     .filter(near(F.col("n"), F.col("head.n"))).select("node", F.col("head.node").alias("other")))
+            pairs = (labelled.join(heads, "key").filter(F.col("comp") != F.col("head.comp")).filter(close(F.col("n"), F.col("head.n"), percent))
+                     .select("node", F.col("head.node").alias("other")))
+            pairs = pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
         else:
-            right = labelled.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("comp").alias("rcomp"))
-            pairs = (labelled.join(right, (labelled["key"] == right["key"]) & (F.col("comp") < F.col("rcomp")) & near(F.col("n"), F.col("m")))
-                     .select("node", "other"))
-        pairs = pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+            unsettled = cut_lineage(labelled.select("node", "comp", "n").distinct().join(sets, "node"))
+            pairs = prefix_pairs(unsettled, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = cut_lineage(pairs)
         found = cut_lineage(confirmed(pairs, sets, percent))
-        fresh = not found.isEmpty()
-        if fresh:
+        if not found.isEmpty():
             links = found if links is None else links.union(found)
             comp = components(links)
-        if last:
-            break
         tested = pairs if tested is None else tested.union(pairs)
-        step += 1
     tops = nodes.select("node", "digest", "top")
     if comp is not None:
         grouped = tops.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
