@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import bpe, decontaminate, fingerprint, lengths, neardup, secret_scan, toxicity
+from pyspark.sql import functions as F
+
+from scholia.llm import bpe, chat, decontaminate, fingerprint, lengths, neardup, secret_scan, shards, toxicity
 from scholia.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -54,3 +56,17 @@ def toxic_scores(spark, sf_dir):
 def edited_fingerprints(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return fingerprint.edited_fingerprints(docs, fingerprint.lexicon(docs))
+
+
+@query("op4_shards")
+def shard_rows(spark, sf_dir):
+    return shards.assign(table(spark, sf_dir, "documents")).drop("rid")
+
+
+@query("op6_chat")
+def chat_digests(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(chat.formatted(turns.union(more)))
