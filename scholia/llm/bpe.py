@@ -15,11 +15,13 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -270,13 +272,13 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", ranks: str =
     return map_batches(df, run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{text}` binary")
 
 
-def round_trip(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 of every document: encoded, then decoded
-    from the ids, in one pass. Null texts are empty; repeated rows stay."""
+def round_trip(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 of every document, and ``ids`` if asked for: encoded, then
+    decoded from the ids, in one pass. Null texts are empty; repeated rows stay; other columns are ignored."""
     get = shipped(docs, ranks, pattern)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        e, n, ids_sha, sha = get(), [], [], []
+        e, n, ids_sha, sha, kept = get(), [], [], [], []
         with uncollected():
             for t in batch.column(1):
                 parts = e.parts(t.as_py() or "")
@@ -284,10 +286,17 @@ def round_trip(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokeni
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join([x for _, x, _ in parts]).encode()).hexdigest())
                 sha.append(hashlib.sha256(e.decode(ids)).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(sha)],
-                                          names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                if keep_ids:
+                    kept.append(array("i", ids))
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(sha)]
+        if keep_ids:
+            ends = np.cumsum([0, *map(len, kept)], dtype=np.int32)
+            columns.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(kept), np.int32)))
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    names = [c.split()[0] for c in schema.split(", ")]
+    return map_batches(docs.select("doc_id", "text"), run, schema)
 
 
 def token_counts(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

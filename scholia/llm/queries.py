@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, chat, decontaminate, fingerprint, lengths, neardup, secret_scan, shards, toxicity
+from scholia.llm import bpe, chat, decontaminate, fingerprint, lengths, neardup, secret_scan, shards, toxicity, warc
 from scholia.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -70,3 +70,42 @@ def chat_digests(spark, sf_dir):
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat.digests(chat.formatted(turns.union(more)))
+
+
+REVISITS = r"""
+WITH p AS (
+  SELECT page_id, url, md5(coalesce(html, '')) AS m, sha256(coalesce(html, '')) AS sha, strlen(coalesce(html, '')) AS n,
+         instr('0123456789abcdef', substr(md5(coalesce(html, '')), 1, 1)) AS digit, 1700000000 + page_id * 60 AS secs FROM pages
+), u AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)),
+           '^.*@|:(80|443)$', '', 'g'), '^www\.', '') || regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '/+$', '') AS site,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|ref|fbclid|gclid|sessionid|phpsessid)(=|$)'))), '&') AS q FROM p
+), k AS (
+  SELECT *, site || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS key, '"' || m || '"' AS quoted FROM u
+), resp AS (
+  SELECT key, secs::HUGEINT * 1000000000 + page_id * 4 AS ord, page_id * 4 AS response_id, quoted AS etag, secs::VARCHAR AS modified, n, sha FROM k
+), rev AS (
+  SELECT key, (secs + shift)::HUGEINT * 1000000000 + page_id * 4 + i AS ord, page_id * 4 + i AS record_id,
+         CASE digit % 4 WHEN 0 THEN quoted WHEN 1 THEN 'W/' || quoted WHEN 2 THEN '"other"' END AS etag, CASE WHEN digit % 4 = 3 THEN secs::VARCHAR END AS modified
+  FROM k, (VALUES (1, 604800), (2, -1)) AS s(i, shift) WHERE i = 1 OR digit > 12
+), j AS (
+  SELECT rev.*, resp.response_id, resp.etag AS retag, resp.modified AS rmodified, resp.n, resp.sha,
+         CASE WHEN resp.response_id IS NULL THEN 'no_response'
+              WHEN rev.etag IS NOT NULL THEN CASE WHEN regexp_replace(rev.etag, '^W/', '') = resp.etag THEN 'resolved' ELSE 'mismatch' END
+              WHEN rev.modified = resp.modified THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM rev ASOF LEFT JOIN resp ON rev.key = resp.key AND rev.ord > resp.ord
+)
+SELECT record_id, key, outcome, response_id,
+       CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=120; content-length: ' || n || '; content-type: text/html; etag: ' || coalesce(etag, retag)
+         || '; last-modified: ' || coalesce(modified, rmodified) || '; x-seen: again' END AS headers,
+       CASE WHEN outcome = 'resolved' THEN sha END AS payload_sha256, CASE WHEN outcome = 'resolved' THEN n END AS payload_bytes
+FROM j
+"""
+
+
+@query("op7_warc_revisits", REVISITS)
+def warc_revisits(spark, sf_dir):
+    found = warc.resolve(warc.page_records(table(spark, sf_dir, "pages")), ["payload_sha256", "payload_bytes"])
+    told = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "; ")
+    return found.select("record_id", "key", "outcome", "response_id", told.alias("headers"), "payload_sha256", "payload_bytes")
