@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scholia.llm import bpe, decontaminate, neardup, secret_scan, toxicity
 from scholia.llm.common import table
@@ -34,9 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret replaced by a mark and n_chars counted again where that changed a text."""
-    clean = secret_scan.redact(docs.withColumn("_before", F.col("text")), secret_scan.train(docs))
-    n_chars = F.when(F.col("text").eqNullSafe(F.col("_before")), F.col("n_chars")).otherwise(F.char_length("text"))
-    return clean.withColumn("n_chars", n_chars.cast("long")).select(*docs.columns)
+    return secret_scan.redact(docs, secret_scan.train(docs), count="n_chars")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -247,8 +247,8 @@ def shipped(df: DataFrame, ranks: str, pattern: str):
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Adds the token ids of the whole ``text`` (null: empty), without special tokens. Other columns stay as they are."""
-    get = shipped(docs, ranks, pattern)
+    """Adds the token ids of the whole ``text`` (null: empty), without special tokens; a column of that name is replaced, others stay."""
+    get, docs = shipped(docs, ranks, pattern), docs.drop(ids)
     place = docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -261,8 +261,8 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str = R
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Adds the bytes that ``ids`` stand for; null where ``ids`` is null."""
-    get = shipped(df, ranks, pattern)
+    """Adds the bytes that ``ids`` stand for; null where ``ids`` is null. A column of that name is replaced."""
+    get, df = shipped(df, ranks, pattern), df.drop(text)
     place = df.columns.index(ids)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -18,6 +18,7 @@ from scholia.llm.common import ascii_lower
 N = 10
 SMALL = 200_000
 # Everything that is no digit, letter or non-ASCII character; upper case counts as a letter here and is lowered later.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -87,19 +88,25 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """The rows of ``docs`` without a hit. A doc_id of which one row is hit goes with all its rows; rows without id stay unless hit (null ids count as one id)."""
-    bad = hits(docs, items, n).filter("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` without a hit. A doc_id of which one row is hit goes with all its rows; null ids count as one id."""
+    bad = hits(docs, items, n).filter("n_hit > 0").select(F.col("doc_id").alias("bad")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(bad, F.col("row.doc_id").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """``docs`` with the hit words, and what stands between them, taken out of the texts; other texts stay to the letter.
+    """``docs`` with the hit words, and the breaks after them, taken out of the texts; other texts stay to the letter.
 
-    Rows with the same id and text are cut alike.
+    A row is cut as the rows with its id and number of words are: repeated rows are cut alike.
     """
-    found = hits(docs, items, n).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("n_words").alias("_n"), F.col("spans").alias("_spans")).distinct()
-    w, gaps = words_of(F.col("text")), F.split("text", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
-    kept = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["end"])))
-    text = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(kept, lambda i: F.concat(F.get(w, i), F.get(gaps, i + 1))), ""))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.size(w) == F.col("_n")), "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+    found = (hits(docs, items, n).filter("n_hit > 0").groupBy(F.col("doc_id").alias("id"), F.col("n_words").alias("n"))
+             .agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    joined = rows.join(found, F.col("own").eqNullSafe(F.col("id")) & (F.col("size") == F.col("n")), "left")
+    text = F.col("row.text")
+    # The text is gap, word, gap, word, ... gap; words count from 0.
+    w, gaps = words_of(text), F.split(text, WORD, -1)
+    kept = F.filter(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), lambda i: ~F.exists("spans", lambda s: (i >= s["start"]) & (i < s["end"])))
+    cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(kept, lambda i: F.concat(F.get(w, i.cast("int")), F.get(gaps, i.cast("int") + 1))), ""))
+    new = F.when(F.col("spans").isNotNull(), cut).otherwise(text)
+    return joined.select(*[(new if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

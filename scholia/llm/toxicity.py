@@ -89,11 +89,11 @@ class Model:
 
 def fit(bags: list[list[bytes]], toxic: list[int], shares: tuple[float, float]) -> Model:
     """Full-batch Adam on bucket vectors and softmax together. ``shares`` of both classes among all labelled rows set the bias right, as the
-    sample's differ. Without rows of both classes every text gets the share of toxic rows."""
+    sample's differ. Without rows of both classes there is nothing to learn, and every score is 0."""
     y = np.array(toxic, float)
     prior = math.log(shares[1] / shares[0])
     if not bags or y.min() == y.max():
-        return Model(np.zeros(BUCKETS), prior)
+        return Model(np.zeros(BUCKETS), -500.0)
     index = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
     bucket, owner = gram_buckets(list(index))
     per_word = np.bincount(owner, minlength=len(index)).astype(float)
