@@ -16,7 +16,7 @@ import base64
 import gc
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 
 from scholia.llm.common import map_batches
 
-REMEMBERED, PAIRS = 300_000, 1_000_000
+REMEMBERED, PAIRS, HEAD = 300_000, 1_000_000, 6
+#: Below this the letters of all Unicode versions are the same.
+EASY = "\u0250"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -41,9 +43,9 @@ class Vocabulary:
         self.bytes = {r: t for t, r in self.rank.items()}
         self.longest = max(map(len, self.rank))
         # Finds all tokens within a piece, the longest first for each end. Bytes stand as the characters of the same number.
-        self.finder = ahocorasick.Automaton()
+        self.finder = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, r in self.rank.items():
-            self.finder.add_word(token.decode("latin-1"), (r, len(token)))
+            self.finder.add_word(token.decode("latin-1"), r)
         self.finder.make_automaton()
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -52,7 +54,11 @@ class Vocabulary:
             self.parts[r] = pair
             if pair:
                 self.merged[pair] = r
-        self.pairs: dict[int, bool] = {}
+        # Pairs judged so far: for each left token, right ones.
+        self.after: list[dict[int, bool]] = [{} for _ in range(max(self.bytes) + 1)]
+        self.sizes = [len(self.bytes.get(r, b"")) for r in range(len(self.after))]
+        self.decimal = [str(r) for r in range(len(self.after))]
+        self.judged = 0
 
     def _last_merge(self, token: bytes, limit: int) -> tuple[int, int] | None:
         """The two tokens that merges of rank below ``limit`` leave of the token's bytes; None if it can't be reached."""
@@ -68,12 +74,14 @@ class Vocabulary:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the merges of both tokens' bytes end in exactly these two tokens."""
-        key = left << 32 | right
-        known = self.pairs.get(key)
+        known = self.after[left].get(right)
         if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._fits(left, right)
+            if self.judged >= PAIRS:
+                for pairs in self.after:
+                    pairs.clear()
+                self.judged = 0
+            known = self.after[left][right] = self._fits(left, right)
+            self.judged += 1
         return known
 
     def _fits(self, left: int, right: int) -> bool:
@@ -96,9 +104,12 @@ class Vocabulary:
 class Prefixes:
     """The last token of every prefix of one piece."""
 
-    def __init__(self, vocabulary: Vocabulary, piece: bytes = b"") -> None:
+    def __init__(self, vocabulary: Vocabulary, piece: bytes = b"", known: "Prefixes | None" = None) -> None:
+        """``known``: the table of some prefix of the piece, which is taken over."""
         self.vocabulary, self.piece, self.last = vocabulary, b"", [-1]
-        self.append(piece)
+        if known:
+            self.piece, self.last = known.piece, known.last.copy()
+        self.append(piece[len(self.piece):])
 
     def append(self, more: bytes) -> None:
         """Exactly the state of the longer piece; nothing before it is computed again."""
@@ -108,16 +119,18 @@ class Prefixes:
     def _extend(self, start: int, old: list[int] | None = None, shift: int = 0) -> None:
         """Fills the table from ``start``. With ``old``, stops once the entries repeat the old ones, shifted, for as long as a token can reach."""
         v, last, done, same = self.vocabulary, self.last, start - 1, 0
-        fits, known = v.fits, v.pairs.get
-        for at, (token, length) in v.finder.iter(self.piece.decode("latin-1"), max(0, start - v.longest)):
-            begin = at + 1 - length
-            if at < done or begin < 0:
+        fits, after = v.fits, v.after
+        sizes = v.sizes
+        for at, token in v.finder.iter(self.piece.decode("latin-1"), max(0, start - v.longest)):
+            if at < done:
                 continue
+            begin = at + 1 - sizes[token]
             if begin:
-                ok = known(last[begin] << 32 | token)
-                if not (fits(last[begin], token) if ok is None else ok):
+                left = last[begin]
+                ok = after[left].get(token)
+                if not (fits(left, token) if ok is None else ok):
                     continue
-            elif length > 1 and v.parts[token] is None:
+            elif at and v.parts[token] is None:
                 continue
             last.append(token)
             done = at + 1
@@ -139,14 +152,17 @@ class Prefixes:
 
     def ids(self, end: int | None = None) -> list[int]:
         """Encoding of the first ``end`` bytes."""
-        at, out = len(self.piece) if end is None else end, []
+        at, out, last, sizes = len(self.piece) if end is None else end, [], self.last, self.vocabulary.sizes
         while at:
-            out.append(self.last[at])
-            at -= len(self.vocabulary.bytes[out[-1]])
-        return out[::-1]
+            token = last[at]
+            out.append(token)
+            at -= sizes[token]
+        out.reverse()
+        return out
 
 
-Part = tuple[tuple[int, ...], str, int]
+#: Ids, the same in decimals, how many, and the bytes they decode to.
+Part = tuple[tuple[int, ...], str, int, bytes]
 
 
 class Encoder:
@@ -161,6 +177,7 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.cut = pattern == public_tokenizers.PATTERN
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.heads: dict[bytes, Prefixes] = {}
         self.words: dict[str, Part | None] = {}
         self.older: dict[str, Part | None] = {}
 
@@ -170,17 +187,39 @@ class Encoder:
         if ids is None:
             raw = piece.encode("utf-8", "replace")
             whole = self.vocabulary.rank.get(raw)
-            ids = (whole,) if whole is not None else tuple(Prefixes(self.vocabulary, raw).ids())
+            ids = (whole,) if whole is not None else tuple(self._table(raw).ids())
             if len(self.pieces) >= REMEMBERED:
                 self.pieces.clear()
             if len(raw) <= 64:
                 self.pieces[piece] = ids
         return ids
 
+    def _table(self, raw: bytes) -> Prefixes:
+        """Many words begin alike: the table of the first bytes is kept and extended."""
+        if len(raw) <= HEAD:
+            return Prefixes(self.vocabulary, raw)
+        head = raw[:HEAD]
+        known = self.heads.get(head)
+        if known is None:
+            if len(self.heads) >= REMEMBERED:
+                self.heads.clear()
+            known = self.heads[head] = Prefixes(self.vocabulary, head)
+        return Prefixes(self.vocabulary, raw, known)
+
+    def spaced(self, word: str) -> tuple[int, ...]:
+        """Letters after a space are one piece."""
+        raw = b" " + word.encode()
+        whole = self.vocabulary.rank.get(raw)
+        return (whole,) if whole is not None else tuple(self._table(raw).ids())
+
     def plain(self, text: str) -> tuple[int, ...]:
         found = self.find(text)
         return self.piece(found[0]) if len(found) == 1 else tuple([i for p in found for i in self.piece(p)])
 
+    def part(self, ids: tuple[int, ...]) -> Part:
+        decimal, raw = self.vocabulary.decimal, self.vocabulary.bytes
+        return ids, ",".join([decimal[i] for i in ids]), len(ids), b"".join([raw[i] for i in ids])
+
     def _word(self, word: str) -> Part | None:
         """Ids of the word after a space, in decimals too, and how many; None if white space ends it, as the next space then follows white space."""
         if word in self.older:
@@ -188,8 +227,7 @@ class Encoder:
         elif not word or word[-1].isspace():
             found = None
         else:
-            ids = self.plain(" " + word)
-            found = (ids, ",".join(map(str, ids)), len(ids))
+            found = self.part(self.spaced(word) if word.isalpha() and max(word) < EASY else self.plain(" " + word))
         if len(self.words) >= REMEMBERED:
             self.older, self.words = self.words, {}
         if len(word) <= 64:
@@ -205,21 +243,21 @@ class Encoder:
             if None not in found:
                 ends = [self.plain(first), self.plain(" " + last)] if not first or not first[-1].isspace() else [None]
                 if None not in ends:
-                    head, tail = [(ids, ",".join(map(str, ids)), len(ids)) for ids in ends]
+                    head, tail = map(self.part, ends)
                     return [x for x in (head, *found, tail) if x[2]]
         ids = self.plain(text)
-        return [(ids, ",".join(map(str, ids)), len(ids))] if ids else []
+        return [self.part(ids)] if ids else []
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for ids, _, _ in self.parts(text):
-            out += ids
+        for part in self.parts(text):
+            out += part[0]
         return out
 
     def count(self, text: str) -> int:
-        return sum([n for _, _, n in self.parts(text)])
+        return sum([part[2] for part in self.parts(text)])
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
 
 
@@ -282,12 +320,11 @@ def round_trip(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokeni
         with uncollected():
             for t in batch.column(1):
                 parts = e.parts(t.as_py() or "")
-                ids = [i for p, _, _ in parts for i in p]
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join([x for _, x, _ in parts]).encode()).hexdigest())
-                sha.append(hashlib.sha256(e.decode(ids)).hexdigest())
+                n.append(sum([p[2] for p in parts]))
+                ids_sha.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
+                sha.append(hashlib.sha256(b"".join([p[3] for p in parts])).hexdigest())
                 if keep_ids:
-                    kept.append(array("i", ids))
+                    kept.append(array("i", [i for p in parts for i in p[0]]))
         columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(sha)]
         if keep_ids:
             ends = np.cumsum([0, *map(len, kept)], dtype=np.int32)
