@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def exact_sum(col: Column | str, scale: int = 2) -> Column:
-    """Sum in decimal: the result does not depend on how the rows were partitioned."""
+def exact_sum(col: Column | str, scale: int = 9) -> Column:
+    """Sum in decimal, to nine places: the result does not depend on how the rows were partitioned. Holds values below 10^19."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.sum(c.cast(f"decimal(18,{scale})")), F.lit(0)).cast("double")
+    return F.coalesce(F.sum(c.cast(f"decimal(28,{scale})")), F.lit(0)).cast("double")
 
 
 def ratio(top: Column, bottom: Column, default: float | None = 0.0) -> Column:

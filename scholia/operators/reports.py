@@ -197,9 +197,9 @@ def score_trend(reports: DataFrame) -> DataFrame:
     older and its mean is 0. Older sums are totals minus the newest, so no history is gathered.
     """
     last = top_per_key(reports.select("series", "run_at", "score"), ["series"], [F.col("run_at").desc()], 3)
-    newest = last.groupBy("series").agg(F.sum(F.col("score").cast("decimal(18,4)")).alias("r"), F.count("*").alias("rn"),
+    newest = last.groupBy("series").agg(F.sum(F.col("score").cast("decimal(28,9)")).alias("r"), F.count("*").alias("rn"),
                                         F.min_by("score", "run_at").alias("first"))
-    total = reports.groupBy("series").agg(F.sum(F.col("score").cast("decimal(18,4)")).alias("t"), F.count("*").alias("runs"))
+    total = reports.groupBy("series").agg(F.sum(F.col("score").cast("decimal(28,9)")).alias("t"), F.count("*").alias("runs"))
     recent = F.col("r").cast("double") / F.col("rn")
     rest = F.col("runs") - F.col("rn")
     older = (F.when(F.col("runs") == 2, F.col("first")).when(rest > 0, (F.col("t") - F.col("r")).cast("double") / rest).otherwise(0.0))

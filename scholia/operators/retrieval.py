@@ -55,17 +55,20 @@ def snippets(docs: DataFrame, query: str, encoder: Encoder = hashing_encoder, k:
 
 
 def pack_snippets(hits: DataFrame, max_chars: int = 2000) -> DataFrame:
-    """Ranked snippets joined by a blank line while they fit.
+    """Ranked snippets (query_id, rank from 1 without holes, text) joined by a blank line while they fit; an empty context where none fits.
 
-    Every snippet has at least one character, so no more than (max_chars + 2) / 3 can fit; cutting
-    the ranks there is exact and bounds each window.
+    Empty snippets before the first text add nothing, later ones a blank line. After the first text every snippet takes two
+    characters at least, so cutting ranks from there on is exact and bounds each window.
     """
-    near = hits.filter((F.col("rank") <= (max_chars + 2) // 3 + 1) & (F.col("text") != ""))
+    hits = hits.withColumn("text", F.coalesce("text", F.lit("")))
+    first = hits.groupBy("query_id").agg(F.min(F.when(F.col("text") != "", F.col("rank"))).alias("_f"))
+    near = hits.join(first, "query_id").filter((F.col("rank") >= F.col("_f")) & (F.col("rank") <= F.col("_f") + max_chars // 2 + 1))
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    i = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    fits = near.withColumn("_n", F.sum(F.length("text")).over(w) + F.greatest(i - 1, F.lit(1)) * 2).filter(F.col("_n") <= max_chars)
-    return fits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("_s")).select(
-        "query_id", joined(F.transform("_s", lambda s: s["text"]), "\n\n").alias("context"))
+    gaps = F.greatest(F.col("rank") - F.col("_f"), F.lit(1)) * 2
+    fits = near.withColumn("_n", F.sum(F.length("text")).over(w) + gaps).filter(F.col("_n") <= max_chars)
+    packed = fits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("_s"))
+    return first.join(packed, "query_id", "left").select(
+        "query_id", F.coalesce(joined(F.transform("_s", lambda s: s["text"]), "\n\n"), F.lit("")).alias("context"))
 
 
 def pack_context(hits: DataFrame, max_chars: int = 3000) -> DataFrame:

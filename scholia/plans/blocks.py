@@ -12,11 +12,11 @@ view("v_blocks", r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos FROM documents)
 SELECT doc_id, pos, CAST(pos // 20 + 1 AS INTEGER) AS page, (pos % 20) * 10.0::DOUBLE AS y,
   CASE WHEN m = 0 THEN 'h1' WHEN m = 5 THEN 'h2' WHEN m = 7 THEN 'h3' WHEN m IN (2, 4, 9) THEN 'list' WHEN m = 11 THEN 'ordered_list' ELSE 'body' END AS type,
-  CASE WHEN m = 0 THEN 'Chapter ' || (pos // 12) || ' ' || substr(x, 1, 20)
-    WHEN m = 1 AND doc_id % 4 = 1 THEN substr(x, 1, 12) || ' Letter: A = 0101 Number: 9 = 1001' WHEN m = 3 THEN 'and ' || substr(x, 1, 50)
-    WHEN m = 5 THEN '2.' || (pos // 12) || ' ' || substr(x, 1, 30) WHEN m = 6 THEN '• ' || substr(x, 1, 20) || ' • ' || substr(x, 21, 20) || ' ‣ z'
-    WHEN m = 7 THEN substr(x, 1, 8) || ' (cont.)' WHEN m = 8 THEN '- -' || substr(x, 1, 80) || ': -Tail' WHEN m = 9 THEN substr(x, 1, 40) || ' Advantages of it: '
-    WHEN m = 10 THEN substr(x, 1, 40) || '. Types of nets:' WHEN m = 11 THEN '1. ' || x ELSE x END AS text,
+  CASE WHEN m = 0 THEN 'Chapter ' || (pos // 12) || ' ' || x
+    WHEN m = 1 AND doc_id % 4 = 1 THEN x || ' Letter: A = 0101 Number: 9 = 1001' WHEN m = 3 THEN 'and ' || x
+    WHEN m = 5 THEN '2.' || (pos // 12) || ' ' || x WHEN m = 6 THEN '• ' || substr(x, 1, 20) || ' • ' || substr(x, 21) || ' ‣ z'
+    WHEN m = 7 THEN x || ' (cont.)' WHEN m = 8 THEN '- -' || x || ': -Tail' WHEN m = 9 THEN x || ' Advantages of it: '
+    WHEN m = 10 THEN x || '. Types of nets:' WHEN m = 11 THEN '1. ' || x ELSE x END AS text,
   CASE m WHEN 0 THEN 24.0 WHEN 5 THEN 18.0 WHEN 7 THEN 14.04 ELSE 11.0 END::DOUBLE AS font_size, CASE WHEN m IN (3, 4) THEN 1 ELSE 0 END AS indent
 FROM (SELECT *, pos % 12 AS m FROM l)""")
 S = r"regexp_replace(text, '^[\s\p{Z}\x{0b}\x{85}]+|[\s\p{Z}\x{0b}\x{85}]+$', '', 'g')"

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from scholia.functions import vectors as V
-from scholia.functions.ordered import top_per_key
+from scholia.functions.ordered import add_rank
 from scholia.operators import chunking, cleaning, retrieval
 from scholia.plans.registry import query, view
 
@@ -229,17 +229,19 @@ def _(t):
 
 view("v_hits", """
 SELECT source AS query_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS INTEGER) AS rank, text FROM documents
-WHERE text <> '' QUALIFY rank <= 600""")
+""")
 
 
 def ranked_texts(t):
-    d = t.documents.filter("text <> ''").select(F.col("source").alias("query_id"), "n_chars", "doc_id", "text")
-    return top_per_key(d, ["query_id"], [F.col("n_chars"), F.col("doc_id")], 600)
+    d = t.documents.select(F.col("source").alias("query_id"), "n_chars", "doc_id", "text")
+    return add_rank(d, ["query_id"], [F.col("n_chars"), F.col("doc_id")], "rank")
 
 
 @query("vec_pack_snippets", """
-WITH r AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) + 2 * greatest(rank - 1, 1) AS n FROM v_hits)
-SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE n <= 2000 GROUP BY 1""")
+WITH f AS (SELECT query_id, min(rank) FILTER (text <> '') AS f FROM v_hits GROUP BY 1),
+r AS (SELECT h.query_id, h.rank, h.text, sum(length(h.text)) OVER (PARTITION BY h.query_id ORDER BY h.rank) + 2 * greatest(h.rank - f.f, 1) AS n
+  FROM v_hits h JOIN f USING (query_id) WHERE h.rank >= f.f)
+SELECT f.query_id, coalesce(string_agg(r.text, chr(10) || chr(10) ORDER BY r.rank), '') AS context FROM f LEFT JOIN r ON r.query_id = f.query_id AND r.n <= 2000 GROUP BY 1""")
 def _(t):
     return retrieval.pack_snippets(ranked_texts(t))
 

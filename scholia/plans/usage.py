@@ -300,9 +300,9 @@ def _(t):
 
 @query("agg_task_performance", """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS rn FROM events)
-SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_score,
+SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(28,9))) AS DOUBLE) / count(*) AS avg_score,
   CAST(sum(user_id) AS DOUBLE) / count(*) AS avg_ms,
-  CAST(sum(CAST(value AS DECIMAL(18,2))) FILTER (rn <= 100) AS DOUBLE) / least(count(*), 100) AS recent_score FROM r GROUP BY 1""")
+  CAST(sum(CAST(value AS DECIMAL(28,9))) FILTER (rn <= 100) AS DOUBLE) / least(count(*), 100) AS recent_score FROM r GROUP BY 1""")
 def _(t):
     runs = t.events.select("event_type", F.col("value").alias("score"), F.col("user_id").alias("ms"), F.col("ts").alias("at"),
                            F.col("event_id").alias("run_id"))
@@ -365,7 +365,7 @@ def _(t):
 
 @query("agg_report_summary", """
 SELECT user_id AS run_id, count(*) AS files, count(*) FILTER (event_type = 'error') AS errors,
-  round_even(coalesce(CAST(sum(CASE WHEN event_type <> 'view' THEN CAST(value AS DECIMAL(18,2)) END) AS DOUBLE) / count(CASE WHEN event_type <> 'view' THEN 1 END), 0), 4) AS avg_score,
+  round_even(coalesce(CAST(sum(CASE WHEN event_type <> 'view' THEN CAST(value AS DECIMAL(28,9)) END) AS DOUBLE) / count(CASE WHEN event_type <> 'view' THEN 1 END), 0), 4) AS avg_score,
   round_even(coalesce(max(value) FILTER (event_type <> 'view'), 0), 4) AS max_score, round_even(coalesce(min(value) FILTER (event_type <> 'view'), 0), 4) AS min_score,
   CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS images, CAST(sum(event_id % 3) AS BIGINT) AS warnings FROM events GROUP BY 1""")
 def _(t):
@@ -377,15 +377,15 @@ def _(t):
 
 
 view("v_daily", """
-SELECT user_id AS series, strftime(ts, '%Y-%m-%d') AS run_at, round_even(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS score
+SELECT user_id AS series, strftime(ts, '%Y-%m-%d') AS run_at, round_even(CAST(sum(CAST(value AS DECIMAL(28,9))) AS DOUBLE) / count(*), 4) AS score
 FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2""")
 
 
 @query("agg_score_trend", """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY run_at DESC) AS rn, count(*) OVER (PARTITION BY series) AS runs FROM v_daily),
-m AS (SELECT series, any_value(runs) AS runs, CAST(sum(CAST(score AS DECIMAL(18,4))) FILTER (rn <= 3) AS DOUBLE) / least(any_value(runs), 3) AS recent,
+m AS (SELECT series, any_value(runs) AS runs, CAST(sum(CAST(score AS DECIMAL(28,9))) FILTER (rn <= 3) AS DOUBLE) / least(any_value(runs), 3) AS recent,
    CASE WHEN any_value(runs) = 2 THEN min(score) FILTER (rn = 2)
-        ELSE coalesce(CAST(sum(CAST(score AS DECIMAL(18,4))) FILTER (rn > 3) AS DOUBLE) / nullif(count(*) FILTER (rn > 3), 0), 0) END AS older FROM r GROUP BY 1)
+        ELSE coalesce(CAST(sum(CAST(score AS DECIMAL(28,9))) FILTER (rn > 3) AS DOUBLE) / nullif(count(*) FILTER (rn > 3), 0), 0) END AS older FROM r GROUP BY 1)
 SELECT series, runs, CASE WHEN runs >= 2 AND recent - older > 0.01 THEN 'up' WHEN runs >= 2 AND recent - older < -0.01 THEN 'down' ELSE 'stable' END AS direction,
   CASE WHEN runs >= 2 THEN round_even(recent - older, 4) END AS change, CASE WHEN runs >= 2 THEN round_even(recent, 4) END AS recent_avg,
   CASE WHEN runs >= 2 THEN round_even(older, 4) END AS older_avg FROM m""")

@@ -70,17 +70,17 @@ SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambd
 
 
 view("v_md", marked("""CASE (j - 1) % 14 WHEN 0 THEN '# ' || x WHEN 2 THEN '- ' || x WHEN 3 THEN '## ' || x WHEN 4 THEN '1. ' || x
-  WHEN 5 THEN '| ' || replace(x, ' ', ' | ') || ' |' WHEN 6 THEN '|---|---|' WHEN 7 THEN '#### ' || x WHEN 8 THEN '```' WHEN 10 THEN '```'
-  WHEN 9 THEN 'x = f(' || substr(x, 1, 12) || ');' WHEN 11 THEN '' WHEN 12 THEN '![fig](' || substr(x, 1, 3) || '.png) see figure 2 ' || x
+  WHEN 5 THEN '| ' || replace(x, ' ', ' | ') || ' |' WHEN 6 THEN '|---|---|' || chr(10) || x WHEN 7 THEN '#### ' || x WHEN 8 THEN '```' || chr(10) || x WHEN 10 THEN '```' || chr(10) || x
+  WHEN 9 THEN 'x = f(' || x || ');' WHEN 11 THEN chr(10) || x WHEN 12 THEN '![fig](' || substr(x, 1, 3) || '.png) see figure 2 ' || x
   WHEN 13 THEN '# Topic 4: ' || x ELSE x END"""))
-view("v_slides", marked("""CASE (j - 1) % 11 WHEN 0 THEN '### ' || substr(x, 1, 20) || ' (1 of 3)' WHEN 1 THEN '© 2024 ' || x WHEN 2 THEN '•'
-  WHEN 3 THEN '<!-- Start of picture text -->' WHEN 4 THEN substr(x, 1, 9) || '<br>' || substr(x, 1, 18)
-  WHEN 5 THEN '<!-- End of picture text -->' WHEN 6 THEN '##### ' || x WHEN 7 THEN ' 12 ' WHEN 8 THEN x || ' All rights reserved'
+view("v_slides", marked("""CASE (j - 1) % 11 WHEN 0 THEN '### ' || x || ' (1 of 3)' WHEN 1 THEN '© 2024 ' || x WHEN 2 THEN '•' || chr(10) || x
+  WHEN 3 THEN '<!-- Start of picture text -->' || chr(10) || x WHEN 4 THEN substr(x, 1, 9) || '<br>' || x
+  WHEN 5 THEN '<!-- End of picture text -->' || chr(10) || x WHEN 6 THEN '##### ' || x WHEN 7 THEN ' 12 ' || chr(10) || x WHEN 8 THEN x || ' All rights reserved'
   WHEN 9 THEN '# ' || x ELSE x END"""))
-view("v_scans", marked("""CASE (j - 1) % 13 WHEN 0 THEN 'SECTION ALPHA-BETA' WHEN 1 THEN '• ' || x WHEN 2 THEN '1 2 3.5 4 5' WHEN 3 THEN '>}'
-  WHEN 4 THEN x || '-' WHEN 5 THEN 'Page 3' WHEN 6 THEN 'www.example.com' WHEN 7 THEN '1. ' || x WHEN 8 THEN x || '|| _____ x·'
-  WHEN 9 THEN '  q  ' || x WHEN 10 THEN 'Page 3 of ' || length(x) WHEN 11 THEN 'KPI: 12 ROWS!'
-  WHEN 12 THEN 'Chapter 2 ' || substr(x, 1, 30) ELSE x END"""))
+view("v_scans", marked("""CASE (j - 1) % 13 WHEN 0 THEN 'SECTION ALPHA-BETA' || chr(10) || x WHEN 1 THEN '• ' || x WHEN 2 THEN '1 2 3.5 4 5' || chr(10) || x WHEN 3 THEN '>}' || chr(10) || x
+  WHEN 4 THEN x || '-' WHEN 5 THEN 'Page 3' || chr(10) || x WHEN 6 THEN 'www.example.com' || chr(10) || x WHEN 7 THEN '1. ' || x WHEN 8 THEN x || '|| _____ x·'
+  WHEN 9 THEN '  q  ' || x WHEN 10 THEN 'Page 3 of ' || length(x) || chr(10) || x WHEN 11 THEN 'KPI: 12 ROWS!' || chr(10) || x
+  WHEN 12 THEN 'Chapter 2 ' || x ELSE x END"""))
 for _name, _of in (("v_md_lines", "v_md"), ("v_slide_lines", "v_slides"), ("v_scan_lines", "v_scans"), ("v_doc_lines", "documents")):
     view(_name, f"""
 SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos,

@@ -16,6 +16,7 @@ def build_session(cores: str = "*", app: str = "scholia", **conf: str) -> SparkS
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("scholia.text.partitions", "8" if cores == "*" else cores)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "12g")
@@ -33,7 +34,7 @@ def build_session(cores: str = "*", app: str = "scholia", **conf: str) -> SparkS
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a fresh local folder is made.
+    Only a local session (tests, a laptop) that names none gets a fresh local folder; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -41,6 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(folder)
     return folder

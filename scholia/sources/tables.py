@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scholia.functions.text import let
 
 TEXTS = ("documents", "pages", "conversations")
-SMALL_SPLIT = 16 << 20
+TEXT_PARTITIONS = "scholia.text.partitions"
 NAMES = ("benchmark conversations customer documents embeddings events labels lineitem nation orders "
          "pages part region supplier").split()
 
@@ -30,14 +30,12 @@ class Tables:
         raise AttributeError(name)
 
     def _spread(self, df: DataFrame) -> DataFrame:
-        """Small text tables come as one row group, which one core would read and process alone.
+        """Text tables keep their splits unless the session names a number of partitions to deal them out to.
 
-        Rows are dealt out evenly when the input could not fill the cores; a large input keeps its splits
-        and is never shuffled here. The size is the planner's own estimate from the file listing.
+        ``scholia.text.partitions`` is for inputs of few row groups, which few cores would read and process alone.
         """
-        cores = self.spark.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return df.repartition(cores) if size < cores * SMALL_SPLIT else df
+        n = self.spark.conf.get(TEXT_PARTITIONS, None)
+        return df.repartition(int(n)) if n else df
 
     # -- people and the group > subject > resource > note hierarchy ------------------------
 
@@ -197,7 +195,7 @@ class Tables:
     # -- documents with the marks a fixture lacks ---------------------------------------------
     #
     # The supplied prose has no Markdown. Each line keeps its text and gets the marks of its place
-    # in a fixed cycle, so every document carries headings, lists, tables, fences and boilerplate.
+    # in a fixed cycle, or a line of marks above it, so every document carries headings, lists, tables, fences and boilerplate.
 
     def _marked(self, shape) -> DataFrame:
         return self.documents.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), shape), "\n").alias("text"))
@@ -209,9 +207,9 @@ class Tables:
             pre = lambda mark: F.concat(F.lit(mark), x)
             return (F.when(m == 0, pre("# ")).when(m == 2, pre("- ")).when(m == 3, pre("## ")).when(m == 4, pre("1. "))
                     .when(m == 5, F.concat(F.lit("| "), F.replace(x, F.lit(" "), F.lit(" | ")), F.lit(" |")))
-                    .when(m == 6, "|---|---|").when(m == 7, pre("#### ")).when(m.isin(8, 10), "```")
-                    .when(m == 9, F.concat(F.lit("x = f("), F.substring(x, 1, 12), F.lit(");")))
-                    .when(m == 11, "").when(m == 12, F.concat(F.lit("![fig]("), F.substring(x, 1, 3), F.lit(".png) see figure 2 "), x))
+                    .when(m == 6, pre("|---|---|\n")).when(m == 7, pre("#### ")).when(m.isin(8, 10), pre("```\n"))
+                    .when(m == 9, F.concat(F.lit("x = f("), x, F.lit(");")))
+                    .when(m == 11, pre("\n")).when(m == 12, F.concat(F.lit("![fig]("), F.substring(x, 1, 3), F.lit(".png) see figure 2 "), x))
                     .when(m == 13, pre("# Topic 4: ")).otherwise(x))
         return self._marked(shape)
 
@@ -219,11 +217,11 @@ class Tables:
     def slides(self) -> DataFrame:
         def shape(x, i):
             m = F.pmod(i, F.lit(11))
-            return (F.when(m == 0, F.concat(F.lit("### "), F.substring(x, 1, 20), F.lit(" (1 of 3)")))
-                    .when(m == 1, F.concat(F.lit("© 2024 "), x)).when(m == 2, "•")
-                    .when(m == 3, F.lit("<!-- Start of picture text -->"))
-                    .when(m == 4, F.concat(F.substring(x, 1, 9), F.lit("<br>"), F.substring(x, 1, 18)))
-                    .when(m == 5, F.lit("<!-- End of picture text -->")).when(m == 6, F.concat(F.lit("##### "), x)).when(m == 7, " 12 ")
+            return (F.when(m == 0, F.concat(F.lit("### "), x, F.lit(" (1 of 3)")))
+                    .when(m == 1, F.concat(F.lit("© 2024 "), x)).when(m == 2, F.concat(F.lit("•\n"), x))
+                    .when(m == 3, F.concat(F.lit("<!-- Start of picture text -->\n"), x))
+                    .when(m == 4, F.concat(F.substring(x, 1, 9), F.lit("<br>"), x))
+                    .when(m == 5, F.concat(F.lit("<!-- End of picture text -->\n"), x)).when(m == 6, F.concat(F.lit("##### "), x)).when(m == 7, F.concat(F.lit(" 12 \n"), x))
                     .when(m == 8, F.concat(x, F.lit(" All rights reserved"))).when(m == 9, F.concat(F.lit("# "), x)).otherwise(x))
         return self._marked(shape)
 
@@ -231,11 +229,12 @@ class Tables:
     def scans(self) -> DataFrame:
         def shape(x, i):
             m = F.pmod(i, F.lit(13))
-            return (F.when(m == 0, "SECTION ALPHA-BETA").when(m == 1, F.concat(F.lit("• "), x)).when(m == 2, "1 2 3.5 4 5")
-                    .when(m == 3, ">}").when(m == 4, F.concat(x, F.lit("-"))).when(m == 5, "Page 3").when(m == 6, "www.example.com")
+            above = lambda mark: F.concat(F.lit(mark + "\n"), x)
+            return (F.when(m == 0, above("SECTION ALPHA-BETA")).when(m == 1, F.concat(F.lit("• "), x)).when(m == 2, above("1 2 3.5 4 5"))
+                    .when(m == 3, above(">}")).when(m == 4, F.concat(x, F.lit("-"))).when(m == 5, above("Page 3")).when(m == 6, above("www.example.com"))
                     .when(m == 7, F.concat(F.lit("1. "), x)).when(m == 8, F.concat(x, F.lit("|| _____ x·")))
-                    .when(m == 9, F.concat(F.lit("  q  "), x)).when(m == 10, F.concat(F.lit("Page 3 of "), F.length(x).cast("string")))
-                    .when(m == 11, "KPI: 12 ROWS!").when(m == 12, F.concat(F.lit("Chapter 2 "), F.substring(x, 1, 30))).otherwise(x))
+                    .when(m == 9, F.concat(F.lit("  q  "), x)).when(m == 10, F.concat(F.lit("Page 3 of "), F.length(x).cast("string"), F.lit("\n"), x))
+                    .when(m == 11, above("KPI: 12 ROWS!")).when(m == 12, F.concat(F.lit("Chapter 2 "), x)).otherwise(x))
         return self._marked(shape)
 
     # -- blocks, spans and images as an extractor would give them -------------------------------
@@ -250,14 +249,14 @@ class Tables:
             lit = F.lit
             kind = (F.when(m == 0, "h1").when(m == 5, "h2").when(m == 7, "h3").when(m.isin(2, 4, 9), "list").when(m == 11, "ordered_list")
                     .otherwise("body"))
-            text = (F.when(m == 0, cat(lit("Chapter "), num, lit(" "), F.substring(x, 1, 20)))
-                    .when((m == 1) & (F.pmod(F.col("doc_id"), lit(4)) == 1), cat(F.substring(x, 1, 12), lit(" Letter: A = 0101 Number: 9 = 1001")))
-                    .when(m == 3, cat(lit("and "), F.substring(x, 1, 50)))
-                    .when(m == 5, cat(lit("2."), num, lit(" "), F.substring(x, 1, 30)))
-                    .when(m == 6, cat(lit("• "), F.substring(x, 1, 20), lit(" • "), F.substring(x, 21, 20), lit(" ‣ z")))
-                    .when(m == 7, cat(F.substring(x, 1, 8), lit(" (cont.)"))).when(m == 8, cat(lit("- -"), F.substring(x, 1, 80), lit(": -Tail")))
-                    .when(m == 9, cat(F.substring(x, 1, 40), lit(" Advantages of it: ")))
-                    .when(m == 10, cat(F.substring(x, 1, 40), lit(". Types of nets:"))).when(m == 11, cat(lit("1. "), x)).otherwise(x))
+            text = (F.when(m == 0, cat(lit("Chapter "), num, lit(" "), x))
+                    .when((m == 1) & (F.pmod(F.col("doc_id"), lit(4)) == 1), cat(x, lit(" Letter: A = 0101 Number: 9 = 1001")))
+                    .when(m == 3, cat(lit("and "), x))
+                    .when(m == 5, cat(lit("2."), num, lit(" "), x))
+                    .when(m == 6, cat(lit("• "), F.substring(x, 1, 20), lit(" • "), F.substring(x, 21, 1_000_000_000), lit(" ‣ z")))
+                    .when(m == 7, cat(x, lit(" (cont.)"))).when(m == 8, cat(lit("- -"), x, lit(": -Tail")))
+                    .when(m == 9, cat(x, lit(" Advantages of it: ")))
+                    .when(m == 10, cat(x, lit(". Types of nets:"))).when(m == 11, cat(lit("1. "), x)).otherwise(x))
             size = F.when(m == 0, 24.0).when(m == 5, 18.0).when(m == 7, 14.04).otherwise(11.0)
             return F.struct(i.alias("pos"), (F.floor(i / 20) + 1).cast("int").alias("page"), (F.pmod(i, lit(20)) * 10.0).alias("y"),
                             kind.alias("type"), text.alias("text"), size.alias("font_size"),
