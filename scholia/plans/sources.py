@@ -158,20 +158,21 @@ def _(t):
     return lines.select(F.from_json("value", "conv_id bigint, turn bigint, role string, text string").alias("r")).select("r.*")
 
 
-view("v_new_chunks", "SELECT doc_id AS resource_id, 0 AS chunk_index, substr(text, 1, 50) AS text FROM documents WHERE lang = 'fr'")
-
-
 @query("snk_replace_by_key", """
-SELECT doc_id AS resource_id, unnest([0, 1]) AS chunk_index, unnest([substr(text, 1, 20), substr(text, 21, 20)]) AS text FROM documents WHERE lang <> 'fr'
-UNION ALL SELECT * FROM v_new_chunks""")
-def _(t):
-    def chunks(df, *sizes):
-        parts = F.array(*[F.struct(F.lit(i).alias("chunk_index"), F.substring("text", a, n).alias("text")) for i, (a, n) in enumerate(sizes)])
-        return df.select(F.col("doc_id").alias("resource_id"), F.inline(parts))
-    path = scratch_path(t.spark, "chunks")
-    W.replace_buckets(path, chunks(t.documents, (1, 20), (21, 20)), "resource_id")
-    W.replace_buckets(path, chunks(t.documents.filter("lang = 'fr'"), (1, 50)), "resource_id")
-    return t.spark.read.parquet(path).select("resource_id", "chunk_index", "text")
+SELECT doc_id AS resource_id, unnest([0, 1]) AS chunk_index, unnest([substr(text, 1, length(text) // 2), substr(text, length(text) // 2 + 1)]) AS text FROM documents WHERE lang <> 'fr'
+UNION ALL SELECT doc_id, 0, text FROM documents WHERE lang = 'fr'""")
+def _(t):
+    """Every text in halves, then French ones anew as a whole."""
+    fields, path = "resource_id bigint, chunk_index int, text string", scratch_path(t.spark, "chunks")
+    half = F.floor(F.length("text") / 2).cast("int")
+    part = lambda i, text: F.struct(F.lit(i).alias("chunk_index"), text.alias("text"))
+    halves = F.array(part(0, F.substr("text", F.lit(1), half)), part(1, F.substr(F.col("text"), half + 1)))
+    docs, french = t.documents.filter("text is not null"), t.documents.filter("lang = 'fr'")
+    W.create_buckets(t.spark, path, fields)
+    W.replace_buckets(path, docs.select(F.col("doc_id").alias("resource_id"), F.inline(halves)), docs.select(F.col("doc_id").alias("resource_id")), "resource_id", 1)
+    whole = french.select(F.col("doc_id").alias("resource_id"), F.lit(0).alias("chunk_index"), "text")
+    W.replace_buckets(path, whole, whole.select("resource_id"), "resource_id", 2)
+    return W.read_buckets(t.spark, path, fields).drop("bucket")
 
 
 @query("snk_upsert_task", """

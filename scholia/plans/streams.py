@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from scholia.plans.registry import query, view
 from scholia.session import scratch_path
+from scholia.sources.writers import create_buckets, read_buckets
 from scholia.streaming import state as S
 from scholia.streaming import windows as W
 from scholia.streaming.run import drain, plain_time, stream_table
@@ -115,6 +116,7 @@ def _(t):
 @query("str_incremental_embed")
 def _(t):
     table = scratch_path(t.spark, "chunk-table")
+    create_buckets(t.spark, table, W.CHUNKS)
     changes = stream_table(t.spark, t.sf_dir, "documents").select("doc_id", "text", F.lit(1).alias("version"))
     drain(changes, "append", "embed", each=W.embed_changes(table))
-    return t.spark.read.parquet(table).drop("bucket")
+    return read_buckets(t.spark, table, W.CHUNKS).drop("bucket")

@@ -53,12 +53,16 @@ def event_audit(events: DataFrame) -> DataFrame:
                          F.nullif(rest, F.lit("")).alias("reason"), "ts")
 
 
+CHUNKS = "resource_id bigint, chunk_index int, text string, position int, embedding array<float>"
+
+
 def embed_changes(table_path: str):
-    """Batch function that rebuilds the chunks of changed resources in a bucketed table.
+    """Batch function that rebuilds the chunks of changed resources in a versioned, bucketed table.
 
-    The newest text of a resource within the batch counts. A batch that is run again writes the same rows.
+    The newest text of a resource within the batch counts; one that is blank or null by then loses its chunks. A batch that is run again writes
+    the same version.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         docs = batch.groupBy("doc_id").agg(F.max_by("text", "version").alias("text"))
-        replace_buckets(table_path, embed_corpus(docs), "resource_id")
+        replace_buckets(table_path, embed_corpus(docs), docs.select(F.col("doc_id").alias("resource_id")), "resource_id", batch_id)
     return apply

@@ -382,3 +382,48 @@ def test_jdbc_reads_in_ranges(spark):
     back = jdbc(spark, url, "numbers", "ID", 0, 100, 4, **options)
     assert back.rdd.getNumPartitions() == 4
     assert back.filter("ID < 10").agg(F.sum("V")).collect()[0][0] == 90
+
+
+def test_replacement_over_batches(spark, tmp_path):
+    """Changed, blanked, replayed and blank-only batches."""
+    from scholia.sources.writers import create_buckets, read_buckets
+    from scholia.streaming import windows as W
+    path = str(tmp_path / "chunks")
+    create_buckets(spark, path, W.CHUNKS)
+    apply = W.embed_changes(path)
+    now = lambda: {r.resource_id: r.text for r in read_buckets(spark, path, W.CHUNKS).collect()}
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id bigint, text string, version int")
+    apply(rows((1, "one", 1), (2, "two", 1), (2, "two again", 2)), 0)
+    assert now() == {1: "one", 2: "two again"}
+    for _ in range(2):
+        apply(rows((1, "  ", 2), (3, "three", 1)), 1)
+        assert now() == {2: "two again", 3: "three"}
+    apply(rows((2, None, 3), (3, "", 2)), 2)
+    assert now() == {}
+    apply(rows((1, "back", 3)), 3)
+    assert now() == {1: "back"}
+
+
+def test_means_keep_their_decimals(spark):
+    from scholia.operators import reports
+    rows = spark.createDataFrame([(1, 0.9444, None, 1, 0)] * 3, "run_id int, score double, error string, images int, warnings int")
+    got = reports.report_summary(rows).first()
+    assert got.avg_score == got.max_score == 0.9444
+
+
+def test_snippets_are_packed_with_empty_ones(spark):
+    rows = [(1, i + 1, "") for i in range(8)] + [(1, 9, "abc"), (2, 1, "ab"), (2, 2, ""), (2, 3, "c"), (2, 4, "d"), (3, 1, "x" * 20)]
+    hits = spark.createDataFrame(rows, "query_id int, rank int, text string")
+    got = {r.query_id: r.context for r in retrieval.pack_snippets(hits, 10).collect()}
+    assert got == {1: "abc", 2: "ab\n\n\n\nc\n\nd", 3: ""}
+
+
+def test_marked_texts_keep_every_line(spark):
+    from scholia.sources.tables import Tables
+    from tests.conftest import SF
+    t = Tables(spark, SF)
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''").distinct()
+    for name in ("markdown", "slides", "scans"):
+        made = getattr(t, name).select("doc_id", F.col("text").alias("made"))
+        lost = lines.join(made, "doc_id").filter(~F.contains("made", "line") & ~F.contains(F.replace("made", F.lit(" | "), F.lit(" ")), F.col("line")))
+        assert lost.isEmpty()
