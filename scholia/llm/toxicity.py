@@ -25,7 +25,7 @@ from scholia.llm.common import keep_listed, map_batches
 from scholia.session import cut_lineage
 
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
-SAMPLE, BAG = 2000, 2000
+SAMPLE, BAG = 1500, 1000
 EPOCHS, RATE, DECAY, COLDEST = 60, 0.05, 0.01, 0.5
 REMEMBERED = 300_000
 _BREAKS = bytes(32 if c < 33 or chr(c) in "\"#%&'()+,-./:;<=>?[\\]^_`{|}~" else c for c in range(256))
