@@ -66,9 +66,9 @@ def _(t):
 
 
 @query("str_task_hung", """
-WITH u AS (SELECT *, lead(ts) OVER (PARTITION BY task_id ORDER BY ts, event_id) AS nxt, (SELECT max(ts) FROM events) AS mark FROM v_updates)
+WITH u AS (SELECT *, lead(ts) OVER (PARTITION BY task_id ORDER BY ts, event_id) AS nxt, (SELECT max(ts) - INTERVAL 1 DAY FROM events) AS mark FROM v_updates)
 SELECT task_id, ts + INTERVAL 1 HOUR AS hung_at FROM u WHERE status IN ('pending', 'running')
-  AND CASE WHEN nxt IS NULL THEN ts + INTERVAL 1 HOUR < mark ELSE nxt - ts > INTERVAL 1 HOUR END""")
+  AND ts + INTERVAL 1 HOUR <= mark AND (nxt IS NULL OR nxt - ts > INTERVAL 1 HOUR)""")
 def _(t):
     out = drain(S.hung_tasks(task_updates(stream_table(t.spark, t.sf_dir, "events")).select("task_id", "event_id", "ts", "status")), "append", "hung")
     return plain_time(out, "hung_at")

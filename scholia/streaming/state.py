@@ -7,6 +7,7 @@ more, partitions are sorted by key and time, and rows stream through one at a ti
 from __future__ import annotations
 
 import datetime
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -164,7 +165,11 @@ def login_lockout_batch(keyed: DataFrame, minutes: int = 30) -> DataFrame:
 
 
 class HungTasks(StatefulProcessor):
-    """Reports a pending or running task once it was silent for long enough, by an event-time timer."""
+    """Reports a pending or running task once it was silent for long enough.
+
+    Updates wait in state until the watermark has passed them and are then taken in the order of their times, whichever batch brought them. One timer
+    per task is set: for the next waiting update, or for the moment at which the task will have been silent too long.
+    """
 
     def __init__(self, seconds: int):
         self.seconds = seconds
@@ -172,32 +177,45 @@ class HungTasks(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("t", T.DoubleType()), T.StructField("active", T.BooleanType())]))
+        self.waiting = handle.getListState("waiting", T.StructType([
+            T.StructField("t", T.DoubleType()), T.StructField("event_id", T.LongType()), T.StructField("active", T.BooleanType())]))
+
+    def _arm(self, waiting: list[tuple], before: float, active: bool) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        moments = [w[0] for w in waiting] + ([before + self.seconds] if active else [])
+        if moments:
+            self.handle.registerTimer(math.ceil(min(moments) * 1000))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        waiting = [tuple(w) for w in self.waiting.get()]
+        waiting += [(_seconds(r.ts), r.event_id, r.status in ("pending", "running")) for r in rows]
+        self.waiting.put(waiting)
+        self._arm(waiting, *(self.last.get() or (0.0, False)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
         before, active = self.last.get() or (0.0, False)
-        timed = active
-        for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
-            now = _seconds(r.ts)
+        waiting = sorted(tuple(w) for w in self.waiting.get())
+        ready = [w for w in waiting if w[0] <= passed]
+        for now, _, goes_on in ready:
             if active and now - before > self.seconds:
                 yield Row(task_id=key[0], hung_at=_moment(before + self.seconds))
-            before, active = now, r.status in ("pending", "running")
-        if timed:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-        if active:
-            self.handle.registerTimer(int((before + self.seconds) * 1000))
-        self.last.update((before, active))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        before, active = self.last.get()
-        self.last.update((before, False))
-        if active:
+            before, active = now, goes_on
+        if active and before + self.seconds <= passed:
             yield Row(task_id=key[0], hung_at=_moment(before + self.seconds))
+            active = False
+        self.last.update((before, active))
+        rest = waiting[len(ready):]
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        self._arm(rest, before, active)
 
     def close(self) -> None:
         pass
 
 
-def hung_tasks(updates: DataFrame, seconds: int = 3600) -> DataFrame:
-    return (updates.withWatermark("ts", "0 seconds").groupBy("task_id").transformWithState(
+def hung_tasks(updates: DataFrame, seconds: int = 3600, late: str = "1 day") -> DataFrame:
+    """Updates may come up to ``late`` after newer ones; what is reported lags behind as much."""
+    return (updates.withWatermark("ts", late).groupBy("task_id").transformWithState(
         statefulProcessor=HungTasks(seconds), outputStructType="task_id long, hung_at timestamp", outputMode="append", timeMode="EventTime"))

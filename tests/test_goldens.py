@@ -4,6 +4,7 @@ import difflib
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scholia.functions import ordered
@@ -427,3 +428,25 @@ def test_marked_texts_keep_every_line(spark):
         made = getattr(t, name).select("doc_id", F.col("text").alias("made"))
         lost = lines.join(made, "doc_id").filter(~F.contains("made", "line") & ~F.contains(F.replace("made", F.lit(" | "), F.lit(" ")), F.col("line")))
         assert lost.isEmpty()
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_hung_tasks_over_many_batches(spark, con, tmp_path, mixed):
+    """Ten files in the order of arrival, with updates up to 20 hours late, give what the whole table gives."""
+    import os
+    from scholia.plans.registry import ORACLES
+    from scholia.plans.streams import task_updates
+    from scholia.streaming.run import drain
+    from tests.conftest import SF
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(72_000)) if mixed else F.lit(0)
+    arrived = events.withColumn("file", F.ntile(10).over(Window.orderBy(F.unix_timestamp("ts") + delay, "event_id")))
+    for i in range(1, 11):
+        part = tmp_path / f"f{i:02d}.parquet"
+        arrived.filter(F.col("file") == i).drop("file").coalesce(1).write.parquet(str(tmp_path / f"d{i}"))
+        next((tmp_path / f"d{i}").glob("*.parquet")).rename(part)
+        os.utime(part, (1_700_000_000 + i, 1_700_000_000 + i))
+    live = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/f*.parquet")
+    out = drain(S.hung_tasks(task_updates(live).select("task_id", "event_id", "ts", "status")), "append", "hung-test")
+    got = sorted((r.task_id, r.hung_at.replace(tzinfo=None)) for r in out.select("task_id", F.col("hung_at").cast("timestamp_ntz")).collect())
+    assert got == sorted(con.execute(ORACLES["str_task_hung"]).fetchall())
