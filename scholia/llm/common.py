@@ -34,15 +34,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
 SMALL_KEYS = 1_000_000
 
 
-def keep_listed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows whose ``on`` occurs in ``keys`` (written already, one row per value), nulls included.
+def keep_listed(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``on`` occurs in ``keys`` (written already, one row per value), nulls included; with ``left_anti`` the other rows.
 
     Up to a million keys are sent to the executors (some 30 MB); more are joined by a shuffle.
     """
-    listed = keys.select(F.col(on).alias("_listed"))
+    listed = keys.select(F.col(keys.columns[0]).alias("_listed"))
     if listed.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS:
         listed = F.broadcast(listed)
-    return df.join(listed, F.col(on).eqNullSafe(F.col("_listed")), "left_semi")
+    return df.join(listed, F.col(on).eqNullSafe(F.col("_listed")), how)
 
 
 def running_sums(df: DataFrame, order: str, values: list[str], span: int, after: bool = False) -> DataFrame:

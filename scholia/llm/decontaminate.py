@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import ascii_lower
+from scholia.llm.common import ascii_lower, keep_listed
+from scholia.session import cut_lineage
 
 N = 10
 SMALL = 200_000
@@ -89,9 +90,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """The rows of ``docs`` without a hit. A doc_id of which one row is hit goes with all its rows; null ids count as one id."""
-    bad = hits(docs, items, n).filter("n_hit > 0").select(F.col("doc_id").alias("bad")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    return rows.join(bad, F.col("row.doc_id").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
+    bad = cut_lineage(hits(docs, items, n).filter("n_hit > 0").select("doc_id").distinct())
+    return keep_listed(docs.select(F.struct(*docs.columns).alias("row")), bad, "row.doc_id", "left_anti").select("row.*")
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:

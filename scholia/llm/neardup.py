@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from scholia.llm.common import SMALL_KEYS, keep_listed, map_batches
+from scholia.llm.common import keep_listed, map_batches
 from scholia.session import cut_lineage
 
 BANDS, ROWS = 32, 5
@@ -285,7 +285,5 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ``docs`` must be read from files: rows are numbered in each reading and matched by number.
     """
     gone = cut_lineage(near_duplicates(docs, k, percent).filter(~F.col("kept")).select("rid"))
-    numbered = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
-    if gone.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS:
-        gone = F.broadcast(gone)
-    return numbered.join(gone, F.col("_rid") == F.col("rid"), "left_anti").select("_row.*")
+    numbered = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number"))
+    return keep_listed(numbered, gone, "number", "left_anti").select("row.*")
