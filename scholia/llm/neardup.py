@@ -205,17 +205,23 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """u > v: all pairs of different ``comp`` that may be linked, from node, comp, n, items; exact.
 
     Sets that are alike enough share an item among the first n - ceil(percent/100 n) + 1 of both, in any order that is the same for all.
-    Here the rarest items come first, so a passage that many texts share leads to no pairs between texts that differ otherwise.
+    Here the rarest items come first, so a passage or template that many texts share leads to no pairs between texts that differ otherwise. Of
+    the common items of a pair the first one has the earliest places in both, so testing the places of each loses no pair.
     """
     each = sets.select("node", F.explode("items").alias("item"))
     shared = each.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1")
     # Items of one text only come first of all; they lead to nobody but take up places.
     held = each.join(shared, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("held"))
-    room = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - (F.col("n") - F.size("held"))
+    alone = F.col("n") - F.size("held")
+    room = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - alone
     first = (held.join(sets.select("node", "comp", "n"), "node").filter(room > 0)
-             .select("node", "comp", "n", F.explode(F.slice("held", F.lit(1), room.cast("int"))).alias("h")).select("node", "comp", "n", F.col("h.item").alias("item")))
-    other = first.select(F.col("node").alias("other"), F.col("comp").alias("rcomp"), F.col("n").alias("m"), F.col("item").alias("ritem"))
-    pairs = first.join(other, (F.col("item") == F.col("ritem")) & (F.col("comp") < F.col("rcomp")) & close(F.col("n"), F.col("m"), percent))
+             .select("node", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("held", F.lit(1), room.cast("int"))).alias("i", "h"))
+             .select("node", "comp", "n", (F.col("alone") + F.col("i") + 1).alias("place"), F.col("h.item").alias("item")))
+    other = first.select(F.col("node").alias("other"), F.col("comp").alias("rcomp"), F.col("n").alias("m"), F.col("place").alias("rplace"), F.col("item").alias("ritem"))
+    # A first common item this late in either set leaves too few for the intersection.
+    left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("rplace")) + 1
+    pairs = first.join(other, (F.col("item") == F.col("ritem")) & (F.col("comp") < F.col("rcomp")) & close(F.col("n"), F.col("m"), percent)
+                       & ((100 + percent) * left >= percent * (F.col("n") + F.col("m"))))
     return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
 
 
