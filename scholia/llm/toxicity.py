@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ def gram_buckets(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of every n-gram of the words, and whose it is."""
     buffer = np.frombuffer(b"<" + b"><".join(found) + b">", np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, found), np.int64, len(found)) + 2
-    owner = np.repeat(np.arange(len(found)), sizes)
+    owner = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
     buckets, owners = [], []
     for n in GRAMS:
         if len(buffer) < n:
@@ -49,7 +51,7 @@ def gram_buckets(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             h = h * np.uint64(1099511628211) + buffer[i:i + len(h)] + np.uint64(1)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
         inside = owner[:len(h)] == owner[n - 1:]
-        buckets.append((h >> np.uint64(48)).astype(np.int64)[inside])
+        buckets.append((h >> np.uint64(48)).astype(np.int32)[inside])
         owners.append(owner[:len(h)][inside])
     return np.concatenate(buckets), np.concatenate(owners)
 
@@ -87,18 +89,22 @@ class Model:
         return out
 
 
-def fit(bags: list[list[bytes]], toxic: list[int], shares: tuple[float, float]) -> Model:
+def fit(bags: Iterable[list[bytes]], toxic: list[int], shares: tuple[float, float]) -> Model:
     """Full-batch Adam on bucket vectors and softmax together. ``shares`` of both classes among all labelled rows set the bias right, as the
     sample's differ. Without rows of both classes there is nothing to learn, and every score is 0."""
     y = np.array(toxic, float)
     prior = math.log(shares[1] / shares[0])
-    if not bags or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), -500.0)
-    index = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
+    # Words become numbers bag by bag, so the bags themselves are never held together.
+    index: dict[bytes, int] = {}
+    sizes, numbers = [], array("i")
+    for bag in bags:
+        sizes.append(len(bag))
+        numbers.extend([index.setdefault(w, len(index)) for w in bag])
+    word, doc = np.frombuffer(numbers, np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     bucket, owner = gram_buckets(list(index))
     per_word = np.bincount(owner, minlength=len(index)).astype(float)
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    word = np.array([index[w] for b in bags for w in b], np.int64)
     rng = np.random.default_rng(7)
     vectors, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     used = np.unique(bucket)
@@ -110,17 +116,17 @@ def fit(bags: list[list[bytes]], toxic: list[int], shares: tuple[float, float])
         cold = (EPOCHS - epoch) / EPOCHS * 4
         cold = COLDEST if cold < COLDEST else (math.inf if epoch < EPOCHS // 8 else cold)
         z = z_word[word]
-        top = np.full(len(bags), -np.inf)
+        top = np.full(len(y), -np.inf)
         np.maximum.at(top, doc, z)
         a = np.exp((z - top[doc]) / cold)
-        a /= np.bincount(doc, a, len(bags))[doc]
-        p = 1 / (1 + np.exp(-(np.bincount(doc, a * z, len(bags)) + bias[1] - bias[0])))
+        a /= np.bincount(doc, a, len(y))[doc]
+        p = 1 / (1 + np.exp(-(np.bincount(doc, a * z, len(y)) + bias[1] - bias[0])))
         error = (p - y) * weight
         g_word = np.bincount(word, error[doc] * a, len(index)) / per_word
         g_bucket = np.bincount(bucket, g_word[owner], BUCKETS)
         g_u = vectors[used].T @ g_bucket[used]
         g_b = error.sum()
-        grads = (np.outer(g_bucket, u) + DECAY * vectors / len(bags), np.stack([-g_u, g_u], 1), np.array([-g_b, g_b]))
+        grads = (np.outer(g_bucket, u) + DECAY * vectors / len(y), np.stack([-g_u, g_u], 1), np.array([-g_b, g_b]))
         for param, grad, (m, v) in zip((vectors, soft, bias), grads, state):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
@@ -145,13 +151,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag: int = B
     chosen = cut_lineage(chosen[0].union(chosen[1]))
 
     def bags(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted(words(t.as_py()), key=lambda w: (zlib.crc32(w), w))[:bag] for t in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.binary()))], names=["doc_id", "bag"])
+        found = [b" ".join(sorted(words(t.as_py()), key=lambda w: (zlib.crc32(w), w))[:bag]) for t in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "bag"])
 
-    taken = map_batches(keep_listed(docs.select("doc_id", "text"), chosen.select("doc_id"), "doc_id"), bags, "doc_id bigint, bag array<binary>")
-    rows = taken.join(F.broadcast(chosen), "doc_id").filter("size(bag) > 0").dropDuplicates(["doc_id"]).collect()
+    taken = map_batches(keep_listed(docs.select("doc_id", "text"), chosen.select("doc_id"), "doc_id"), bags, "doc_id bigint, bag binary")
+    rows = taken.join(F.broadcast(chosen), "doc_id").filter("octet_length(bag) > 0").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([[bytes(w) for w in r["bag"]] for r in rows], [r["toxic"] for r in rows],
+    return fit((bytes(r["bag"]).split() for r in rows), [r["toxic"] for r in rows],
                ((counts.get(0, 0) + 1) / total, (counts.get(1, 0) + 1) / total))
 
 
