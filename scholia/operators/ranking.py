@@ -118,13 +118,14 @@ def title_matches(cited: DataFrame, resources: DataFrame) -> DataFrame:
     rest = wanted.join(titles, F.col("cited") == F.col("title"), "left_anti").select("cited", F.lower("cited").alias("lc"))
     low = titles.select(F.lower("title").alias("lt"), "ord", "resource_id")
 
-    def pieces(t: DataFrame, col: str) -> DataFrame:
-        starts = F.explode(F.sequence(F.lit(1), F.length(col)))
-        return (t.withColumn("_s", starts)
-                .withColumn("_n", F.explode(F.sequence(F.lit(1), F.length(col) - F.col("_s") + 1)))
+    def pieces(t: DataFrame, col: str, others: DataFrame, short: str) -> DataFrame:
+        """Distinct substrings of ``col`` in the lengths that ``short`` has; a set of lengths is no larger than the longest title."""
+        lengths = others.agg(F.collect_set(F.length(short))).scalar()
+        return (t.withColumn("_l", lengths).withColumn("_n", F.explode("_l")).drop("_l").filter(F.col("_n") <= F.length(col))
+                .withColumn("_s", F.explode(F.sequence(F.lit(1), F.length(col) - F.col("_n") + 1)))
                 .withColumn("piece", F.expr(f"substring({col}, _s, _n)")).drop("_s", "_n").distinct())
 
-    title_in_cite = pieces(rest, "lc").join(low, F.col("piece") == F.col("lt")).select("cited", "resource_id", "ord")
-    cite_in_title = pieces(low, "lt").join(rest, F.col("piece") == F.col("lc")).select("cited", "resource_id", "ord")
+    title_in_cite = pieces(rest, "lc", low, "lt").join(low, F.col("piece") == F.col("lt")).select("cited", "resource_id", "ord")
+    cite_in_title = pieces(low, "lt", rest, "lc").join(rest, F.col("piece") == F.col("lc")).select("cited", "resource_id", "ord")
     return (exact.unionByName(title_in_cite).unionByName(cite_in_title)
             .groupBy("cited").agg(F.min_by("resource_id", "ord").alias("resource_id")))

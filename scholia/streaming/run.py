@@ -15,7 +15,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1000) -> DataFrame:
     """A supplied table as a stream; event times become zoned, because watermarks need them so."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{sf_dir}/{name}*.parquet")
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{sf_dir}/{name}[.]parquet")
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in s.columns else s
 
 
