@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scholia.llm import bpe, chat, decontaminate, fingerprint, lengths, neardup, secret_scan, shards, toxicity, warc
-from scholia.llm.common import table
+from scholia.llm.common import LOWER, UPPER, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -20,6 +20,56 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+
+CONTAMINATION = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bn AS (SELECT *, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+bi AS (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM bn),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM bi),
+di AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g)),
+p AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM di),
+h AS (SELECT DISTINCT doc_id, n, i, CAST(item_id AS VARCHAR) AS item FROM p JOIN g USING (n, g)),
+c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY 1),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+GROUPS = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both_ >= 80 * (a.n + b.n - both_)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
+def escaped(c: str) -> str:
+    out = f"replace({c}, '\\', '\\\\')"
+    for x in chat.CONTROL:
+        out = f"replace({out}, '{x}', '{x[0]}\\{x[1:]}')"
+    return out
+
+
+CHAT = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)),
+o AS (SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN before IS DISTINCT FROM role THEN {len(chat.TURN + chat.TEXT)} + length({escaped("role")}) ELSE {len(chat.NEXT)} END
+    + length({escaped("text")}) + CASE WHEN after IS DISTINCT FROM role THEN {len(chat.END)} ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
 @query("op3_token_lengths")
 def token_lengths(spark, sf_dir):
     return lengths.histogram(bpe.token_counts(table(spark, sf_dir, "documents")))
@@ -30,12 +80,12 @@ def bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-@query("op9_near_duplicates")
+@query("op9_near_duplicates", GROUPS)
 def near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("rid")
 
 
-@query("op2_decontamination")
+@query("op2_decontamination", CONTAMINATION)
 def decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,7 +113,7 @@ def shard_rows(spark, sf_dir):
     return shards.assign(table(spark, sf_dir, "documents")).drop("rid")
 
 
-@query("op6_chat")
+@query("op6_chat", CHAT)
 def chat_digests(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
