@@ -7,7 +7,7 @@ gives the encoding of any prefix, more bytes extend it, and after an edit only t
 Texts are cut into pieces by the tokenizer's pattern first, and pieces never merge with each other.
 
 Scale: one pass over the documents, no shuffle. The rank file (under a megabyte, its size is the vocabulary's) is read by the driver and
-broadcast. Each worker remembers at most ``REMEMBERED`` pieces and ``PAIRS`` pairs.
+broadcast. Each worker remembers at most twice ``REMEMBERED`` words, ``PIECES`` pieces and beginnings, and ``PAIRS`` pairs: some 200 MB.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -27,9 +26,9 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from scholia.llm.common import map_batches
+from scholia.llm.common import held, map_batches
 
-REMEMBERED, PAIRS, HEAD = 300_000, 1_000_000, 6
+REMEMBERED, PIECES, PAIRS, HEAD = 150_000, 50_000, 500_000, 6
 #: Below this the letters of all Unicode versions are the same.
 EASY = "\u0250"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -104,6 +103,8 @@ class Vocabulary:
 class Prefixes:
     """The last token of every prefix of one piece."""
 
+    __slots__ = ("vocabulary", "piece", "last")
+
     def __init__(self, vocabulary: Vocabulary, piece: bytes = b"", known: "Prefixes | None" = None) -> None:
         """``known``: the table of some prefix of the piece, which is taken over."""
         self.vocabulary, self.piece, self.last = vocabulary, b"", [-1]
@@ -188,7 +189,7 @@ class Encoder:
             raw = piece.encode("utf-8", "replace")
             whole = self.vocabulary.rank.get(raw)
             ids = (whole,) if whole is not None else tuple(self._table(raw).ids())
-            if len(self.pieces) >= REMEMBERED:
+            if len(self.pieces) >= PIECES:
                 self.pieces.clear()
             if len(raw) <= 64:
                 self.pieces[piece] = ids
@@ -201,7 +202,7 @@ class Encoder:
         head = raw[:HEAD]
         known = self.heads.get(head)
         if known is None:
-            if len(self.heads) >= REMEMBERED:
+            if len(self.heads) >= PIECES:
                 self.heads.clear()
             known = self.heads[head] = Prefixes(self.vocabulary, head)
         return Prefixes(self.vocabulary, raw, known)
@@ -271,17 +272,11 @@ def uncollected() -> Iterator[None]:
         gc.enable()
 
 
-@lru_cache(maxsize=4)
-def encoder(data: bytes, pattern: str) -> Encoder:
-    """One per worker and rank file; workers are used for many tasks."""
-    return Encoder(data, pattern)
-
-
 def shipped(df: DataFrame, ranks: str, pattern: str):
     """A function that gives the encoder inside a task."""
     with open(ranks, "rb") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
-    return lambda: encoder(data.value, pattern)
+    return lambda: held(Encoder, data.value, pattern)
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

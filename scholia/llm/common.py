@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,6 +33,32 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+_HELD: dict[tuple, Any] = {}
+
+
+def held(make: Callable[..., Any], *key: Any) -> Any:
+    """``make(*key)``, kept by a Python worker over its tasks until another one is asked for: a worker serves many operators, and
+    their tables must not add up."""
+    name = (make, *key)
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make(*key)
+    return _HELD[name]
+
+
+class Named:
+    """A broadcast value that equals another of the same name."""
+
+    def __init__(self, spark: SparkSession, value: Any) -> None:
+        self.name, self.sent = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Named) and other.name == self.name
+
+    def __hash__(self) -> int:
+        return hash(self.name)
+
+
 SMALL_KEYS = 1_000_000
 
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh32_hexdigest
 
-from scholia.llm.common import map_batches
+from scholia.llm.common import Named, held, map_batches
 
 BAND = (0.0005, 0.1)
 LARGEST = 2_000_000
@@ -115,21 +114,14 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[bytes]:
     return [bytes(r[0]) for r in rows]
 
 
-_LEXICONS: dict[str, Lexicon] = {}
+def _received(named: Named) -> Lexicon:
+    return Lexicon(named.sent.value)
 
 
 def shipped(df: DataFrame, words: list[bytes]):
     """A function that gives the lexicon inside a task; each worker builds it once."""
-    sent = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, words))
-
-    def get() -> Lexicon:
-        name, words_ = sent.value
-        if name not in _LEXICONS:
-            _LEXICONS.clear()
-            _LEXICONS[name] = Lexicon(words_)
-        return _LEXICONS[name]
-
-    return get
+    sent = Named(df.sparkSession, words)
+    return lambda: held(_received, sent)
 
 
 def fingerprints(docs: DataFrame, words: list[bytes]) -> DataFrame:

@@ -13,7 +13,6 @@ model is one number per bucket and is broadcast. Scoring is one pass over whole
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterable
@@ -23,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import keep_listed, map_batches
+from scholia.llm.common import Named, held, keep_listed, map_batches
 from scholia.session import cut_lineage
 
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
 SAMPLE, BAG = 1500, 1000
 EPOCHS, RATE, DECAY, COLDEST = 100, 0.05, 0.01, 0.5
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _BREAKS = bytes(32 if c < 33 or chr(c) in "\"#%&'()+,-./:;<=>?[\\]^_`{|}~" else c for c in range(256))
 
 
@@ -163,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag: int = B
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted for every row; null texts are empty, and an empty text gets the prior alone."""
-    shipped = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.gains, model.bias))
+    shipped = Named(docs.sparkSession, (model.gains, model.bias))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = _model(shipped)
@@ -177,21 +176,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-_MODELS: dict[str, Model] = {}
+def _received(shipped: Named) -> Model:
+    return Model(*shipped.sent.value)
 
 
-def _model(shipped) -> Model:
-    """One per worker and broadcast, so that known words outlive a task."""
-    name, gains, bias = shipped.value
-    if name not in _MODELS:
-        _MODELS.clear()
-        _MODELS[name] = Model(gains, bias)
-    return _MODELS[name]
+def _model(shipped: Named) -> Model:
+    """One per worker and model, so that known words outlive a task."""
+    return held(_received, shipped)
 
 
 def keep_clean(docs: DataFrame, model: Model, at_least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``at_least``, with all their columns."""
-    shipped = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.gains, model.bias))
+    shipped = Named(docs.sparkSession, (model.gains, model.bias))
     place = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
