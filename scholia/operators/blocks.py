@@ -19,6 +19,7 @@ from scholia.operators.cleaning import is_noise, looks_like_code
 
 BLOCK = "struct<pos:int,page:int,y:double,type:string,text:string,font_size:double,indent:int>"
 FIELDS = ("pos", "page", "y", "type", "text", "font_size", "indent")
+# Signs that open list items.
 BULLETS = "•‣◦⁃∙►▪▸➤➢"
 DASHES = "–—‐‑\\-"
 
@@ -229,6 +230,7 @@ def split_bullets(docs: DataFrame) -> DataFrame:
     return each(docs, lambda bs: flat_map(bs, one))
 
 
+# Fixed value: how ordered items begin.
 ORDERED = r"^(?:\()?([0-9a-zA-Z]|[ivxIVX]+)(?:\.|\))(?:\s+|$)"
 
 
@@ -303,6 +305,7 @@ def orphan_body(docs: DataFrame) -> DataFrame:
     return each(docs, run)
 
 
+# Fixed value: words that head a list.
 LABEL = r"(?:Advantages|Disadvantages|Features|Benefits|Drawbacks|Characteristics|Properties|Types|Examples|Steps|Requirements)\s+(?:of\s+)?"
 
 
@@ -344,6 +347,7 @@ def redundant_metadata(docs: DataFrame) -> DataFrame:
     return each(docs, lambda bs: let(top(bs), lambda h: run(bs, h)))
 
 
+# Fixed value: worked examples within a line.
 EXAMPLE = r"(?:^|\s)([A-Z][a-z]+(?:\s+[a-z]+)*\s*:\s*\S+\s*=\s*[01]+)"
 
 

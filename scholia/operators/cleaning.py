@@ -24,6 +24,7 @@ SLIDE_FOOTERS = [
 ]
 LONE_MARKS = ["-", "—", "–", "*", "•"]
 PICTURE_START, PICTURE_END = "<!-- Start of picture text -->", "<!-- End of picture text -->"
+# Words and signs that make a picture's text code.
 PICTURE_WORDS = ["cout", "cin", "int", "=", ";", "{", "}"]
 
 
@@ -101,6 +102,7 @@ def classified_lines(text: Column | str) -> Column:
     return let(lines(text), lambda ls: let(mean_of(ls), lambda m: all_lines(ls, m)))
 
 
+# The marks of each kind of line.
 MARKDOWN_MARKS = [("h1", r"^# "), ("h2", r"^## "), ("h3", r"^### "), ("h4", r"^#### "), ("h5", r"^##### "), ("list", r"^- "),
                   ("ordered_list", r"^\d+\.\s"), ("table_row", r"^(?=\|)")]
 
@@ -357,6 +359,7 @@ def reasoning_scrub(text: Column | str) -> Column:
     return strip(F.when(c.startswith("```"), bare).otherwise(c))
 
 
+# Parts of the messages of failing providers.
 PROVIDER_ERRORS = ["connection failed", "failed after", "provider error", "timeout", "timed out", "[gemini]", "[huggingface]", "[ollama]"]
 
 

@@ -81,6 +81,7 @@ def validate_markdown(text: Column) -> Column:
 
 def slide_headings(text: Column | str) -> Column:
     """Continuation headings merged, a chapter joined with its subtitle, levels put in order."""
+    # Fixed value: how a continued slide says so.
     pattern = r"(?i)^(#{1,4}\s+)(.*?)(?:\s*[\(\[]\s*(?:\d+\s+of\s+\d+|part\s+\d+|cont\.?(?:inued)?)\s*[\)\]])\s*$"
 
     def continued(ls: Column) -> Column:
@@ -98,6 +99,7 @@ def slide_headings(text: Column | str) -> Column:
         return F.when(first > 0, F.slice(ls, first.cast("int"), F.size(ls))).otherwise(no_text())
 
     def subtitle(ls: Column) -> Column:
+        # Fixed value: a chapter line without a title.
         chapter = r"(?i)^#{1,3}\s+(Chapter\s+\d+|Topic\s+\d+)\s*$"
         places = F.transform(ls, lambda x, i: F.struct(i.alias("i"), x.alias("x"), (strip(x) != "").alias("full")))
         def join_at(ps: Column) -> Column:

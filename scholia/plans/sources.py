@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scholia.operators import quality as Q
 from scholia.params import AS_OF
 from scholia.plans.registry import query, view
 from scholia.session import scratch_path
@@ -150,12 +151,24 @@ def _(t):
     return back.select("id", F.size("vector").cast("long").alias("n"), F.bround(total, 3).alias("total"))
 
 
-@query("snk_jsonl_train", "SELECT conv_id, turn, role, text FROM conversations")
+def trimmed(c):
+    return rf"regexp_replace({c}, '^[\s\p{{Z}}\x{{0b}}\x{{85}}]+|[\s\p{{Z}}\x{{0b}}\x{{85}}]+$', '', 'g')"
+
+
+@query("snk_jsonl_train", f"""
+WITH p AS (SELECT u.conversation_id || '-' || u.turn AS id, {trimmed('u.text')} AS r, {trimmed('a.text')} AS p FROM v_turns u JOIN v_turns a ON a.conversation_id = u.conversation_id
+  AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
+k AS (SELECT *, row_number() OVER (ORDER BY md5(id || 'seed'), id) AS i, count(*) OVER () AS n FROM p WHERE r <> '' AND p <> '')
+SELECT CASE WHEN i <= floor(n * 0.9::DOUBLE) THEN 'train' ELSE 'valid' END AS split, 'system=Format;user=' || r || ';assistant=' || p AS messages FROM k""")
 def _(t):
+    """Pairs of a question and its answer, split, written as train and validation files of chat messages, and read back."""
+    key = F.concat_ws("-", "conversation_id", "turn").alias("id")
+    answers = t.turns.filter("role = 'assistant'").withColumn("turn", F.col("turn") - 1)
+    pairs = Q.training_pairs(t.turns.filter("role = 'user'").select(key, "text"), answers.select(key, "text"), "Format")
     path = scratch_path(t.spark, "pairs")
-    W.write_lines(t.conversations, path)
-    lines = t.spark.read.text(path)
-    return lines.select(F.from_json("value", "conv_id bigint, turn bigint, role string, text string").alias("r")).select("r.*")
+    W.write_chat_files(pairs.join(Q.split_pairs(pairs, "seed"), "id"), path)
+    back = t.spark.read.text(path).select("split", F.from_json("value", "messages array<struct<role:string,content:string>>").alias("r"))
+    return back.select("split", F.array_join(F.transform("r.messages", lambda m: F.concat(m["role"], F.lit("="), m["content"])), ";").alias("messages"))
 
 
 @query("snk_replace_by_key", """
