@@ -7,7 +7,7 @@ gives the encoding of any prefix, more bytes extend it, and after an edit only t
 Texts are cut into pieces by the tokenizer's pattern first, and pieces never merge with each other.
 
 Scale: one pass over the documents, no shuffle. The rank file (under a megabyte, its size is the vocabulary's) is read by the driver and
-broadcast. Each worker remembers at most twice ``REMEMBERED`` words, ``PIECES`` pieces and beginnings, and ``PAIRS`` pairs: some 200 MB.
+broadcast. Each worker remembers at most twice ``REMEMBERED`` words, ``PIECES`` pieces and beginnings, and ``PAIRS`` pairs: some 150 MB.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from scholia.llm.common import held, map_batches
 
-REMEMBERED, PIECES, PAIRS, HEAD = 150_000, 50_000, 500_000, 6
+REMEMBERED, PIECES, PAIRS, HEAD = 120_000, 30_000, 300_000, 6
 #: Below this the letters of all Unicode versions are the same.
 EASY = "\u0250"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

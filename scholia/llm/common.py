@@ -23,16 +23,20 @@ def ascii_lower(c: Column) -> Column:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One Arrow batch in, one out: no state is carried, so a lost task is simply run again."""
+    """Arrow batches in slices of ``SLICE`` rows, one out for each: no state is carried, so a lost task is simply run again, and
+    a worker holds what one slice needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for at in range(0, batch.num_rows, SLICE):
+                yield fn(batch.slice(at, SLICE))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+SLICE = 500
+
 _HELD: dict[tuple, Any] = {}
 
 
@@ -41,11 +45,16 @@ def held(make: Callable[..., Any], *key: Any) -> Any:
     their tables must not add up."""
     name = (make, *key)
     if name not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[name] = make(*key)
     return _HELD[name]
 
 
+def release() -> None:
+    """For operators that hold nothing: what others have left in this worker goes."""
+    _HELD.clear()
+
+
 class Named:
     """A broadcast value that equals another of the same name."""
 

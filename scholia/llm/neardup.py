@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from scholia.llm.common import keep_listed, map_batches
+from scholia.llm.common import keep_listed, map_batches, release
 from scholia.session import cut_lineage
 
 BANDS, ROWS = 32, 5
@@ -101,6 +101,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, rid, n (set size), digest of the set, keys (one per band); empty sets have no digest and no keys."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        release()
         texts, sizes, digests, keys = batch.column(2), [], [], []
         block: list[np.ndarray] = []
 

@@ -28,7 +28,7 @@ from scholia.session import cut_lineage
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
 SAMPLE, BAG = 1500, 1000
 EPOCHS, RATE, DECAY, COLDEST = 100, 0.05, 0.01, 0.5
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _BREAKS = bytes(32 if c < 33 or chr(c) in "\"#%&'()+,-./:;<=>?[\\]^_`{|}~" else c for c in range(256))
 
 
