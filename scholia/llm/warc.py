@@ -74,8 +74,10 @@ def resolve(records: DataFrame, carry: list[str]) -> DataFrame:
         "record_id", "key", F.lit("no_response").alias("outcome"), F.lit(None).cast(dict(records.dtypes)["record_id"]).alias("response_id"))
     revisits = records.filter("kind = 'revisit'").select(F.col("record_id").alias("_r"), F.col("headers").alias("_sent")).dropDuplicates(["_r"])
     responses = records.filter(full).select(F.col("record_id").alias("_s"), F.col("headers").alias("_stored"), *carry).dropDuplicates(["_s"])
-    needed = F.when(F.col("outcome") == "resolved", F.col("response_id"))
-    out = (found.join(revisits, F.col("record_id") == F.col("_r"), "left").join(responses, needed == F.col("_s"), "left"))
+    # Rows that need no response go by their own id, so that they do not meet in one task.
+    resolved = F.col("outcome") == "resolved"
+    needed = F.when(resolved, F.col("response_id")).otherwise(F.col("record_id"))
+    out = found.join(revisits, F.col("record_id") == F.col("_r"), "left").join(responses, (needed == F.col("_s")) & resolved, "left")
     sent = F.map_filter("_sent", lambda k, v: ~k.isin(KEPT_FIELDS))
     merged = F.map_concat(F.map_filter("_stored", lambda k, v: ~F.map_contains_key(sent, k)), sent)
     out = out.select("record_id", "key", "outcome", "response_id", F.when(F.col("_s").isNotNull(), merged).alias("headers"), *carry)
