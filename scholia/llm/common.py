@@ -24,7 +24,11 @@ def ascii_lower(c: Column) -> Column:
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Arrow batches in slices of ``SLICE`` rows, one out for each: no state is carried, so a lost task is simply run again, and
-    a worker holds what one slice needs."""
+    executors and workers hold what one slice needs. The session's limit of rows per Arrow batch is lowered to that, if larger.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ARROW_ROWS)) <= SLICE:
+        conf.set(ARROW_ROWS, SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,7 +39,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
-SLICE = 500
+SLICE, ARROW_ROWS = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _HELD: dict[tuple, Any] = {}
 
