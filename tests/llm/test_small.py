@@ -123,6 +123,35 @@ def test_markov_model_tells_random_from_names(spark):
     assert secret_scan.scan(new, secret_scan.train(docs)).first()["spans"] == "random:4:27"
 
 
+@pytest.fixture(scope="module")
+def trained(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return docs, secret_scan.train(docs)
+
+
+@pytest.mark.parametrize("letters", ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+                                     "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_tokens_of_every_alphabet(spark, trained, letters):
+    import random
+    rng = random.Random(5)
+    drawn = [(n, f"the {''.join(rng.choice(letters) for _ in range(n))} is") for n in (16, 20, 24, 32, 40) for _ in range(200)]
+    new = spark.createDataFrame(drawn, "doc_id bigint, text string")
+    got = secret_scan.scan(new, trained[1]).groupBy("doc_id").agg(F.avg((F.col("spans") != "").cast("int")).alias("recall")).collect()
+    print(letters, sorted((r["doc_id"], r["recall"]) for r in got))
+    assert min(r["recall"] for r in got) >= 0.95
+
+
+def test_ordinary_tokens_stay(spark, trained):
+    docs, model = trained
+    spans = secret_scan.scan(docs, model).select(F.explode(F.split("spans", ",")).alias("s")).filter("s like 'random%'").count()
+    long = docs.select(F.size(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=.-]{16,}"), F.lit(0))).alias("n")).agg(F.sum("n")).first()[0]
+    print("random", spans, "of", long)
+    assert spans <= 0.005 * long
+    new = ["-" * 40, "=" * 20, "a" * 30, "0" * 16, "4111111111111111", "mail7.example.com", "." * 20 + "x"]
+    rows = spark.createDataFrame(list(enumerate(new)), "doc_id bigint, text string")
+    assert {r["spans"] for r in secret_scan.scan(rows, model).collect()} == {""}
+
+
 def test_shards(docs):
     rows = shards.assign(docs, shards=3, bucket=2).collect()
     by = {}
