@@ -6,14 +6,13 @@ a very long text still lift. Training anneals from the plain mean over words to
 punctuation, A-Z in lower case.
 
 Scale: class counts cover all labelled rows. The fit takes at most ``SAMPLE`` rows per class (those whose ids have the smallest hashes), which
-tasks first turn into bags of at most ``BAG`` distinct words (again the smallest hashes). The driver gets these bags and nothing else. The
+tasks first turn into bags of all their distinct words. The driver gets these bags and nothing else; ``SAMPLE`` bounds them. The
 model is one number per bucket and is broadcast. Scoring is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from array import array
 from collections.abc import Iterable
 
@@ -26,7 +25,7 @@ from scholia.llm.common import Named, held, keep_listed, map_batches
 from scholia.session import cut_lineage
 
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
-SAMPLE, BAG = 1500, 1000
+SAMPLE = 1500
 EPOCHS, RATE, DECAY, COLDEST = 100, 0.05, 0.01, 0.5
 REMEMBERED = 100_000
 _BREAKS = bytes(32 if c < 33 or chr(c) in "\"#%&'()+,-./:;<=>?[\\]^_`{|}~" else c for c in range(256))
@@ -140,7 +139,7 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag: int = BAG) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from labels(doc_id, toxic) outside the held-out part. Null labels and ids are left out; a doc_id with several labels is toxic if one says so."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = cut_lineage(known)
@@ -150,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag: int = B
     chosen = cut_lineage(chosen[0].union(chosen[1]))
 
     def bags(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [b" ".join(sorted(words(t.as_py()), key=lambda w: (zlib.crc32(w), w))[:bag]) for t in batch.column(1)]
+        found = [b" ".join(sorted(words(t.as_py()))) for t in batch.column(1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "bag"])
 
     taken = map_batches(keep_listed(docs.select("doc_id", "text"), chosen.select("doc_id"), "doc_id"), bags, "doc_id bigint, bag binary")

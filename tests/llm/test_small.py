@@ -177,6 +177,16 @@ def test_written_shards(spark, tmp_path):
     assert {r["c"] for r in back.groupBy("shard").agg((F.count("*") - F.max("slot")).alias("c")).collect()} == {1}
 
 
+def test_whole_bags_are_fitted(spark, monkeypatch):
+    texts = {i: " ".join(f"w{i}x{j}" for j in range(3000)) for i in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda bags, toxic, shares: seen.extend(bags))
+    toxicity.train(docs, labels)
+    assert seen and {frozenset(b) for b in seen} <= {frozenset(toxicity.words(t)) for t in texts.values()}
+
+
 def test_chat(spark):
     nasty = "\\<|end|>\\\\ <s>[INST]<<SYS>>\n<|text|>"
     rows = [(1, 1, "assistant", nasty), (1, 0, "user", None), (1, 2, "assistant", "more"), (1, 3, None, "x"), (None, 0, "user", "a"), (None, 0, "user", "a"), (2, None, "assistant", "")]
