@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from scholia.llm.common import keep_listed, map_batches, release
-from scholia.session import cut_lineage
+from scholia.session import cut_lineage, scratch_path
 
 BANDS, ROWS = 32, 5
 BLOCK = 200_000
@@ -97,7 +97,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+def signatures(docs: DataFrame, k: int, bands: int, rows: int, number: Column | None = None) -> DataFrame:
     """doc_id, rid, n (set size), digest of the set, keys (one per band); empty sets have no digest and no keys."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                                            pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "rid", "n", "digest", "keys"])
 
-    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text")
+    numbered = docs.select("doc_id", (F.monotonically_increasing_id() if number is None else number).alias("rid"), "text")
     return map_batches(numbered, sign, "doc_id bigint, rid bigint, n bigint, digest binary, keys array<bigint>")
 
 
@@ -231,14 +231,16 @@ def close(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
+                    number: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and rid for every row of ``docs`` (doc_id, text; more columns are ignored).
 
     component_id is the smallest doc_id that links lead to; null ids come last. Null and empty texts, and texts without
     words, are linked with nothing. Of rows that repeat a doc_id within a group one is kept.
+    rid is ``number`` (distinct bigints, a column of ``docs``), or else counted in this reading of ``docs`` and good for nothing outside the result.
     With the default bands a pair of likeness 0.8 is missed with probability (1 - 0.8^5)^32 = 3e-6, one of 0.9 with 1e-12.
     """
-    signed = cut_lineage(signatures(docs, k, bands, rows))
+    signed = cut_lineage(signatures(docs, k, bands, rows, number))
     # Rows of a group are ordered by this, nulls last.
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))
     nodes = cut_lineage(signed.filter("digest is not null").groupBy("digest").agg(F.min(order).alias("top")).withColumn("node", F.col("top.rid")))
@@ -289,8 +291,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
 
-    ``docs`` must be read from files: rows are numbered in each reading and matched by number.
+    The rows are written once with their numbers, below the scratch path: a second reading may be split otherwise and number them anew.
     """
-    gone = cut_lineage(near_duplicates(docs, k, percent).filter(~F.col("kept")).select("rid"))
-    numbered = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number"))
+    path = scratch_path(docs.sparkSession, "numbered")
+    docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")).write.parquet(path)
+    numbered = docs.sparkSession.read.parquet(path)
+    seen = numbered.select("row.doc_id", "row.text", "number")
+    gone = cut_lineage(near_duplicates(seen, k, percent, number=F.col("number")).filter(~F.col("kept")).select("rid"))
     return keep_listed(numbered, gone, "number", "left_anti").select("row.*")

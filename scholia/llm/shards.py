@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.text import let
 from scholia.llm.common import running_sums
-from scholia.session import cut_lineage
+from scholia.session import cut_lineage, scratch_path
 
 SEED, BUCKET, SPAN = 20240229, 512, 1024
 
@@ -35,18 +35,18 @@ def fisher_yates(n: Column, seed: Column) -> Column:
     return F.aggregate(steps, start, swap)
 
 
-def scatter(docs: DataFrame, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
+def scatter(docs: DataFrame, seed: int = SEED, bucket: int = BUCKET, number: Column | None = None) -> DataFrame:
     """Pass 1: rid, doc_id, size (UTF-8 bytes and 1; 1 for null), text_crc32 (null: of the empty text) and bucket of every row, written."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keys = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    keys = docs.select((F.monotonically_increasing_id() if number is None else number).alias("rid"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     buckets = max(1, -(-docs.count() // bucket))
     return cut_lineage(keys.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("rid")), F.lit(buckets))))
 
 
-def assign(docs: DataFrame, shards: int = 16, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 16, seed: int = SEED, bucket: int = BUCKET, number: Column | None = None) -> DataFrame:
     """rid, doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law) for every row. An empty table gives no rows; with fewer rows
-    than shards some shards stay empty. The order is fixed by the seed and the layout of the input."""
-    keys = scatter(docs, seed, bucket)
+    than shards some shards stay empty. The order is fixed by the seed and the layout of the input. rid is ``number``, if given."""
+    keys = scatter(docs, seed, bucket, number)
     counts = keys.groupBy("bucket").agg(F.count("*").alias("n"))
     offsets = running_sums(counts, "bucket", ["n"], SPAN).select("bucket", F.col("n_before").alias("offset"))
     row = F.struct("rid", "doc_id", "size", "text_crc32")
@@ -62,9 +62,13 @@ def assign(docs: DataFrame, shards: int = 16, seed: int = SEED, bucket: int = BU
 def write(docs: DataFrame, path: str, shards: int = 16, seed: int = SEED, files: int = 8) -> None:
     """Writes the rows of ``docs``, with ``slot``, as folders shard=0 .. of Parquet files, each file a run of slots in order.
 
-    Each shard is dealt out to ``files`` tasks by ranges of slots, so no task writes a whole shard. ``docs`` must be read from files: rows are
-    matched by number in the second reading.
+    Each shard is dealt out to ``files`` tasks by ranges of slots, so no task writes a whole shard. The rows are written once with
+    their numbers, below the scratch path: a second reading may be split otherwise and number them anew.
     """
-    where = cut_lineage(assign(docs, shards, seed).select("rid", "shard", "slot"))
-    placed = docs.withColumn("rid", F.monotonically_increasing_id()).join(where, "rid").drop("rid")
+    scratch = scratch_path(docs.sparkSession, "numbered")
+    docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")).write.parquet(scratch)
+    numbered = docs.sparkSession.read.parquet(scratch)
+    seen = numbered.select("row.doc_id", "row.text", "number")
+    where = cut_lineage(assign(seen, shards, seed, number=F.col("number")).select(F.col("rid").alias("number"), "shard", "slot"))
+    placed = numbered.join(where, "number").select("row.*", "shard", "slot")
     placed.repartitionByRange(shards * files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -187,6 +187,21 @@ def test_whole_bags_are_fitted(spark, monkeypatch):
     assert seen and {frozenset(b) for b in seen} <= {frozenset(toxicity.words(t)) for t in texts.values()}
 
 
+def test_numbers_are_data(spark, tmp_path):
+    for part in range(4):
+        rows = [(100 * part + i, " ".join(f"p{part}i{i}w{j}" for j in range(200)), 0) for i in range(40)]
+        rows[20:] = [(d + 20, t, 1) for d, t, _ in rows[:20]]
+        spark.createDataFrame(rows, "doc_id bigint, text string, copy int").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    key, size = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    out = neardup.keep_first(spark.read.parquet(str(tmp_path / "docs")))
+    spark.conf.set(key, "2000")
+    try:
+        got = out.select("copy").collect()
+    finally:
+        spark.conf.set(key, size)
+    assert [r["copy"] for r in got] == [0] * 80
+
+
 def test_chat(spark):
     nasty = "\\<|end|>\\\\ <s>[INST]<<SYS>>\n<|text|>"
     rows = [(1, 1, "assistant", nasty), (1, 0, "user", None), (1, 2, "assistant", "more"), (1, 3, None, "x"), (None, 0, "user", "a"), (None, 0, "user", "a"), (2, None, "assistant", "")]
