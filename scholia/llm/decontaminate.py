@@ -88,21 +88,30 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
                                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def by_text(docs: DataFrame) -> DataFrame:
+    """The texts with their digests for ids."""
+    return docs.select(digest(F.col("text")).alias("doc_id"), "text")
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """The rows of ``docs`` without a hit. A doc_id of which one row is hit goes with all its rows; null ids count as one id."""
-    bad = cut_lineage(hits(docs, items, n).filter("n_hit > 0").select("doc_id").distinct())
-    return keep_listed(docs.select(F.struct(*docs.columns).alias("row")), bad, "row.doc_id", "left_anti").select("row.*")
+    """The rows of ``docs`` without a hit. The text alone decides: other rows of the same doc_id, or of none, stay."""
+    bad = cut_lineage(hits(by_text(docs), items, n).filter("n_hit > 0").select("doc_id").distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest(F.col("text")).alias("digest"))
+    return keep_listed(rows, bad, "digest", "left_anti").select("row.*")
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """``docs`` with the hit words, and the breaks after them, taken out of the texts; other texts stay to the letter.
 
-    A row is cut as the rows with its id and number of words are: repeated rows are cut alike.
+    Equal texts are cut alike; ids play no part.
     """
-    found = (hits(docs, items, n).filter("n_hit > 0").groupBy(F.col("doc_id").alias("id"), F.col("n_words").alias("n"))
-             .agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
-    joined = rows.join(found, F.col("own").eqNullSafe(F.col("id")) & (F.col("size") == F.col("n")), "left")
+    found = hits(by_text(docs), items, n).filter("n_hit > 0").groupBy(F.col("doc_id").alias("id")).agg(F.first("spans").alias("spans"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest(F.col("text")).alias("own"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    joined = rows.join(found, F.col("own") == F.col("id"), "left")
     text = F.col("row.text")
     # The text is gap, word, gap, word, ... gap; words count from 0.
     w, gaps = words_of(text), F.split(text, WORD, -1)

@@ -202,6 +202,17 @@ def test_numbers_are_data(spark, tmp_path):
     assert [r["copy"] for r in got] == [0] * 80
 
 
+def test_each_row_is_judged_by_its_own_text(spark, bench):
+    hit, clean, odd = "the quick brown fox jumps over the lazy dog by the old bank", "thirteen other words " * 4 + "end", "one two three"
+    rows = [(1, hit), (1, clean), (None, hit), (None, clean), (None, None), (2, odd), (2, hit), (3, hit)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    left = sorted(map(tuple, decontaminate.clean_documents(docs, bench).collect()), key=key)
+    assert left == sorted([r for r in rows if r[1] != hit], key=key)
+    cut = sorted(map(tuple, decontaminate.cut_spans(docs, bench).collect()), key=key)
+    assert cut == sorted([(d, "the bank" if t == hit else t) for d, t in rows], key=key)
+
+
 def test_chat(spark):
     nasty = "\\<|end|>\\\\ <s>[INST]<<SYS>>\n<|text|>"
     rows = [(1, 1, "assistant", nasty), (1, 0, "user", None), (1, 2, "assistant", "more"), (1, 3, None, "x"), (None, 0, "user", "a"), (None, 0, "user", "a"), (2, None, "assistant", "")]
