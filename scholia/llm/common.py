@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scholia.session import scratch_path
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,6 +74,13 @@ class Named:
         return hash(self.name)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a new table in the shared folder: computed once, and there for whoever reads it after an executor is lost."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 SMALL_KEYS = 1_000_000
 
 

