@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, chat, decontaminate, fingerprint, lengths, merkle, neardup, secret_scan, shards, spelling, toxicity, warc
+from scholia.llm import bpe, chat, covertree, decontaminate, fingerprint, lengths, merkle, neardup, secret_scan, shards, spelling, toxicity, warc
 from scholia.llm.common import LOWER, UPPER, table
 
 QUERIES, ORACLES = {}, {}
@@ -234,3 +234,16 @@ def spelling_variants(spark, sf_dir):
 @query("op12_merkle_manifest", MERKLE)
 def merkle_manifest(spark, sf_dir):
     return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+TOP_K = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10
+"""
+
+
+@query("op13_cover_tree_search", TOP_K)
+def cover_tree_search(spark, sf_dir):
+    return covertree.top_k(covertree.vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
