@@ -26,7 +26,7 @@ from scholia.llm.common import keep_listed, map_batches, release
 from scholia.session import cut_lineage, scratch_path
 
 BANDS, ROWS = 32, 5
-BLOCK = 200_000
+BLOCK, NEARBY = 200_000, 32
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -207,7 +207,8 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
     Sets that are alike enough share an item among the first n - ceil(percent/100 n) + 1 of both, in any order that is the same for all.
     Here the rarest items come first, so a passage or template that many texts share leads to no pairs between texts that differ otherwise. Of
-    the common items of a pair the first one has the earliest places in both, so testing the places of each loses no pair.
+    the common items of a pair the first one has the earliest places in both, so testing the places of each loses no pair; and it is the one with no other
+    before it, where the pair is made.
     """
     each = sets.select("node", F.explode("items").alias("item"))
     shared = each.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1")
@@ -215,14 +216,19 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     held = each.join(shared, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("held"))
     alone = F.col("n") - F.size("held")
     room = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - alone
+    # With each item go the ones before it: a pair that has one of these in common is made there. A slice bounds the rows of long texts; where
+    # it ends too soon a pair comes more than once, none is lost.
+    near = lambda i: F.transform(F.slice("held", F.greatest(i - NEARBY, F.lit(0)) + 1, F.least(i, F.lit(NEARBY))), lambda h: h["item"])
+    numbered = F.transform(F.slice("held", F.lit(1), room.cast("int")), lambda h, i: F.struct(
+        (F.col("alone") + i + 1).alias("place"), h["item"].alias("item"), near(i).alias("before")))
     first = (held.join(sets.select("node", "comp", "n"), "node").filter(room > 0)
-             .select("node", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("held", F.lit(1), room.cast("int"))).alias("i", "h"))
-             .select("node", "comp", "n", (F.col("alone") + F.col("i") + 1).alias("place"), F.col("h.item").alias("item")))
-    other = first.select(F.col("node").alias("other"), F.col("comp").alias("rcomp"), F.col("n").alias("m"), F.col("place").alias("rplace"), F.col("item").alias("ritem"))
+             .withColumn("alone", alone).select("node", "comp", "n", F.inline(numbered)))
+    other = first.select(F.col("node").alias("other"), F.col("comp").alias("rcomp"), F.col("n").alias("m"), F.col("place").alias("rplace"), F.col("item").alias("ritem"),
+                         F.col("before").alias("rbefore"))
     # A first common item this late in either set leaves too few for the intersection.
     left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("rplace")) + 1
     pairs = first.join(other, (F.col("item") == F.col("ritem")) & (F.col("comp") < F.col("rcomp")) & close(F.col("n"), F.col("m"), percent)
-                       & ((100 + percent) * left >= percent * (F.col("n") + F.col("m"))))
+                       & ((100 + percent) * left >= percent * (F.col("n") + F.col("m"))) & ~F.arrays_overlap("before", "rbefore"))
     return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
 
 
