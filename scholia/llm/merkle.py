@@ -44,7 +44,7 @@ def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
     for step in range(1, arity):
         other = nodes.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), F.col("digest").alias(f"_s{step}"))
         wanted = F.col("idx") - slot + (slot + step) % arity
-        nodes = nodes.join(other, (F.col("tree") == F.col("_tree")) & (wanted == F.col("_idx")), "left").drop("_tree", "_idx")
+        nodes = nodes.join(other.hint("merge"), (F.col("tree") == F.col("_tree")) & (wanted == F.col("_idx")), "left").drop("_tree", "_idx")
     said = [F.coalesce(F.col(f"_s{step}"), F.lit("")) for step in range(1, arity)]
     wraps = lambda step: slot + step >= arity
     return nodes.withColumns({
@@ -85,12 +85,13 @@ def paths(levels: list[tuple[DataFrame, DataFrame]], above: DataFrame, arity: in
         extra = [] if depth else [c for c in inner.columns if c not in ("left", "right", "n")]
         columns = extra or ["tree", "idx"]
         # Roots are few against their leaves; each meets its own tree's row.
-        here = tops.select(*columns).join(above, "tree").select(*columns, "path", *more)
+        here = tops.select(*columns).join(above.hint("merge"), "tree").select(*columns, "path", *more)
         if known is not None:
             up = known.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), F.col("path").alias("_path"), *more)
-            met = inner.join(up, (F.col("tree") == F.col("_tree")) & (F.floor(F.col("idx") / arity) == F.col("_idx")))
+            met = inner.join(up.hint("merge"), (F.col("tree") == F.col("_tree")) & (F.floor(F.col("idx") / arity) == F.col("_idx")))
             here = here.unionByName(met.select(*columns, F.concat(F.array(F.struct("left", "right")), F.col("_path")).alias("path"), *more))
-        known = here
+        # Written level by level: small plans, and no table of a level is sent to the driver to be broadcast.
+        known = stored(here, "paths") if depth else here
     return known
 
 
@@ -116,8 +117,7 @@ def manifest(docs: DataFrame, seen: Column | None = None, arity: int = ARITY) ->
     sizes = rows.groupBy("tree").agg(F.count("*").alias("n"))
     placed = add_rank(rows, ["tree"], [F.col("doc_id"), F.col("digest"), F.col("row")], "idx").withColumn("idx", F.col("idx") - 1)
     # Sizes follow from the numbers: the last leaf of a tree knows how many there are. One row per source, joined to salted leaves.
-    placed = with_sizes(placed, sizes)
-    trees = grow(placed.select("tree", "idx", "n", "digest", "doc_id", "seen"), arity)
+    trees = grow(stored(with_sizes(placed, sizes).select("tree", "idx", "n", "digest", "doc_id", "seen"), "numbered"), arity)
     roots = reduce(DataFrame.unionByName, [tops.select("tree", "digest") for _, tops in trees])
     roots = stored(roots, "subroots")
     many = roots.count()
@@ -126,7 +126,7 @@ def manifest(docs: DataFrame, seen: Column | None = None, arity: int = ARITY) ->
     top = grow(over, arity)
     root = reduce(DataFrame.unionByName, [tops.select("tree", F.col("digest").alias("root")) for _, tops in top])
     above = root.withColumn("path", F.array().cast(f"array<{STEP}>"))
-    above = paths(top, above, arity).select(F.col("name").alias("tree"), "path", F.col("digest").alias("subroot"), "root")
+    above = stored(paths(top, above, arity).select(F.col("name").alias("tree"), "path", F.col("digest").alias("subroot"), "root"), "above")
     return paths(trees, above, arity).select("doc_id", F.col("digest").alias("leaf"), "seen", "subroot", "root", "path")
 
 
@@ -136,7 +136,7 @@ SALTS = 64
 def with_sizes(placed: DataFrame, sizes: DataFrame) -> DataFrame:
     """Adds ``n`` of each row's tree. Rows are salted by index, sizes are repeated per salt: the largest tree is spread over ``SALTS`` keys."""
     salted = sizes.select("tree", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return placed.withColumn("salt", (F.col("idx") % SALTS).cast("int")).join(salted, ["tree", "salt"]).drop("salt")
+    return placed.withColumn("salt", (F.col("idx") % SALTS).cast("int")).join(salted.hint("merge"), ["tree", "salt"]).drop("salt")
 
 
 def tampered() -> Column:
