@@ -347,8 +347,8 @@ def redundant_metadata(docs: DataFrame) -> DataFrame:
     return each(docs, lambda bs: let(top(bs), lambda h: run(bs, h)))
 
 
-# Fixed value: worked examples within a line.
-EXAMPLE = r"(?:^|\s)([A-Z][a-z]+(?:\s+[a-z]+)*\s*:\s*\S+\s*=\s*[01]+)"
+# Fixed value: worked examples within a line. The words repeat without stepping back, so a long line needs no deep stack.
+EXAMPLE = r"(?:^|\s)([A-Z][a-z]+(?:\s+[a-z]+)*+\s*:\s*\S+\s*=\s*[01]+)"
 
 
 def split_examples(docs: DataFrame) -> DataFrame:

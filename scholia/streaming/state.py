@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LIMIT_OUT = "key string, event_id long, ts timestamp, accepted boolean"
-LOCK_OUT = "key string, event_id long, ts timestamp, outcome string, failures int, locked_until timestamp"
 
 
 def admit(recent: list[float], now: float, most: int, window: float) -> tuple[list[float], bool]:
@@ -28,20 +27,15 @@ def admit(recent: list[float], now: float, most: int, window: float) -> tuple[li
     return recent + [now], True
 
 
-def attempt(failures: int, locked: float, now: float, ok: bool, most: int, seconds: float) -> tuple[int, float, str]:
-    """One log-in: refused uncounted while locked; success clears; the limit locks, and time alone does not clear the count."""
-    if locked > now:
-        return failures, locked, "locked"
-    if ok:
-        return 0, 0.0, "success"
-    failures += 1
-    return failures, (now + seconds if failures >= most else locked), "failure"
+def seconds_of(col: pd.Series) -> list[float]:
+    """Seconds since 1970 with microseconds, from zoned or plain time stamps; 0 for none."""
+    t = col.dt.tz_convert("UTC").dt.tz_localize(None) if col.dt.tz is not None else col
+    return [v / 1e6 for v in t.astype("datetime64[us]").fillna(pd.Timestamp(0)).astype("int64")]
 
 
-def _times(col: pd.Series) -> list[float]:
-    """Seconds since 1970 with microseconds, from zoned or plain time stamps."""
-    t = col.dt.tz_convert("UTC").dt.tz_localize(None) if col.dt.tz is not None else col
-    return [v / 1e6 for v in t.astype("datetime64[us]").astype("int64")]
+def moments(seconds: list[float], index: pd.Index | None = None) -> pd.Series:
+    """The time stamps of such seconds."""
+    return pd.Series([pd.Timestamp(round(s * 1e6), unit="us") if s else None for s in seconds], dtype="datetime64[us]", index=index)
 
 
 def _seconds(ts: datetime.datetime) -> float:
@@ -53,44 +47,99 @@ def _moment(seconds: float) -> datetime.datetime | None:
     return None if seconds == 0.0 else datetime.datetime.fromtimestamp(round(seconds * 1e6) / 1e6)
 
 
-def _stamp(seconds: float):
-    return None if seconds == 0.0 else pd.Timestamp(round(seconds * 1e6), unit="us")
+class Alarm:
+    """The one timer of a key, kept next to it so that setting it anew lists no timers."""
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.at = handle, handle.getValueState("alarm", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def set(self, seconds: float | None, rung: bool = False) -> None:
+        now = self.at.get()
+        ms = None if seconds is None else math.ceil(seconds * 1000)
+        if now and not rung and now[0] != ms:
+            self.handle.deleteTimer(now[0])
+        if ms is None:
+            self.at.clear()
+        elif rung or not now or now[0] != ms:
+            self.handle.registerTimer(ms)
+            self.at.update((ms,))
+
+    def no_later_than(self, seconds: float) -> None:
+        now = self.at.get()
+        if not now or now[0] > math.ceil(seconds * 1000):
+            self.set(seconds)
+
+
+WAITING = T.StructType([T.StructField("t", T.DoubleType()), T.StructField("event_id", T.LongType()), T.StructField("most", T.IntegerType()), T.StructField("window", T.DoubleType())])
 
 
 class RateLimiter(StatefulProcessor):
-    """Works on rows: a key gets a handful per batch, for which a frame each would cost more than the work."""
+    """Requests wait in state until the watermark has passed them and are then judged in the order of their times, whichever batch brought them.
 
-    def __init__(self, most: int, window: float):
-        self.most, self.window = most, window
+    A key is forgotten once nothing waits and its accepted requests have left the window. Works on rows: a key gets a handful per batch, for which a
+    frame each would cost more than the work.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.accepted = handle.getValueState("accepted", T.StructType([T.StructField("t", T.ArrayType(T.DoubleType()))]))
+        self.waiting, self.alarm = handle.getListState("waiting", WAITING), Alarm(handle)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(_seconds(r.ts), r.event_id, r.most, r.window) for r in rows]
+        self.waiting.appendList(new)
+        self.alarm.no_later_than(min(new)[0])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
         state = self.accepted.get()
-        recent = list(state[0]) if state else []
-        for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
-            recent, ok = admit(recent, _seconds(r.ts), self.most, self.window)
-            yield Row(key=key[0], event_id=r.event_id, ts=r.ts, accepted=ok)
-        self.accepted.update((recent,))
+        recent, window = list(state[0]) if state else [], 0.0
+        waiting = sorted(tuple(w) for w in self.waiting.get())
+        ready = [w for w in waiting if w[0] <= passed]
+        for now, event_id, most, window in ready:
+            recent, ok = admit(recent, now, most, window)
+            yield Row(key=key[0], event_id=event_id, ts=_moment(now), accepted=ok)
+        rest = waiting[len(ready):]
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self.accepted.update((recent,))
+            self.alarm.set(rest[0][0], rung=True)
+        elif ready and recent and recent[-1] + window > passed:
+            self.accepted.update((recent,))
+            self.alarm.set(recent[-1] + window, rung=True)
+        else:
+            self.accepted.clear()
+            self.alarm.set(None, rung=True)
 
     def close(self) -> None:
         pass
 
 
-def rate_limit(requests: DataFrame, most: int, window: float) -> DataFrame:
-    """Accept or reject each request of a stream (key, event_id, ts); only accepted ones count."""
-    return requests.groupBy("key").transformWithState(
-        statefulProcessor=RateLimiter(most, window), outputStructType=LIMIT_OUT, outputMode="append", timeMode="None")
+def limited(requests: DataFrame, policy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests (client, path, event_id, ts) of paths that ``policy`` (path, most, window in seconds) names, keyed by client and path; and the others."""
+    ruled = F.broadcast(policy) if policy.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1" else policy
+    key = F.concat_ws(":", F.col("client").cast("string"), "path").alias("key")
+    both = requests.join(ruled.select("path", F.col("most").cast("int").alias("most"), F.col("window").cast("double").alias("window")), "path", "left")
+    both = both.select(key, "event_id", "ts", "most", "window")
+    return both.filter("most is not null"), both.filter("most is null").select("key", "event_id", "ts", F.lit(True).alias("accepted"))
 
 
-def quiet_segments(rows: DataFrame, window: float) -> DataFrame:
-    """Adds ``segment``: parts of a key with an empty stretch of at least ``window`` between them.
+def rate_limit(requests: DataFrame, policy: DataFrame, late: str = "1 day") -> DataFrame:
+    """Accept or reject each request of a stream; only accepted ones count. Paths without a policy pass. Requests may come up to ``late`` after newer ones."""
+    ruled, free = limited(requests.withWatermark("ts", late), policy)
+    judged = ruled.groupBy("key").transformWithState(
+        statefulProcessor=RateLimiter(), outputStructType=LIMIT_OUT, outputMode="append", timeMode="EventTime")
+    return judged.unionByName(free)
+
+
+def quiet_segments(rows: DataFrame) -> DataFrame:
+    """Adds ``segment``: parts of a key with an empty stretch of at least its ``window`` between them.
 
     Times fall into bins of the window's length. After an empty bin nothing older can matter, so a new
     segment starts; only distinct (key, bin) pairs are put in order.
     """
-    bins = rows.withColumn("_bin", F.floor(F.unix_micros("ts") / F.lit(window * 1e6)))
+    bins = rows.withColumn("_bin", F.floor(F.unix_micros("ts") / (F.col("window") * 1e6)))
     pairs = bins.select("key", "_bin").distinct()
     starts = pairs.join(pairs.select("key", (F.col("_bin") + 1).alias("_bin")), ["key", "_bin"], "left_anti").withColumn("_s", F.col("_bin"))
     w = Window.partitionBy("key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -98,70 +147,23 @@ def quiet_segments(rows: DataFrame, window: float) -> DataFrame:
     return bins.join(placed, ["key", "_bin"]).drop("_bin")
 
 
-def rate_limit_batch(requests: DataFrame, most: int, window: float) -> DataFrame:
-    parts = quiet_segments(requests, window).repartition("key", "segment").sortWithinPartitions("key", "segment", "ts", "event_id")
+def rate_limit_batch(requests: DataFrame, policy: DataFrame) -> DataFrame:
+    """The same over a table."""
+    ruled, free = limited(requests, policy)
+    parts = quiet_segments(ruled).repartition("key", "segment").sortWithinPartitions("key", "segment", "ts", "event_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, recent = None, []
         for f in frames:
             flags = []
-            for key, seg, now in zip(f["key"], f["segment"], _times(f["ts"])):
+            for key, seg, now, most, window in zip(f["key"], f["segment"], seconds_of(f["ts"]), f["most"], f["window"]):
                 if (key, seg) != at:
                     at, recent = (key, seg), []
                 recent, ok = admit(recent, now, most, window)
                 flags.append(ok)
             yield pd.DataFrame({"key": f["key"], "event_id": f["event_id"], "ts": f["ts"], "accepted": flags})
 
-    return parts.mapInPandas(run, LIMIT_OUT)
-
-
-class Lockout(StatefulProcessor):
-    def __init__(self, seconds: float):
-        self.seconds = seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("lock", T.StructType([T.StructField("failures", T.IntegerType()), T.StructField("locked", T.DoubleType())]))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        failures, locked = self.value.get() or (0, 0.0)
-        for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
-            failures, locked, outcome = attempt(failures, locked, _seconds(r.ts), r.ok, r.most, self.seconds)
-            yield Row(key=key[0], event_id=r.event_id, ts=r.ts, outcome=outcome, failures=failures, locked_until=_moment(locked))
-        self.value.update((failures, locked))
-
-    def close(self) -> None:
-        pass
-
-
-def lockout_keys(attempts: DataFrame, user_max: int = 5, ip_max: int = 10) -> DataFrame:
-    """Each attempt once for its user and once for its address, with the limit of each."""
-    scopes = F.array(F.struct(F.concat(F.lit("user:"), F.col("user").cast("string")).alias("key"), F.lit(user_max).alias("most")),
-                     F.struct(F.concat(F.lit("ip:"), F.col("ip")).alias("key"), F.lit(ip_max).alias("most")))
-    return attempts.select("event_id", "ts", "ok", F.inline(scopes))
-
-
-def login_lockout(keyed: DataFrame, minutes: int = 30) -> DataFrame:
-    return keyed.groupBy("key").transformWithState(
-        statefulProcessor=Lockout(minutes * 60.0), outputStructType=LOCK_OUT, outputMode="append", timeMode="None")
-
-
-def login_lockout_batch(keyed: DataFrame, minutes: int = 30) -> DataFrame:
-    """The same over a table: rows of a key follow each other in time order, with two numbers of state."""
-    parts = keyed.repartition("key").sortWithinPartitions("key", "ts", "event_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, failures, locked = None, 0, 0.0
-        for f in frames:
-            seen = []
-            for key, now, ok, most in zip(f["key"], _times(f["ts"]), f["ok"], f["most"]):
-                if key != at:
-                    at, failures, locked = key, 0, 0.0
-                failures, locked, outcome = attempt(failures, locked, now, bool(ok), int(most), minutes * 60.0)
-                seen.append((outcome, failures, _stamp(locked)))
-            yield pd.DataFrame({"key": f["key"], "event_id": f["event_id"], "ts": f["ts"], "outcome": [s[0] for s in seen],
-                                "failures": [s[1] for s in seen], "locked_until": pd.Series([s[2] for s in seen], dtype="datetime64[us]", index=f.index)})
-
-    return parts.mapInPandas(run, LOCK_OUT)
+    return parts.mapInPandas(run, LIMIT_OUT).unionByName(free)
 
 
 class HungTasks(StatefulProcessor):
@@ -175,23 +177,15 @@ class HungTasks(StatefulProcessor):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("t", T.DoubleType()), T.StructField("active", T.BooleanType())]))
         self.waiting = handle.getListState("waiting", T.StructType([
             T.StructField("t", T.DoubleType()), T.StructField("event_id", T.LongType()), T.StructField("active", T.BooleanType())]))
-
-    def _arm(self, waiting: list[tuple], before: float, active: bool) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        moments = [w[0] for w in waiting] + ([before + self.seconds] if active else [])
-        if moments:
-            self.handle.registerTimer(math.ceil(min(moments) * 1000))
+        self.alarm = Alarm(handle)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        waiting = [tuple(w) for w in self.waiting.get()]
-        waiting += [(_seconds(r.ts), r.event_id, r.status in ("pending", "running")) for r in rows]
-        self.waiting.put(waiting)
-        self._arm(waiting, *(self.last.get() or (0.0, False)))
+        new = [(_seconds(r.ts), r.event_id, r.status in ("pending", "running")) for r in rows]
+        self.waiting.appendList(new)
+        self.alarm.no_later_than(min(new)[0])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -206,10 +200,13 @@ class HungTasks(StatefulProcessor):
         if active and before + self.seconds <= passed:
             yield Row(task_id=key[0], hung_at=_moment(before + self.seconds))
             active = False
-        self.last.update((before, active))
         rest = waiting[len(ready):]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        self._arm(rest, before, active)
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        nexts = [w[0] for w in rest[:1]] + ([before + self.seconds] if active else [])
+        # A task that is done, and silent, is forgotten.
+        self.last.update((before, active)) if nexts else self.last.clear()
+        self.alarm.set(min(nexts) if nexts else None, rung=True)
 
     def close(self) -> None:
         pass

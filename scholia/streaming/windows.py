@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.operators.reports import path_bucket
@@ -16,11 +16,29 @@ def offered_load(requests: DataFrame, window: str, slide: str, late: str = "10 m
             .select("key", F.col("w.start").alias("window_start"), "n"))
 
 
-def task_latest(updates: DataFrame) -> DataFrame:
-    """Newest state of each task. Replayed updates change nothing, since the newest wins."""
+TASK = "task_id bigint, event_id bigint, status string, progress bigint, message string, updated_at timestamp"
+
+
+def newest_updates(updates: DataFrame) -> DataFrame:
+    """Newest state of each task, with the update that brought it."""
     clamp = F.least(F.greatest(F.coalesce("progress", F.lit(0)), F.lit(0)), F.lit(100))
-    row = F.struct("status", clamp.alias("progress"), "message", F.col("ts").alias("updated_at"))
-    return (updates.groupBy("task_id").agg(F.max_by(row, F.struct("ts", "event_id")).alias("r")).select("task_id", "r.*"))
+    row = F.struct("event_id", "status", clamp.cast("bigint").alias("progress"), "message", F.col("ts").alias("updated_at"))
+    return updates.groupBy("task_id").agg(F.max_by(row, F.struct("ts", "event_id")).alias("r")).select("task_id", "r.*")
+
+
+def log_newest(path: str):
+    """Batch function that adds the newest state of each task of the batch to a log, one folder per batch. Nothing is kept in state, no batch
+    touches what others wrote, and one that is run again writes the same folder."""
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        newest_updates(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return apply
+
+
+def read_newest(spark: SparkSession, path: str) -> DataFrame:
+    """Newest state of each task over all batches. Replayed and late updates change nothing, since the newest wins."""
+    log = spark.read.schema(TASK + ", batch int").parquet(path)
+    row = F.struct("status", "progress", "message", "updated_at")
+    return log.groupBy("task_id").agg(F.max_by(row, F.struct("updated_at", "event_id")).alias("r")).select("task_id", "r.*")
 
 
 def request_metrics(requests: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

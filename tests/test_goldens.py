@@ -341,12 +341,44 @@ def test_title_matches_first_wins(spark):
 
 
 def test_lockout_rules():
+    from scholia.streaming.lockout import step
     state, seen = (0, 0.0), []
     for now, ok in [(0, False)] * 5 + [(10, True), (1801, False), (1802, True), (3700, True)]:
-        f, l, outcome = S.attempt(*state, now, ok, 5, 1800.0)
+        f, l, refused = step(*state, now, ok, False, False, 5, 1800.0)
         state = (f, l)
-        seen.append((outcome, f))
-    assert seen == [("failure", 1), ("failure", 2), ("failure", 3), ("failure", 4), ("failure", 5), ("locked", 5), ("failure", 6), ("locked", 6), ("success", 0)]
+        seen.append((refused, f))
+    assert seen == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (True, 5), (False, 6), (True, 6), (False, 0)]
+    # What the other scope refuses counts for nothing; the scope that is asked second has no say then.
+    assert step(4, 0.0, 1, False, True, True, 5, 9.0) == (4, 0.0, False)
+    assert step(5, 9.0, 1, True, True, False, 5, 9.0) == (5, 9.0, False) and step(5, 9.0, 1, True, True, True, 5, 9.0) == (5, 9.0, True)
+
+
+def replay(attempts, user_max, ip_max, seconds):
+    """One after the other, with all counts and locks."""
+    count, lock, out = {}, {}, {}
+    for i, ts, user, ip, ok in attempts:
+        scopes = [(k, v, most) for k, v, most in (("ip", ip, ip_max), ("user", user, user_max)) if v is not None]
+        refused = next((k for k, v, _ in scopes if lock.get((k, v), 0) > ts), None)
+        out[i] = f"{refused}_locked" if refused else "success" if ok else "failure"
+        for k, v, most in scopes if not refused else []:
+            count[k, v] = 0 if ok else count.get((k, v), 0) + 1
+            if ok or count[k, v] >= most:
+                lock[k, v] = 0 if ok else ts + seconds
+    return out
+
+
+def test_lockout_equals_a_replay(spark):
+    """Many accounts behind few addresses: verdicts hang on each other over many rounds."""
+    import datetime
+    import random
+    from scholia.session import cut_lineage
+    from scholia.streaming.lockout import ATTEMPT, lockout_batch
+    rng = random.Random(4)
+    own = [(i, t, rng.choice([None, *range(12)]), rng.choice([None, "a", "b", "c", "d"]), rng.random() < 0.12) for i, t in enumerate(sorted(rng.randint(0, 30_000) for _ in range(1500)))]
+    rows = [(i, datetime.datetime.fromtimestamp(10**9 + t), u, ip, ok) for i, t, u, ip, ok in own]
+    got = lockout_batch(spark.createDataFrame(rows, ATTEMPT).repartition(7), cut_lineage, user_max=3, ip_max=5, minutes=20).collect()
+    want = replay(own, 3, 5, 1200)
+    assert {r.event_id: r.outcome for r in got} == want and set(want.values()) == {"ip_locked", "user_locked", "success", "failure"}
 
 
 def test_rejected_requests_do_not_count():
@@ -357,24 +389,96 @@ def test_rejected_requests_do_not_count():
     assert flags == [True, True, False, False, True, True]
 
 
-def test_rate_limit_stream_equals_batch(spark):
-    from scholia.plans.registry import QUERIES
-    from scholia.plans.streams import LIMIT, WINDOW, keyed
+def ten_files(spark, folder, mixed):
+    """The events as ten files in the order of arrival, updates up to 20 hours late if ``mixed``; and as a feed that reads one file a batch."""
+    import os
+    import scholia.plans.load  # noqa: F401
+    from scholia.streaming.run import Feed
     from tests.conftest import SF
-    stream = {(r.event_id, r.accepted) for r in QUERIES["str_rate_limit"](spark, SF).collect()}
-    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    batch = {(r.event_id, r.accepted) for r in S.rate_limit_batch(keyed(events), LIMIT, WINDOW).collect()}
-    assert stream == batch and len({a for _, a in stream}) == 2
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(72_000)) if mixed else F.lit(0)
+    arrived = events.withColumn("file", F.ntile(10).over(Window.orderBy(F.unix_timestamp(F.col("ts").cast("timestamp")) + delay, "event_id")))
+    for i in range(1, 11):
+        part = folder / f"f{i:02d}.parquet"
+        arrived.filter(F.col("file") == i).drop("file").coalesce(1).write.parquet(str(folder / f"d{i}"))
+        next((folder / f"d{i}").glob("*.parquet")).rename(part)
+        os.utime(part, (1_700_000_000 + i, 1_700_000_000 + i))
+    live = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/f*.parquet")
+    return Feed(spark, SF, files=live)
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_rate_limit_over_many_batches(spark, tmp_path, mixed):
+    from scholia.plans.streams import policy, requests
+    from scholia.streaming.run import drain
+    feed = ten_files(spark, tmp_path, mixed)
+    out = drain(S.rate_limit(requests(feed.stream), policy(spark)), "append", "limit-test", feed=feed)
+    last = feed.table.agg(F.max("ts")).first()[0]
+    stream = sorted((r.event_id, r.accepted) for r in out.filter(F.col("ts").cast("timestamp_ntz") <= F.lit(last)).collect())
+    batch = S.rate_limit_batch(requests(feed.table.withColumn("ts", F.col("ts").cast("timestamp"))), policy(spark))
+    assert stream == sorted((r.event_id, r.accepted) for r in batch.collect()) and len({a for _, a in stream}) == 2
+
+
+def test_limiter_forgets_idle_keys():
+    """Nothing is left of a key once its requests have left the window."""
+    from pyspark.sql import Row
+    class Value:
+        def __init__(self): self.v = None
+        def get(self): return self.v
+        def update(self, v): self.v = v
+        def clear(self): self.v = None
+    class Many(Value):
+        def get(self): return iter(self.v or [])
+        def put(self, v): self.v = list(v)
+        def appendList(self, v): self.v = (self.v or []) + list(v)
+    class Handle:
+        def __init__(self): self.timers, self.states = set(), []
+        def getValueState(self, *a): self.states.append(Value()); return self.states[-1]
+        def getListState(self, *a): self.states.append(Many()); return self.states[-1]
+        def registerTimer(self, ms): self.timers.add(ms)
+        def deleteTimer(self, ms): self.timers.discard(ms)
+    class Clock:
+        def __init__(self, s): self.s = s
+        def getCurrentWatermarkInMs(self): return self.s * 1000
+    import datetime
+    h, limiter = Handle(), S.RateLimiter()
+    limiter.init(h)
+    at = datetime.datetime.fromtimestamp
+    limiter.handleInputRows(("k",), iter([Row(ts=at(50), event_id=2, most=1, window=10.0), Row(ts=at(45), event_id=1, most=1, window=10.0), Row(ts=at(70), event_id=3, most=1, window=10.0)]), None)
+    seen = []
+    for watermark in (40, 55, 100, 200):
+        for ms in sorted(t for t in h.timers if t <= watermark * 1000):
+            h.timers.discard(ms)
+            seen += [(r.event_id, r.accepted) for r in limiter.handleExpiredTimer(("k",), Clock(watermark), None)]
+    assert seen == [(1, True), (2, False), (3, True)] and not h.timers and all(s.v is None for s in h.states)
 
 
-def test_lockout_stream_equals_batch(spark):
-    from scholia.plans.registry import QUERIES
-    from scholia.plans.streams import attempts
+@pytest.mark.parametrize("mixed", [False, True])
+def test_lockout_over_many_batches(spark, tmp_path, mixed):
+    from scholia.plans.streams import MINUTES, attempts
+    from scholia.streaming.lockout import LockoutTable
+    from scholia.streaming.run import drain
+    feed = ten_files(spark, tmp_path, mixed)
+    table = LockoutTable(spark, str(tmp_path / "lockout"), buckets=4, minutes=MINUTES)
+    drain(attempts(feed.stream), "append", "lockout-test", each=table.apply, feed=feed)
+    own = attempts(feed.table).orderBy("ts", "event_id").collect()
+    want = replay([(r.event_id, r.ts.timestamp(), r.user, r.ip, r.ok) for r in own], 5, 10, MINUTES * 60)
+    assert {r.event_id: r.outcome for r in table.read(spark).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["str_rate_offered", "str_request_metrics", "str_study_daily", "str_active_sessions", "str_task_latest"])
+def test_windows_over_many_batches(spark, con, tmp_path, name, monkeypatch):
+    """Ten files give what one gives."""
+    import scholia.plans.load  # noqa: F401
+    from scholia.plans import streams
+    from scholia.plans.registry import ORACLES, QUERIES
+    from tests.compare import compare
     from tests.conftest import SF
-    stream = {(r.key, r.event_id, r.outcome, r.failures) for r in QUERIES["str_login_lockout"](spark, SF).collect()}
-    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    batch = {(r.key, r.event_id, r.outcome, r.failures) for r in S.login_lockout_batch(S.lockout_keys(attempts(events)), 60 * 24).collect()}
-    assert stream == batch and {o for _, _, o, _ in stream} == {"locked", "failure", "success"}
+    feed = ten_files(spark, tmp_path, True)
+    monkeypatch.setattr(streams, "Feed", lambda *a: feed)
+    monkeypatch.setattr(streams, "stream_table", lambda *a: spark.readStream.schema(feed.table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/f*.parquet").withColumn(
+        "ts", F.col("ts").cast("timestamp")))
+    assert compare(spark, con, SF, QUERIES[name], ORACLES[name]) == ""
 
 
 def test_jdbc_reads_in_ranges(spark):
@@ -435,20 +539,11 @@ def test_marked_texts_keep_every_line(spark):
 @pytest.mark.parametrize("mixed", [False, True])
 def test_hung_tasks_over_many_batches(spark, con, tmp_path, mixed):
     """Ten files in the order of arrival, with updates up to 20 hours late, give what the whole table gives."""
-    import os
+    import scholia.plans.load  # noqa: F401
     from scholia.plans.registry import ORACLES
     from scholia.plans.streams import task_updates
     from scholia.streaming.run import drain
-    from tests.conftest import SF
-    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    delay = F.pmod(F.xxhash64("event_id"), F.lit(72_000)) if mixed else F.lit(0)
-    arrived = events.withColumn("file", F.ntile(10).over(Window.orderBy(F.unix_timestamp("ts") + delay, "event_id")))
-    for i in range(1, 11):
-        part = tmp_path / f"f{i:02d}.parquet"
-        arrived.filter(F.col("file") == i).drop("file").coalesce(1).write.parquet(str(tmp_path / f"d{i}"))
-        next((tmp_path / f"d{i}").glob("*.parquet")).rename(part)
-        os.utime(part, (1_700_000_000 + i, 1_700_000_000 + i))
-    live = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/f*.parquet")
-    out = drain(S.hung_tasks(task_updates(live).select("task_id", "event_id", "ts", "status")), "append", "hung-test")
+    feed = ten_files(spark, tmp_path, mixed)
+    out = drain(S.hung_tasks(task_updates(feed.stream).select("task_id", "event_id", "ts", "status")), "append", "hung-test", feed=feed)
     got = sorted((r.task_id, r.hung_at.replace(tzinfo=None)) for r in out.select("task_id", F.col("hung_at").cast("timestamp_ntz")).collect())
     assert got == sorted(con.execute(ORACLES["str_task_hung"]).fetchall())
