@@ -109,13 +109,56 @@ def replace_all(c: Column | str, mapping: dict[str, str]) -> Column:
     return out
 
 
+CHUNK = 128
+
+
+class Folded:
+    """What a step of ``fold_out`` sees: its state by name, and the list so far as full chunks and the elements after them."""
+
+    def __init__(self, state: Column, chunks: Column) -> None:
+        self.state, self.chunks, self.rest = state, chunks, state["_out"]
+
+    def __getitem__(self, name: str) -> Column:
+        return self.state[name]
+
+    def last(self, n: Column) -> Column:
+        """The last ``n`` elements; null if there are fewer."""
+        k = F.least(F.size(self.chunks), n)
+        near = F.concat(F.flatten(F.slice(self.chunks, F.size(self.chunks) - k + 1, k)), self.rest)
+        return let(near, lambda v: F.when(F.size(v) >= n, F.slice(v, F.size(v) - n + 1, n)))
+
+
+def fold_out(items: Column, start: dict[str, Column], step: Callable[[Folded, Column], tuple[dict[str, Column], Column]], of: str,
+             finish: Callable[[Column, Column], Column] = lambda state, out: out) -> Column:
+    """Fold that collects a list: ``step(state, item)`` gives the next state and an array (of ``of``) to add; ``finish(state, list)`` the result.
+
+    A fold copies all that it carries at every step. So items are folded in runs of ``CHUNK``, which carry what this run has collected, and a fold over
+    the runs carries the rest: the cost per item does not grow with the list, up to millions of items.
+    """
+    none, kept = F.array().cast(f"array<{of}>"), F.array().cast(f"array<array<{of}>>")
+    pack = lambda state, out: F.struct(*[state[k].alias(k) for k in start], out.alias("_out"))
+    bind = lambda value, zero, body: F.aggregate(F.array(value), zero, body)
+
+    def whole(all_: Column) -> Column:
+        def one_run(a: Column, at: Column) -> Column:
+            def add(s: Column, x: Column) -> Column:
+                state, new = step(Folded(s, a["_chunks"]), x)
+                stepped = F.struct(*[state[k].alias(k) for k in start], new.cast(f"array<{of}>").alias("_new"))
+                return bind(stepped, s, lambda s, v: pack(v, F.concat(s["_out"], v["_new"])))
+            done = F.aggregate(F.slice(all_, at * CHUNK + 1, F.lit(CHUNK)), pack(a, none), add)
+            return bind(done, a, lambda a, d: F.struct(*[d[k].alias(k) for k in start], F.concat(a["_chunks"], F.array(d["_out"])).alias("_chunks")))
+        runs = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        zero = F.struct(*[start[k].alias(k) for k in start], kept.alias("_chunks"))
+        return F.when(all_.isNotNull(), F.aggregate(runs, zero, one_run, lambda a: finish(a, F.flatten(a["_chunks"]))))
+    return let(items, whole)
+
+
 def running_count(items: Column, test: Callable[[Column], Column]) -> Column:
     """How many elements up to and including each one pass the test."""
-    state = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-    def add(a: Column, x: Column) -> Column:
+    def step(a: Folded, x: Column) -> tuple[dict[str, Column], Column]:
         n = a["n"] + F.when(test(x), 1).otherwise(0)
-        return F.struct(n.alias("n"), F.concat(a["out"], F.array(n)).alias("out"))
-    return F.aggregate(items, state, add, lambda a: a["out"])
+        return {"n": n}, F.array(n)
+    return fold_out(items, {"n": F.lit(0)}, step, "int")
 
 
 def runs_of(items: Column, starts: Callable[[Column, Column], Column], build: Callable[[Column, Column], Column]) -> Column:

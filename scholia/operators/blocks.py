@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholia.functions.text import any_of, field, first_where, joined, let, running_count, strip, unroll, words
+from scholia.functions.text import Folded, any_of, field, first_where, fold_out, joined, let, running_count, runs_of, strip, unroll, words
 from scholia.operators.cleaning import is_noise, looks_like_code
 
 BLOCK = "struct<pos:int,page:int,y:double,type:string,text:string,font_size:double,indent:int>"
@@ -162,17 +162,62 @@ def heading_rank(docs: DataFrame) -> DataFrame:
     return each(docs, run)
 
 
-def _fold(blocks: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Fold with (done, last): ``step(last, block)`` is the merged block, or NULL to start a new one."""
-    def run(bs: Column) -> Column:
-        state = F.struct(none().alias("done"), F.get(bs, F.lit(0)).cast(BLOCK).alias("last"))
-        def add(a: Column, b: Column) -> Column:
-            return let(step(a["last"], b), lambda m: F.struct(
-                F.when(m.isNull(), F.concat(a["done"], F.array(a["last"]))).otherwise(a["done"]).alias("done"),
-                F.coalesce(m, b).cast(BLOCK).alias("last")))
-        rest = F.slice(bs, 2, F.greatest(F.size(bs), F.lit(1)))
-        return F.aggregate(rest, state, add, lambda a: F.concat(a["done"], F.array(a["last"])))
-    return F.when(F.size(blocks) > 0, run(blocks)).otherwise(none())
+# What decides about a block reaches no further than this into its text from either end.
+REACH = 1000
+LIGHT = "struct<type:string,page:int,indent:int,head:string,tail:string,words:int,bullets:boolean,open:int>"
+NEW, SPACED, GLUED, SAME, OTHER = range(5)
+
+
+def _light(b: Column, reach: int | None) -> Column:
+    """What a fold needs of a block, worked out once: both ends of its text, its words, bullets and unclosed parentheses."""
+    text, t = b["text"], strip(b["text"])
+    def cut(x: Column, right: bool) -> Column:
+        return x if reach is None else (F.right(x, F.lit(reach)) if right else F.left(x, F.lit(reach)))
+    opened = F.regexp_count(text, F.lit(r"\(")) - F.regexp_count(text, F.lit(r"\)"))
+    return F.struct(b["type"].alias("type"), b["page"].alias("page"), b["indent"].alias("indent"), cut(t, False).alias("head"), cut(text, True).alias("tail"),
+                    F.size(words(t)).alias("words"), text.rlike(f"[{BULLETS}]").alias("bullets"), opened.alias("open")).cast(LIGHT)
+
+
+def _merged(blocks: Column, rule: Callable[[Column, Column], Column], reach: int | None = REACH) -> Column:
+    """Blocks joined to the one before them: ``rule(last, block)`` says how, from what ``_light`` tells of what was merged so far and of the next block.
+
+    NEW: not at all; SPACED: with a space; GLUED: after taking off the hyphen; SAME: the block goes; OTHER: it takes the place of the last one. The fold carries
+    numbers and the ends of texts, and the places where blocks begin are cut out afterwards, so nothing grows with the length of what is merged.
+    """
+    def step(a: Folded, b: Column) -> tuple[dict[str, Column], Column]:
+        last = a["last"]
+        def after(code: Column) -> Column:
+            end = lambda x, sep: F.concat(x, F.lit(sep), b["tail"])
+            tail = F.when(code == SPACED, end(last["tail"], " ")).otherwise(end(F.regexp_replace(last["tail"], r"[-–—]$", ""), ""))
+            joined_ = F.struct(last["type"].alias("type"), last["page"].alias("page"), last["indent"].alias("indent"), last["head"].alias("head"),
+                               (F.right(tail, F.lit(reach)) if reach else tail).alias("tail"), (last["words"] + b["words"]).alias("words"),
+                               (last["bullets"] | b["bullets"]).alias("bullets"), (last["open"] + b["open"]).alias("open")).cast(LIGHT)
+            now = F.when(code.isin(NEW, OTHER), b).when(code == SAME, last).otherwise(joined_)
+            return F.struct(code.alias("code"), now.alias("now"))
+        done = let(F.coalesce(rule(last, b), F.lit(NEW)), after)
+        return {"last": done["now"]}, F.array(done["code"])
+
+    def build(bs: Column, codes: Column) -> Column:
+        def run(part: Column, at: Column) -> Column:
+            code = lambda i: F.get(codes, at + i)
+            places = F.sequence(F.lit(0), F.size(part) - 1)
+            base = F.coalesce(F.array_max(F.filter(places, lambda i: code(i) == OTHER)), F.lit(0))
+            def text(i: Column) -> Column:
+                own = F.get(part, i)["text"]
+                bare = F.when(F.coalesce(code(i + 1) == GLUED, F.lit(False)) & (i + 1 < F.size(part)), F.regexp_replace(own, r"[-–—]$", "")).otherwise(own)
+                return F.concat(F.when((i > 0) & (code(i) == SPACED), F.lit(" ")).otherwise(""), bare)
+            def whole(k: Column) -> Column:
+                more = F.transform(F.filter(places, lambda i: (i == k) | ((i > k) & code(i).isin(SPACED, GLUED))), text)
+                return F.when(F.size(part) == 1, F.get(part, F.lit(0)).cast(BLOCK)).otherwise(change(F.get(part, k), text=joined(more, "")))
+            return let(base, whole)
+        tagged = F.zip_with(bs, codes, lambda b, c: F.struct(b.alias("b"), c.alias("c")))
+        return runs_of(tagged, lambda p, x: x["c"] == NEW, lambda part, at: let(F.transform(part, lambda x: x["b"]), lambda p: run(p, at)))
+
+    def folded(bs: Column) -> Column:
+        lights = F.transform(bs, lambda b: _light(b, reach))
+        codes = let(lights, lambda v: fold_out(F.slice(v, 2, F.greatest(F.size(v), F.lit(1))), {"last": F.get(v, F.lit(0))}, step, "int"))
+        return let(F.concat(F.array(F.lit(NEW)), codes), lambda c: build(bs, c))
+    return F.when(F.size(blocks) > 0, folded(blocks)).otherwise(none())
 
 
 def heading_jumps(docs: DataFrame) -> DataFrame:
@@ -204,10 +249,10 @@ def heading_jumps(docs: DataFrame) -> DataFrame:
 
     def merge(last: Column, b: Column) -> Column:
         both = heading(last) & heading(b)
-        same = F.lower(strip(last["text"])) == F.lower(strip(b["text"]))
-        return F.when(both & same, last).when(both & (F.length(last["text"]) < 3) & (last["type"] == b["type"]), b)
+        same = F.lower(strip(last["tail"])) == F.lower(strip(b["tail"]))
+        return F.when(both & same, SAME).when(both & (F.length(last["tail"]) < 3) & (last["type"] == b["type"]), OTHER)
 
-    return each(docs, lambda bs: _let_chain(bs, lowered, single, lambda x: _fold(x, merge)))
+    return each(docs, lambda bs: _let_chain(bs, lowered, single, lambda x: _merged(x, merge, None)))
 
 
 def _let_chain(value: Column, *steps: Callable[[Column], Column]) -> Column:
@@ -257,11 +302,11 @@ CONNECTORS = ["and", "or", "the", "of", "with", "to", "in", "a", "an", "for", "f
 def merge_continuations(docs: DataFrame) -> DataFrame:
     """Join a block to the one before it where the sentence visibly goes on."""
     def step(p: Column, b: Column) -> Column:
-        pt, t = strip(p["text"]), strip(b["text"])
+        pt, t = strip(p["tail"]), b["head"]
         lower = t.rlike(r"^\p{Ll}")
         first = F.regexp_extract(t, r"^\S+", 0)
         last = F.lower(F.regexp_extract(pt, r"\S+$", 0))
-        n = F.size(words(t))
+        n = b["words"]
         open_end = ~pt.rlike(r"[.!?:\"']$")
         linked = lambda marks: F.regexp_replace(last, f"[{marks}]+$", "").isin(CONNECTORS)
         body = (lower | (open_end & ~pt.endswith(")") & (linked(".,;:") | pt.rlike("[,:;]$") | (n < 3) | ~F.right(pt, F.lit(10)).rlike("[.!?]")))
@@ -272,26 +317,21 @@ def merge_continuations(docs: DataFrame) -> DataFrame:
         joins = (F.when((p["type"] == "body") & (b["type"] == "body"), body)
                  .when(listed(p) & (b["type"] == "body"), after_list).when(listed(p) & listed(b), items).otherwise(False))
         blocked = (p["type"].isin("table", "code") | b["type"].isin("table", "code") | heading(p) | heading(b) | (pt == "") | (t == "")
-                   | F.concat(p["text"], b["text"]).rlike(f"[{BULLETS}]") | (p["page"] != b["page"]))
-        hyphen = p["text"].rlike(r"(?s)^.+\p{L}[-–—]$")
-        text = F.when(hyphen, F.concat(F.regexp_replace(p["text"], r"[-–—]$", ""), b["text"])).otherwise(F.concat(p["text"], F.lit(" "), b["text"]))
-        return F.when(joins & ~blocked, change(p, text=text))
-    return each(docs, lambda bs: _fold(bs, step))
+                   | p["bullets"] | b["bullets"] | (p["page"] != b["page"]))
+        hyphen = p["tail"].rlike(r"(?s)^.+\p{L}[-–—]$")
+        return F.when(joins & ~blocked, F.when(hyphen, GLUED).otherwise(SPACED))
+    return each(docs, lambda bs: _merged(bs, step))
 
 
 def list_wrapping(docs: DataFrame) -> DataFrame:
     """Join list items that were wrapped onto the next block or left a parenthesis open."""
     def step(p: Column, b: Column) -> Column:
-        pt, t = strip(p["text"]), strip(b["text"])
+        pt, t = strip(p["tail"]), b["head"]
         usable = listed(p) & (listed(b) | (b["type"] == "body")) & (p["page"] == b["page"]) & (pt != "") & (t != "")
-        wrapped = (~pt.rlike("[.!?:]$") & t.rlike(r"^\p{Ll}")) | (~pt.rlike("[.!?]$") & (F.size(words(t)) < 5))
+        wrapped = (~pt.rlike("[.!?:]$") & t.rlike(r"^\p{Ll}")) | (~pt.rlike("[.!?]$") & (b["words"] < 5))
         short = (F.length(pt) < 40) & (F.length(t) < 40)
-        opened = F.regexp_count(pt, F.lit(r"\(")) > F.regexp_count(pt, F.lit(r"\)"))
-        glued = F.when(p["text"].endswith("-"), F.concat(F.regexp_replace(p["text"], "-$", ""), b["text"])).otherwise(
-            F.concat(p["text"], F.lit(" "), b["text"]))
-        return (F.when(usable & wrapped & ~short, change(p, text=glued))
-                .when(usable & opened, change(p, text=F.concat(p["text"], F.lit(" "), b["text"]))))
-    return each(docs, lambda bs: _fold(bs, step))
+        return F.when(usable & wrapped & ~short, F.when(p["tail"].endswith("-"), GLUED).otherwise(SPACED)).when(usable & (p["open"] > 0), SPACED)
+    return each(docs, lambda bs: _merged(bs, step))
 
 
 def orphan_body(docs: DataFrame) -> DataFrame:
@@ -323,15 +363,14 @@ def split_list_headers(docs: DataFrame) -> DataFrame:
 def redundant_metadata(docs: DataFrame) -> DataFrame:
     """Module title lines, repeated titles and repeated module headings removed or reduced."""
     def run(blocks: Column, title: Column) -> Column:
-        state = F.struct(none().alias("done"), F.lit(False).alias("module"), F.lit(False).alias("h1"))
-        def add(a: Column, b: Column) -> Column:
+        state = {"prev": F.lit(None).cast("string"), "module": F.lit(False), "h1": F.lit(False)}
+        def add(a: Folded, b: Column) -> tuple[dict[str, Column], Column]:
             t = strip(b["text"])
             objective = strip(F.regexp_extract(t, r"(?i)(?:Module\s+)?Objective:\s*(.+)$", 1))
             bold = lambda x: change(b, text=F.concat(F.lit("**Objective:** "), x))
             rest = strip(F.regexp_extract(t, r"(?i)^Module\s+\d+\s*[–—\-]\s*(.+)", 1))
-            prev = F.element_at(a["done"], -1)
-            echo = ((title != "") & F.lower(t).contains(title) & (F.length(t) < F.length(title) + 15) & (F.size(a["done"]) > 0)
-                    & ((F.lower(prev["text"]) == F.lower(t)) | (F.regexp_count(t, F.lit(" ")) < 4)))
+            echo = ((title != "") & F.lower(t).contains(title) & (F.length(t) < F.length(title) + 15) & a["prev"].isNotNull()
+                    & ((F.lower(a["prev"]) == F.lower(t)) | (F.regexp_count(t, F.lit(" ")) < 4)))
             first = (b["type"] == "h1") & ~a["h1"]
             titled, standalone = t.rlike(r"(?i)^(?:\*\*)?Module\s+Title"), t.rlike(r"(?i)^Module\s+Objective:\s*")
             module = heading(b) & t.rlike(r"(?i)^(?:Module|Chapter|Unit)\s+\d+")
@@ -340,9 +379,9 @@ def redundant_metadata(docs: DataFrame) -> DataFrame:
                    .when(standalone, change(b, text=F.regexp_replace(t, r"(?i)^Module\s+Objective:", "**Objective:**")))
                    .when(echo, F.lit(None).cast(BLOCK)).when(module & a["module"] & (rest != ""), change(b, type=F.lit("h3"), text=rest))
                    .when(module & a["module"], F.lit(None).cast(BLOCK)).otherwise(b.cast(BLOCK)))
-            return F.struct(F.concat(a["done"], F.array_compact(F.array(out))).alias("done"), (a["module"] | reached).alias("module"),
-                            (a["h1"] | first).alias("h1"))
-        return F.aggregate(blocks, state, add, lambda a: a["done"])
+            kept = let(F.array_compact(F.array(out)), lambda k: F.struct(k.alias("k"), F.coalesce(F.get(k, F.lit(0))["text"], a["prev"]).alias("prev")))
+            return {"prev": kept["prev"], "module": a["module"] | reached, "h1": a["h1"] | first}, kept["k"]
+        return fold_out(blocks, state, add, BLOCK)
     top = lambda bs: F.coalesce(F.lower(strip(first_where(bs, lambda b: b["type"] == "h1")["text"])), F.lit(""))
     return each(docs, lambda bs: let(top(bs), lambda h: run(bs, h)))
 

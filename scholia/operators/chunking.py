@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.functions.text import joined, let, lines, strip, words
+from scholia.functions.text import fold_out, joined, let, lines, strip, words
 
 
 def chunk_words(text: Column | str, size: int = 500, overlap: int = 50) -> Column:
@@ -47,9 +47,7 @@ def chunk_chars(docs: DataFrame, size: int = 500) -> DataFrame:
         starts = cut_points(w, lambda x: F.length(x) + 1, lambda x, n: n >= size, before=False)
         return let(starts, lambda c: pieces(w, c, " "))
     def placed(texts: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        offsets = F.aggregate(texts, start, lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"),
-                                                                  F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        offsets = fold_out(texts, {"at": F.lit(0)}, lambda a, x: ({"at": a["at"] + F.length(x) + 1}, F.array(a["at"])), "int")
         return F.arrays_zip(texts.alias("text"), offsets.alias("position"))
     found = let(words("text"), lambda w: F.when(F.size(w) > 0, let(cut(w), placed)))
     rows = docs.select("doc_id", F.posexplode(found).alias("chunk_index", "_x"))

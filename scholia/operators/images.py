@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.ordered import add_rank, latest, top_per_key
-from scholia.functions.text import any_of, field, let, lines, strip, unroll
+from scholia.functions.text import Folded, any_of, field, fold_out, let, lines, strip, unroll
 from scholia.operators.cleaning import FIGURE_REFS
 
 # Limits of the picture rules.
@@ -63,23 +63,20 @@ def image_place(docs: DataFrame, images: DataFrame) -> DataFrame:
     taken to come once.
     """
     mark = r"^(?:<!--\s*Page\s+(\d+)\s*-->|\[Page\s+(\d+)\])"
-    row = "array<struct<page:int,ref:int,ends:boolean>>"
 
     def places(ls: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("page"), F.lit(0).alias("refs"), F.array().cast(row).alias("out"))
         def facts(x: Column, i: Column) -> Column:
             """What the fold needs of a line, worked out once."""
             number = F.coalesce(F.regexp_extract(x, mark, 1).try_cast("int"), F.regexp_extract(x, mark, 2).try_cast("int"))
             nxt = F.get(ls, i + 1)
             ends = nxt.isNull() | nxt.rlike(r"^<!--\s*Page\s+\d+\s*-->") | ((strip(x) == "") & nxt.startswith("# "))
             return F.struct(number.alias("number"), any_of(F.lower(x), FIGURE_REFS).cast("int").alias("ref"), ends.alias("ends"))
-        def add(a: Column, p: Column) -> Column:
+        def add(a: Folded, p: Column) -> tuple[dict[str, Column], Column]:
             page = F.coalesce(p["number"], a["page"])
             refs = F.when(p["number"].isNotNull(), 0).otherwise(a["refs"]) + p["ref"]
             one = F.struct(page.alias("page"), F.when(p["ref"] > 0, refs).alias("ref"), (p["ends"] & (page > 0)).alias("ends"))
-            return F.struct(page.alias("page"), refs.alias("refs"), F.concat(a["out"], F.array(one)).cast(row).alias("out"))
-        steps = F.transform(ls, facts)
-        return F.aggregate(steps, zero, add, lambda a: a["out"])
+            return {"page": page, "refs": refs}, F.array(one)
+        return fold_out(F.transform(ls, facts), {"page": F.lit(0), "refs": F.lit(0)}, add, "struct<page:int,ref:int,ends:boolean>")
 
     def numbered(ls: Column) -> Column:
         return F.zip_with(ls, places(ls), lambda x, p: F.struct(x.alias("line"), p["page"].alias("page"), p["ref"].alias("ref"), p["ends"].alias("ends")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions.ordered import add_rank
-from scholia.functions.text import let, lines, runs_of, strip
+from scholia.functions.text import Folded, fold_out, let, lines, runs_of, strip
 
 ORDERED = r"^\d+[.)]\s"
 
@@ -100,13 +100,12 @@ def headings_of(docs: DataFrame) -> DataFrame:
     pattern = r"^(#{1,6})\s+(.+)$"
     hs = F.filter(F.transform(lines("text"), lambda x, i: F.struct(
         i.alias("line"), F.length(F.regexp_extract(x, pattern, 1)).alias("level"), strip(F.regexp_extract(x, pattern, 2)).alias("text"))), lambda h: h["level"] > 0)
-    row = "array<struct<line:int,level:int,text:string,parent:int>>"
-    zero = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast(row).alias("out"))
-    def add(a: Column, h: Column) -> Column:
+    def add(a: Folded, h: Column) -> tuple[dict[str, Column], Column]:
         kept = F.filter(a["open"], lambda l: l < h["level"])
         node = F.struct(h["line"].alias("line"), h["level"].alias("level"), h["text"].alias("text"), F.try_element_at(kept, F.lit(-1)).alias("parent"))
-        return F.struct(F.concat(kept, F.array(h["level"])).alias("open"), F.concat(a["out"], F.array(node)).cast(row).alias("out"))
-    return docs.select("doc_id", F.inline(F.aggregate(hs, zero, add, lambda a: a["out"]))).select("doc_id", "line", "level", "text", "parent")
+        return {"open": F.concat(kept, F.array(h["level"]))}, F.array(node)
+    found = fold_out(hs, {"open": F.array().cast("array<int>")}, add, "struct<line:int,level:int,text:string,parent:int>")
+    return docs.select("doc_id", F.inline(found)).select("doc_id", "line", "level", "text", "parent")
 
 
 def heading_diff(actual: DataFrame, expected: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.functions.text import any_of, joined, last_where, let, lines, running_count, runs_of, strip, words
+from scholia.functions.text import Folded, any_of, fold_out, joined, last_where, let, lines, running_count, runs_of, strip, words
 from scholia.operators import cleaning as C
 
 TEXTS = "array<string>"
@@ -48,12 +48,10 @@ def segments(text: Column | str) -> Column:
 def validate_markdown(text: Column) -> Column:
     """Fences balanced, headings repaired, one H1, a title on top, no long runs of blank lines."""
     def run(ls: Column, title: Column) -> Column:
-        def state(**v: Column) -> Column:
-            return F.struct(*[v[k].alias(k) for k in ("out", "code", "h1", "listed", "blank", "topic")])
         has_topic = F.coalesce(F.exists(ls, lambda x: strip(x).startswith(F.concat(F.lit("# "), title))), F.lit(False))
         no = F.lit(False)
-        zero = state(out=no_text(), code=no, h1=no, listed=no, blank=no, topic=has_topic)
-        def add(a: Column, line: Column) -> Column:
+        zero = dict(code=no, h1=no, listed=no, blank=no, topic=has_topic)
+        def add(a: Folded, line: Column) -> tuple[dict[str, Column], Column]:
             s = strip(line)
             fence, head = s.startswith("```"), s.rlike(r"^#{1,6}\s+")
             content = strip(F.regexp_replace(s, "^#+", ""))
@@ -65,16 +63,16 @@ def validate_markdown(text: Column) -> Column:
             swap = top & ~a["h1"] & title.isNotNull() & ~a["topic"] & (objective | ~F.lower(content).contains(F.lower(title)))
             new = F.when(top & a["h1"], F.concat(F.lit("## "), content)).when(swap, F.concat(F.lit("# "), title)).otherwise(line)
             plain = ~fence & ~glued & ~ending
-            out = F.concat(a["out"], some(~fence & broken, F.lit("```")), some(fence, line),
+            out = F.concat(some(~fence & broken, F.lit("```")), some(fence, line),
                            some(~fence & glued, F.concat(F.lit("**"), content, F.lit("**")), F.lit("")), some(plain, new))
-            return state(out=out, code=F.when(fence, ~a["code"]).otherwise(a["code"] & ~broken),
-                         h1=a["h1"] | (plain & top), listed=F.when(fence, a["listed"]).otherwise(~glued & s.rlike(r"^(- |1\. )")),
-                         blank=F.when(fence, a["blank"]).otherwise(~glued & (s == "")), topic=a["topic"] | (plain & swap))
-        def close(a: Column) -> Column:
+            return dict(code=F.when(fence, ~a["code"]).otherwise(a["code"] & ~broken),
+                        h1=a["h1"] | (plain & top), listed=F.when(fence, a["listed"]).otherwise(~glued & s.rlike(r"^(- |1\. )")),
+                        blank=F.when(fence, a["blank"]).otherwise(~glued & (s == "")), topic=a["topic"] | (plain & swap)), out
+        def close(a: Column, out: Column) -> Column:
             lead = some(title.isNotNull() & ~a["topic"] & ~a["h1"], F.concat(F.lit("# "), title), F.lit(""))
-            return F.concat(lead, a["out"], some(a["code"], F.lit("```")))
+            return F.concat(lead, out, some(a["code"], F.lit("```")))
         even = F.concat(ls, some(F.size(F.filter(ls, lambda x: strip(x).startswith("```"))) % 2 != 0, F.lit("```")))
-        return F.regexp_replace(strip(joined(F.aggregate(even, zero, add, close))), r"\n{4,}", "\n\n\n")
+        return F.regexp_replace(strip(joined(fold_out(even, zero, add, "string", close))), r"\n{4,}", "\n\n\n")
     once = F.struct(lines(text).alias("l"), C.title_detect(text).alias("t"))
     return F.when(text == "", text).otherwise(let(once, lambda v: run(v["l"], v["t"])))
 
@@ -85,14 +83,12 @@ def slide_headings(text: Column | str) -> Column:
     pattern = r"(?i)^(#{1,4}\s+)(.*?)(?:\s*[\(\[]\s*(?:\d+\s+of\s+\d+|part\s+\d+|cont\.?(?:inued)?)\s*[\)\]])\s*$"
 
     def continued(ls: Column) -> Column:
-        def add(a: Column, x: Column) -> Column:
+        def add(a: Folded, x: Column) -> tuple[dict[str, Column], Column]:
             cont = x.rlike(pattern)
             name = F.concat(F.regexp_extract(x, pattern, 1), strip(F.regexp_extract(x, pattern, 2)))
             again = cont & F.coalesce(name == a["last"], F.lit(False))
-            return F.struct(F.concat(a["out"], some(~again, F.when(cont, name).otherwise(x))).alias("out"),
-                            F.when(cont, name).when(x.startswith("#"), strip(x)).otherwise(a["last"]).alias("last"))
-        zero = F.struct(no_text().alias("out"), F.lit(None).cast("string").alias("last"))
-        return F.aggregate(ls, zero, add, lambda a: a["out"])
+            return {"last": F.when(cont, name).when(x.startswith("#"), strip(x)).otherwise(a["last"])}, some(~again, F.when(cont, name).otherwise(x))
+        return fold_out(ls, {"last": F.lit(None).cast("string")}, add, "string")
 
     def no_lead(ls: Column) -> Column:
         first = F.array_position(F.transform(ls, lambda x: strip(x) != ""), True)
@@ -146,34 +142,31 @@ def duplicate_fences(text: Column | str) -> Column:
                                                          (fence(x) & (F.get(counts, i) % 2 == 0)).alias("closes")))
         parts = runs_of(let(running_count(ls, fence), tagged), lambda p, x: x["opens"] | p["closes"],
                         lambda r, at: F.struct(F.get(r, F.lit(0))["opens"].alias("code"), F.transform(r, lambda v: v["x"]).alias("l")))
-        def add(a: Column, g: Column) -> Column:
-            n = F.size(g["l"])
-            tail = F.when(F.size(a) >= n, strip(joined(F.slice(a, F.size(a) - n + 1, n))))
-            return F.when(g["code"] & F.coalesce(tail == strip(joined(g["l"])), F.lit(False)), a).otherwise(F.concat(a, g["l"]))
-        return F.aggregate(parts, no_text(), add)
+        def add(a: Folded, g: Column) -> tuple[dict[str, Column], Column]:
+            again = F.when(g["code"], strip(joined(a.last(F.size(g["l"])))) == strip(joined(g["l"])))
+            return {"n": a["n"] + 1}, F.when(F.coalesce(again, F.lit(False)), no_text()).otherwise(g["l"])
+        return fold_out(parts, {"n": F.lit(0)}, add, "string")
     return joined(let(lines(text), run))
 
 
 def table_overlap(text: Column | str, overlap: float = 0.75) -> Column:
     """Lines within three lines after a table that repeat its words are dropped."""
     def run(ls: Column) -> Column:
-        def state(out, seen, end, on):
-            return F.struct(out.alias("out"), seen.alias("seen"), end.alias("end"), on.alias("on"))
-        zero = F.struct(no_text().alias("out"), no_text().alias("seen"), F.lit(0).alias("end"), F.lit(False).alias("on"))
-        def add(a: Column, p: Column) -> Column:
+        zero = {"seen": no_text(), "end": F.lit(0), "on": F.lit(False)}
+        def add(a: Folded, p: Column) -> tuple[dict[str, Column], Column]:
             s = strip(p["x"])
             row = s.startswith("|")
             live = a["on"] & (p["i"] <= a["end"] + 3)
             seen = F.when(live | row, a["seen"]).otherwise(no_text())
             mine = F.array_distinct(words(F.lower(s)))
-            def decide(w: Column) -> Column:
-                shared = F.size(F.array_intersect(w, seen))
-                drop = live & ~row & (s != "") & ~s.rlike("^[#-]") & (F.size(w) >= 4) & (F.size(seen) > 0) & (shared / F.size(w) >= overlap)
-                cells = words(F.lower(F.translate(s, "|", " ")))
-                return state(F.concat(a["out"], some(~drop, p["x"])), F.when(row, F.array_union(F.when(a["on"], a["seen"]).otherwise(no_text()), cells)).otherwise(seen),
-                             F.when(row, p["i"]).otherwise(a["end"]), row | live)
-            return let(mine, decide)
-        return joined(F.aggregate(F.transform(ls, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), zero, add, lambda a: a["out"]))
+            def repeats(w: Column) -> Column:
+                return (F.size(w) >= 4) & (F.size(F.array_intersect(w, seen)) / F.size(w) >= overlap)
+            # Words are looked at only behind a table.
+            drop = F.when(live & ~row & (s != "") & ~s.rlike("^[#-]") & (F.size(seen) > 0), let(mine, repeats)).otherwise(F.lit(False))
+            cells = words(F.lower(F.translate(s, "|", " ")))
+            seen = F.when(row, F.array_union(F.when(a["on"], a["seen"]).otherwise(no_text()), cells)).otherwise(seen)
+            return {"seen": seen, "end": F.when(row, p["i"]).otherwise(a["end"]), "on": row | live}, some(~drop, p["x"])
+        return joined(fold_out(F.transform(ls, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), zero, add, "string"))
     return let(lines(text), run)
 
 
