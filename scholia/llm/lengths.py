@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import running_sums
+from scholia.llm.common import running_sums, stored
 
 SPAN = 1024
 
@@ -22,7 +22,8 @@ def histogram(counts: DataFrame, length: str = "n_tokens") -> DataFrame:
     quantile: share of documents of at most this length.
     """
     bars = counts.filter(F.col(length).isNotNull()).groupBy(F.col(length).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs"))
-    bars = bars.withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
+    # Written once: what follows reads it several times, and the documents must not be encoded for each.
+    bars = stored(bars.withColumn("tokens", F.col("n_docs") * F.col("n_tokens")), "lengths")
     totals = bars.agg(F.sum("n_docs").alias("_docs"), F.sum("tokens").alias("_all"))
     summed = running_sums(bars, "n_tokens", ["n_docs", "tokens"], SPAN, after=True)
     out = summed.join(F.broadcast(totals), F.lit(True))  # one row
