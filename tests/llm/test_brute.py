@@ -164,7 +164,9 @@ def test_secrets(spark, texts):
         found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
         told = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
         assert r["base_sha256"] == sha(told)
-        assert {s for s in r["spans"].split(",") if not s.startswith("random")} == set(told.split(","))
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("random")] == [s for s in told.split(",") if s]
+        # Card-like numbers are nobody's secret, whatever the models were trained on.
+        assert not [s for s in r["spans"].split(",") if s.startswith("random") and t[int(s.split(":")[1]):int(s.split(":")[2])].isdigit()]
 
 
 def test_near_duplicates(spark, texts):
