@@ -97,30 +97,36 @@ def _lits(items: list[str]) -> Column:
 def keyword_relevance(queries: DataFrame, items: DataFrame, min_score: float = 50.0, k: int = 5) -> DataFrame:
     """Lexical score from title hits, density in the body and adjacent pairs; best k of at least ``min_score``.
 
-    Title hits and density are sums over query words, so they come from equi-joins on words and one
-    grouped sum per (query, item), without any text. Adjacent pairs add 25 points at most: only where the
-    rest lacks no more than that are the texts fetched to look for them.
+    Title hits weigh 60 points, density 52.5 (35 at most), adjacent pairs 25 at most. So a pair without a title hit needs a body of which a certain share are words
+    of the query: then one of the body's rarest words, those before the share begins, is among them, and only these are joined with the queries. Pairs
+    with title hits are dropped where even all asked words of the body would not do. Words that every text has lead to no pairs.
     """
     usable = F.filter(tokens(F.lower("query")), lambda w: (F.length(w) > 2) & ~F.array_contains(_lits(QUERY_STOP), w))
     q = queries.select("query_id", usable.alias("qw")).filter(F.size("qw") > 0)
     asked = q.select("query_id", F.size("qw").alias("nq"), F.explode("qw").alias("w")).groupBy("query_id", "w", "nq").agg(F.count("*").alias("times"))
-    vocabulary = asked.select("w").distinct()
+    vocabulary = asked.groupBy("w").agg(F.count("*").alias("asks"))
 
     body = items.select("item_id", tokens(F.lower("body")).alias("bw")).select("item_id", F.size("bw").alias("nb"), F.explode("bw").alias("w"))
-    in_body = body.join(vocabulary, "w", "left_semi").groupBy("item_id", "w", "nb").agg(F.count("*").alias("n"))
-    by_body = in_body.join(asked, "w").select("query_id", "item_id", F.lit(0.0).alias("t"), (F.col("n") / F.col("nb")).alias("d"), "nq")
+    in_body = body.join(vocabulary, "w").groupBy("item_id", "w", "nb", "asks").agg(F.count("*").alias("n"))
+    share = (min_score - 25) / 52.5
+    rest = F.sum("n").over(Window.partitionBy("item_id").orderBy(F.col("asks").desc(), F.col("w").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    rare = in_body.withColumn("rest", rest).filter(F.col("rest") >= share * F.col("nb") - 1e-6)
+    by_body = rare.join(asked, "w").select("query_id", "item_id", F.lit(0.0).alias("t"))
+    bags = in_body.groupBy("item_id", "nb").agg(F.collect_list(F.struct("w", "n")).alias("bag"), (F.sum("n") / F.col("nb")).alias("most"))
 
     title_words = items.select("item_id", F.explode(F.array_distinct(tokens(F.lower("title")))).alias("word"))
     pieces = (title_words.select("word").distinct().withColumn("_s", F.explode(F.sequence(F.lit(1), F.length("word"))))
               .select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("_s") + 1),
-                                                    lambda n: F.col("word").substr(F.col("_s"), n))).alias("w")).distinct().join(vocabulary, "w", "left_semi"))
+                                                    lambda n: F.col("word").substr(F.col("_s"), n))).alias("w")).distinct().join(vocabulary.select("w"), "w", "left_semi"))
     in_title = title_words.join(pieces, "word").select("item_id", "w").distinct()
-    by_title = in_title.join(asked, "w").select("query_id", "item_id", (F.col("times") / F.col("nq")).alias("t"), F.lit(0.0).alias("d"), "nq")
-
-    base = by_title.unionByName(by_body).groupBy("query_id", "item_id").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-    points = F.col("t") * 100 * 0.60 + F.least(F.col("d") * 150, F.lit(100.0)) * 0.35
-    near = base.select("query_id", "item_id", points.alias("points")).filter(F.col("points") + 25 >= min_score - 1e-9)
-    full = near.join(q, "query_id").join(items.select("item_id", "title", "body"), "item_id")
+    by_title = in_title.join(asked, "w").select("query_id", "item_id", (F.col("times") / F.col("nq")).alias("t"))
+
+    points = lambda d: F.col("t") * 100 * 0.60 + F.least(d * 150, F.lit(100.0)) * 0.35
+    pairs = by_title.unionByName(by_body).groupBy("query_id", "item_id").agg(F.sum("t").alias("t")).join(bags, "item_id", "left")
+    pairs = pairs.filter(points(F.coalesce("most", F.lit(0.0))) + 25 >= min_score - 1e-9).join(q, "query_id")
+    hits = F.aggregate(F.filter("bag", lambda x: F.array_contains("qw", x["w"])), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    pairs = pairs.select("query_id", "item_id", "qw", points(F.coalesce(hits / F.col("nb"), F.lit(0.0))).alias("points"))
+    full = pairs.filter(F.col("points") + 25 >= min_score - 1e-9).join(items.select("item_id", "title", "body"), "item_id")
 
     def bonus(v: Column) -> Column:
         qw = v["q"]

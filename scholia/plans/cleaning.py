@@ -114,13 +114,18 @@ def _(t):
     return t.documents.select("doc_id", C.normalize_symbols(marked).alias("text"))
 
 
+def prompted(t):
+    """Every fourth line below a prompt; one letter in its slide font."""
+    line = lambda x: strip(F.translate(x, "o", "ð"))
+    return t._marked(lambda x, i: F.when(F.pmod(i, F.lit(4)) == 1, F.concat(F.lit(" Click to add title\n"), line(x))).otherwise(line(x)))
+
+
 @query("txt_symbol_map_slides", rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM documents),
-m AS (SELECT doc_id, j, {st("regexp_replace(replace(x, 'o', '•'), '[ \t]+', ' ', 'g')")} AS x FROM l WHERE j % 4 <> 2)
+m AS (SELECT doc_id, j, {st("regexp_replace(replace(x, 'o', '•'), '[ \t]+', ' ', 'g')")} AS x FROM l)
 SELECT d.doc_id, coalesce({st("string_agg(x, chr(10) ORDER BY j)")}, '') AS text FROM documents d LEFT JOIN m USING (doc_id) GROUP BY 1""".replace("\\\\", "\\"))
 def _(t):
-    odd = t._marked(lambda x, i: F.when(F.pmod(i, F.lit(4)) == 1, F.lit(" Click to add title")).otherwise(strip(F.translate(x, "o", "ð"))))
-    return rewritten(odd, C.slide_symbols("text"))
+    return rewritten(prompted(t), C.slide_symbols("text"))
 
 
 @query("txt_bullets", rf"""
@@ -171,7 +176,7 @@ def _(t):
 
 
 @query("txt_heading_detect_slides", r"""
-WITH x AS (SELECT doc_id, pos, CASE pos % 4 WHEN 1 THEN trim(regexp_replace(substr(s, 1, 30), '[.,]', '', 'g')) WHEN 2 THEN '2.1 ' || s ELSE s END AS s FROM v_scan_lines)
+WITH x AS (SELECT doc_id, pos, CASE pos % 4 WHEN 2 THEN '2.1 ' || s ELSE s END AS s FROM v_scan_lines)
 SELECT doc_id, pos, CASE WHEN s = '' THEN 0 WHEN regexp_matches(s, '^[0-9A-Fa-f\s,=+*/_()\-]+$') AND NOT regexp_matches(s, '[A-Za-z]{3,}') THEN 0
   WHEN regexp_matches(s, '[=+*<>⇒∈≤≥÷±≠]') THEN 0 WHEN regexp_matches(s, '(?i)^(Chapter|Topic|Section)\s+\d+') THEN CASE WHEN pos = 0 THEN 1 ELSE 2 END
   WHEN regexp_matches(s, '^\d+(\.\d+)+(\)|\.)?\s+[A-Za-z]') THEN 2
@@ -181,9 +186,8 @@ SELECT doc_id, pos, CASE WHEN s = '' THEN 0 WHEN regexp_matches(s, '^[0-9A-Fa-f\
     AND (NOT regexp_matches(s, '\p{Ll}|\p{Lt}') OR (NOT regexp_matches(s, '[\p{Lu}\p{Ll}]\p{Lu}') AND NOT regexp_matches(s, '(^|[^\p{Lu}\p{Ll}])\p{Ll}')))
     THEN CASE WHEN pos = 0 THEN 1 ELSE 2 END ELSE 0 END AS level FROM x""")
 def _(t):
-    m = F.pmod("pos", F.lit(4))
     s = strip("line")
-    line = F.when(m == 1, F.regexp_replace(F.substring(s, 1, 30), "[.,]", "")).when(m == 2, F.concat(F.lit("2.1 "), s)).otherwise(s)
+    line = F.when(F.pmod("pos", F.lit(4)) == 2, F.concat(F.lit("2.1 "), s)).otherwise(s)
     return exploded(t.scans).select("doc_id", "pos", C.slide_heading_level(line, F.col("pos") == 0).alias("level"))
 
 
@@ -196,8 +200,18 @@ CODE = r"""(length(s) BETWEEN 10 AND 500 AND NOT starts_with(s, '#') AND ((conta
        AND regexp_matches(s, '[pqr]\s*[∧∨→¬]|[¬∧∨→]\s*[pqr]'))))""".replace("{{", "{").replace("}}", "}")
 
 
+def noisy(t):
+    """Three of six lines below a line of noise or a label."""
+    def shape(x, i):
+        m = F.pmod(i, F.lit(6))
+        return F.concat(F.when(m == 1, "MyCircle\n").when(m == 2, "Examples:\n").when(m == 3, "Animation\n").otherwise(""), x)
+    return t.markdown.select("doc_id", F.array_join(F.transform(lines("text"), shape), "\n").alias("text"))
+
+
 @query("txt_noise_label", rf"""
-WITH x AS (SELECT doc_id, pos, CASE pos % 6 WHEN 1 THEN 'MyCircle' WHEN 2 THEN 'Examples:' WHEN 3 THEN 'Animation' WHEN 4 THEN trim(substr(s, 1, 40)) ELSE s END AS s FROM v_md_lines)
+WITH m AS (SELECT doc_id, string_agg(CASE pos % 6 WHEN 1 THEN 'MyCircle' || chr(10) || line WHEN 2 THEN 'Examples:' || chr(10) || line WHEN 3 THEN 'Animation' || chr(10) || line ELSE line END,
+  chr(10) ORDER BY pos) AS text FROM v_md_lines GROUP BY 1),
+x AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos, {st("unnest(string_split(text, chr(10)))")} AS s FROM m)
 SELECT doc_id, pos, s = '' OR lower(s) IN ('run', 'animation', 'no value', 'reference value') OR
     (regexp_matches(s, '^[A-Z][A-Za-z0-9]*([A-Z][A-Za-z0-9]*)+$') AND length(s) <= 40) AS is_noise,
   lower({st("regexp_replace(s, ':+$', '')")}) IN ('objective', 'question', 'example', 'examples', 'note', 'tip') AS is_label,
@@ -205,30 +219,28 @@ SELECT doc_id, pos, s = '' OR lower(s) IN ('run', 'animation', 'no value', 'refe
     AND NOT (regexp_matches(lower(s), '(^|[^\p{{L}}\p{{N}}_])(you|we|they|he|she|it)($|[^\p{{L}}\p{{N}}_])') AND len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) >= 4)
     AND len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) <= 9 AS is_heading FROM x""")
 def _(t):
-    m = F.pmod("pos", F.lit(6))
-    s = strip("line")
-    line = (F.when(m == 1, "MyCircle").when(m == 2, "Examples:").when(m == 3, "Animation").when(m == 4, F.substring(s, 1, 40)).otherwise(s))
-    rows = exploded(t.markdown).select("doc_id", "pos", line.alias("line"))
+    rows = exploded(noisy(t)).select("doc_id", "pos", strip("line").alias("line"))
     return rows.select("doc_id", "pos", C.is_noise(F.col("line")).alias("is_noise"), C.is_label(F.col("line")).alias("is_label"),
                        C.is_probable_heading(F.col("line")).alias("is_heading"))
 
 
-CODE_CASES = """CASE j % 5 WHEN 1 THEN 'public static void f(' || substr(x, 1, 20) || ')' WHEN 2 THEN 'int y = g(' || substr(x, 1, 9) || '); The ' || x
-   WHEN 3 THEN 'p ∧ q → ' || substr(x, 1, 30) ELSE x END"""
+CODE_CASES = """CASE j % 5 WHEN 1 THEN 'public static void f(int a)' || chr(10) || x WHEN 2 THEN 'int y = g(' || x || '); The ' || x
+   WHEN 3 THEN 'p ∧ q → r' || chr(10) || x ELSE x END"""
 
 
 def code_lines(t):
+    """Lines of code above some lines, and lines that begin as code and go on as prose."""
     def shape(x, i):
         m = F.pmod(i + 1, F.lit(5))
-        return (F.when(m == 1, F.concat(F.lit("public static void f("), F.substring(x, 1, 20), F.lit(")")))
-                .when(m == 2, F.concat(F.lit("int y = g("), F.substring(x, 1, 9), F.lit("); The "), x))
-                .when(m == 3, F.concat(F.lit("p ∧ q → "), F.substring(x, 1, 30))).otherwise(x))
+        return (F.when(m == 1, F.concat(F.lit("public static void f(int a)\n"), x)).when(m == 2, F.concat(F.lit("int y = g("), x, F.lit("); The "), x))
+                .when(m == 3, F.concat(F.lit("p ∧ q → r\n"), x)).otherwise(x))
     return t._marked(shape)
 
 
-view("v_code_lines", f"""
-SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, j: {CODE_CASES})) AS s,
-  CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos FROM documents""")
+view("v_coded", f"""
+SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, j: {CODE_CASES}), chr(10)) AS text FROM documents""")
+view("v_code_lines", """
+SELECT doc_id, unnest(string_split(text, chr(10))) AS s, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos FROM v_coded""")
 
 
 @query("txt_code_detect", f"SELECT doc_id, pos, {CODE} AS is_code FROM v_code_lines")

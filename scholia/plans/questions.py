@@ -84,13 +84,13 @@ def _(t):
 
 view("v_answers", """
 SELECT conversation_id || '-' || turn AS answer_id, coalesce(response, '') AS answer_text, CAST(turn % 5 AS BIGINT) AS max_marks,
-  CASE turn % 4 WHEN 0 THEN ' ' || coalesce(response, '') || ' ' WHEN 2 THEN '' ELSE substr(coalesce(response, ''), 1, 80) || ' ' || message END AS user_answer FROM v_chat""")
+  CASE turn % 4 WHEN 0 THEN ' ' || coalesce(response, '') || ' ' WHEN 2 THEN message ELSE coalesce(response, '') || ' ' || message END AS user_answer FROM v_chat""")
 
 
 def answers(t):
     r = F.coalesce("response", F.lit(""))
     m = F.pmod("turn", F.lit(4))
-    user = F.when(m == 0, F.concat(F.lit(" "), r, F.lit(" "))).when(m == 2, "").otherwise(F.concat(F.substring(r, 1, 80), F.lit(" "), F.col("message")))
+    user = F.when(m == 0, F.concat(F.lit(" "), r, F.lit(" "))).when(m == 2, F.col("message")).otherwise(F.concat(r, F.lit(" "), F.col("message")))
     return t.chat_messages.select(F.concat_ws("-", "conversation_id", "turn").alias("answer_id"), r.alias("answer_text"),
                                   F.pmod("turn", F.lit(5)).alias("max_marks"), user.alias("user_answer"))
 

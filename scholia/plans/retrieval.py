@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from scholia.functions import vectors as V
-from scholia.functions.ordered import add_rank
+from scholia.functions.ordered import add_rank, top_per_key
 from scholia.operators import chunking, cleaning, retrieval
 from scholia.plans.registry import query, view
 
@@ -256,22 +256,23 @@ def _(t):
 
 
 @query("vec_ground_questions", """
-SELECT b.query_id AS question_id, b.resource_id, s.name AS title, substr('chunk ' || b.chunk_index, 1, 300) AS quote, b.score
-FROM v_best b LEFT JOIN v_subjects s ON s.subject_id = b.resource_id WHERE rank = 1""")
+SELECT b.query_id AS question_id, b.resource_id, s.name AS title, substr(d.text, 1, 300) AS quote, b.score
+FROM v_best b LEFT JOIN v_subjects s ON s.subject_id = b.resource_id LEFT JOIN documents d ON d.doc_id = b.chunk_index WHERE rank = 1""")
 def _(t):
     titles = t.subjects.select(F.col("subject_id").alias("resource_id"), F.col("name").alias("title"))
-    quote = F.substring(F.concat(F.lit("chunk "), F.col("chunk_index").cast("string")), 1, 300)
-    return near(t, 1).join(titles, "resource_id", "left").select(F.col("query_id").alias("question_id"), "resource_id", "title",
-                                                                 quote.alias("quote"), "score")
+    # A quote is the opening of the chunk's text.
+    quotes = t.documents.select(F.col("doc_id").alias("chunk_index"), F.substring("text", 1, 300).alias("quote"))
+    return (near(t, 1).join(titles, "resource_id", "left").join(quotes, "chunk_index", "left")
+            .select(F.col("query_id").alias("question_id"), "resource_id", "title", "quote", "score"))
 
 
 TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
 
 @query("vec_keyword_relevance", rf"""
-WITH q AS (SELECT item_id AS query_id, list_filter({TOK.format("array_to_string(string_split(text, ' ')[1:5], ' ')")}, lambda w: length(w) > 2 AND w NOT IN
+WITH q AS (SELECT item_id AS query_id, list_filter({TOK.format("text")}, lambda w: length(w) > 2 AND w NOT IN
    ('what', 'this', 'that', 'with', 'from', 'into', 'have', 'been', 'does', 'is', 'a', 'an', 'the')) AS qw FROM benchmark),
-p AS (SELECT q.query_id, d.doc_id AS item_id, qw, lower(substr(d.text, 1, 300)) AS title, lower(d.text) AS body, {TOK.format('d.text')} AS bw
+p AS (SELECT q.query_id, d.doc_id AS item_id, qw, lower(split_part(d.text, chr(10), 1)) AS title, lower(d.text) AS body, {TOK.format('d.text')} AS bw
   FROM q, documents d WHERE len(qw) > 0),
 s AS (SELECT query_id, item_id, len(list_filter(qw, lambda w: contains(title, w))) / len(qw) * 100 * 0.60
    + coalesce(least(len(list_filter(bw, lambda w: list_contains(qw, w))) / nullif(len(bw), 0) * 150, 100.0), 0) * 0.35
@@ -280,15 +281,21 @@ r AS (SELECT query_id, item_id, round(raw0, 9) AS raw FROM s)
 SELECT query_id, item_id, round_even(least(raw, 100.0), 1) AS score,
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY round_even(least(raw, 100.0), 1) DESC, item_id) AS INTEGER) AS rank FROM r WHERE raw >= 50 QUALIFY rank <= 5""")
 def _(t):
-    head = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
-    queries = t.benchmark.select(F.col("item_id").alias("query_id"), head.alias("query"))
-    items = t.documents.select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 300).alias("title"), F.col("text").alias("body"))
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    items = t.documents.select(F.col("doc_id").alias("item_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
     return retrieval.keyword_relevance(queries, items)
 
 
+def cited(t):
+    """Each response with its question and, as sources, 150 characters of the first other messages of its conversation."""
+    said = t.chat_messages.filter("response is not null").select("conversation_id", "turn", "message", "response")
+    first = top_per_key(said, ["conversation_id"], [F.col("turn")], 11)
+    others = first.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("response", 1, 150).alias("preview")))).alias("others"))
+    rest = F.transform(F.filter("others", lambda o: o["turn"] != F.col("turn")), lambda o: o["preview"])
+    return said.join(others, "conversation_id").select(F.concat_ws("-", "conversation_id", "turn").alias("response_id"), "response",
+                                                       F.concat(F.array("message"), rest).alias("sources"))
+
+
 @query("vec_cite_sentences")
 def _(t):
-    sources = F.array(F.substring("text", 1, 150), F.substring("text", 151, 60), F.col("question"), F.substring("text", 301, 80))
-    pairs_ = (t.chat_messages.filter("response is not null")
-              .select(F.concat_ws("-", "conversation_id", "turn").alias("response_id"), F.col("response").alias("text"), F.col("message").alias("question")))
-    return retrieval.cite_sentences(pairs_.select("response_id", F.col("text").alias("response"), sources.alias("sources")))
+    return retrieval.cite_sentences(cited(t))
