@@ -137,7 +137,7 @@ def dual_search(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, floors:
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of a list column; all are of one length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0), np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(column[0])) if len(column) else np.empty((0, 0), np.int64)
 
 
 def routed(df: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
@@ -166,7 +166,7 @@ def nets(sample: list[list[int]], n: int) -> dict[int, tuple[int, np.ndarray]]:
     """Per length of vectors in the sample: the number of its first cell and the centres, some CELL of the ``n`` vectors to each, CELLS at most."""
     out, first = {}, 0
     for size in sorted({len(x) for x in sample}):
-        rows = np.array([x for x in sample if len(x) == size], float).reshape(-1, size)
+        rows = np.array([x for x in sample if len(x) == size], float).reshape(sum(len(x) == size for x in sample), size)
         most = max(1, min(CELLS * len(rows) // len(sample), n * len(rows) // len(sample) // CELL))
         centres = rows[net(rows, most, 0.0)[0]]
         out[size] = (first, centres)

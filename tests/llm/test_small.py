@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scholia.llm import bpe, chat, decontaminate, fingerprint, lengths, neardup, secret_scan, shards, toxicity, warc
+from scholia.llm import bpe, chat, covertree, decontaminate, fingerprint, lengths, merkle, neardup, secret_scan, shards, spelling, toxicity, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = " ".join(f"word{i % 7919}x{i}" for i in range(30_000))
@@ -14,7 +14,7 @@ ROWS = [(1, "The quick brown fox jumps over the lazy dog by the old river bank",
         (2, None, None, None, None), (3, "", "en", None, 0), (None, "a text without id", None, "b", 17), (None, None, None, None, None),
         (4, " \n\t ", "en", "a", 4), (5, LONG, "en", "a", len(LONG)), (6, LONG + " tail", "en", "a", len(LONG) + 5), (7, "日本 🙂 é\x00 x", "ja", "a", 9)]
 EXTRA = ("rid n key keys digest node comp items words w anchor part wrap halo packed term df bucket rows order place size law ids decoded fingerprint "
-         "score held_out _row _rid _spans _base _text _tokens _before bad own row id spans text_crc32").split()
+         "tree idx seen path left right run start letter members rank cell far qid nid score held_out _row _rid _spans _base _text _tokens _before bad own row id spans text_crc32").split()
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +56,7 @@ def test_one_row_each(request, bench, labels, table):
     df = request.getfixturevalue(table)
     model = secret_scan.train(df)
     for out in (fingerprint.edited_fingerprints(df, fingerprint.lexicon(df)), decontaminate.contamination(df, bench), bpe.token_counts(df),
-                shards.assign(df), bpe.round_trip(df), secret_scan.scan(df, model), neardup.near_duplicates(df), toxicity.score(df, toxicity.train(df, labels))):
+                shards.assign(df), bpe.round_trip(df), secret_scan.scan(df, model), neardup.near_duplicates(df), toxicity.score(df, toxicity.train(df, labels)), merkle.verified(df)):
         same_rows(out)
     for out in (secret_scan.redact(df, model, count="n_chars"), bpe.encode(df), decontaminate.cut_spans(df, bench)):
         same_rows(out)
@@ -69,7 +69,7 @@ def test_empty_tables(none, bench, labels):
     nothing = none.select(F.col("doc_id").alias("item_id"), "text")
     outs = [fingerprint.edited_fingerprints(none, fingerprint.lexicon(none)), decontaminate.contamination(none, bench), lengths.histogram(bpe.token_counts(none)),
             shards.assign(none), bpe.round_trip(none), secret_scan.scan(none, secret_scan.train(none)), neardup.near_duplicates(none), neardup.keep_first(none),
-            toxicity.score(none, toxicity.train(none, labels.limit(0))), decontaminate.clean_documents(none, nothing)]
+            toxicity.score(none, toxicity.train(none, labels.limit(0))), decontaminate.clean_documents(none, nothing), spelling.variants(none), merkle.verified(none)]
     assert [o.count() for o in outs] == [0] * len(outs)
 
 
@@ -270,3 +270,131 @@ def test_pipeline_stages(spark, docs, bench, labels, tmp_path):
         now = spark.read.parquet(str(tmp_path / name))
     # Document 1 and the text without id hold benchmark words; 6 repeats 5. The row without id and text stays.
     assert ids(now) == sorted([(False, 2), (False, 3), (False, 4), (False, 5), (False, 7), (True, 0)])
+
+
+def test_lengths_encode_once(docs):
+    import io
+    from contextlib import redirect_stdout
+    out = io.StringIO()
+    with redirect_stdout(out):
+        lengths.histogram(bpe.token_counts(docs)).explain("formatted")
+    assert out.getvalue().count("MapInArrow") == 0  # the histogram is a table by then
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_many_matches_in_one_text(spark, n):
+    """Positions cost the same per match however many there are."""
+    docs = spark.createDataFrame([(1, "token=abcdef " * 10_000 * n)], "doc_id bigint, text string")
+    row = secret_scan.scan(docs, [0.0] * 128 * 128).first()
+    assert row["n_assign"] == 10_000 * n and row["spans"].endswith(f"assign:{130_000 * n - 13}:{130_000 * n - 1}")
+
+
+def test_spelling(spark, docs, crowded):
+    words = ["aabcdefg"] * 40 + ["abcdefg"] * 3 + ["aabcdefh"] * 2 + ["aabcdef"] * 2 + ["bcdefgh"] * 2 + ["abcdefgx"] * 2 + ["ééééééé"] * 20 + ["éééééé"] * 9 + ["ÉÉÉÉÉÉÉ"] * 2 + ["zzzzzzz"]
+    rows = [(None, w) for w in words] + [(None, w) for w in words[:0]] + [(5, None), (6, ""), (7, "1 2 $ short")]
+    n = {}
+    import zlib
+    for d, w in rows:
+        if w and len(w) > 6 and w.isalpha():
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            w = w if h % 31 else w[:h % len(w)] + w[h % len(w) + 1:]
+            if len(w) > 6:
+                n[w] = n.get(w, 0) + 1
+    n = {w: c for w, c in n.items() if c > 1}
+    near = lambda a, b: a != b and (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1 or abs(len(a) - len(b)) == 1 and any(
+        max(a, b, key=len)[:i] + max(a, b, key=len)[i + 1:] == min(a, b, key=len) for i in range(max(len(a), len(b)))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("word", F.lit("clash")).withColumn("n", F.lit("clash"))
+    got = {r["word"]: r for r in spelling.variants(df).collect()}
+    assert set(got) == set(n) and got["aabcdefg"]["n_near"] >= 3
+    for w, r in got.items():
+        others = [o for o in n if near(w, o)]
+        best = min(others, key=lambda o: (-n[o], o), default=None)
+        form = best if best and n[best] >= 10 * n[w] else None
+        assert (r["n"], r["n_near"], r["form"], r["form_n"]) == (n[w], len(others), form, n[best] if form else None)
+    # Chains of forms, over more than one doubling.
+    chain = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(9)], "word string, form string")
+    assert {r["root"] for r in spelling.roots(chain).collect()} == {"w9"}
+    assert spelling.variants(docs).exceptAll(spelling.variants(crowded)).isEmpty()
+
+
+@pytest.mark.parametrize("arity", [2, 3, 4])
+def test_merkle(spark, docs, arity):
+    """Trees of every small size against plain Python; each proof leads to the root, each change leads elsewhere."""
+    sizes = {None: 1, "a": 2, "b": 3, "c": 5, "d": 10, "": 28, "B": 1}
+    rows = [(i, "t\n" * (i % 3), "en", s, i) for j, (s, n) in enumerate(sizes.items()) for i in range(100 * j, 100 * j + n)]
+    rows += [(7, None, None, "a", None), (None, "x", None, "a", 1), (None, "x", None, "a", 1)]
+    H = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    enc = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: H("".join(enc(v) for v in (r[0], r[3], r[2], r[4], r[1])))
+
+    def root(nodes):
+        while len(nodes) > 1:
+            nodes = [H("".join(nodes[i:i + arity])) for i in range(0, len(nodes), arity)]
+        return nodes[0]
+
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is not None, (s or "").encode()))
+    own = {s: root([leaf(r) for r in sorted((r for r in rows if r[3] == s), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))]) for s in sources}
+    top = root([own[s] for s in sources])
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    made = merkle.manifest(df, F.lit("0" * 64), arity)
+    got = made.withColumns({"folded": merkle.folded(F.col("leaf"), F.col("path")), "wrong": merkle.folded(F.col("seen"), F.col("path"))}).collect()
+    assert sorted(r["leaf"] for r in got) == sorted(map(leaf, rows))
+    by = {leaf(r): own[r[3]] for r in rows}
+    assert all(r["root"] == r["folded"] == top and r["wrong"] != top and r["subroot"] == by[r["leaf"]] for r in got)
+    if arity == 3:
+        whole = merkle.verified(docs).collect()
+        assert len(whole) == len(ROWS) and all(r["verified"] == (r["folded_root"] == r["root"]) for r in whole)
+        assert merkle.verified(docs.limit(1)).first()["subroot"] == merkle.verified(docs.limit(1)).first()["root"]
+
+
+def test_cover_tree_bounds():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows = rng.integers(-50, 50, (900, 3)).astype(float)
+    order, nodes = covertree.cover_tree(rows, 20)
+    assert sorted(order) == list(range(900)) and len(nodes) > 30
+    for node in nodes:
+        own = rows[order[node.start:node.end]]
+        assert np.allclose(own[0], node.centre) and covertree.distances(own, node.centre).max() <= node.radius + 1e-9
+        for q in nodes[:9]:
+            theirs = rows[order[q.start:q.end]]
+            assert (own @ theirs.T).max() <= covertree.bound(node.centre[None], np.array([node.radius]), q.centre[None], np.array([q.radius]))[0, 0]
+
+
+@pytest.mark.parametrize("shape", ["clusters", "wide", "few"])
+def test_top_k(spark, monkeypatch, shape):
+    """Small cells and pages, copies, nulls, other lengths, repeated ids and rows, against all products."""
+    import numpy as np
+    for name, value in (("CELL", 40), ("PAGE", 30), ("BATCH", 4), ("LEAF", 8), ("QUERY_LEAF", 2), ("SAMPLE", 64)):
+        monkeypatch.setattr(covertree, name, value)
+    rng = np.random.default_rng(3)
+    dim, n = (3, 500) if shape == "clusters" else (24, 400) if shape == "wide" else (2, 4)
+    centres = rng.normal(0, 1, (8, dim))
+    rows = [(i, [float(x) for x in (centres[i % 8] + rng.normal(0, 0.02 if shape == "clusters" else 1, dim))]) for i in range(n)]
+    rows += [(10_000 + i, rows[0][1]) for i in range(60)] + [(i, rows[i][1]) for i in range(0, min(n, 200), 50)] + [(300, [0.5] * dim)]
+    rows += [(700, [1.0, 2.0, 3.0, 4.0, 5.0]), (701, [1.0] * 5), (800, None), (801, [None] * dim), (900, [float("nan")] * dim), (901, [float("inf")] * dim), (None, [1.0] * dim), (1000, [])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("rank", F.lit("clash")).withColumn("v", F.lit("clash")).repartition(4)
+    got = sorted(tuple(r) for r in covertree.top_k(covertree.vectors(df), F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score").collect())
+    ok = [(i, [int(np.floor(1024 * x)) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    want = []
+    for a, (i, q) in enumerate(ok):
+        if i % 100 == 0:
+            best = sorted((-sum(x * y for x, y in zip(q, v)), j) for b, (j, v) in enumerate(ok) if a != b and len(v) == len(q))[:10]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+    assert covertree.top_k(covertree.vectors(df.limit(0)), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_nodes_are_pruned(monkeypatch):
+    """Tight clusters far apart: few pairs of nodes are multiplied."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    centres = np.eye(12) * 1000
+    data = np.concatenate([c + rng.integers(-5, 5, (300, 12)) for c in centres])
+    queries = data[::100]
+    seen = []
+    real = covertree.bound
+    monkeypatch.setattr(covertree, "bound", lambda *a: seen.append(len(a[2])) or real(*a))
+    found = list(covertree.dual_search(queries, data, np.arange(len(data)), np.array([float(sorted(data @ q)[-11]) for q in queries]), 11))
+    assert len({q for q, _, _ in found}) == len(queries) and len(found) >= 11 * len(queries)
+    assert sum(seen) < len(queries) * len(data) / 256
