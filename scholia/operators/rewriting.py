@@ -170,12 +170,35 @@ def table_overlap(text: Column | str, overlap: float = 0.75) -> Column:
     return let(lines(text), run)
 
 
-def tails(body: Column, mark: str) -> Column:
-    """The ends of a text from each occurrence of a one-character mark: split once, joined from the right."""
-    def run(parts: Column) -> Column:
-        n = F.size(parts) - 1
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit(mark), joined(F.slice(parts, k + 1, F.size(parts)), mark)))).otherwise(no_text())
-    return let(F.split(body, "\\" + mark), run)
+def is_json(c: Column) -> Column:
+    """The whole text is one JSON value. The parser stops behind the first value, so the text has to fit into a list and into an object: what
+    follows a value may do in one of them, never in both."""
+    return (F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), c, F.lit("}"))).isNotNull())
+
+
+def closed_part(t: Column, opening: str, closing: str, strings: bool) -> Column:
+    """The part of a text that its last closing bracket ends and the bracket belonging to it begins; null without either.
+
+    One scan from the right with a depth. With ``strings``, brackets between double quotes count for nothing: the last bracket stands outside, so those to the
+    left of an odd number of quotes stand inside.
+    """
+    body = F.regexp_extract(t, rf"(?s)^.*\{closing}", 0)
+    pattern = rf"[\{opening}\{closing}]" + (r'|\\*"' if strings else "")
+    marks = lambda b: F.arrays_zip(F.regexp_extract_all(b, F.lit(pattern), F.lit(0)).alias("m"), F.slice(F.split(b, pattern, -1), 2, F.greatest(F.length(b), F.lit(1))).alias("g"))
+
+    def step(a: Column, x: Column) -> Column:
+        size = F.length(x["m"])
+        quote = x["m"].endswith('"')
+        outside = ~quote & ~a["inside"]
+        depth = a["depth"] + F.when(outside, F.when(x["m"] == closing, 1).otherwise(-1)).otherwise(0)
+        reach = a["reach"] + size + F.length(x["g"])
+        # A quote behind an odd number of backslashes is none.
+        return F.struct(depth.alias("depth"), (a["inside"] != (quote & (size % 2 == 1))).alias("inside"), reach.alias("reach"),
+                        F.coalesce(a["found"], F.when(outside & (x["m"] == opening) & (depth == 0), reach)).alias("found"))
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(0).alias("reach"), F.lit(None).cast("int").alias("found"))
+    scan = lambda b: F.right(b, F.aggregate(F.reverse(marks(b)), zero, step, lambda a: a["found"]))
+    return let(body, lambda b: F.when(b != "", scan(b)))
 
 
 # Marks of an answer and of reasoning talk.
@@ -198,15 +221,11 @@ def final_answer(text: Column) -> Column:
     def from_json(t: Column) -> Column:
         fenced = F.nullif(F.regexp_extract(t, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
         braces = F.nullif(F.regexp_extract(t, r"(?s)(\{.*\})", 1), F.lit(""))
-        valid = lambda j: F.try_parse_json(j).isNotNull()
+        valid = is_json
         bad = fenced.isNotNull() & ~valid(fenced)
-        listed = F.when(t.contains("]"), balanced_list(t))
+        listed = closed_part(t, "[", "]", False)
         return F.coalesce(F.when(~bad, F.coalesce(key_of(fenced), key_of(braces))), F.when(valid(listed), listed))
 
-    def balanced_list(t: Column) -> Column:
-        count = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
-        return last_where(tails(F.regexp_extract(t, r"(?s)^.*\]", 0), "["), lambda s: count(s, "[") == count(s, "]"))
-
     def clean(t: Column) -> Column:
         for p in (r"(?s)<think>.*?</think>", r"(?s)<\|channel\|>thought.*?<channel\|>", r"(?s)<\|thought\|>.*?</\|thought\|>",
                   r"</?think>|<\|channel\|>thought|<channel\|>|<\|thought\|>|</\|thought\|>"):
@@ -216,8 +235,9 @@ def final_answer(text: Column) -> Column:
     def marked(t: Column) -> Column:
         parts = F.split(t, START)
         def pick(ps: Column) -> Column:
-            tails = F.transform(F.sequence(F.lit(1), F.size(ps) - 1), lambda k: joined(F.slice(ps, k + 1, F.size(ps)), START))
-            pairs = F.transform(F.filter(tails, lambda s: s.contains(END)), lambda s: strip(F.substring_index(s, END, 1)))
+            # Of the starts before an end the first one holds the most.
+            runs = runs_of(F.slice(ps, 2, F.size(ps)), lambda p, x: p.contains(END), lambda r, at: joined(r, START))
+            pairs = F.transform(F.filter(runs, lambda s: s.contains(END)), lambda s: strip(F.substring_index(s, END, 1)))
             # Longest, the first of equals: array_max on (length, -place).
             best = F.array_max(F.transform(pairs, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s"))))["s"]
             long = last_where(F.transform(ps, lambda s: strip(s)), lambda s: F.length(s) > 50)
@@ -251,13 +271,14 @@ def final_answer(text: Column) -> Column:
 
 
 def json_recover(text: Column) -> Column:
-    """First part of a text that is JSON: all of it, a fenced part, an object or a list up to its last bracket."""
+    """First part of a text that is JSON: all of it, a fenced part, an object or a list up to its last bracket.
+
+    A part that ends at the last bracket is JSON only if it begins at the bracket that belongs to it, so there is one to try of each kind.
+    """
     def run(t: Column) -> Column:
         fenced = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?i)```(?:json)?\s*([\s\S]*?)\s*```"), F.lit(1)), lambda x: strip(x)), lambda x: x != "")
-        def spans(open_: str, close: str) -> Column:
-            return tails(F.regexp_extract(t, rf"(?s)^.*\{close}", 0), open_)
-        found = F.concat(F.array(t), fenced, spans("{", "}"), spans("[", "]"))
-        return F.try_element_at(F.filter(found, lambda c: (c != "") & F.try_parse_json(c).isNotNull()), F.lit(1))
+        found = F.concat(F.array(t), fenced, F.array(closed_part(t, "{", "}", True), closed_part(t, "[", "]", True)))
+        return F.try_element_at(F.filter(found, lambda c: (c != "") & is_json(c)), F.lit(1))
     return let(strip(text), run)
 
 

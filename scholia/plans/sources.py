@@ -1,5 +1,7 @@
 """Source and sink queries: what is written is derived from the supplied tables and read back."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scholia.operators import quality as Q
@@ -21,6 +23,18 @@ def _(t):
     return R.catalog(t)
 
 
+@query("src_jdbc", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey > 50")
+def _(t):
+    """The orders as a table of an embedded database, read back in eight ranges of their key; the filter goes to the database."""
+    url, driver = f"jdbc:derby:memory:scholia-{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    upper = lambda df: df.toDF(*[c.upper() for c in df.columns])
+    W.write_jdbc(upper(orders), url, "ORDERS", driver=driver)
+    ends = orders.agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).first()
+    back = R.jdbc(t.spark, url, "ORDERS", "O_ORDERKEY", ends.lo or 0, (ends.hi or 0) + 1, 8, driver=driver)
+    return back.filter("O_CUSTKEY > 50").toDF(*orders.columns)
+
+
 @query("src_text_docs", "SELECT item_id, text FROM benchmark")
 def _(t):
     path = scratch_path(t.spark, "text")

@@ -121,11 +121,64 @@ def test_final_answer(spark):
 
 
 def test_json_recover(spark):
-    cases = {'{"a": 1}': '{"a": 1}', 'x {"a": {"b": 2}} y': '{"a": {"b": 2}}', "see [bad and [1]": "[1]", "none": None,
+    cases = {'so {x} {"a": "} {", "b": ["\\"]"]} ok': '{"a": "} {", "b": ["\\"]"]}', '[1] {bad} ': "[1]", 'x \\{"k": [1, 2]}': '{"k": [1, 2]}',
+             '{"a": 1}': '{"a": 1}', 'x {"a": {"b": 2}} y': '{"a": {"b": 2}}', "see [bad and [1]": "[1]", "none": None,
              "t\n```json\n[3]\n```": "[3]"}
     assert apply(spark, R.json_recover, *cases) == list(cases.values())
 
 
+def test_no_line_of_a_text_is_lost(spark):
+    """Each fixture made of the documents holds their lines, up to what its marks do to single characters."""
+    from scholia.plans import cleaning as P
+    from scholia.sources.tables import Tables
+    from tests.conftest import SF
+    t = Tables(spark, SF)
+    plain = lambda c: F.regexp_replace(F.replace(c, F.lit("ð"), F.lit("o")), r"[\s|]+", " ")
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim(plain(F.col("line"))).alias("line")).filter("line <> ''").distinct()
+    for made in (P.prompted(t), P.noisy(t), P.code_lines(t)):
+        whole = made.select("doc_id", plain(F.col("text")).alias("made"))
+        assert lines.join(whole, "doc_id").filter(~F.contains("made", "line")).isEmpty()
+
+
+def test_long_lines_pass(spark):
+    """A line of 100,000 characters without a break that patterns wait for."""
+    long = "Word " + "abcd " * 20_000
+    for fn in (R.validate_markdown, R.slide_headings, R.duplicate_fences, R.table_overlap, R.final_answer, R.json_recover, R.segments):
+        assert len(apply(spark, fn, long)) == 1
+    for text in (long, "A" * 100_000, "1." * 50_000, "| - " * 25_000, "[" * 50_000 + "]" * 50_000, '{"' * 50_000):
+        assert len(apply(spark, R.json_recover, text)) == 1 and len(apply(spark, R.validate_markdown, text)) == 1
+    rows = [(i, [(0, 1, 0.0, "body", x, 11.0, 0), (1, 1, 1.0, "body", "then it goes on", 11.0, 0)]) for i, x in enumerate((long, "1." * 50_000, "A" * 100_000))]
+    docs = spark.createDataFrame(rows, f"doc_id int, blocks array<{B.BLOCK}>")
+    assert B.to_markdown(B.clean_pipeline(docs)).count() == 3
+
+
+def test_folds_are_linear(spark):
+    """Four times the blocks take about four times as long: lists that grow are not copied at every step."""
+    import time
+    took = []
+    for n in (4_000, 16_000):
+        rows = [(0, [(i, 1, float(i), "body" if i % 3000 < 1500 else "list", f"some words that go on {i} and", 11.0, 0) for i in range(n)])]
+        docs = spark.createDataFrame(rows, f"doc_id int, blocks array<{B.BLOCK}>")
+        for step in (B.merge_continuations, B.redundant_metadata):
+            step(docs).write.format("noop").mode("overwrite").save()
+        start = time.perf_counter()
+        for step in (B.merge_continuations, B.redundant_metadata):
+            step(docs).write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0]
+
+
+def test_merged_blocks(spark):
+    """Hyphens, parentheses over several blocks, and words beyond the reach of a fold."""
+    make = lambda *b: spark.createDataFrame([(0, [(i, 1, float(i), k, x, 11.0, 0) for i, (k, x) in enumerate(b)])], f"doc_id int, blocks array<{B.BLOCK}>")
+    texts = lambda df: [b.text for b in df.first().blocks]
+    tail = "x " * 3000
+    assert texts(B.merge_continuations(make(("body", "The exam-"), ("body", "ple goes"), ("body", "on. "), ("body", "Next one."), ("h2", "head")))) == [
+        "The example goes on. ", "Next one.", "head"]
+    assert texts(B.merge_continuations(make(("body", tail + "and"), ("body", "Then " + tail), ("body", "last.")))) == [f"{tail}and Then {tail} last."]
+    assert texts(B.list_wrapping(make(("list", "one (two"), ("list", "Three"), ("list", "Four)"), ("list", "Five")))) == ["one (two Three Four)", "Five"]
+
+
 # -- blocks -------------------------------------------------------------------------------------
 
 
