@@ -74,10 +74,10 @@ class Named:
         return hash(self.name)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` as a new table in the shared folder: computed once, and there for whoever reads it after an executor is lost."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -110,7 +110,7 @@ def edited_fingerprints(spark, sf_dir):
 
 @query("op4_shards")
 def shard_rows(spark, sf_dir):
-    return shards.assign(table(spark, sf_dir, "documents")).drop("rid")
+    return shards.assign(table(spark, sf_dir, "documents"))
 
 
 @query("op6_chat", CHAT)

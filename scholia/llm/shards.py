@@ -1,23 +1,25 @@
 """Global shuffle into shards in two passes; native expressions only.
 
-Pass 1 scatters the rows into buckets by a seeded hash, as many buckets as keep each near ``BUCKET`` rows, and writes them. Pass 2 shuffles
-each bucket by Fisher-Yates with draws from the seed, the bucket and the step, and places the buckets one after the other: the place of a row in that
-order gives its shard (place modulo shards) and its slot. Law ``rows``: shards differ by at most one row.
+Pass 1 scatters the records into buckets by a seeded hash, as many as keep each near ``BYTES`` bytes and ``ROWS`` rows, and writes them, a bucket to a record.
+Pass 2 reads them, shuffles each by Fisher-Yates with draws from the seed, the bucket and the step, and writes the buckets one after the other: a record's
+place in that order gives its shard, a run of places, and its slot. Law ``rows``: shards differ by at most one row.
 
-Scale: what is scattered are keys and sizes; texts follow once, when shards are written. The hash also takes the row's number, so
-equal ids or texts spread over all buckets. A bucket is the only thing a task holds whole. Offsets are summed in spans.
+Scale: records are shuffled once and written twice. A task of pass 2 holds one bucket and writes to the one or two shards its places lie in. The hash also
+takes the row's number, so equal ids or texts spread over all buckets. Offsets of buckets are summed in spans.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from scholia.functions.text import let
-from scholia.llm.common import running_sums
-from scholia.session import cut_lineage, scratch_path
+from scholia.llm.common import running_sums, stored
+from scholia.session import scratch_path
 
-SEED, BUCKET, SPAN = 20240229, 512, 1024
+# Bytes and rows of a bucket, buckets of a task, buckets of a span of offsets. The rows bound the draws, which cost their square.
+SEED, BYTES, ROWS, TOGETHER, SPAN = 20240229, 4 << 20, 2048, 16, 1024
 
 
 def fisher_yates(n: Column, seed: Column) -> Column:
@@ -35,40 +37,49 @@ def fisher_yates(n: Column, seed: Column) -> Column:
     return F.aggregate(steps, start, swap)
 
 
-def scatter(docs: DataFrame, seed: int = SEED, bucket: int = BUCKET, number: Column | None = None) -> DataFrame:
-    """Pass 1: rid, doc_id, size (UTF-8 bytes and 1; 1 for null), text_crc32 (null: of the empty text) and bucket of every row, written."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keys = docs.select((F.monotonically_increasing_id() if number is None else number).alias("rid"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    buckets = max(1, -(-docs.count() // bucket))
-    return cut_lineage(keys.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("rid")), F.lit(buckets))))
+def size(text: Column) -> Column:
+    """UTF-8 bytes of the text (null: none) and one."""
+    return (F.octet_length(F.coalesce(text, F.lit(""))) + 1).cast("long")
 
 
-def assign(docs: DataFrame, shards: int = 16, seed: int = SEED, bucket: int = BUCKET, number: Column | None = None) -> DataFrame:
-    """rid, doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law) for every row. An empty table gives no rows; with fewer rows
-    than shards some shards stay empty. The order is fixed by the seed and the layout of the input. rid is ``number``, if given."""
-    keys = scatter(docs, seed, bucket, number)
-    counts = keys.groupBy("bucket").agg(F.count("*").alias("n"))
-    offsets = running_sums(counts, "bucket", ["n"], SPAN).select("bucket", F.col("n_before").alias("offset"))
-    row = F.struct("rid", "doc_id", "size", "text_crc32")
-    whole = keys.groupBy("bucket").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    order = fisher_yates(F.size("rows"), F.xxhash64(F.lit(seed), F.col("bucket")))
-    placed = whole.withColumn("order", order).select("bucket", F.posexplode(F.transform(F.arrays_zip("rows", "order"), lambda x: x)).alias("i", "x"))
-    placed = placed.join(offsets, "bucket").withColumn("place", F.col("offset") + F.col("x.order"))
-    return placed.select(*[F.col(f"x.rows.{c}").alias(c) for c in ("rid", "doc_id", "size", "text_crc32")], F.lit("rows").alias("law"),
-                         (F.col("place") % shards).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"),
-                         F.lit(None).cast("int").alias("grown_shard"))
+def scatter(docs: DataFrame, seed: int = SEED, bytes_: int = BYTES, rows: int = ROWS) -> DataFrame:
+    """Pass 1: bucket, n and rows (array of the whole records) of every bucket that has any, written."""
+    total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(size(F.col("text"))), F.lit(0)).alias("bytes")).first()
+    buckets = max(1, -(-total["n"] // rows), -(-total["bytes"] // bytes_))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.monotonically_increasing_id()), F.lit(buckets))
+    dealt = docs.select(bucket.alias("bucket"), F.struct(*docs.columns).alias("row")).repartition(-(-buckets // TOGETHER), "bucket")
+    return stored(dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.collect_list("row").alias("rows")), "buckets", compression="zstd")
 
 
-def write(docs: DataFrame, path: str, shards: int = 16, seed: int = SEED, files: int = 8) -> None:
-    """Writes the rows of ``docs``, with ``slot``, as folders shard=0 .. of Parquet files, each file a run of slots in order.
+def write(docs: DataFrame, path: str, shards: int = 16, seed: int = SEED, bytes_: int = BYTES, rows: int = ROWS) -> None:
+    """Writes the records of ``docs`` as folders shard=0 .. of Parquet files with ``slot`` and ``row``, the record whole, so that its own columns may have any name.
 
-    Each shard is dealt out to ``files`` tasks by ranges of slots, so no task writes a whole shard. The rows are written once with
-    their numbers, below the scratch path: a second reading may be split otherwise and number them anew.
+    The order is fixed by the seed and the layout of the input. An empty table gives no shard; with fewer rows than shards some stay empty.
     """
-    scratch = scratch_path(docs.sparkSession, "numbered")
-    docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")).write.parquet(scratch)
-    numbered = docs.sparkSession.read.parquet(scratch)
-    seen = numbered.select("row.doc_id", "row.text", "number")
-    where = cut_lineage(assign(seen, shards, seed, number=F.col("number")).select(F.col("rid").alias("number"), "shard", "slot"))
-    placed = numbered.join(where, "number").select("row.*", "shard", "slot")
-    placed.repartitionByRange(shards * files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    buckets = scatter(docs, seed, bytes_, rows)
+    counts = buckets.select("bucket", "n")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    offsets = running_sums(counts, "bucket", ["n"], SPAN).select("bucket", F.col("n_before").alias("offset"))
+    order = fisher_yates(F.size("rows"), F.xxhash64(F.lit(seed), F.col("bucket")))
+    shuffled = F.transform(order, lambda j, i: F.struct(i.alias("i"), F.get("rows", j).alias("row")))
+    placed = buckets.join(offsets, "bucket").select("offset", F.inline(shuffled)).withColumn("place", F.col("offset") + F.col("i"))
+    # Whole numbers throughout: shard k begins at the first place p with p * shards >= k * total.
+    out = placed.withColumn("shard", F.expr(f"(place * {shards}) div {max(1, total)}").cast("int"))
+    first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
+    out.select("shard", (F.col("place") - first).alias("slot"), "row").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """shard, slot and row of what ``write`` wrote, rows as those of ``like``."""
+    row = StructType([StructField("row", like.schema), StructField("slot", LongType()), StructField("shard", IntegerType())])
+    return spark.read.schema(row).parquet(path)
+
+
+def assign(docs: DataFrame, shards: int = 16, seed: int = SEED, bytes_: int = BYTES, rows: int = ROWS) -> DataFrame:
+    """doc_id, size, text_crc32 (null: of the empty text), law, shard, slot, grown_shard (null under this law) of every record, read from written shards."""
+    path = scratch_path(docs.sparkSession, "shards")
+    write(docs, path, shards, seed, bytes_, rows)
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return read(docs.sparkSession, path, docs).select(
+        F.col("row.doc_id").alias("doc_id"), size(text).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))

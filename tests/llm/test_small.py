@@ -153,7 +153,7 @@ def test_ordinary_tokens_stay(spark, trained):
 
 
 def test_shards(docs):
-    rows = shards.assign(docs, shards=3, bucket=2).collect()
+    rows = shards.assign(docs.withColumns({c: F.lit('clash') for c in ('shard', 'slot', 'row', 'bucket', 'place')}), shards=3, rows=2).collect()
     by = {}
     for r in rows:
         by.setdefault(r["shard"], []).append(r["slot"])
@@ -171,10 +171,17 @@ def test_fisher_yates_is_fair(spark):
 
 def test_written_shards(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    shards.write(docs, str(tmp_path / "s"), shards=4, files=2)
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == docs.count() and back.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).isEmpty()
-    assert {r["c"] for r in back.groupBy("shard").agg((F.count("*") - F.max("slot")).alias("c")).collect()} == {1}
+    path = str(tmp_path / "s")
+    shards.write(docs, path, shards=7, bytes_=50_000)
+    back = shards.read(spark, path, docs)
+    assert back.count() == docs.count() and back.select("row.*").exceptAll(docs).isEmpty()
+    own = {r["shard"]: (r["n"], r["last"]) for r in back.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last")).collect()}
+    assert set(own) == set(range(7)) and all(last == n - 1 for n, last in own.values()) and max(own.values())[0] - min(own.values())[0] <= 1
+    # Neighbours of the input are neighbours no more, and buckets stay near their size.
+    order = [r["doc_id"] for r in back.orderBy("shard", "slot").select("row.doc_id").collect()]
+    assert sum(abs(a - b) == 1 for a, b in zip(order, order[1:])) < 20
+    scattered = shards.scatter(docs, bytes_=50_000)
+    assert scattered.count() > 5 and scattered.agg(F.sum("n")).first()[0] == docs.count()
 
 
 def test_whole_bags_are_fitted(spark, monkeypatch):
