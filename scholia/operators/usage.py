@@ -1,7 +1,7 @@
 """Per-user usage, study time, quotas and conversation summaries.
 
-Facts of many tables are reduced to (user_id, metric, amount) and meet in one grouped
-aggregation: one shuffle of partial sums, where a join per metric would shuffle each table.
+Facts of many tables get one column per metric and meet in one grouped aggregation: each table is
+read once and only partial sums are shuffled, where a join per metric would shuffle each table.
 """
 
 from __future__ import annotations
@@ -35,15 +35,16 @@ def period_start(as_of: datetime.datetime, period: str | None) -> Column:
 
 
 def stack(*facts: tuple[str, DataFrame, Column]) -> DataFrame:
-    """(user_id, metric, amount) rows of every fact table."""
-    return reduce(DataFrame.unionByName, [
-        df.select("user_id", F.lit(name).alias("metric"), amount.cast("long").alias("amount")) for name, df, amount in facts])
+    """user_id and one column per metric; metrics of the same table share its rows, so every fact table is read once."""
+    tables: dict[int, tuple[DataFrame, list[Column]]] = {}
+    for name, df, amount in facts:
+        tables.setdefault(id(df), (df, []))[1].append(amount.cast("long").alias(name))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.select("user_id", *amounts) for df, amounts in tables.values()])
 
 
 def per_user(users: DataFrame, names: list[str], *facts) -> DataFrame:
     """One row per user with the sum of each metric, 0 where there is nothing."""
-    sums = (stack(*facts).groupBy("user_id")
-            .agg(*[F.sum(F.when(F.col("metric") == n, F.col("amount"))).alias(n) for n in names]))
+    sums = stack(*facts).groupBy("user_id").agg(*[F.sum(n).alias(n) for n in names])
     return (users.select("user_id").join(sums, "user_id", "left")
             .select("user_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names]))
 
@@ -138,7 +139,7 @@ ADMIN_METRICS = ["notes_count", "subjects_count", "groups_count", "messages_coun
 def _account_facts(resources, subjects, groups, messages, logs, sessions):
     one = F.lit(1)
     return [("subjects_count", subjects, one), ("groups_count", groups, one), ("messages_count", messages, one),
-            ("storage_bytes", resources, F.col("file_size")), ("total_logins", logs.filter(F.col("action") == "login"), one),
+            ("storage_bytes", resources, F.col("file_size")), ("total_logins", logs, F.when(F.col("action") == "login", 1)),
             ("minutes", sessions, F.coalesce("duration_minutes", F.lit(0)))]
 
 
@@ -205,15 +206,15 @@ def quota_status(users, resources, subjects, groups, messages, exercises, notes,
     """
     periods = sorted({p for _, p in TIERS.values() if p})
     one = F.lit(1)
-    seen = messages.groupBy("user_id", "conversation_id").agg(F.max("created_at").alias("created_at"))
-    fresh_note = [F.count_if(F.col("created_at") >= period_start(as_of, p)).alias(f"n_{p}") for p in periods]
-    by_owner = notes_by_owner(notes, resources, *fresh_note)
+    fresh = [F.count_if(F.col("created_at") >= period_start(as_of, p)).alias(f"n_{p}") for p in periods]
+    seen = messages.groupBy("user_id", "conversation_id").agg(F.max("created_at").alias("created_at"), F.count("*").alias("n"), *fresh)
+    by_owner = notes_by_owner(notes, resources, *fresh)
     facts = [("resources", resources, one), ("subjects", subjects, one), ("groups", groups, one), ("exercises", exercises, one),
-             ("storage_bytes", resources, F.col("file_size")), ("conversations", seen, one), ("messages", messages, one),
+             ("storage_bytes", resources, F.col("file_size")), ("conversations", seen, one), ("messages", seen, F.col("n")),
              ("notes", by_owner, F.col("n"))]
     for p in periods:
         new = F.col("created_at") >= period_start(as_of, p)
-        facts += [(f"conversations_{p}", seen.filter(new), one), (f"messages_{p}", messages.filter(new), one),
+        facts += [(f"conversations_{p}", seen, F.when(new, 1)), (f"messages_{p}", seen, F.col(f"n_{p}")),
                   (f"notes_{p}", by_owner, F.col(f"n_{p}"))]
     wide = per_user(users, [f[0] for f in facts], *facts).join(users.select("user_id", "tier"), "user_id")
     rows = []
