@@ -224,3 +224,63 @@ def test_toxicity_held_out(spark):
     got = [(r["predicted"], labels[r["doc_id"]]) for r in queries.QUERIES["op10_toxicity"](spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
     toxic = sum(y for _, y in got)
     assert len(got) > 50 and sum(p and y for p, y in got) >= 0.8 * toxic and sum(p and not y for p, y in got) <= 0.05 * len(got)
+
+
+def test_random_spans_recomputed(spark, texts):
+    """Scores and cut-offs of every long token by plain Python, on the documents and on planted tokens."""
+    import string
+    rng = random.Random(9)
+    letters = [string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_lowercase, string.digits]
+    planted = {10_000 + i: f"the {''.join(rng.choice(letters[i % 4]) for _ in range(rng.randint(16, 70)))} and some_ordinary_identifier_{i}" for i in range(80)}
+    everything = {**texts, **planted}
+    model = secret_scan.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    square, cuts = secret_scan.SQUARE, model[2 * secret_scan.SQUARE:]
+
+    def is_random(token):
+        seen = list(dict.fromkeys(ord(a) * 128 + ord(b) for a, b in zip(token, token[1:])))
+        own = sum(size for kind, size in secret_scan.CLASSES if re.search(kind, token))
+        even = np.log(secret_scan.HEX_SIZE if re.search(secret_scan.HEX_ONLY, token) else own)
+        score = max(sum(model[p] for p in seen), sum(model[square + p] for p in seen) - even * len(seen))
+        cut = cuts[min(len(seen), secret_scan.LONGEST)] * max(1.0, len(seen) / secret_scan.LONGEST)
+        return bool(re.search("[0-9A-Za-z]", token)) and not token.isdigit() and score >= cut
+
+    docs = spark.createDataFrame(list(everything.items()), "doc_id bigint, text string")
+    marked = 0
+    for r in secret_scan.scan(docs, model).collect():
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        base = [(int(a), int(b)) for k, a, b in spans if k != "random"]
+        tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_=.-]{16,}", everything[r["doc_id"]])]
+        want = [(a, b) for a, b, t in tokens if is_random(t) and not any(x < b and a < y for x, y in base)]
+        assert [(int(a), int(b)) for k, a, b in spans if k == "random"] == want
+        marked += len(want)
+    assert marked >= 15
+
+
+def test_toxic_scores_recomputed(spark, texts):
+    """Every score from the model's bucket values, gram by gram."""
+    from scholia.llm import toxicity
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    prime, golden, whole = 1099511628211, 0x9E3779B97F4A7C15, 2**64 - 1
+
+    def bucket(gram):
+        h = len(gram)
+        for byte in gram:
+            h = (h * prime + byte + 1) & whole
+        return ((h ^ (h >> 29)) * golden & whole) >> 48
+
+    def logit(word):
+        marked = b"<" + word + b">"
+        grams = [marked[i:i + n] for n in toxicity.GRAMS for i in range(len(marked) - n + 1)]
+        return sum(model.gains[bucket(g)] for g in grams) / len(grams)
+
+    known = {}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for d, t in texts.items():
+        zs = np.array([known.setdefault(w, known.get(w) if w in known else logit(w)) for w in sorted(toxicity.words(t))])
+        z = 0.0
+        if len(zs):
+            a = np.exp((zs - zs.max()) / toxicity.COLDEST)
+            z = float(a @ zs / a.sum())
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-np.clip(z + model.bias, -500, 500))), abs=1e-6)
+    assert len({round(s, 3) for s in got.values()}) > 10
