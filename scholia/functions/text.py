@@ -130,7 +130,8 @@ class Folded:
 
 def fold_out(items: Column, start: dict[str, Column], step: Callable[[Folded, Column], tuple[dict[str, Column], Column]], of: str,
              finish: Callable[[Column, Column], Column] = lambda state, out: out) -> Column:
-    """Fold that collects a list: ``step(state, item)`` gives the next state and an array (of ``of``) to add; ``finish(state, list)`` the result.
+    """Fold that collects a list: ``step(state, item)`` gives the next state and an array (of ``of``) to add, or one struct of
+    both (``_new`` is the array) where they are worked out together; ``finish(state, list)`` gives the result.
 
     A fold copies all that it carries at every step. So items are folded in runs of ``CHUNK``, which carry what this run has collected, and a fold over
     the runs carries the rest: the cost per item does not grow with the list, up to millions of items.
@@ -142,8 +143,8 @@ def fold_out(items: Column, start: dict[str, Column], step: Callable[[Folded, Co
     def whole(all_: Column) -> Column:
         def one_run(a: Column, at: Column) -> Column:
             def add(s: Column, x: Column) -> Column:
-                state, new = step(Folded(s, a["_chunks"]), x)
-                stepped = F.struct(*[state[k].alias(k) for k in start], new.cast(f"array<{of}>").alias("_new"))
+                told = step(Folded(s, a["_chunks"]), x)
+                stepped = told if isinstance(told, Column) else F.struct(*[told[0][k].alias(k) for k in start], told[1].cast(f"array<{of}>").alias("_new"))
                 return bind(stepped, s, lambda s, v: pack(v, F.concat(s["_out"], v["_new"])))
             done = F.aggregate(F.slice(all_, at * CHUNK + 1, F.lit(CHUNK)), pack(a, none), add)
             return bind(done, a, lambda a, d: F.struct(*[d[k].alias(k) for k in start], F.concat(a["_chunks"], F.array(d["_out"])).alias("_chunks")))

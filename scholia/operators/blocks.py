@@ -184,7 +184,7 @@ def _merged(blocks: Column, rule: Callable[[Column, Column], Column], reach: int
     NEW: not at all; SPACED: with a space; GLUED: after taking off the hyphen; SAME: the block goes; OTHER: it takes the place of the last one. The fold carries
     numbers and the ends of texts, and the places where blocks begin are cut out afterwards, so nothing grows with the length of what is merged.
     """
-    def step(a: Folded, b: Column) -> tuple[dict[str, Column], Column]:
+    def step(a: Folded, b: Column) -> Column:
         last = a["last"]
         def after(code: Column) -> Column:
             end = lambda x, sep: F.concat(x, F.lit(sep), b["tail"])
@@ -193,9 +193,8 @@ def _merged(blocks: Column, rule: Callable[[Column, Column], Column], reach: int
                                (F.right(tail, F.lit(reach)) if reach else tail).alias("tail"), (last["words"] + b["words"]).alias("words"),
                                (last["bullets"] | b["bullets"]).alias("bullets"), (last["open"] + b["open"]).alias("open")).cast(LIGHT)
             now = F.when(code.isin(NEW, OTHER), b).when(code == SAME, last).otherwise(joined_)
-            return F.struct(code.alias("code"), now.alias("now"))
-        done = let(F.coalesce(rule(last, b), F.lit(NEW)), after)
-        return {"last": done["now"]}, F.array(done["code"])
+            return F.struct(now.alias("last"), F.array(code).cast("array<int>").alias("_new"))
+        return let(F.coalesce(rule(last, b), F.lit(NEW)), after)
 
     def build(bs: Column, codes: Column) -> Column:
         def run(part: Column, at: Column) -> Column:
@@ -364,7 +363,7 @@ def redundant_metadata(docs: DataFrame) -> DataFrame:
     """Module title lines, repeated titles and repeated module headings removed or reduced."""
     def run(blocks: Column, title: Column) -> Column:
         state = {"prev": F.lit(None).cast("string"), "module": F.lit(False), "h1": F.lit(False)}
-        def add(a: Folded, b: Column) -> tuple[dict[str, Column], Column]:
+        def add(a: Folded, b: Column) -> Column:
             t = strip(b["text"])
             objective = strip(F.regexp_extract(t, r"(?i)(?:Module\s+)?Objective:\s*(.+)$", 1))
             bold = lambda x: change(b, text=F.concat(F.lit("**Objective:** "), x))
@@ -379,8 +378,8 @@ def redundant_metadata(docs: DataFrame) -> DataFrame:
                    .when(standalone, change(b, text=F.regexp_replace(t, r"(?i)^Module\s+Objective:", "**Objective:**")))
                    .when(echo, F.lit(None).cast(BLOCK)).when(module & a["module"] & (rest != ""), change(b, type=F.lit("h3"), text=rest))
                    .when(module & a["module"], F.lit(None).cast(BLOCK)).otherwise(b.cast(BLOCK)))
-            kept = let(F.array_compact(F.array(out)), lambda k: F.struct(k.alias("k"), F.coalesce(F.get(k, F.lit(0))["text"], a["prev"]).alias("prev")))
-            return {"prev": kept["prev"], "module": a["module"] | reached, "h1": a["h1"] | first}, kept["k"]
+            return let(F.array_compact(F.array(out)), lambda k: F.struct(
+                F.coalesce(F.get(k, F.lit(0))["text"], a["prev"]).alias("prev"), (a["module"] | reached).alias("module"), (a["h1"] | first).alias("h1"), k.alias("_new")))
         return fold_out(blocks, state, add, BLOCK)
     top = lambda bs: F.coalesce(F.lower(strip(first_where(bs, lambda b: b["type"] == "h1")["text"])), F.lit(""))
     return each(docs, lambda bs: let(top(bs), lambda h: run(bs, h)))
