@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import math
 from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from scholia.llm.common import held, map_batches
@@ -162,6 +164,27 @@ class Prefixes:
         return out
 
 
+class Sizes(dict):
+    """How many tokens a word after a space has; not a number if white space ends it, as the next space then follows white space. Sums of
+    such numbers are not one either, so a text needs no test of each word."""
+
+    def __init__(self, encoder: "Encoder") -> None:
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> float:
+        e = self.encoder
+        if not word or word[-1].isspace():
+            size = math.nan
+        else:
+            size = e.size(" " + word)
+        if len(word) <= 64:
+            if len(self) >= 2 * REMEMBERED:
+                self.clear()
+            self[word] = size
+        return size
+
+
 #: Ids, the same in decimals, how many, and the bytes they decode to.
 Part = tuple[tuple[int, ...], str, int, bytes]
 
@@ -181,6 +204,8 @@ class Encoder:
         self.heads: dict[bytes, Prefixes] = {}
         self.words: dict[str, Part | None] = {}
         self.older: dict[str, Part | None] = {}
+        self.sizes = Sizes(self)
+        self.pattern, self.library = pattern, None
 
     # Tuples of numbers, since the garbage collector soon leaves those alone.
     def piece(self, piece: str) -> tuple[int, ...]:
@@ -255,8 +280,23 @@ class Encoder:
             out += part[0]
         return out
 
+    def size(self, text: str) -> int:
+        """Tokens of a text by itself. Short ones that nobody remembers go to the tokenizer's own library, which is faster when no table is kept."""
+        if len(text) > 64:
+            return len(self.plain(text))
+        if self.library is None:
+            self.library = tiktoken.Encoding("counts", pat_str=self.pattern, mergeable_ranks=self.vocabulary.rank, special_tokens={})
+        return len(self.library.encode_ordinary(text))
+
     def count(self, text: str) -> int:
-        return sum([part[2] for part in self.parts(text)])
+        """The length of the encoding, from the lengths of its words alone."""
+        first, *rest = text.split(" ") if self.cut else [text]
+        if rest and not first[-1:].isspace():
+            last = rest.pop()
+            inner = sum(map(self.sizes.__getitem__, rest))
+            if inner == inner:
+                return inner + self.size(first) + self.size(" " + last)
+        return len(self.plain(text))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))

@@ -91,6 +91,14 @@ def test_lengths(spark, texts, library):
     assert all(r["kept_tokens"] == sum(min(x, n) for x in own) for n, r in got.items())
 
 
+def test_counts_of_odd_texts(library):
+    with open(bpe.RANKS, "rb") as f:
+        e = bpe.Encoder(f.read(), public_tokenizers.PATTERN)
+    odd = ["", " ", "a", "  a", "a ", "a  b", "a\n b c", " a b", "\u00a0 x y", "x\u3000 y z", "y " + "z" * 70 + " y", "q" * 200, "don't stop 12345 é\u0301 b", "a b\n", "a b \n c"]
+    for _ in range(2):  # unknown words, then remembered ones
+        assert [e.count(t) for t in odd] == [len(library.encode_ordinary(t)) for t in odd]
+
+
 def test_shards(spark, texts):
     got = rows(spark, "op4_shards")
     assert set(got) == set(texts)
