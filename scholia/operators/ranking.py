@@ -105,27 +105,41 @@ def distinct_first(t: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return t.groupBy(*keys).agg(F.min(pos).alias(pos))
 
 
+ANCHOR = 4
+
+
+def containing(short: DataFrame, s: str, long: DataFrame, l: str) -> DataFrame:
+    """Pairs of rows where the text ``l`` contains the text ``s``; all columns of both, whose names differ. Null texts pair with none.
+
+    Each short text is filed under one anchor: of its pieces of four characters the one that the fewest long texts hold, or itself where it
+    is shorter. Long texts are looked up under their pieces of the lengths that anchors have, so a text of n characters sends 4 n rows at
+    most, and usually n.
+    """
+    size = lambda c: F.least(F.length(c), F.lit(ANCHOR))
+
+    def pieces(t: DataFrame, c: str) -> DataFrame:
+        starts = F.explode(F.sequence(F.lit(1), F.length(c) - F.col("_n") + 1))
+        return (t.filter(F.col("_n") <= F.length(c)).withColumn("_at", starts)
+                .withColumn("piece", F.expr(f"substring({c}, _at, _n)")).drop("_at", "_n").distinct())
+
+    sizes = short.agg(F.collect_set(size(s))).scalar()  # five values at most
+    held = pieces(long.withColumn("_all", sizes).withColumn("_n", F.explode("_all")).drop("_all"), l)
+    spread = held.groupBy("piece").agg(F.count("*").alias("_holders"))
+    anchored = (pieces(short.withColumn("_n", size(s)), s).join(spread, "piece")
+                .groupBy(*short.columns).agg(F.min_by("piece", F.struct("_holders", "piece")).alias("piece")))
+    return anchored.join(held, "piece").filter(F.col(l).contains(F.col(s))).drop("piece")
+
+
 def title_matches(cited: DataFrame, resources: DataFrame) -> DataFrame:
     """Resource for each cited title: the exact title, else the first that contains it or is in it.
 
-    Containment is an equi-join: the distinct substrings of the longer title against the shorter
-    one, kept to lengths that occur, so work follows title length and not the number of pairs.
-    Equal titles share one id: the last one given, in the place of the first.
+    Containment is a join on anchors, checked afterwards. Equal titles share one id: the last one given, in the place of the first.
     """
     titles = resources.groupBy("title").agg(F.min("resource_id").alias("ord"), F.max("resource_id").alias("resource_id"))
     wanted = cited.select(F.trim("cited").alias("cited")).filter("cited <> ''").distinct()
     exact = wanted.join(titles, F.col("cited") == F.col("title")).select("cited", "resource_id", F.lit(-1).cast("long").alias("ord"))
     rest = wanted.join(titles, F.col("cited") == F.col("title"), "left_anti").select("cited", F.lower("cited").alias("lc"))
     low = titles.select(F.lower("title").alias("lt"), "ord", "resource_id")
-
-    def pieces(t: DataFrame, col: str, others: DataFrame, short: str) -> DataFrame:
-        """Distinct substrings of ``col`` in the lengths that ``short`` has; a set of lengths is no larger than the longest title."""
-        lengths = others.agg(F.collect_set(F.length(short))).scalar()
-        return (t.withColumn("_l", lengths).withColumn("_n", F.explode("_l")).drop("_l").filter(F.col("_n") <= F.length(col))
-                .withColumn("_s", F.explode(F.sequence(F.lit(1), F.length(col) - F.col("_n") + 1)))
-                .withColumn("piece", F.expr(f"substring({col}, _s, _n)")).drop("_s", "_n").distinct())
-
-    title_in_cite = pieces(rest, "lc", low, "lt").join(low, F.col("piece") == F.col("lt")).select("cited", "resource_id", "ord")
-    cite_in_title = pieces(low, "lt", rest, "lc").join(rest, F.col("piece") == F.col("lc")).select("cited", "resource_id", "ord")
-    return (exact.unionByName(title_in_cite).unionByName(cite_in_title)
+    found = [containing(low, "lt", rest, "lc"), containing(rest, "lc", low, "lt")]
+    return (exact.unionByName(found[0].select("cited", "resource_id", "ord")).unionByName(found[1].select("cited", "resource_id", "ord"))
             .groupBy("cited").agg(F.min_by("resource_id", "ord").alias("resource_id")))
