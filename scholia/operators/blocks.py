@@ -7,7 +7,8 @@ array, so a chain of passes stays in one stage: no block is shuffled and none is
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,44 +82,90 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return each(docs, lambda bs: let(F.filter(bs, lambda b: b["type"] != "skip"), run))
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _distinct_headings(types: pd.Series, texts: pd.Series) -> pd.Series:
+class Overlaps:
+    """Texts by key, found again by a text that is equal, or that is over 10 characters long and lies within theirs or around theirs.
+
+    Texts under 4 characters are related to none. Each text is filed under its pieces of 4 characters, and once more under the one that was
+    rarest when it came: what holds the wanted text holds its rarest piece, what lies within it has its own one there. So a lookup tests few
+    texts, however many there are.
+    """
+
+    SIZE, LONG = 4, 10
+
+    def __init__(self) -> None:
+        self.texts: dict[str, tuple[int, str]] = {}
+        self.anchors: dict[str, str] = {}
+        self.anchored: dict[str, set[str]] = defaultdict(set)
+        self.holders: dict[str, set[str]] = defaultdict(set)
+        self.added = 0
+
+    def _pieces(self, text: str) -> set[str]:
+        return {text[i:i + self.SIZE] for i in range(len(text) - self.SIZE + 1)}
+
+    def add(self, key: str, text: str) -> None:
+        self.texts[key] = self.added, text
+        self.added += 1
+        pieces = self._pieces(text)
+        if pieces:
+            self.anchors[key] = min(pieces, key=lambda p: len(self.holders[p]))
+            self.anchored[self.anchors[key]].add(key)
+        for piece in pieces:
+            self.holders[piece].add(key)
+
+    def remove(self, key: str) -> None:
+        _, text = self.texts.pop(key)
+        for piece in self._pieces(text):
+            self.holders[piece].discard(key)
+        if key in self.anchors:
+            self.anchored[self.anchors.pop(key)].discard(key)
+
+    def related(self, text: str) -> list[str]:
+        """Keys in the order in which they were added."""
+        pieces = self._pieces(text)
+        if not pieces:
+            return []
+        around = min((self.holders.get(p, set()) for p in pieces), key=len)
+        if len(text) > self.LONG:
+            within = set().union(*(self.anchored.get(p, ()) for p in pieces))
+            found = {k for k in around if text in self.texts[k][1]} | {k for k in within if self.texts[k][1] in text}
+        else:
+            found = {k for k in around if text == self.texts[k][1]}
+        return sorted(found, key=self.texts.__getitem__)
+
+
+# The number before a heading and the mark of a continued one.
+_NUMBERED, _CONTINUED = re.compile(r"^\d+(?:\.\d+)*\s*"), re.compile(r"\s*\(cont\.?(?:inued)?\).*$", re.I)
+
+
+def heading_survivors(kinds: Iterable[str], lines: Iterable[str]) -> list[bool]:
     """Which blocks stay when related headings of a document are reduced to the most specific one."""
-    number = re.compile(r"^\d+(?:\.\d+)*\s*")
-    continued = re.compile(r"\s*\(cont\.?(?:inued)?\).*$", re.I)
-
-    def related(a: str, b: str) -> bool:
-        if min(len(a), len(b)) < 4:
-            return False
-        return a == b or (len(a) > 10 and (a in b or b in a))
-
-    def survivors(kinds, lines) -> list[bool]:
-        stays = [True] * len(kinds)
-        live: dict[str, str] = {}  # heading text without "(cont.)" -> the same without its number
-        by_text: dict[str, list[int]] = {}
-        for i, (kind, line) in enumerate(zip(kinds, lines)):
-            if not kind.startswith("h"):
-                continue
-            full = continued.sub("", line).strip().lower()
-            bare = number.sub("", full).strip()
-            if full in live:
+    stays: list[bool] = []
+    live, by_text = Overlaps(), defaultdict(list)  # headings without "(cont.)", related by what follows their numbers
+    for i, (kind, line) in enumerate(zip(kinds, lines)):
+        stays.append(True)
+        if not kind.startswith("h"):
+            continue
+        full = _CONTINUED.sub("", line).strip().lower()
+        bare = _NUMBERED.sub("", full).strip()
+        if full in live.texts:
+            stays[i] = False
+            continue
+        for other in live.related(bare):
+            if len(full) < len(other):
                 stays[i] = False
-                continue
-            for other, other_bare in list(live.items()):
-                if not related(bare, other_bare):
-                    continue
-                if len(full) < len(other):
-                    stays[i] = False
-                    break
-                del live[other]
-                for j in by_text.get(other, []):
-                    stays[j] = False
-            if stays[i]:
-                live[full] = bare
-                by_text.setdefault(line.strip().lower(), []).append(i)
-        return stays
-
-    return pd.Series([survivors(k, t) for k, t in zip(types, texts)])
+                break
+            live.remove(other)
+            for j in by_text.get(other, []):
+                stays[j] = False
+        if stays[i]:
+            live.add(full, bare)
+            by_text[line.strip().lower()].append(i)
+    return stays
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _distinct_headings(types: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([heading_survivors(k, t) for k, t in zip(types, texts)])
 
 
 def fuzzy_heading_dedup(docs: DataFrame) -> DataFrame:

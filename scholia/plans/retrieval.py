@@ -97,11 +97,6 @@ def _(t):
     return vecs.filter("x <> 0").select("doc_id", "dim", F.bround(F.col("x").cast("double"), 5).alias("value"))
 
 
-@query("vec_embed_corpus")
-def _(t):
-    return retrieval.embed_corpus(t.documents)
-
-
 view("v_pairs", """
 WITH z AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: 0.0) ELSE embedding END::DOUBLE[] AS v FROM embeddings)
 SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_dot_product(a.v, b.v) AS d, sqrt(list_dot_product(a.v, a.v)) AS na, sqrt(list_dot_product(b.v, b.v)) AS nb
@@ -209,6 +204,15 @@ def _(t):
 
 view("v_snip_texts", "SELECT doc_id || '-' || chunk_index AS id, text FROM v_char_chunks")
 view("v_snip_vec", vectors("v_snip_texts"))
+@query("vec_embed_corpus", """
+SELECT c.doc_id AS resource_id, c.chunk_index, c.text, c.position, CAST(x.d AS INTEGER) AS dim, round_even(x.value, 5) AS value
+FROM v_char_chunks c LEFT JOIN (SELECT * FROM (SELECT id, unnest(range(64)) AS d, unnest(v) AS value FROM v_snip_vec) WHERE value <> 0) x ON x.id = c.doc_id || '-' || c.chunk_index""")
+def _(t):
+    chunks = retrieval.embed_corpus(t.documents)
+    parts = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("dim"), F.bround(x.cast("double"), 5).alias("value"))), lambda p: p["value"] != 0)
+    return chunks.select("resource_id", "chunk_index", "text", "position", F.explode_outer(parts).alias("p")).select("resource_id", "chunk_index", "text", "position", "p.dim", "p.value")
+
+
 view("v_ask_texts", "SELECT 0 AS id, 'the retention of entire nations' AS text")
 view("v_ask_vec", vectors("v_ask_texts"))
 

@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -191,6 +192,54 @@ def shown(docs_):
     return [(r.type, r.text) for r in B.rows(docs_).orderBy("seq").collect()]
 
 
+def test_heading_survivors_equal_a_plain_loop():
+    """Every heading against all that still stand."""
+    def plain(lines):
+        stays, live, placed = [True] * len(lines), {}, {}
+        for i, line in enumerate(lines):
+            full = line.split(" (cont")[0].strip()
+            bare = full.lstrip("0123456789.").strip()
+            if full in live:
+                stays[i] = False
+                continue
+            for other, known in list(live.items()):
+                same = bare == known or (len(bare) > 10 and (bare in known or known in bare))
+                if min(len(bare), len(known)) < 4 or not same:
+                    continue
+                if len(full) < len(other):
+                    stays[i] = False
+                    break
+                del live[other]
+                for j in placed.get(other, []):
+                    stays[j] = False
+            if stays[i]:
+                live[full] = bare
+                placed.setdefault(line.strip(), []).append(i)
+        return stays
+
+    rng = random.Random(11)
+    lost = 0
+    for _ in range(300):
+        lines = []
+        for _ in range(rng.randint(0, 25)):
+            words = " ".join(rng.choice(["tree", "trees", "a", "sort", "of", "heap", "balanced tree"]) for _ in range(rng.randint(0, 4)))
+            lines.append(rng.choice(["", "", "1.2 ", "3 "]) + words + rng.choice(["", "", " (cont.)", " (continued) x"]))
+        got = B.heading_survivors(["h2"] * len(lines), lines)
+        assert got == plain(lines)
+        lost += got.count(False)
+    assert lost > 300
+
+
+def test_many_headings_take_linear_time():
+    def took(n):
+        lines = [f"{i} chapter on subject {i * 7919 % 100003:06d}" for i in range(n)]
+        start = time.process_time()
+        assert all(B.heading_survivors(["h1"] * n, lines))
+        return time.process_time() - start
+    took(500)
+    assert took(16_000) < 12 * took(4_000)
+
+
 def test_fuzzy_headings(spark):
     """The continuation is shorter than the numbered heading and goes; the longest heading holds that one's words and takes its place; the last is part of it."""
     d = blocks(spark, ("h1", "1.1 Networks"), ("body", "x"), ("h2", "Networks (cont.)"), ("h2", "Networks and protocols"), ("h3", "Networks and"))
@@ -387,6 +436,18 @@ def test_add_rank_on_a_hot_key(spark):
     assert all(sorted(by[r.k])[r.position - 1] == r.v for r in got) and len(got) == 1000
 
 
+def test_containing_pairs_equal_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    short = ["", "a", "ab", "aba", "é", None, "abab", "never in it"] + [word(n) for n in (4, 5, 6, 7, 7, 9)]
+    long = ["", "a", None, "éa", "abab", "b" * 3000] + [word(n) for n in (3, 8, 20, 20, 40, 60)] + ["abab" * 20] * 2
+    a = spark.createDataFrame(list(enumerate(short)), "i int, s string")
+    b = spark.createDataFrame(list(enumerate(long)), "j int, l string")
+    got = {(r.i, r.j) for r in ranking.containing(a, "s", b, "l").collect()}
+    assert got == {(i, j) for i, s in enumerate(short) for j, l in enumerate(long) if s is not None and l is not None and s in l}
+    assert ranking.containing(a.limit(0), "s", b, "l").isEmpty() and ranking.containing(a, "s", b.limit(0), "l").isEmpty()
+
+
 def test_title_matches_first_wins(spark):
     res = spark.createDataFrame([("Set", 5), ("Sets", 6), ("Set", 9)], "title string, resource_id long")
     cited = spark.createDataFrame([("Sets",), ("sets theory",), ("et",), ("none",)], "cited string")
