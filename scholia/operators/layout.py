@@ -138,8 +138,10 @@ def columns(pages: DataFrame) -> DataFrame:
         def checked(e: Column) -> Column:
             cell = lambda s: F.struct((F.bround(s["top"] / 8, 0) * 8).alias("y"), column_of((s["x0"] + s["x1"]) / 2, e).alias("c"))
             cells = F.array_distinct(F.filter(F.transform(ss, cell), lambda x: x["c"].isNotNull()))
-            ys = F.transform(cells, lambda x: x["y"])
-            wide = lambda v: F.size(F.array_distinct(F.filter(v, lambda y: F.size(F.filter(v, lambda z: z == y)) >= 2))) >= 3
+            ys = F.array_sort(F.transform(cells, lambda x: x["y"]))
+            # In sorted heights a row of several columns shows once, where a height repeats for the first time.
+            again = lambda v, y, back: F.coalesce(F.get(v, back) == y, F.lit(False))
+            wide = lambda v: F.size(F.filter(v, lambda y, i: again(v, y, i - 1) & ~again(v, y, i - 2))) >= 3
             return F.when(let(ys, wide), e)
         return let(let(F.aggregate(spans, zero, add), edges), lambda e: F.when(e.isNotNull(), checked(e)))
 

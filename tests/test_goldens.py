@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scholia.functions import ordered
 from scholia.functions import vectors as V
 from scholia.operators import blocks as B
-from scholia.operators import chunking, cleaning, images, layout, quality, questions, ranking, retrieval
+from scholia.operators import chunking, cleaning, images, layout, quality, questions, ranking, reports, retrieval
 from scholia.operators import rewriting as R
 from scholia.streaming import state as S
 
@@ -319,6 +319,15 @@ def test_lines_and_blocks(spark):
     assert got == [("hello world next", 0), ("far", 0), ("• item", 2)]
 
 
+def test_one_key_with_a_million_runs(spark):
+    odd = spark.range(1_000_000).select(F.lit("k").alias("key"), (F.col("id") * 2 + 1).alias("n"))
+    few = spark.createDataFrame([("m", n) for n in (3, 1, 2, 2, 7)], "key string, n long")
+    got = reports.number_ranges(odd.unionByName(few), "key", "n").select("key", F.substring("ranges", 1, 10).alias("head"), F.length("ranges").alias("n"),
+                                                                        F.substring_index("ranges", ", ", -1).alias("tail"))
+    size = sum(len(str(2 * i + 1)) + 2 for i in range(1_000_000)) - 2
+    assert {tuple(r) for r in got.collect()} == {("k", "1, 3, 5, 7", size, "1999999"), ("m", "1-3 & 7", 7, "1-3 & 7")}
+
+
 def test_columns(spark):
     spans = [(w, 11.0, x, 100.0 + 16 * i) for i in range(4) for x, w in ((50.0, "left side text here"), (320.0, "right side text here"))]
     got = layout.columns(page(spark, *spans)).orderBy("span_no").collect()
