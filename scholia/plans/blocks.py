@@ -70,11 +70,6 @@ def page_blocks(t):
     return L.lines_to_blocks(L.drop_headers_footers(L.spans_to_lines(t.span_pages)))
 
 
-@query("lay_point_in_box")
-def _(t):
-    return L.point_in_box(page_blocks(t), boxes(t))
-
-
 @query("blk_layout_resolve", """
 WITH l AS (SELECT *, CASE pos % 5 WHEN 0 THEN 'skip' WHEN 1 THEN 'h2' WHEN 2 THEN 'body' WHEN 3 THEN 'list' END AS lay, length(text) AS n FROM v_blocks)
 SELECT doc_id, pos, CASE WHEN lay = 'skip' AND type = 'body' THEN 'skip' WHEN type = 'body' AND lay = 'h2' AND n < 100 THEN 'h2'
@@ -287,6 +282,24 @@ def _(t):
     return L.columns(t.span_pages)
 
 
+@query("lay_point_in_box", r"""
+WITH k AS (SELECT * FROM v_page_rows WHERE NOT regexp_matches(text, '(?i)©.*Cisco|Cisco\s*(Confidential|Public)|All rights reserved|Cisco\s+and/or\s+its\s+affiliates')
+  AND NOT ((bottom < height * 0.05 OR top > height * 0.90) AND length(text) < 5) AND NOT regexp_matches(text, '^\d{1,3}$')),
+f AS (SELECT *, top - lag(bottom) OVER w AS gap, lag(bottom) OVER w - lag(top) OVER w AS high, lag(size) OVER w AS s0, lag(font) OVER w AS f0, lag(x0) OVER w AS l0
+  FROM k WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no)),
+g AS (SELECT *, sum(CASE WHEN s0 IS NULL OR gap > high * 1.5 OR abs(s0 - size) > 0.5 OR split_part(f0, '|', 3) <> split_part(font, '|', 3) OR (gap > high * 0.8 AND f0 <> font)
+    OR regexp_matches(text, '""" + f"^[{L.BULLETS}]|{L.NUMBERED}" + r"""') OR (abs(x0 - l0) > 15 AND gap > 2) THEN 1 ELSE 0 END)
+  OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1 AS block_no FROM f),
+b AS (SELECT doc_id, page, block_no, (min(x0) + max(x1)) / 2 AS cx, (min(top) + max(bottom)) / 2 AS cy FROM g GROUP BY 1, 2, 3),
+n AS (SELECT unnest(range(7)) AS box_no),
+h AS (SELECT b.*, box_no, box_no * 30 + 40 AS by0, 20 + page % 5 * 10 AS tall, 0.5::DOUBLE + ((box_no * 7 + page) % 5)::DOUBLE * 0.1::DOUBLE AS conf FROM b, n)
+SELECT doc_id, page, CAST(block_no AS INTEGER) AS block_no, arg_max(['Title', 'Text', 'List-item', 'Picture', 'Section-header', 'Page-footer', 'Text'][box_no + 1],
+  (conf / (600.0::DOUBLE * tall), -box_no)) AS label
+FROM h WHERE cx BETWEEN 0 AND 600 AND cy BETWEEN by0 AND by0 + tall GROUP BY 1, 2, 3""")
+def _(t):
+    return L.point_in_box(page_blocks(t), boxes(t))
+
+
 @query("lay_header_footer", r"""
 WITH k AS (SELECT * FROM v_page_rows WHERE NOT regexp_matches(text, '(?i)©.*Cisco|Cisco\s*(Confidential|Public)|All rights reserved|Cisco\s+and/or\s+its\s+affiliates')
   AND NOT ((bottom < height * 0.05 OR top > height * 0.90) AND length(text) < 5) AND NOT regexp_matches(text, '^\d{1,3}$'))
