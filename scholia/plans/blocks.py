@@ -277,7 +277,35 @@ def _(t):
     return L.lines_to_blocks(L.spans_to_lines(t.span_pages)).select("doc_id", "page", "block_no", "text", "indent")
 
 
-@query("lay_columns")
+def column_sql(x, e):
+    """Column of ``x`` between the edges ``e``, else the one with the nearest centre."""
+    return (f"coalesce(CASE WHEN {x} >= {e}[1] AND {x} < {e}[-1] THEN len(list_filter({e}, lambda b: b <= {x})) - 1 END, "
+            f"list_sort(list_transform(range(1, len({e})), lambda i: {{'d': abs({x} - ({e}[i] + {e}[i + 1]) / 2), 'i': i - 1}}))[1].i)")
+
+
+@query("lay_columns", rf"""
+WITH s AS (SELECT doc_id, page, 2 * line_no AS span_no, t0 AS text, x0, (CASE WHEN page % 7 = 0 THEN x0 + least(length(t0) * 5, 200) ELSE x0 + 269.0 END)::DOUBLE AS x1, top FROM v_page_rows
+  UNION ALL SELECT doc_id, page, 2 * line_no + 1, t1, 320.0::DOUBLE, (320 + CASE WHEN page % 7 = 0 THEN least(length(t1) * 5, 200) ELSE length(t1) * 5 END)::DOUBLE, top FROM v_page_rows WHERE t1 <> ''),
+p AS (SELECT doc_id, page FROM s GROUP BY 1, 2 HAVING count(*) >= 4),
+u AS (SELECT doc_id, page, x0, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc_id, page ORDER BY x0) >= 20 THEN 1 ELSE 0 END AS cut FROM s JOIN p USING (doc_id, page)
+  WHERE regexp_matches(text, '^[{L.BULLETS}]') QUALIFY count(*) OVER (PARTITION BY doc_id, page) >= 6),
+v AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, page ORDER BY x0) AS k FROM u),
+m AS (SELECT doc_id, page, k, sum(x0) / count(*) AS c FROM v GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+n AS (SELECT doc_id, page, list(c ORDER BY c) AS cs FROM m GROUP BY 1, 2 HAVING count(*) >= 2),
+marks AS (SELECT doc_id, page, [0.0::DOUBLE] || list_transform(range(1, len(cs)), lambda i: (cs[i] + cs[i + 1]) / 2) || [600.0::DOUBLE] AS e FROM n
+  WHERE len(list_filter(range(1, len(cs)), lambda i: cs[i + 1] - cs[i] < 50)) = 0),
+i AS (SELECT doc_id, page, greatest(0, CAST(trunc(x0) AS INTEGER)) AS a, CAST(trunc(x1) AS INTEGER) AS b FROM s JOIN p USING (doc_id, page)),
+j AS (SELECT *, max(b) OVER (PARTITION BY doc_id, page ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS r FROM i),
+l AS (SELECT doc_id, page, min(a) AS lo, max(b) AS hi FROM i GROUP BY 1, 2),
+g AS (SELECT doc_id, page, lo, hi, list((r + a) / 2.0 ORDER BY a) AS mids FROM j JOIN l USING (doc_id, page)
+  WHERE a > r AND a - r >= 15 AND r > lo + (hi - lo) * 0.05 AND a < hi - (hi - lo) * 0.05 AND hi - lo >= 100 GROUP BY 1, 2, 3, 4),
+strips AS (SELECT doc_id, page, [lo::DOUBLE] || mids::DOUBLE[] || [(hi + 1)::DOUBLE] AS e FROM g),
+cells AS (SELECT DISTINCT doc_id, page, round_even(top / 8, 0) AS y, len(list_filter(e, lambda b: b <= (x0 + x1) / 2)) AS c FROM s JOIN strips USING (doc_id, page)
+  WHERE (x0 + x1) / 2 >= e[1] AND (x0 + x1) / 2 < e[-1]),
+held AS (SELECT doc_id, page FROM (SELECT doc_id, page, y FROM cells GROUP BY 1, 2, 3 HAVING count(*) >= 2) GROUP BY 1, 2 HAVING count(*) >= 3),
+z AS (SELECT s.*, (x0 + x1) / 2 AS mid, marks.e AS me, CASE WHEN held.doc_id IS NOT NULL THEN strips.e END AS se FROM s LEFT JOIN marks USING (doc_id, page)
+  LEFT JOIN strips USING (doc_id, page) LEFT JOIN held USING (doc_id, page))
+SELECT doc_id, page, CAST(span_no AS INTEGER) AS span_no, CAST(CASE WHEN me IS NOT NULL THEN {column_sql("x0", "me")} WHEN se IS NOT NULL THEN {column_sql("mid", "se")} ELSE 0 END AS INTEGER) AS column_no FROM z""")
 def _(t):
     return L.columns(t.span_pages)
 
