@@ -310,17 +310,21 @@ def _(t):
     return L.columns(t.span_pages)
 
 
-@query("lay_point_in_box", r"""
+view("v_page_blocks", r"""
 WITH k AS (SELECT * FROM v_page_rows WHERE NOT regexp_matches(text, '(?i)©.*Cisco|Cisco\s*(Confidential|Public)|All rights reserved|Cisco\s+and/or\s+its\s+affiliates')
   AND NOT ((bottom < height * 0.05 OR top > height * 0.90) AND length(text) < 5) AND NOT regexp_matches(text, '^\d{1,3}$')),
 f AS (SELECT *, top - lag(bottom) OVER w AS gap, lag(bottom) OVER w - lag(top) OVER w AS high, lag(size) OVER w AS s0, lag(font) OVER w AS f0, lag(x0) OVER w AS l0
   FROM k WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no)),
 g AS (SELECT *, sum(CASE WHEN s0 IS NULL OR gap > high * 1.5 OR abs(s0 - size) > 0.5 OR split_part(f0, '|', 3) <> split_part(font, '|', 3) OR (gap > high * 0.8 AND f0 <> font)
     OR regexp_matches(text, '""" + f"^[{L.BULLETS}]|{L.NUMBERED}" + r"""') OR (abs(x0 - l0) > 15 AND gap > 2) THEN 1 ELSE 0 END)
-  OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1 AS block_no FROM f),
-b AS (SELECT doc_id, page, block_no, (min(x0) + max(x1)) / 2 AS cx, (min(top) + max(bottom)) / 2 AS cy FROM g GROUP BY 1, 2, 3),
-n AS (SELECT unnest(range(7)) AS box_no),
-h AS (SELECT b.*, box_no, box_no * 30 + 40 AS by0, 20 + page % 5 * 10 AS tall, 0.5::DOUBLE + ((box_no * 7 + page) % 5)::DOUBLE * 0.1::DOUBLE AS conf FROM b, n)
+  OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1 AS block_no FROM f)
+SELECT doc_id, page, block_no, string_agg(text, ' ' ORDER BY line_no) AS text, count(*) AS n_lines, any_value(font) AS font, any_value(size) AS size,
+  (min(x0) + max(x1)) / 2 AS cx, (min(top) + max(bottom)) / 2 AS cy FROM g GROUP BY 1, 2, 3""")
+
+
+@query("lay_point_in_box", r"""
+WITH n AS (SELECT unnest(range(7)) AS box_no),
+h AS (SELECT b.*, box_no, box_no * 30 + 40 AS by0, 20 + page % 5 * 10 AS tall, 0.5::DOUBLE + ((box_no * 7 + page) % 5)::DOUBLE * 0.1::DOUBLE AS conf FROM v_page_blocks b, n)
 SELECT doc_id, page, CAST(block_no AS INTEGER) AS block_no, arg_max(['Title', 'Text', 'List-item', 'Picture', 'Section-header', 'Page-footer', 'Text'][box_no + 1],
   (conf / (600.0::DOUBLE * tall), -box_no)) AS label
 FROM h WHERE cx BETWEEN 0 AND 600 AND cy BETWEEN by0 AND by0 + tall GROUP BY 1, 2, 3""")
@@ -337,7 +341,24 @@ def _(t):
     return unroll(kept, ["doc_id", "page"], "lines", "line_no", {n: field(n) for n in ("text", "top")})
 
 
-@query("lay_block_classify")
+def contained(c, words):
+    return " + ".join(f"contains({c}, '{w}')::INT" for w in words)
+
+
+# Within a block the size and weight do not change, so its font is that of any line.
+@query("lay_block_classify", rf"""
+WITH c AS (SELECT doc_id, font, size, sum(length(t0) + length(t1)) AS chars FROM v_page_rows GROUP BY 1, 2, 3),
+b AS (SELECT doc_id, arg_max(size, (chars, font)) AS body FROM c GROUP BY 1),
+z AS (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC) AS r FROM (SELECT DISTINCT c.doc_id, c.size FROM c JOIN b USING (doc_id) WHERE c.size > b.body + 0.5)),
+k AS (SELECT v.doc_id, page, block_no, text, text AS t, n_lines, v.size, v.size - body AS diff, CASE WHEN z.r IS NOT NULL THEN 'h' || least(z.r, 5) END AS level, split_part(font, '|', 3) = 'true' AS bold, length(text) AS n,
+    regexp_matches(text, '(?i)^Video\s*[-–—]\s*|^Lab\s*[-–—]\s*') AS skip, {contained("lower(split_part(font, '|', 1))", L.MONO)} > 0 AS mono, {contained("text", L.CODE)} AS named,
+    contains(text, '(') AND contains(text, ')') AS br, contains(text, '{{') AND contains(text, '}}') AS bc, contains(text, ';') AS sc, contains(text, '=') AND NOT starts_with(text, '=') AS eq,
+    regexp_matches(text, '^[{L.BULLETS}]') OR (regexp_matches(text, '^[{L.DASHES}]\s*\p{{Lu}}') AND length(text) > 2) AS mark
+  FROM v_page_blocks v JOIN b USING (doc_id) LEFT JOIN z ON z.doc_id = v.doc_id AND z.size = v.size)
+SELECT doc_id, page, CAST(block_no AS INTEGER) AS block_no, text, CASE WHEN t = '' THEN 'body' WHEN level IS NOT NULL AND n < 200 THEN CASE WHEN skip THEN 'skip' ELSE level END
+  WHEN bold AND n < 100 AND n_lines <= 2 THEN CASE WHEN skip THEN 'skip' WHEN diff > 4 THEN 'h2' WHEN diff > 1 THEN 'h3' ELSE 'h4' END
+  WHEN bold AND n < 80 AND n_lines = 1 THEN 'h4' WHEN mark THEN 'list' WHEN regexp_matches(t, '{L.NUMBERED}') THEN 'ordered_list'
+  WHEN mono OR (n BETWEEN 16 AND 500 AND ((bc AND sc) OR (br AND sc AND eq) OR (named >= 2 AND br::INT + bc::INT + sc::INT + eq::INT >= 2))) THEN 'code' ELSE 'body' END AS type FROM k""")
 def _(t):
     return L.block_classify(page_blocks(t), L.font_hierarchy(t.span_pages))
 
