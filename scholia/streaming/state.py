@@ -166,53 +166,12 @@ def rate_limit_batch(requests: DataFrame, policy: DataFrame) -> DataFrame:
     return parts.mapInPandas(run, LIMIT_OUT).unionByName(free)
 
 
-class HungTasks(StatefulProcessor):
-    """Reports a pending or running task once it was silent for long enough.
+def hung_tasks(updates: DataFrame, seconds: int = 3600, late: str = "1 day") -> DataFrame:
+    """task_id, hung_at: pending or running tasks that were silent for more than ``seconds``.
 
-    Updates wait in state until the watermark has passed them and are then taken in the order of their times, whichever batch brought them. One timer
-    per task is set: for the next waiting update, or for the moment at which the task will have been silent too long.
+    Updates no further apart than that are one session of the task, so a task hangs at the end of a session whose last update leaves it active.
+    Updates may come up to ``late`` after newer ones; what is reported lags behind as much. State holds open sessions only.
     """
-
-    def __init__(self, seconds: int):
-        self.seconds = seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("t", T.DoubleType()), T.StructField("active", T.BooleanType())]))
-        self.waiting = handle.getListState("waiting", T.StructType([
-            T.StructField("t", T.DoubleType()), T.StructField("event_id", T.LongType()), T.StructField("active", T.BooleanType())]))
-        self.alarm = Alarm(handle)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [(_seconds(r.ts), r.event_id, r.status in ("pending", "running")) for r in rows]
-        self.waiting.appendList(new)
-        self.alarm.no_later_than(min(new)[0])
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs() / 1000
-        before, active = self.last.get() or (0.0, False)
-        waiting = sorted(tuple(w) for w in self.waiting.get())
-        ready = [w for w in waiting if w[0] <= passed]
-        for now, _, goes_on in ready:
-            if active and now - before > self.seconds:
-                yield Row(task_id=key[0], hung_at=_moment(before + self.seconds))
-            before, active = now, goes_on
-        if active and before + self.seconds <= passed:
-            yield Row(task_id=key[0], hung_at=_moment(before + self.seconds))
-            active = False
-        rest = waiting[len(ready):]
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        nexts = [w[0] for w in rest[:1]] + ([before + self.seconds] if active else [])
-        # A task that is done, and silent, is forgotten.
-        self.last.update((before, active)) if nexts else self.last.clear()
-        self.alarm.set(min(nexts) if nexts else None, rung=True)
-
-    def close(self) -> None:
-        pass
-
-
-def hung_tasks(updates: DataFrame, seconds: int = 3600, late: str = "1 day") -> DataFrame:
-    """Updates may come up to ``late`` after newer ones; what is reported lags behind as much."""
-    return (updates.withWatermark("ts", late).groupBy("task_id").transformWithState(
-        statefulProcessor=HungTasks(seconds), outputStructType="task_id long, hung_at timestamp", outputMode="append", timeMode="EventTime"))
+    active = F.coalesce(F.col("status").isin("pending", "running"), F.lit(False))
+    sessions = updates.withWatermark("ts", late).groupBy("task_id", F.session_window("ts", f"{seconds} seconds").alias("w"))
+    return sessions.agg(F.max_by(active, F.struct("ts", "event_id")).alias("active")).filter("active").select("task_id", F.col("w.end").alias("hung_at"))
