@@ -683,3 +683,16 @@ def test_hung_tasks_need_no_python_per_task(spark, tmp_path):
         (1, "2024-01-01 12:00:00"), (2, "2024-01-01 11:00:00")]
     live = S.hung_tasks(spark.readStream.schema(spark.read.parquet(str(tmp_path / "t")).schema).parquet(str(tmp_path / "t")))
     assert "TransformWithState" not in live._jdf.queryExecution().analyzed().toString()
+
+
+def test_catalog_names_tables_of_many_files(spark, tmp_path):
+    """A table may be one file, a folder of files, or one folder per value."""
+    from scholia.sources import readers
+    from scholia.sources.tables import Tables
+    spark.range(4).repartition(2).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(4).withColumn("k", F.col("id") % 2).write.partitionBy("k").parquet(str(tmp_path / "events.parquet"))
+    spark.range(4).coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "nation.parquet")
+    (tmp_path / "notes.txt").write_text("no table")
+    assert [r.table_name for r in readers.catalog(Tables(spark, str(tmp_path))).collect()] == ["events", "nation", "orders"]
+    assert [r.table_name for r in readers.catalog(Tables(spark, f"file:{tmp_path}/")).collect()] == ["events", "nation", "orders"]
