@@ -26,7 +26,7 @@ from scholia.llm.common import keep_listed, map_batches, release
 from scholia.session import cut_lineage, scratch_path
 
 BANDS, ROWS = 32, 5
-BLOCK, NEARBY = 200_000, 32
+BLOCK, NEARBY, CELLS = 200_000, 32, 512
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -56,6 +56,11 @@ def digest_of(items: np.ndarray) -> bytes | None:
     return xxh3_128_digest(items.tobytes()) if len(items) else None
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """Bits (as 64-bit numbers) that say which of CELLS cells get an odd number of the items. Two sets differ in as many items at least as in cells."""
+    return np.packbits(np.bincount((items % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint8) & 1).view(np.int64)
+
+
 def super_minhash(items: np.ndarray, owner: np.ndarray, owners: int, slots: int) -> np.ndarray:
     """Signatures (owners x slots) of all sets at once; ``owner`` says whose element each item is."""
     sig = np.full(owners * slots, np.inf)
@@ -132,16 +137,16 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, number: Column |
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, items (sorted shingle hashes) for the ``wanted`` rows: node, digest, doc_id."""
+    """node, items (sorted shingle hashes), cells (their ``parities``) for the ``wanted`` rows: node, digest, doc_id."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         items = [shingles(t.as_py(), k) for t in batch.column(0)]
-        return pa.RecordBatch.from_arrays([pa.array(map(digest_of, items), pa.binary()), pa.array([s.view(np.int64) for s in items], pa.list_(pa.int64()))],
-                                          names=["digest", "items"])
+        return pa.RecordBatch.from_arrays([pa.array(map(digest_of, items), pa.binary()), pa.array([s.view(np.int64) for s in items], pa.list_(pa.int64())),
+                                           pa.array([parities(s) for s in items], pa.list_(pa.int64()))], names=["digest", "items", "cells"])
 
     ids = cut_lineage(wanted.select("doc_id").distinct())
-    found = map_batches(keep_listed(docs.select("doc_id", "text"), ids, "doc_id").select("text"), sets, "digest binary, items array<bigint>")
-    return found.join(wanted, "digest").select("node", "items").dropDuplicates(["node"])
+    found = map_batches(keep_listed(docs.select("doc_id", "text"), ids, "doc_id").select("text"), sets, "digest binary, items array<bigint>, cells array<bigint>")
+    return found.join(wanted, "digest").select("node", "items", "cells").dropDuplicates(["node"])
 
 
 # -- union-find --------------------------------------------------------------------------------------
@@ -203,12 +208,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """u > v: all pairs of different ``comp`` that may be linked, from node, comp, n, items; exact.
+    """u > v: all pairs of different ``comp`` that may be linked, from node, comp, n, items, cells; exact.
 
     Sets that are alike enough share an item among the first n - ceil(percent/100 n) + 1 of both, in any order that is the same for all.
     Here the rarest items come first, so a passage or template that many texts share leads to no pairs between texts that differ otherwise. Of
     the common items of a pair the first one has the earliest places in both, so testing the places of each loses no pair; and it is the one with no other
-    before it, where the pair is made.
+    before it, where the pair is made. Sets whose cells differ too often have too many items apart, which spares most pairs that are just not
+    alike enough, as among copies of one text that were edited more.
     """
     each = sets.select("node", F.explode("items").alias("item"))
     shared = each.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1")
@@ -221,14 +227,15 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     near = lambda i: F.transform(F.slice("held", F.greatest(i - NEARBY, F.lit(0)) + 1, F.least(i, F.lit(NEARBY))), lambda h: h["item"])
     numbered = F.transform(F.slice("held", F.lit(1), room.cast("int")), lambda h, i: F.struct(
         (F.col("alone") + i + 1).alias("place"), h["item"].alias("item"), near(i).alias("before")))
-    first = (held.join(sets.select("node", "comp", "n"), "node").filter(room > 0)
-             .withColumn("alone", alone).select("node", "comp", "n", F.inline(numbered)))
+    first = (held.join(sets.select("node", "comp", "n", "cells"), "node").filter(room > 0)
+             .withColumn("alone", alone).select("node", "comp", "n", "cells", F.inline(numbered)))
     other = first.select(F.col("node").alias("other"), F.col("comp").alias("rcomp"), F.col("n").alias("m"), F.col("place").alias("rplace"), F.col("item").alias("ritem"),
-                         F.col("before").alias("rbefore"))
+                         F.col("before").alias("rbefore"), F.col("cells").alias("rcells"))
     # A first common item this late in either set leaves too few for the intersection.
     left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("rplace")) + 1
+    apart = F.aggregate(F.zip_with("cells", "rcells", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     pairs = first.join(other, (F.col("item") == F.col("ritem")) & (F.col("comp") < F.col("rcomp")) & close(F.col("n"), F.col("m"), percent)
-                       & ((100 + percent) * left >= percent * (F.col("n") + F.col("m"))) & ~F.arrays_overlap("before", "rbefore"))
+                       & ((100 + percent) * left >= percent * (F.col("n") + F.col("m"))) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m"))) & ~F.arrays_overlap("before", "rbefore"))
     return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -405,3 +406,16 @@ def test_nodes_are_pruned(monkeypatch):
     found = list(covertree.dual_search(queries, data, np.arange(len(data)), np.array([float(sorted(data @ q)[-11]) for q in queries]), 11))
     assert len({q for q, _, _ in found}) == len(queries) and len(found) >= 11 * len(queries)
     assert sum(seen) < len(queries) * len(data) / 256
+
+
+def test_copies_edited_too_much_make_no_pairs(spark):
+    """Sixty items each, five or six of them changed: all share nearly all, few are alike enough. Such sets made nearly all pairs before."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[:54 + i % 2], rng.integers(0, 2**63, 6 - i % 2, dtype=np.uint64)])) for i in range(120)]
+    rows = [(i, i, len(s), s.view(np.int64).tolist(), neardup.parities(s).tolist()) for i, s in enumerate(sets)]
+    made = spark.createDataFrame(rows, "node long, comp long, n long, items array<long>, cells array<long>")
+    alike = {(b, a) for a in range(120) for b in range(a + 1, 120)
+             if 100 * (both := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - both)}
+    pairs = {tuple(r) for r in neardup.prefix_pairs(made, 80).collect()}
+    assert alike <= pairs and len(pairs) < len(alike) + 120 * 119 // 20
