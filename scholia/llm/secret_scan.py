@@ -1,10 +1,10 @@
 """Secrets by patterns and by character Markov models; native expressions only.
 
 Base patterns find assignments, access keys and hex strings. Further spans are tokens that a first-order Markov model of
-random strings explains better than one of ordinary identifiers. The models are trained on samples labelled by the base patterns: the
-secrets they find are random, the other tokens of a sample of documents are ordinary. As these secrets may know one alphabet only, a token is
+random strings explains better than one of ordinary identifiers. The models are trained on the corpus as the base patterns label it: the
+secrets they find are random, all other tokens are ordinary. As these secrets may know one alphabet only, a token is
 also held against even draws from the characters of its own kinds. How much better is enough follows from the models: see ``cut_offs``.
-Training counts character pairs in Spark; what reaches the driver is one number per pair of ASCII characters.
+Training counts tokens, then their character pairs, in Spark; what reaches the driver is one number per pair of ASCII characters.
 
 Scale: every text is scanned within its row; no shuffle but for the training counts. Positions come from the lengths of the matches and of the
 gaps between them, which is linear in the text.
@@ -15,11 +15,13 @@ from __future__ import annotations
 import math
 import random
 import string
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions.text import Folded, fold_out
+from scholia.session import cut_lineage
 
 # The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,7 +33,7 @@ LONG_ACCESS, LONG_HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "random"]
 
 TOKEN, MIN_TOKEN = "[A-Za-z0-9+/_=.-]", 16
-SAMPLE_DOCS, SAMPLE_SECRETS, BACK_OFF = 2000, 2000, 8.0
+BACK_OFF = 8.0
 SQUARE = 128 * 128
 # Kinds of characters in a token and how many there are of each; hex is told apart as the base patterns have it.
 CLASSES = [("[0-9]", 10), ("[a-z]", 26), ("[A-Z]", 26), ("[+/_=.-]", 6)]
@@ -124,39 +126,70 @@ def band(n: int) -> int:
     return min(max(n // 8, 2), LONGEST // 8)
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_secrets: int = SAMPLE_SECRETS) -> list[float]:
-    """For every pair of ASCII characters (first * 128 + second) the log-likelihood ratio, random over ordinary; then for every pair what it costs the
-    ordinary model (-log); then the cut-offs. Without ordinary tokens there are none, and no token counts as random.
+def tokens_of(docs: DataFrame) -> DataFrame:
+    """half, token, n: how often every ordinary token of four characters or more occurs in each half of the texts; copies fall into the same one.
+    With half null every secret that the base patterns find, once."""
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, ASSIGN, " "), LONG_ACCESS, " "), LONG_HEX, " ")
+    half = F.pmod(F.xxhash64(whole, F.lit("half")), F.lit(2)).cast("int")
+    row = lambda half: lambda token: F.struct(half.alias("half"), token.alias("token"))
+    secrets = F.transform(F.concat("_assign", "_access", "_hex"), lambda x: row(F.lit(None).cast("int"))(x["value"]))
+    ordinary = F.transform(F.regexp_extract_all(bare, F.lit(TOKEN + "{4,}"), F.lit(0)), row(half))
+    each = with_base(docs.select("text")).select(F.inline(F.concat(secrets, ordinary)))
+    return each.groupBy("half", "token").agg(F.when(F.col("half").isNull(), 1).otherwise(F.count("*")).alias("n"))
 
-    Samples: up to ``sample_secrets`` distinct secrets and all tokens of up to ``sample_docs`` documents, each with the smallest hashes; up to as many
-    further documents for the cut-offs. Pairs are backed off to how often the second character occurs, those to one extra count each, so an
-    empty table gives ratios of zero.
-    """
-    held = with_base(docs.select("text"))
-    secrets = held.select(F.explode(F.transform(F.concat("_assign", "_access", "_hex"), lambda x: x["value"])).alias("token")).distinct()
-    secrets = secrets.orderBy(F.xxhash64("token"), "token").limit(sample_secrets).select(F.lit(1).alias("random"), "token")
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_docs)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), ASSIGN, " "), LONG_ACCESS, " "), LONG_HEX, " ")
-    learnt = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
-    tokens = lambda least: F.explode(F.regexp_extract_all(bare, F.lit(TOKEN + f"{{{least},}}"), F.lit(0))).alias("token")
-    ordinary = sample.filter(learnt).select(F.lit(0).alias("random"), tokens(4))
-    pairs = secrets.union(ordinary).select("random", F.explode(pairs_of(F.col("token"))).alias("pair"))
-    seen = {(r["random"], r["pair"]): r["count"] for r in pairs.filter("pair is not null").groupBy("random", "pair").count().collect()}
+
+def fitted(seen: list[dict[int, int]]) -> list[float]:
+    """Ratios and costs from the numbers of pairs in ordinary tokens and in secrets."""
     symbols = [c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=.-"]
-    rows = [{a: sum(seen.get((kind, a * 128 + b), 0) for b in symbols) for a in symbols} for kind in (0, 1)]
-    alone = [{b: (sum(seen.get((kind, a * 128 + b), 0) for a in symbols) + 1) / (sum(rows[kind].values()) + len(symbols)) for b in symbols} for kind in (0, 1)]
+    rows = [{a: sum(seen[kind].get(a * 128 + b, 0) for b in symbols) for a in symbols} for kind in (0, 1)]
+    alone = [{b: (sum(seen[kind].get(a * 128 + b, 0) for a in symbols) + 1) / (sum(rows[kind].values()) + len(symbols)) for b in symbols} for kind in (0, 1)]
     table = [0.0] * (2 * SQUARE)
     for a in symbols:
         for b in symbols:
-            own = [(seen.get((kind, a * 128 + b), 0) + BACK_OFF * alone[kind][b]) / (rows[kind][a] + BACK_OFF) for kind in (0, 1)]
+            own = [(seen[kind].get(a * 128 + b, 0) + BACK_OFF * alone[kind][b]) / (rows[kind][a] + BACK_OFF) for kind in (0, 1)]
             table[a * 128 + b], table[SQUARE + a * 128 + b] = round(math.log(own[1] / own[0]), 3), round(-math.log(own[0]), 3)
-    if not sum(rows[0].values()):
+    return table
+
+
+def train(docs: DataFrame) -> list[float]:
+    """For every pair of ASCII characters (first * 128 + second) the log-likelihood ratio, random over ordinary; then for every pair what it costs the
+    ordinary model (-log); then the cut-offs. Without ordinary tokens there are none, and no token counts as random.
+
+    All distinct secrets and all ordinary tokens of all texts count. For the cut-offs the tokens of each half are scored by a model of the other
+    half's. Pairs are backed off to how often the second character occurs, those to one extra count each, so an empty table gives ratios of zero.
+    What reaches the driver is bounded: a number per pair, and one per score of three decimals.
+    """
+    tokens = cut_lineage(tokens_of(docs))
+    pairs = tokens.select("half", "n", F.explode(pairs_of(F.col("token"))).alias("pair")).filter("pair is not null")
+    seen: dict[int | None, dict[int, int]] = {0: {}, 1: {}, None: {}}
+    for r in pairs.groupBy("half", "pair").agg(F.sum("n").alias("n")).collect():
+        seen[r["half"]][r["pair"]] = r["n"]
+    every = {pair: seen[0].get(pair, 0) + seen[1].get(pair, 0) for pair in seen[0] | seen[1]}
+    table = fitted([every, seen[None]])
+    if not every:
         return table
-    held = sample.filter(~learnt).select(tokens(MIN_TOKEN)).select(scored(F.col("token"), table).alias("s")).select("s.n", (F.col("s.score") / F.col("s.n")).alias("rate"))
-    held = held.select(F.least(F.greatest(F.floor(F.col("n") / 8), F.lit(2)), F.lit(LONGEST // 8)).cast("int").alias("band"), "rate")
-    found = held.rollup("band").agg(F.count("*").alias("c"), F.percentile_approx("rate", F.lit(1 - PASS_HELD), F.lit(100_000)).alias("q")).collect()
-    return table + cut_offs(table, {r["band"]: (r["c"], r["q"]) for r in found if r["c"]})
+    held: dict[int | None, Counter] = defaultdict(Counter)
+    for half in (0, 1):
+        if seen[1 - half]:
+            long = tokens.filter((F.col("half") == half) & (F.length("token") >= MIN_TOKEN))
+            rated = long.select("n", scored(F.col("token"), fitted([seen[1 - half], seen[None]])).alias("s")).select(
+                "n", F.least(F.greatest(F.floor(F.col("s.n") / 8), F.lit(2)), F.lit(LONGEST // 8)).cast("int").alias("band"),
+                F.ceil(F.col("s.score") / F.col("s.n") * 1000).alias("rate"))
+            for r in rated.groupBy("band", "rate").agg(F.sum("n").alias("n")).collect():
+                held[r["band"]][r["rate"]] += r["n"]
+                held[None][r["rate"]] += r["n"]
+    return table + cut_offs(table, {at: (rates.total(), passed_by(rates) / 1000) for at, rates in held.items()})
+
+
+def passed_by(rates: Counter) -> float:
+    """The least of the numbers that all but PASS_HELD are at most."""
+    most, below = (1 - PASS_HELD) * rates.total(), 0
+    for rate in sorted(rates):
+        below += rates[rate]
+        if below >= most:
+            return rate
+    return 0.0
 
 
 def with_spans(df: DataFrame, model: list[float], text: str = "text") -> DataFrame:

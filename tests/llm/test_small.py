@@ -1,6 +1,8 @@
 """Edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns with the names used inside."""
 
+import collections
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -408,6 +410,22 @@ def test_nodes_are_pruned(monkeypatch):
     assert sum(seen) < len(queries) * len(data) / 256
 
 
+def test_secret_models_count_every_document(spark):
+    """5000 texts, more than any sample took: the cost of a pair follows from the counts over all of them."""
+    texts = ["alpha beta"] * 4000 + ["gamma delta"] * 1000
+    model = secret_scan.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    pairs = collections.Counter(a + b for t in texts for w in t.split() for a, b in zip(w, w[1:]))
+    symbols = [chr(c) for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=.-"]
+    ends, starts = collections.Counter(), collections.Counter()
+    for (a, b), n in pairs.items():
+        starts[a] += n
+        ends[b] += n
+    for a, b in ("al", "am", "mm", "el"):
+        alone = (ends[b] + 1) / (sum(pairs.values()) + len(symbols))
+        cost = -math.log((pairs[a + b] + secret_scan.BACK_OFF * alone) / (starts[a] + secret_scan.BACK_OFF))
+        assert model[secret_scan.SQUARE + ord(a) * 128 + ord(b)] == pytest.approx(cost, abs=6e-4)
+
+
 def test_copies_edited_too_much_make_no_pairs(spark):
     """Sixty items each, five or six of them changed: all share nearly all, few are alike enough. Such sets made nearly all pairs before."""
     rng = np.random.default_rng(5)
