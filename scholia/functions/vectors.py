@@ -89,13 +89,72 @@ def topk_one(items: DataFrame, query: DataFrame, order: list[str], k: int) -> Da
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), *order)))
 
 
+TILE = 2048
+
+
+def exact_scores(a: np.ndarray, b: np.ndarray, percent: bool) -> np.ndarray:
+    """Rounded cosines of the rows of a with those of b."""
+    scale = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    d = np.einsum("ij,ij->i", a, b)
+    return np.round(d / (scale + 1e-9) * 100, 1) if percent else np.round(np.divide(d, scale, out=np.zeros_like(d), where=scale > 0), 9)
+
+
+def first_k(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every row the k highest scores, ties to the smaller column, not-a-numbers last."""
+    order = np.lexsort((cols, -scores, rows))
+    rows = rows[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], cols[order][keep], scores[order][keep]
+
+
+def best_pairs(a: np.ndarray, b: np.ndarray, k: int, percent: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of a, row of b, rounded cosine: for every row of a the k best of b, ties to the smaller row.
+
+    Products in single precision, tile by tile, leave out what is clearly below the k best so far; only the rest is scored in double precision.
+    Where they cannot tell (tiny lengths, components that are no numbers) everything is scored. Memory: some tiles, whatever the lengths of a and b.
+    """
+    lengths = [np.linalg.norm(x, axis=1) for x in (a, b)]
+    least = [n[n > 0].min(initial=1.0) for n in lengths]
+    # Single precision and the guard of the denominator move a cosine by less than 1e-5 each; rounding by half a step.
+    margin = 3e-5 + (6e-4 if percent else 1e-8)
+    plain = all(np.isfinite(n).all() for n in lengths) and least[0] * least[1] >= 1e-4 and max(n.max(initial=0.0) for n in lengths) < 1e18
+    if plain:
+        u, v = [np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0).astype("float32") for x, n in zip((a, b), lengths)]
+    found = []
+    for top in range(0, len(a), TILE // 2):
+        part = a[top:top + TILE // 2]
+        kept = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        least_of = np.full(len(part), -np.inf, np.float32)
+        for at in range(0, len(b), TILE):
+            if plain:
+                near = u[top:top + TILE // 2] @ v[at:at + TILE].T
+                if not at and near.shape[1] > k:  # both the last of the best and one below it may be rounded
+                    least_of = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - np.float32(2 * margin)
+                hits = np.flatnonzero(near >= least_of[:, None])
+            else:
+                hits = np.arange(len(part) * len(b[at:at + TILE]))
+            width = len(b[at:at + TILE])
+            for some in range(0, len(hits), 1 << 17):
+                rows, cols = np.divmod(hits[some:some + (1 << 17)], width)
+                cols += at
+                scores = exact_scores(part[rows], b[cols], percent)
+                kept = first_k(*[np.concatenate(x) for x in zip(kept, (rows, cols, scores))], k)
+            if plain and len(hits):
+                rows, _, scores = kept
+                full = np.flatnonzero(np.bincount(rows, minlength=len(part)) == k)
+                last = np.searchsorted(rows, full, side="right") - 1
+                least_of[full] = scores[last] / (100 if percent else 1) - margin
+        found.append((kept[0] + top, *kept[1:]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def topk_blocks(queries: DataFrame, items: DataFrame, k: int, order: list[str], group: str | None = None,
-                block: int = 2048, percent: bool = True) -> DataFrame:
+                block: int = 8192, percent: bool = True) -> DataFrame:
     """Exact best k items for every query (within the same ``group`` if given).
 
     ``queries``: query_id, embedding; ``items``: the ``order`` columns and embedding. Both sides are cut into
-    hash blocks of about ``block`` rows, as many as the group needs, and each pair of blocks is one
-    matrix product in its own task. A cell passes on k rows per query, never its pairs, so a group
+    hash blocks of about ``block`` rows, as many as the group needs, and each pair of blocks is multiplied in its own
+    task, tile by tile. A cell passes on k rows per query, never its pairs, so a group
     that holds most rows only means more cells.
     """
     g = "_g"
@@ -124,17 +183,10 @@ def topk_blocks(queries: DataFrame, items: DataFrame, k: int, order: list[str],
         right = right.sort_values(order, kind="stable").reset_index(drop=True)
         a = np.stack(left["embedding"].to_numpy()).astype("float64")
         b = np.stack(right["embedding"].to_numpy()).astype("float64")
-        sims = a @ b.T
-        scale = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-        if percent:
-            sims = np.round(sims / (scale + 1e-9) * 100, 1)
-        else:
-            sims = np.round(np.divide(sims, scale, out=np.zeros_like(sims), where=scale > 0), 9)
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(left)), top.shape[1])
-        out = right.loc[top.ravel(), order].reset_index(drop=True)
+        rows, at, scores = best_pairs(a, b, k, percent)
+        out = right.loc[at, order].reset_index(drop=True)
         out.insert(0, "query_id", left["query_id"].to_numpy()[rows])
-        out["score"] = sims[rows, top.ravel()]
+        out["score"] = scores
         return out[cols]
 
     types = dict(items.dtypes)
