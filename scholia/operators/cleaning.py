@@ -73,9 +73,8 @@ def slide_boilerplate(text: Column | str) -> Column:
     return joined(F.flatten(F.transform(blocks, piece)))
 
 
-def line_type(line: Column, pos: Column, total: Column, mean: Column) -> Column:
-    """(type, confidence) from table marks, length against the mean, place and pattern."""
-    s = strip(line)
+def line_type(line: Column, s: Column, pos: Column, total: Column, mean: Column) -> Column:
+    """(type, confidence) from table marks, length against the mean, place and pattern; ``s`` is the stripped line, bound once."""
     n = F.length(s)
     rel = pos / F.greatest(total, F.lit(1))
     row = s.startswith("|") & (F.regexp_count(s, F.lit(r"\|")) >= 2)
@@ -94,8 +93,8 @@ def classified_lines(text: Column | str) -> Column:
     """Array of (pos, line, type, confidence) of one document."""
     def all_lines(ls: Column, mean: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
-            t = line_type(x, i, F.size(ls), mean)
-            return let(t, lambda v: F.struct(i.alias("pos"), strip(x).alias("line"), v["type"].alias("type"), v["confidence"].alias("confidence")))
+            told = lambda s, v: F.struct(i.alias("pos"), s.alias("line"), v["type"].alias("type"), v["confidence"].alias("confidence"))
+            return let(strip(x), lambda s: let(line_type(x, s, i, F.size(ls), mean), lambda v: told(s, v)))
         return F.transform(ls, one)
     def mean_of(ls: Column) -> Column:
         return F.aggregate(ls, F.lit(0).cast("long"), lambda a, x: a + F.length(x)) / F.size(ls)
@@ -109,16 +108,15 @@ MARKDOWN_MARKS = [("h1", r"^# "), ("h2", r"^## "), ("h3", r"^### "), ("h4", r"^#
 
 def markdown_segments(text: Column | str, drop_rules: bool = False) -> Column:
     """Array of (type, content) of non-blank Markdown lines; rule lines are dropped on request."""
-    def one(x: Column) -> Column:
-        s = strip(x)
-        kind, content = F.lit("body"), s
+    def one(s: Column) -> Column:
+        told = F.struct(F.lit("body").alias("type"), s.alias("content"))
         for name, mark in reversed(MARKDOWN_MARKS):
-            kind = F.when(s.rlike(mark), name).otherwise(kind)
-            content = F.when(s.rlike(mark), F.regexp_replace(s, mark, "")).otherwise(content)
-        return F.struct(kind.alias("type"), content.alias("content"))
-    kept = F.filter(lines(text), lambda x: strip(x) != "")
+            told = F.when(s.rlike(mark), F.struct(F.lit(name).alias("type"), F.regexp_replace(s, mark, "").alias("content"))).otherwise(told)
+        return told
+    # Stripped once a line: inside a lambda an expression is worked out again wherever it stands.
+    kept = F.filter(F.transform(lines(text), strip), lambda s: s != "")
     if drop_rules:
-        kept = F.filter(kept, lambda x: ~strip(x).startswith("---"))
+        kept = F.filter(kept, lambda s: ~s.startswith("---"))
     return F.transform(kept, one)
 
 
@@ -384,11 +382,13 @@ def figure_refs(text: Column | str) -> Column:
     return F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(f"(?i){p}"), F.lit(0)) for p in FIGURE_REFS]))
 
 
-def line_kinds(text: Column | str) -> dict[str, Column]:
-    kinds = F.transform(markdown_segments(text), lambda s: s["type"])
-    n = lambda test: F.size(F.filter(kinds, test))
-    return {"total": F.size(kinds), "headings": n(lambda k: k.startswith("h")), "lists": n(lambda k: k.isin("list", "ordered_list")),
-            "tables": n(lambda k: k == "table_row"), "body": n(lambda k: k == "body")}
+def line_kinds(text: Column | str) -> Column:
+    """Array of one struct, to be inlined: total, headings, lists, tables and body, counted from one pass over the lines."""
+    def counts(kinds: Column) -> Column:
+        n = lambda test: F.size(F.filter(kinds, test))
+        return F.struct(F.size(kinds).alias("total"), n(lambda k: k.startswith("h")).alias("headings"), n(lambda k: k.isin("list", "ordered_list")).alias("lists"),
+                        n(lambda k: k == "table_row").alias("tables"), n(lambda k: k == "body").alias("body"))
+    return F.transform(F.array(F.transform(markdown_segments(text), lambda s: s["type"])), counts)
 
 
 def strip_images(text: Column | str) -> Column:

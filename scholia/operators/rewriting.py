@@ -47,17 +47,22 @@ def segments(text: Column | str) -> Column:
 
 def validate_markdown(text: Column) -> Column:
     """Fences balanced, headings repaired, one H1, a title on top, no long runs of blank lines."""
-    def run(ls: Column, title: Column) -> Column:
-        has_topic = F.coalesce(F.exists(ls, lambda x: strip(x).startswith(F.concat(F.lit("# "), title))), F.lit(False))
+    def told(line: Column) -> Column:
+        """What the fold asks of a line, worked out once: there an expression would be worked out again wherever it stands."""
+        marks = lambda s: F.struct(
+            line.alias("line"), s.alias("s"), s.startswith("```").alias("fence"), s.rlike(r"^#{1,6}\s+").alias("head"),
+            F.when(s.startswith("#"), strip(F.regexp_replace(s, "^#+", ""))).alias("content"), s.rlike(r"^(- |1\. )").alias("listed"),
+            (s.rlike(r"(?i)^#{1,3}\s+End of\s+(Topic|Chapter|Note)") | line.rlike(r"^#{1,6}\s*$")).alias("ending"))
+        return let(strip(line), marks)
+
+    def run(xs: Column, title: Column) -> Column:
+        has_topic = F.coalesce(F.exists(xs, lambda x: x["s"].startswith(F.concat(F.lit("# "), title))), F.lit(False))
         no = F.lit(False)
         zero = dict(code=no, h1=no, listed=no, blank=no, topic=has_topic)
-        def add(a: Folded, line: Column) -> tuple[dict[str, Column], Column]:
-            s = strip(line)
-            fence, head = s.startswith("```"), s.rlike(r"^#{1,6}\s+")
-            content = strip(F.regexp_replace(s, "^#+", ""))
+        def add(a: Folded, x: Column) -> tuple[dict[str, Column], Column]:
+            line, s, fence, head, content, ending = (x[n] for n in ("line", "s", "fence", "head", "content", "ending"))
             broken = a["code"] & head
             glued = head & a["listed"] & ~a["blank"]
-            ending = s.rlike(r"(?i)^#{1,3}\s+End of\s+(Topic|Chapter|Note)") | line.rlike(r"^#{1,6}\s*$")
             top = head & s.rlike(r"^#\s") & ~ending
             objective = content.rlike(r"\((P\d+|C\d)\)")
             swap = top & ~a["h1"] & title.isNotNull() & ~a["topic"] & (objective | ~F.lower(content).contains(F.lower(title)))
@@ -66,14 +71,14 @@ def validate_markdown(text: Column) -> Column:
             out = F.concat(some(~fence & broken, F.lit("```")), some(fence, line),
                            some(~fence & glued, F.concat(F.lit("**"), content, F.lit("**")), F.lit("")), some(plain, new))
             return dict(code=F.when(fence, ~a["code"]).otherwise(a["code"] & ~broken),
-                        h1=a["h1"] | (plain & top), listed=F.when(fence, a["listed"]).otherwise(~glued & s.rlike(r"^(- |1\. )")),
+                        h1=a["h1"] | (plain & top), listed=F.when(fence, a["listed"]).otherwise(~glued & x["listed"]),
                         blank=F.when(fence, a["blank"]).otherwise(~glued & (s == "")), topic=a["topic"] | (plain & swap)), out
         def close(a: Column, out: Column) -> Column:
             lead = some(title.isNotNull() & ~a["topic"] & ~a["h1"], F.concat(F.lit("# "), title), F.lit(""))
             return F.concat(lead, out, some(a["code"], F.lit("```")))
-        even = F.concat(ls, some(F.size(F.filter(ls, lambda x: strip(x).startswith("```"))) % 2 != 0, F.lit("```")))
+        even = F.concat(xs, F.transform(some(F.size(F.filter(xs, lambda x: x["fence"])) % 2 != 0, F.lit("```")), told))
         return F.regexp_replace(strip(joined(fold_out(even, zero, add, "string", close))), r"\n{4,}", "\n\n\n")
-    once = F.struct(lines(text).alias("l"), C.title_detect(text).alias("t"))
+    once = F.struct(F.transform(lines(text), told).alias("l"), C.title_detect(text).alias("t"))
     return F.when(text == "", text).otherwise(let(once, lambda v: run(v["l"], v["t"])))
 
 

@@ -381,7 +381,7 @@ SELECT doc_id, CAST(count(*) AS INTEGER) AS total, CAST(count(*) FILTER (starts_
   CAST(count(*) FILTER (type IN ('list', 'ordered_list')) AS INTEGER) AS lists, CAST(count(*) FILTER (type = 'table_row') AS INTEGER) AS tables,
   CAST(count(*) FILTER (type = 'body') AS INTEGER) AS body FROM v_md_kinds GROUP BY 1""")
 def _(t):
-    return t.markdown.select("doc_id", *[c.alias(n) for n, c in C.line_kinds("text").items()])
+    return t.markdown.select("doc_id", F.inline(C.line_kinds("text")))
 
 
 # -- rewrites with state --------------------------------------------------------------------------

@@ -714,3 +714,14 @@ def test_best_pairs_are_those_of_all_products(percent):
         rows, at, scores = V.best_pairs(x, y, 5, percent)
         assert np.array_equal(rows, np.repeat(np.arange(len(x)), top.shape[1])) and np.array_equal(at, top.ravel())
         assert np.array_equal(scores, all_[rows, at], equal_nan=True)
+
+
+def test_a_line_is_stripped_once(spark):
+    """Inside a lambda every mention of an expression is worked out again: one strip a line, not one for each mark, count and column."""
+    from scholia.operators import cleaning as C
+    df = docs(spark, "# T\n\n- a\n| x | y |\n```\nbody", "", None)
+    strips = lambda c: df.select(c)._jdf.queryExecution().optimizedPlan().toString().count(r"(?U)^\s+|\s+$")
+    assert strips(F.inline(C.line_kinds("text"))) == 1 and strips(C.markdown_segments("text").alias("x")) == 1 and strips(C.classified_lines("text").alias("x")) == 1
+    counts = df.select("doc_id", F.inline(C.line_kinds("text"))).orderBy("doc_id").collect()
+    assert [tuple(r) for r in counts] == [(0, 5, 1, 1, 1, 2), (1, 0, 0, 0, 0, 0), (2, None, None, None, None, None)]
+    assert strips(R.validate_markdown(F.col("text")).alias("x")) < 20
