@@ -82,6 +82,7 @@ def spans_to_lines(pages: DataFrame) -> DataFrame:
     """Spans of a page to lines: same line while the centres are close; a gap or bare ends get a space."""
     def same(p: Column, s: Column) -> Column:
         return F.abs((p["top"] + p["bottom"]) / 2 - (s["top"] + s["bottom"]) / 2) < F.greatest(s["font_size"] * 0.6, F.lit(4.0))
+    # Worked out once a span, before the lines are cut.
     font = lambda s: F.struct(font_key(s).alias("key"), s["font_size"].alias("size"), s["is_bold"].alias("bold"), s["font_name"].alias("name"))
     def line(spans: Column, at: Column) -> Column:
         def glued(ss: Column) -> Column:
@@ -94,9 +95,10 @@ def spans_to_lines(pages: DataFrame) -> DataFrame:
             return joined(F.transform(ss, one), "")
         low, high = (lambda f: F.array_min(F.transform(spans, lambda s: s[f]))), (lambda f: F.array_max(F.transform(spans, lambda s: s[f])))
         return F.struct(let(spans, glued).alias("text"), low("x0").alias("x0"), high("x1").alias("x1"), low("top").alias("top"),
-                        high("bottom").alias("bottom"), _dominant(spans, lambda s: F.length(s["text"]), font).alias("font"))
+                        high("bottom").alias("bottom"), _dominant(spans, lambda s: F.length(s["text"]), lambda s: s["font"]).alias("font"))
     key = lambda s: F.struct(F.bround(s["top"], 1).alias("t"), s["x0"].alias("x"), s["span_no"].alias("n"), s.alias("s"))
-    order = F.transform(F.array_sort(F.transform("spans", key)), lambda k: k["s"])
+    names = ("text", "font_size", "x0", "x1", "top", "bottom")
+    order = F.transform(F.array_sort(F.transform("spans", key)), lambda k: F.struct(*[k["s"][n].alias(n) for n in names], font(k["s"]).alias("font")))
     found = runs_of(order, lambda p, s: ~same(p, s), line)
     return pages.select("doc_id", "page", "width", "height", found.alias("lines"))
 
@@ -166,9 +168,8 @@ def columns(pages: DataFrame) -> DataFrame:
 def drop_headers_footers(pages: DataFrame) -> DataFrame:
     """Lines in the top 5 % or bottom 10 % go when short; footer texts and lone page numbers always go."""
     def keep(x: Column) -> Column:
-        t = strip(x["text"])
         edge = (x["bottom"] < F.col("height") * 0.05) | (x["top"] > F.col("height") * 0.90)
-        return ~any_of(t, FOOTERS) & ~(edge & (F.length(t) < 5)) & ~t.rlike(r"^\d{1,3}$")
+        return let(strip(x["text"]), lambda t: ~any_of(t, FOOTERS) & ~(edge & (F.length(t) < 5)) & ~t.rlike(r"^\d{1,3}$"))
     return pages.withColumn("lines", F.filter("lines", keep))
 
 
