@@ -235,6 +235,10 @@ LOGIC = "→∨∧¬↔⊕≡⇒⇔"
 SENTENCE_WORDS = ["denotes", "that", "the", "has", "it", "meaning", "is", "dalam", "yang", "dan", "untuk"]
 
 
+#: Characters of the longest line that can be code.
+CODE_SIZE = 500
+
+
 def looks_like_code(t: Column) -> Column:
     """Brackets with terminators, two code words with syntax, or a formula."""
     brackets, braces, semi = t.contains("(") & t.contains(")"), t.contains("{") & t.contains("}"), t.contains(";")
@@ -242,7 +246,7 @@ def looks_like_code(t: Column) -> Column:
     keywords = F.regexp_count(t, F.lit(r"\b(" + "|".join(CODE_WORDS) + r")\b")) >= 2
     formula = (t.rlike(f"[{LOGIC}]") & (F.length(t) < 150) & ~F.arrays_overlap(words(F.lower(t)), F.array(*map(F.lit, SENTENCE_WORDS)))
                & t.rlike(r"[pqr]\s*[∧∨→¬]|[¬∧∨→]\s*[pqr]"))
-    return (F.length(t).between(10, 500) & ~t.startswith("#")
+    return (F.length(t).between(10, CODE_SIZE) & ~t.startswith("#")
             & ((braces & semi) | (brackets & semi & assign) | (keywords & (brackets | braces | semi)) | formula))
 
 
@@ -271,12 +275,16 @@ def code_prose_split(line: Column) -> Column:
     """(code, prose) at the last ``; `` with code on its left and prose on its right; NULL if none."""
     numbered = r"^\s*\d+\.\s+(?=(?:public|private|protected|class|interface|enum)\b)"
     def split_at(s: Column) -> Column:
-        cuts = F.filter(F.sequence(F.lit(1), F.length(s)), lambda i: s.substr(i, F.lit(2)).rlike(r"^;\s"))
-        halves = F.transform(cuts, lambda i: F.struct(strip(s.substr(F.lit(1), i)).alias("code"), strip(s.substr(i + 1, F.length(s))).alias("prose")))
-        good = F.filter(halves, lambda h: h["prose"].rlike("^(" + "|".join(PROSE_STARTS) + ")")
-                        & looks_like_code(h["code"]) & ~looks_like_code(h["prose"]))
-        return F.when(F.length(s) >= 40, F.transform(F.slice(F.reverse(good), 1, 1), lambda h: F.struct(
-            F.regexp_replace(h["code"], numbered, "").alias("code"), h["prose"].alias("prose"))))
+        # Longer code is none, so the cuts lie in the first characters and are found there by one scan.
+        pieces = F.split(s.substr(F.lit(1), F.lit(CODE_SIZE + 1)), r"(?<=;)(?=\s)")
+        def halved(p: Column) -> Column:
+            codes = F.transform(F.slice(p, 1, F.size(p) - 1), lambda _, i: F.array_join(F.slice(p, F.lit(1), i + 1), ""))
+            halves = F.transform(codes, lambda c: F.struct(c.alias("code"), strip(s.substr(F.length(c) + 1, F.length(s))).alias("prose")))
+            good = F.filter(halves, lambda h: h["prose"].rlike("^(" + "|".join(PROSE_STARTS) + ")")
+                            & looks_like_code(h["code"]) & ~looks_like_code(h["prose"]))
+            return F.transform(F.slice(F.reverse(good), 1, 1), lambda h: F.struct(
+                F.regexp_replace(h["code"], numbered, "").alias("code"), h["prose"].alias("prose")))
+        return F.when(F.length(s) >= 40, let(pieces, halved))
     return let(strip(line), split_at)
 
 

@@ -110,6 +110,15 @@ def test_code_prose_split(spark):
     assert (found[0].code, found[0].prose) == ("Circle[] arr = new Circle[10]; f(x = 1);", "An array of objects is a list of values")
 
 
+def test_code_prose_split_of_a_very_long_line(spark):
+    """Every position of the line was once tried as the cut, each found from the line's start."""
+    line = "f(xy = 1);  The rest " + "word; " * 100_000
+    started = time.time()
+    [found, none] = apply(spark, cleaning.code_prose_split, line, "f(xy = 1)" + "x" * 500 + "; The rest " + "word " * 9)
+    assert [(x.code, x.prose) for x in found] == [("f(xy = 1);", line[12:-1])] and none == []
+    assert time.time() - started < 20
+
+
 def test_final_answer(spark):
     cases = {
         '{"final_answer": " yes "}': "yes", '```json\n{"title": "t"}\n```': "t", "so: [1, [2]] end": "[1, [2]]",
