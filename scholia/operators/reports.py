@@ -35,14 +35,29 @@ def next_title(titles: DataFrame, bases: DataFrame) -> DataFrame:
 def number_ranges(numbers: DataFrame, key: str, n: str) -> DataFrame:
     """Sorted distinct numbers as ``1-3, 5``; exactly two ranges are joined by ``&``.
 
-    A run starts where n - 1 is absent and ends where n + 1 is absent. Only run ends are
-    gathered per key, which is the size of the text that is written.
+    64 neighbouring numbers are the bits of one long, made before the shuffle. A run starts where the bit below is absent and ends where the
+    bit above is; where a long begins or ends within a run, the two sides cancel. Only run ends are gathered per key, which is the size of
+    the text that is written.
     """
-    d = numbers.select(key, F.col(n).cast("long").alias("n")).distinct()
-    at_edge = lambda step: d.join(d.select(key, (F.col("n") + step).alias("n")), [key, "n"], "left_anti")
-    edges = (at_edge(1).withColumn("edge", F.lit(0)).unionByName(at_edge(-1).withColumn("edge", F.lit(1)))
-             .groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("edge") == 0, F.col("n")))).alias("s"),
-                               F.sort_array(F.collect_list(F.when(F.col("edge") == 1, F.col("n")))).alias("e")))
+    num, one = F.col(n).cast("long"), F.lit(1).cast("long")
+    bit = F.call_function("shiftleft", one, num.bitwiseAND(F.lit(63)).cast("int"))
+    longs = numbers.groupBy(key, F.shiftright(num, 6).alias("w")).agg(F.bit_or(bit).alias("m"))
+    m, none = F.col("m"), F.array().cast("array<bigint>")
+
+    def places(bits: Column) -> Column:
+        on = F.filter(F.sequence(F.lit(0), F.length(F.bin(bits)) - 1), lambda i: F.getbit(bits, i) == 1)
+        return F.coalesce(F.transform(on, lambda i: F.col("w") * 64 + i), none)
+    # Without the first bit as a start and the last as an end: those depend on the neighbouring long.
+    inner = longs.filter("m is null or m <> -1").select(
+        key, places(m.bitwiseAND(F.bitwise_not(F.shiftleft(m, 1))).bitwiseAND(F.lit(-2))).alias("s"),
+        places(m.bitwiseAND(F.bitwise_not(F.shiftrightunsigned(m, 1))).bitwiseAND(F.lit(2**63 - 1))).alias("e"))
+    sides = F.array_compact(F.array(F.when(m.bitwiseAND(one) == 1, F.struct(F.col("w").alias("at"), F.lit(True).alias("starts"))),
+                                    F.when(m < 0, F.struct((F.col("w") + 1).alias("at"), F.lit(False).alias("starts")))))
+    seams = (longs.select(key, F.inline(sides)).groupBy(key, "at").agg(F.bool_and("starts").alias("a"), F.bool_or("starts").alias("o")).filter("a = o")
+             .select(key, F.when(F.col("a"), F.array(F.col("at") * 64)).otherwise(none).alias("s"),
+                     F.when(F.col("a"), none).otherwise(F.array((F.col("at") - 1) * 64 + 63)).alias("e")))
+    edges = inner.unionByName(seams).groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("s"),
+                                                      F.sort_array(F.flatten(F.collect_list("e"))).alias("e"))
     label = F.zip_with("s", "e", lambda a, b: F.when(a == b, a.cast("string")).otherwise(
         F.concat(a.cast("string"), F.lit("-"), b.cast("string"))))
     return edges.select(key, F.when(F.size("s") == 2, F.array_join(label, " & ")).otherwise(F.array_join(label, ", ")).alias("ranges"))

@@ -328,6 +328,16 @@ def test_lines_and_blocks(spark):
     assert got == [("hello world next", 0), ("far", 0), ("• item", 2)]
 
 
+def test_number_ranges_across_longs(spark):
+    """Runs that begin, end or go on where 64 numbers are full; one shuffle of the numbers."""
+    sets = {"a": [*range(-70, 200), 202], "b": [63, 64, 128, 191, 192], "c": [None], "d": [None, 2**63 - 1, -2**63], "e": [*range(64, 128)], None: [1, 2]}
+    numbers = spark.createDataFrame([(k, n) for k, ns in sets.items() for n in ns for _ in (0, 1)], "key string, n long")
+    got = reports.number_ranges(numbers, "key", "n")
+    assert {r.key: r.ranges for r in got.collect()} == {"a": "-70-199 & 202", "b": "63-64, 128, 191-192", "c": "",
+                                                        "d": "-9223372036854775808 & 9223372036854775807", "e": "64-127", None: "1-2"}
+    assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_key_with_a_million_runs(spark):
     odd = spark.range(1_000_000).select(F.lit("k").alias("key"), (F.col("id") * 2 + 1).alias("n"))
     few = spark.createDataFrame([("m", n) for n in (3, 1, 2, 2, 7)], "key string, n long")
