@@ -13,6 +13,7 @@ from scholia.functions import vectors as V
 from scholia.operators import blocks as B
 from scholia.operators import chunking, cleaning, images, layout, quality, questions, ranking, reports, retrieval
 from scholia.operators import rewriting as R
+from scholia.sources import writers
 from scholia.streaming import state as S
 
 
@@ -338,6 +339,15 @@ def test_number_ranges_across_longs(spark):
     assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_cascade_delete_goes_by_the_parent(spark):
+    """A row goes with its parent; another row of the same key and another parent stays, as does one without a parent."""
+    top = spark.createDataFrame([(1,), (2,)], "g long")
+    mid = spark.createDataFrame([(10, 1), (10, 2), (11, 2), (12, None)], "m long, g long")
+    low = spark.createDataFrame([("x", 10), ("x", 11), ("y", 12), ("z", 11), (None, 10)], "l string, m long")
+    kept = writers.cascade_delete([(top, "g", None), (mid, "m", "g"), (low, "l", "m")], top.filter("g = 1"))
+    assert [sorted(map(tuple, k.collect()), key=str) for k in kept] == [[(2,)], [(10, 2), (11, 2), (12, None)], [("x", 11), ("y", 12), ("z", 11)]]
+
+
 def test_one_key_with_a_million_runs(spark):
     odd = spark.range(1_000_000).select(F.lit("k").alias("key"), (F.col("id") * 2 + 1).alias("n"))
     few = spark.createDataFrame([("m", n) for n in (3, 1, 2, 2, 7)], "key string, n long")
