@@ -129,10 +129,15 @@ def related_content(notes: DataFrame, exercises: DataFrame) -> DataFrame:
 
 
 def owner_of_entities(entities: DataFrame, notes: DataFrame, resources: DataFrame) -> DataFrame:
-    """Owner by entity type: a note's resource owner first, then its own user; else ``unowned``."""
+    """Owner by entity type: a note's resource owner first, then its own user; else ``unowned``.
+
+    Equal rows of ``notes`` count once. They are made distinct where they meet their resources, which comes first, so notes are shuffled twice and
+    entities once.
+    """
     n = notes.select(F.col("note_id").alias("entity_id"), F.col("resource_id").alias("_nr"), F.col("user_id").alias("_nu"))
     r1 = resources.select(F.col("resource_id").alias("_nr"), F.col("user_id").alias("_ru"))
     r2 = resources.select(F.concat(F.lit("rs_"), F.col("resource_id").cast("string")).alias("entity_id"),
                           F.col("user_id").alias("_own"))
-    return (entities.join(n, "entity_id", "left").join(r1, "_nr", "left").join(r2, "entity_id", "left")
-            .select("entity_id", F.coalesce(F.coalesce("_ru", "_nu", "_own").cast("string"), F.lit("unowned")).alias("owner")))
+    owned = n.repartition("_nr").distinct().join(r1, "_nr", "left").select("entity_id", F.coalesce("_ru", "_nu").alias("_no"))
+    return (entities.join(owned, "entity_id", "left").join(r2, "entity_id", "left")
+            .select("entity_id", F.coalesce(F.coalesce("_no", "_own").cast("string"), F.lit("unowned")).alias("owner")))

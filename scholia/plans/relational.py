@@ -152,8 +152,7 @@ FROM v_entities e LEFT JOIN (SELECT DISTINCT note_id, resource_id, user_id FROM
 LEFT JOIN v_resources r1 ON r1.resource_id = n.resource_id
 LEFT JOIN v_resources r2 ON 'rs_' || r2.resource_id = e.entity_id""")
 def _(t):
-    notes = t.notes.select("note_id", "resource_id", "user_id").distinct()
-    return joins.owner_of_entities(entities(t), notes, t.resources)
+    return joins.owner_of_entities(entities(t), t.notes.select("note_id", "resource_id", "user_id"), t.resources)
 
 
 @query("rel_validate_rows", r"""

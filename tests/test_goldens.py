@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scholia.functions import ordered
 from scholia.functions import vectors as V
 from scholia.operators import blocks as B
-from scholia.operators import chunking, cleaning, images, layout, quality, questions, ranking, reports, retrieval
+from scholia.operators import chunking, cleaning, images, joins, layout, quality, questions, ranking, reports, retrieval
 from scholia.operators import rewriting as R
 from scholia.sources import writers
 from scholia.streaming import state as S
@@ -329,6 +329,10 @@ def test_lines_and_blocks(spark):
     assert got == [("hello world next", 0), ("far", 0), ("• item", 2)]
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
 def test_number_ranges_across_longs(spark):
     """Runs that begin, end or go on where 64 numbers are full; one shuffle of the numbers."""
     sets = {"a": [*range(-70, 200), 202], "b": [63, 64, 128, 191, 192], "c": [None], "d": [None, 2**63 - 1, -2**63], "e": [*range(64, 128)], None: [1, 2]}
@@ -348,6 +352,23 @@ def test_cascade_delete_goes_by_the_parent(spark):
     assert [sorted(map(tuple, k.collect()), key=str) for k in kept] == [[(2,)], [(10, 2), (11, 2), (12, None)], [("x", 11), ("y", 12), ("z", 11)]]
 
 
+def test_owner_of_entities_counts_notes_once(spark):
+    """Repeated notes count once, repeated resources as often as they are there, and entities are shuffled once."""
+    entities = spark.createDataFrame([("nt_1",), ("nt_2",), ("nt_2",), ("nt_3",), ("rs_7",), ("zz",), (None,)], "entity_id string")
+    notes = spark.createDataFrame([("nt_1", 7, 5), ("nt_1", 7, 5), ("nt_2", 8, 5), ("nt_2", 9, 6), ("nt_3", None, None)], "note_id string, resource_id long, user_id long")
+    resources = spark.createDataFrame([(7, 1), (7, 1), (7, 2), (8, None)], "resource_id long, user_id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.owner_of_entities(entities, notes, resources)
+        assert exchanges(got) <= 5
+        rows = sorted(map(tuple, got.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == sorted([("nt_1", "1"), ("nt_1", "1"), ("nt_1", "2"), *[("nt_2", "5"), ("nt_2", "6")] * 2, ("nt_3", "unowned"),
+                           ("rs_7", "1"), ("rs_7", "1"), ("rs_7", "2"), ("zz", "unowned"), (None, "unowned")], key=str)
+
+
 def test_one_key_with_a_million_runs(spark):
     odd = spark.range(1_000_000).select(F.lit("k").alias("key"), (F.col("id") * 2 + 1).alias("n"))
     few = spark.createDataFrame([("m", n) for n in (3, 1, 2, 2, 7)], "key string, n long")
