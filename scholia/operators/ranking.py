@@ -85,19 +85,45 @@ def pair_turns(turns: DataFrame) -> DataFrame:
             .select("conversation_id", "turn", F.col("text").alias("question"), "answer"))
 
 
-def overlap(a: DataFrame, b: DataFrame, key: str, item: str) -> DataFrame:
-    """Per key: how many expected items (b) were found (a), and the recall."""
-    found = a.select(key, item).distinct().withColumn("_f", F.lit(1))
-    return (b.select(key, item).distinct().join(found, [key, item], "left").groupBy(key)
+#: Hash buckets of keys, of which a list may be broadcast.
+BUCKETS = 1 << 18
+
+
+def items_of(sets: DataFrame, key: str, items: str, item: str) -> DataFrame:
+    """The distinct (key, item) pairs of rows with a key and an array."""
+    return sets.select(key, F.explode(items).alias(item)).distinct()
+
+
+def overlap(a: DataFrame, b: DataFrame, key: str, items: str) -> DataFrame:
+    """Per key of b: how many of its distinct items a has too, how many it has, and the share. Rows are a key and an array of items."""
+    asked = a.join(b.select(key).distinct(), key, "left_semi")  # other sets are not unrolled
+    found = items_of(asked, key, items, "_item").withColumn("_f", F.lit(1))
+    return (items_of(b, key, items, "_item").join(found, [key, "_item"], "left").groupBy(key)
             .agg(F.count("_f").alias("found"), F.count("*").alias("expected"))
             .withColumn("recall", F.bround(F.col("found") / F.col("expected"), 6)))
 
 
-def difference(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
-    """Distinct rows on one side only: in b, missing from a; in a, extra."""
-    x, y = a.select(*cols).distinct(), b.select(*cols).distinct()
-    return (y.join(x, cols, "left_anti").withColumn("side", F.lit("missing"))
-            .unionByName(x.join(y, cols, "left_anti").withColumn("side", F.lit("extra"))))
+def difference(a: DataFrame, b: DataFrame, key: str, items: str, item: str) -> DataFrame:
+    """Distinct (key, item) rows on one side only: in b, missing from a; in a, extra. Rows are a key and an array of distinct items.
+
+    A key with one row a side at most is settled within that row, so neither sets nor items are shuffled. Keys that share a hash bucket with a
+    repeated key are unrolled and compared by item, and null ones, which are equal to none of the other side. The buckets are so few that
+    those of repeated keys are broadcast.
+    """
+    side = lambda t, x, y: t.select(key, F.lit(x).alias("_a"), F.lit(y).alias("_b"))
+    times = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy(key).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    crowded = F.broadcast(times.filter((F.col("_a") > 1) | (F.col("_b") > 1)).select(bucket.alias("_bucket")).distinct())
+    in_crowd, known = bucket == F.col("_bucket"), F.col(key).isNotNull()
+    single = lambda t: t.filter(known).join(crowded, in_crowd, "left_anti")
+    pairs = lambda t: items_of(t.filter(known).join(crowded, in_crowd, "left_semi").unionByName(t.filter(~known)), key, items, item)
+
+    def beyond(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
+        others = single(y).join(x.select(key), key, "left_semi").select(key, F.col(items).alias("_o"))
+        within = single(x).join(others, key, "left").withColumn("_o", F.coalesce("_o", F.array().cast(dict(y.dtypes)[items])))
+        apart = pairs(x).join(pairs(y), [key, item], "left_anti")
+        return within.select(key, F.explode(F.array_except(items, "_o")).alias(item)).unionByName(apart).withColumn("side", F.lit(name))
+    return beyond(b, a, "missing").unionByName(beyond(a, b, "extra"))
 
 
 def distinct_first(t: DataFrame, keys: list[str], pos: str) -> DataFrame:

@@ -489,23 +489,23 @@ view("v_bench_words", r"""
 SELECT item_id AS doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS word FROM benchmark""")
 
 
-def word_set(df, id_col):
+def word_sets(df, id_col):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    return df.select(F.col(id_col).alias("doc_id"), F.explode(words).alias("word"))
+    return df.select(F.col(id_col).alias("doc_id"), words.alias("words"))
 
 
 @query("rel_set_intersection", """
 SELECT b.doc_id, count(w.word) AS found, count(*) AS expected, round_even(count(w.word) / count(*), 6) AS recall
 FROM v_bench_words b LEFT JOIN v_words w ON w.doc_id = b.doc_id AND w.word = b.word GROUP BY 1""")
 def _(t):
-    return ranking.overlap(word_set(t.documents, "doc_id"), word_set(t.benchmark, "item_id"), "doc_id", "word")
+    return ranking.overlap(word_sets(t.documents, "doc_id"), word_sets(t.benchmark, "item_id"), "doc_id", "words")
 
 
 @query("rel_set_difference", """
 SELECT doc_id, word, 'missing' AS side FROM (SELECT * FROM v_bench_words EXCEPT SELECT * FROM v_words)
 UNION ALL SELECT doc_id, word, 'extra' FROM (SELECT * FROM v_words EXCEPT SELECT * FROM v_bench_words)""")
 def _(t):
-    return ranking.difference(word_set(t.documents, "doc_id"), word_set(t.benchmark, "item_id"), ["doc_id", "word"])
+    return ranking.difference(word_sets(t.documents, "doc_id"), word_sets(t.benchmark, "item_id"), "doc_id", "words", "word")
 
 
 @query("rel_distinct_first", r"""

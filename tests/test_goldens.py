@@ -369,6 +369,16 @@ def test_owner_of_entities_counts_notes_once(spark):
                            ("rs_7", "1"), ("rs_7", "1"), ("rs_7", "2"), ("zz", "unowned"), (None, "unowned")], key=str)
 
 
+def test_set_difference_of_word_sets(spark):
+    """Keys of one row a side are settled in the row; repeated ones and null ones by item. Whole sets are not shuffled item by item."""
+    a = spark.createDataFrame([(1, ["x", "y"]), (2, ["x"]), (2, ["y", "x"]), (3, []), (4, None), (None, ["n"]), (None, ["n", "m"]), (6, ["z"])], "k long, i array<string>")
+    b = spark.createDataFrame([(1, ["y", "w"]), (2, ["y"]), (3, ["q"]), (5, ["r"]), (None, ["n"]), (6, ["z"]), (6, ["z", "u"])], "k long, i array<string>")
+    got = ranking.difference(a, b, "k", "i", "word")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        (1, "w", "missing"), (3, "q", "missing"), (5, "r", "missing"), (6, "u", "missing"), (None, "n", "missing"),
+        (1, "x", "extra"), (2, "x", "extra"), (None, "n", "extra"), (None, "m", "extra")], key=str)
+
+
 def test_one_key_with_a_million_runs(spark):
     odd = spark.range(1_000_000).select(F.lit("k").alias("key"), (F.col("id") * 2 + 1).alias("n"))
     few = spark.createDataFrame([("m", n) for n in (3, 1, 2, 2, 7)], "key string, n long")
