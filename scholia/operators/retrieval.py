@@ -107,12 +107,19 @@ def keyword_relevance(queries: DataFrame, items: DataFrame, min_score: float = 5
     vocabulary = asked.groupBy("w").agg(F.count("*").alias("asks"))
 
     body = items.select("item_id", tokens(F.lower("body")).alias("bw")).select("item_id", F.size("bw").alias("nb"), F.explode("bw").alias("w"))
-    in_body = body.join(vocabulary, "w").groupBy("item_id", "w", "nb", "asks").agg(F.count("*").alias("n"))
+    in_body = body.join(vocabulary.select("w"), "w").groupBy("item_id", "w", "nb").agg(F.count("*").alias("n"))
+    # Words of a body by how often they stand in it: a query's are found by one set operation each, not word by word.
+    alike = lambda bag: F.transform(F.array_distinct(F.transform(bag, lambda x: x["n"])), lambda n: F.struct(
+        n.alias("n"), F.transform(F.filter(bag, lambda x: x["n"] == n), lambda x: x["w"]).alias("ws")))
+    bags = (in_body.groupBy("item_id", "nb").agg(F.collect_list(F.struct("w", "n")).alias("bag"), (F.sum("n") / F.col("nb")).alias("most"))
+            .withColumn("bag", let(F.col("bag"), alike)))
+    # Few bodies have that share at all, and only their words are ordered.
     share = (min_score - 25) / 52.5
-    rest = F.sum("n").over(Window.partitionBy("item_id").orderBy(F.col("asks").desc(), F.col("w").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    rare = in_body.withColumn("rest", rest).filter(F.col("rest") >= share * F.col("nb") - 1e-6)
+    dense = (bags.filter(F.col("most") * F.col("nb") >= share * F.col("nb") - 1e-5).select("item_id", "nb", F.inline("bag"))
+             .select("item_id", "nb", "n", F.explode("ws").alias("w")).join(vocabulary, "w"))
+    rest = F.sum("n").over(Window.partitionBy("item_id", "nb").orderBy(F.col("asks").desc(), F.col("w").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    rare = dense.withColumn("rest", rest).filter(F.col("rest") >= share * F.col("nb") - 1e-6)
     by_body = rare.join(asked, "w").select("query_id", "item_id", F.lit(0.0).alias("t"))
-    bags = in_body.groupBy("item_id", "nb").agg(F.collect_list(F.struct("w", "n")).alias("bag"), (F.sum("n") / F.col("nb")).alias("most"))
 
     title_words = items.select("item_id", F.explode(F.array_distinct(tokens(F.lower("title")))).alias("word"))
     pieces = (title_words.select("word").distinct().withColumn("_s", F.explode(F.sequence(F.lit(1), F.length("word"))))
@@ -124,7 +131,7 @@ def keyword_relevance(queries: DataFrame, items: DataFrame, min_score: float = 5
     points = lambda d: F.col("t") * 100 * 0.60 + F.least(d * 150, F.lit(100.0)) * 0.35
     pairs = by_title.unionByName(by_body).groupBy("query_id", "item_id").agg(F.sum("t").alias("t")).join(bags, "item_id", "left")
     pairs = pairs.filter(points(F.coalesce("most", F.lit(0.0))) + 25 >= min_score - 1e-9).join(q, "query_id")
-    hits = F.aggregate(F.filter("bag", lambda x: F.array_contains("qw", x["w"])), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    hits = F.aggregate("bag", F.lit(0).cast("long"), lambda s, x: s + x["n"] * F.size(F.array_intersect(x["ws"], F.col("qw"))))
     pairs = pairs.select("query_id", "item_id", "qw", points(F.coalesce(hits / F.col("nb"), F.lit(0.0))).alias("points"))
     full = pairs.filter(F.col("points") + 25 >= min_score - 1e-9).join(items.select("item_id", "title", "body"), "item_id")
 

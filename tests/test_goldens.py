@@ -329,6 +329,26 @@ def test_lines_and_blocks(spark):
     assert got == [("hello world next", 0), ("far", 0), ("• item", 2)]
 
 
+def test_keyword_relevance_against_a_plain_loop(spark):
+    """Title hits, dense bodies and adjacent pairs, with repeated words; a pair's words are not looked for one by one."""
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) for _ in range(n))
+    queries, items = [(i, text(rng.randint(1, 6))) for i in range(12)], [(i, text(rng.randint(0, 2)), text(rng.choice((0, 1, 3, 30)))) for i in range(40)]
+    got = retrieval.keyword_relevance(spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(items, "item_id long, title string, body string"), k=100)
+    want = {}
+    for q, query in queries:
+        qw = query.split()
+        for i, title, body in items:
+            bw = body.split()
+            hit, dense = sum(w in title for w in qw) / len(qw) * 60, min(sum(w in qw for w in bw) / max(len(bw), 1) * 150, 100) * 0.35
+            raw = round(hit + dense + min(15 * sum(f"{a} {b}" in body or f"{a} {b}" in title for a, b in zip(qw, qw[1:])), 100) * 0.25, 9)
+            if raw >= 50:
+                want[q, i] = round(min(raw, 100.0), 1)
+    rows = got.collect()
+    assert want and {(r.query_id, r.item_id): r.score for r in rows} == pytest.approx(want) and len(rows) == len(want)
+    assert "array_contains(qw" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
