@@ -7,7 +7,7 @@ gives the encoding of any prefix, more bytes extend it, and after an edit only t
 Texts are cut into pieces by the tokenizer's pattern first, and pieces never merge with each other.
 
 Scale: one pass over the documents, no shuffle. The rank file (under a megabyte, its size is the vocabulary's) is read by the driver and
-broadcast. Each worker remembers at most twice ``REMEMBERED`` words, ``PIECES`` pieces and beginnings, and ``PAIRS`` pairs: some 150 MB.
+broadcast. Each worker remembers at most twice ``REMEMBERED`` words, ``PIECES`` pieces, and ``PAIRS`` pairs: some 150 MB.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import math
 from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from scholia.llm.common import held, map_batches
 
-REMEMBERED, PIECES, PAIRS, HEAD = 120_000, 30_000, 300_000, 6
+REMEMBERED, PIECES, PAIRS = 120_000, 60_000, 300_000
 #: Below this the letters of all Unicode versions are the same.
 EASY = "\u0250"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -187,6 +188,7 @@ class Sizes(dict):
 
 #: Ids, the same in decimals, how many, and the bytes they decode to.
 Part = tuple[tuple[int, ...], str, int, bytes]
+DECIMAL, SIZE, DECODED = map(itemgetter, (1, 2, 3))
 
 
 class Encoder:
@@ -201,7 +203,6 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.cut = pattern == public_tokenizers.PATTERN
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.heads: dict[bytes, Prefixes] = {}
         self.words: dict[str, Part | None] = {}
         self.older: dict[str, Part | None] = {}
         self.sizes = Sizes(self)
@@ -210,33 +211,48 @@ class Encoder:
     # Tuples of numbers, since the garbage collector soon leaves those alone.
     def piece(self, piece: str) -> tuple[int, ...]:
         ids = self.pieces.get(piece)
+        if ids is None and piece[:1] == " " and (known := self.words.get(piece[1:])):
+            return known[0]
         if ids is None:
             raw = piece.encode("utf-8", "replace")
             whole = self.vocabulary.rank.get(raw)
-            ids = (whole,) if whole is not None else tuple(self._table(raw).ids())
+            if len(raw) > 64:
+                return (whole,) if whole is not None else tuple(Prefixes(self.vocabulary, raw).ids())
+            ids = (whole,) if whole is not None else self._short(raw.decode("latin-1"))
             if len(self.pieces) >= PIECES:
                 self.pieces.clear()
-            if len(raw) <= 64:
-                self.pieces[piece] = ids
+            self.pieces[piece] = ids
         return ids
 
-    def _table(self, raw: bytes) -> Prefixes:
-        """Many words begin alike: the table of the first bytes is kept and extended."""
-        if len(raw) <= HEAD:
-            return Prefixes(self.vocabulary, raw)
-        head = raw[:HEAD]
-        known = self.heads.get(head)
-        if known is None:
-            if len(self.heads) >= PIECES:
-                self.heads.clear()
-            known = self.heads[head] = Prefixes(self.vocabulary, head)
-        return Prefixes(self.vocabulary, raw, known)
-
     def spaced(self, word: str) -> tuple[int, ...]:
         """Letters after a space are one piece."""
-        raw = b" " + word.encode()
-        whole = self.vocabulary.rank.get(raw)
-        return (whole,) if whole is not None else tuple(self._table(raw).ids())
+        raw = " " + word if word.isascii() else (" " + word).encode().decode("latin-1")
+        whole = self.vocabulary.finder.get(raw, None)
+        return (whole,) if whole is not None else self._short(raw)
+
+    def _short(self, raw: str) -> tuple[int, ...]:
+        """As the ids of a table that is not kept. Bytes stand as the characters of the same number."""
+        v = self.vocabulary
+        sizes, after, fits, last, done = v.sizes, v.after, v.fits, [-1], 0
+        for at, token in v.finder.iter(raw):
+            if at < done:
+                continue
+            begin = at + 1 - sizes[token]
+            if begin:
+                left = last[begin]
+                ok = after[left].get(token)
+                if not (fits(left, token) if ok is None else ok):
+                    continue
+            elif at and v.parts[token] is None:
+                continue
+            last.append(token)
+            done = at + 1
+        out = []
+        while done:
+            token = last[done]
+            out.append(token)
+            done -= sizes[token]
+        return tuple(out[::-1])
 
     def plain(self, text: str) -> tuple[int, ...]:
         found = self.find(text)
@@ -248,15 +264,15 @@ class Encoder:
 
     def _word(self, word: str) -> Part | None:
         """Ids of the word after a space, in decimals too, and how many; None if white space ends it, as the next space then follows white space."""
-        if word in self.older:
-            found = self.older[word]
-        elif not word or word[-1].isspace():
-            found = None
-        else:
-            found = self.part(self.spaced(word) if word.isalpha() and max(word) < EASY else self.plain(" " + word))
+        found = self.older.get(word)
+        if found is None:
+            if not word or word[-1].isspace():
+                return None
+            found = self.part(self.spaced(word) if word.isalpha() and (word.isascii() or max(word) < EASY) else self.plain(" " + word))
         if len(self.words) >= REMEMBERED:
             self.older, self.words = self.words, {}
-        if len(word) <= 64:
+        # Ends of lines with the beginnings of the next hardly repeat.
+        if len(word) <= 64 and "\n" not in word:
             self.words[word] = found
         return found
 
@@ -270,7 +286,7 @@ class Encoder:
                 ends = [self.plain(first), self.plain(" " + last)] if not first or not first[-1].isspace() else [None]
                 if None not in ends:
                     head, tail = map(self.part, ends)
-                    return [x for x in (head, *found, tail) if x[2]]
+                    return [head, *found, tail] if head[2] else [*found, tail]
         ids = self.plain(text)
         return [self.part(ids)] if ids else []
 
@@ -355,9 +371,9 @@ def round_trip(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokeni
         with uncollected():
             for t in batch.column(1):
                 parts = e.parts(t.as_py() or "")
-                n.append(sum([p[2] for p in parts]))
-                ids_sha.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                sha.append(hashlib.sha256(b"".join([p[3] for p in parts])).hexdigest())
+                n.append(sum(map(SIZE, parts)))
+                ids_sha.append(hashlib.sha256(",".join(map(DECIMAL, parts)).encode()).hexdigest())
+                sha.append(hashlib.sha256(b"".join(map(DECODED, parts))).hexdigest())
                 if keep_ids:
                     kept.append(array("i", [i for p in parts for i in p[0]]))
         columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(sha)]

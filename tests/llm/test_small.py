@@ -437,3 +437,18 @@ def test_copies_edited_too_much_make_no_pairs(spark):
              if 100 * (both := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - both)}
     pairs = {tuple(r) for r in neardup.prefix_pairs(made, 80).collect()}
     assert alike <= pairs and len(pairs) < len(alike) + 120 * 119 // 20
+
+
+def test_bpe_words_and_their_pieces_are_encoded_once(monkeypatch):
+    """A word that is known is not encoded again before a full stop; line ends take no room; all as the library says."""
+    import public_tokenizers
+    import tiktoken
+    with open(bpe.RANKS, "rb") as f:
+        e = bpe.Encoder(f.read(), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=e.vocabulary.rank, special_tokens={})
+    made, short = [], bpe.Encoder._short
+    monkeypatch.setattr(bpe.Encoder, "_short", lambda self, raw: made.append(raw) or short(self, raw))
+    for text in ("so qzxvwkaj qzxvwkaj. qzxvwkaj.\nqzxvwkaj end", "so qzxvwkaj qzxvwkaj! end", "\u00e9t\u00e9 \u00f1andu\u00f1a \u4e2d\u6587 x" + "ab" * 90 + " ", "", " ", "a  b"):
+        assert e.encode(text) == library.encode_ordinary(text)
+        assert b"".join(p[3] for p in e.parts(text)) == text.encode()
+    assert made.count(" qzxvwkaj") <= 1 and not any("\n" in w for w in e.words)
