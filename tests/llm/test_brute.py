@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -127,6 +128,35 @@ def test_bpe_on_odd_texts(library):
         assert encoder.encode(text) == library.encode_ordinary(text)
 
 
+def test_bpe_of_many_texts(library, monkeypatch):
+    """All pieces of a span are encoded together: as many steps as the longest has bytes, however many words; cut anywhere, as the library says."""
+    with open(bpe.RANKS, "rb") as f:
+        e = bpe.Encoder(f.read(), public_tokenizers.PATTERN)
+
+    def ids(texts):
+        out = [[] for _ in texts]
+        for of, found, ends in e.spans(pa.array([None, *texts], pa.string())[1:]):
+            for i, a, b in zip(of, ends, ends[1:]):
+                out[i] += found[a:b].tolist()
+        return out
+
+    rng = random.Random(7)
+    odd = ["".join(rng.choice("ab aé日🙂\x00 \n\t12'sZ \u3000\xa0\r\u2003ɐȿ\u0301\x1c\x85l've.,!ÀÉ߀") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    odd += ["a" * 5000, " " * 3000, "ab" * 4000, "\n" * 999 + "x", " a" * 3000, "", " ", "  a", "a ", "don't 've", "日本 x y", "x" * 64, "x" * 65, "é" * 33]
+    want = [library.encode_ordinary(t) for t in odd]
+    for span in (1, 7, 50, bpe.SPAN):
+        monkeypatch.setattr(bpe, "SPAN", span)
+        assert ids(odd) == want
+    assert ids([]) == [] and list(map(len, ids(["", ""]))) == [0, 0]
+    steps, fits = [], bpe.Tables.fits
+    monkeypatch.setattr(bpe.Tables, "fits", lambda self, left, right: steps.append(len(left)) or fits(self, left, right))
+    words = ["".join(rng.choice("bcdfghjkqvxz") for _ in range(rng.randint(6, 15))) for _ in range(3000)]
+    assert ids([" ".join(words)]) == [library.encode_ordinary(" ".join(words))]
+    assert len(steps) <= 16 and sum(steps) > 3000
+    other = bpe.Encoder(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in e.vocabulary.rank.items()), r"\p{L}+|\s")
+    assert [found.tolist() for _, found, _ in other.spans(pa.array(["ab c", "", None]))] == [other.encode("ab c"), [], []]
+
+
 def test_bpe_edits():
     with open(bpe.RANKS, "rb") as f:
         vocabulary = bpe.Vocabulary(f.read())
