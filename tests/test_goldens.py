@@ -694,6 +694,40 @@ def test_jdbc_reads_in_ranges(spark):
     assert back.filter("ID < 10").agg(F.sum("V")).collect()[0][0] == 90
 
 
+def test_digests_of_long_files(spark, tmp_path, monkeypatch):
+    """Files longer than one value may be are hashed in turns, over several tasks, whatever their bytes."""
+    import hashlib
+    import random
+
+    import pyarrow as pa
+
+    from scholia.sources import readers as R
+    rng, mark = random.Random(3), b"\xef\xbb\xbf"
+    many = [rng.randbytes(rng.randint(2000, 9000)) for _ in range(3)]
+    made = {"a b%20+c.bin": many[0], "[d]{e}.bin": many[1] + b"\n", "mark.bin": mark + many[2], "mark_end.bin": mark + mark + many[2] + b"\r\n", "zeros.bin": bytes(3000), "ends.bin": b"\n" * 3001,
+            "one.bin": b"\n" + b"x" * 3000, "text.bin": b"a\r\nb\n\n" * 700, "short.bin": b"short\n", "other.txt": many[0], "t.gz.bin": many[0]}
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(R, "WHOLE", 1000)
+    monkeypatch.setattr(R, "TURN", 1500)
+    conf = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "0", "spark.sql.sources.binaryFile.maxLength": "1000"}
+    old = {k: spark.conf.get(k) for k in conf}
+    rows = spark.conf.get(R.ARROW_ROWS)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.path: r.md5 for r in R.file_digests(spark, str(tmp_path), "*.bin").collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {n: hashlib.md5(d).hexdigest() for n, d in made.items() if n.endswith(".bin")}
+    assert spark.conf.get(R.ARROW_ROWS) == rows
+    monkeypatch.setattr(R, "RUN", 4)  # long lines are stored in parts
+    batch = lambda *lines: pa.RecordBatch.from_pylist([{"file": "f", "block": 0, "value": v} for v in lines])
+    runs = [b.to_pylist()[0] for b in R.line_runs(iter([batch(b"abcdefg", b""), batch(b"hi")]))]
+    assert [(r["no"], r["size"], r["bytes"]) for r in runs] == [(0, 4, b"abcd"), (1, 4, b"efg\n"), (2, 1, b"\n"), (3, 3, b"hi\n")]
+
+
 def test_replacement_over_batches(spark, tmp_path):
     """Changed, blanked, replayed and blank-only batches."""
     from scholia.sources.writers import create_buckets, read_buckets
