@@ -6,6 +6,8 @@ array, so a chain of passes stays in one stage: no block is shuffled and none is
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholia.functions.text import Folded, any_of, field, first_where, fold_out, joined, let, running_count, runs_of, strip, unroll, words
+from scholia.functions.text import CHUNK, Folded, any_of, field, first_where, fold_out, joined, let, runs_of, strip, trim, trim_bound, unroll, words
 from scholia.operators.cleaning import is_noise, looks_like_code
 
 BLOCK = "struct<pos:int,page:int,y:double,type:string,text:string,font_size:double,indent:int>"
@@ -34,8 +36,13 @@ def heading(b: Column) -> Column:
     return b["type"].startswith("h")
 
 
+def either(value: Column, *options: str | int) -> Column:
+    """One of a few values. ``isin`` leaves its loop by an exception when it finds one, which takes far longer than to compare."""
+    return functools.reduce(operator.or_, [value == x for x in options])
+
+
 def listed(b: Column) -> Column:
-    return b["type"].isin("list", "ordered_list")
+    return either(b["type"], "list", "ordered_list")
 
 
 def none() -> Column:
@@ -47,8 +54,9 @@ def each(docs: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
     return docs.withColumn("blocks", let(F.col("blocks"), fn))
 
 
-def flat_map(blocks: Column, fn: Callable[[Column], Column]) -> Column:
-    return F.flatten(F.transform(blocks, lambda b: fn(b)))
+def flat_map(docs: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
+    """``fn`` gives the blocks that take the place of one."""
+    return docs.withColumn("blocks", F.flatten(F.transform("blocks", lambda b: fn(b))))
 
 
 def rows(docs: DataFrame) -> DataFrame:
@@ -77,7 +85,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
                 n = F.length(F.get(norms, i))
                 return ~(F.get(dup, i) & (n > 10) & (heading(b) | (n < 200)))
             return F.filter(blocks, test)
-        norms = F.transform(blocks, lambda b: F.lower(strip(b["text"])))
+        norms = F.transform(blocks, lambda b: F.lower(trim_bound(b["text"])))
         return let(norms, lambda v: let(repeated(v), lambda d: keep(v, d)))
     return each(docs, lambda bs: let(F.filter(bs, lambda b: b["type"] != "skip"), run))
 
@@ -85,12 +93,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 class Overlaps:
     """Texts by key, found again by a text that is equal, or that is over 10 characters long and lies within theirs or around theirs.
 
-    Texts under 4 characters are related to none. Each text is filed under its pieces of 4 characters, and once more under the one that was
-    rarest when it came: what holds the wanted text holds its rarest piece, what lies within it has its own one there. So a lookup tests few
-    texts, however many there are.
+    Texts under 4 characters are related to none. Few texts are compared one by one. Once there are more, each text is filed under its pieces of 4
+    characters, and once more under the one that was rarest when it came: what holds the wanted text holds its rarest piece, what lies within it has
+    its own one there. So a lookup tests few texts, however many there are.
     """
 
-    SIZE, LONG = 4, 10
+    SIZE, LONG, FEW = 4, 10, 32
 
     def __init__(self) -> None:
         self.texts: dict[str, tuple[int, str]] = {}
@@ -98,13 +106,12 @@ class Overlaps:
         self.anchored: dict[str, set[str]] = defaultdict(set)
         self.holders: dict[str, set[str]] = defaultdict(set)
         self.added = 0
+        self.filed = False
 
     def _pieces(self, text: str) -> set[str]:
         return {text[i:i + self.SIZE] for i in range(len(text) - self.SIZE + 1)}
 
-    def add(self, key: str, text: str) -> None:
-        self.texts[key] = self.added, text
-        self.added += 1
+    def _file(self, key: str, text: str) -> None:
         pieces = self._pieces(text)
         if pieces:
             self.anchors[key] = min(pieces, key=lambda p: len(self.holders[p]))
@@ -112,18 +119,33 @@ class Overlaps:
         for piece in pieces:
             self.holders[piece].add(key)
 
+    def add(self, key: str, text: str) -> None:
+        self.texts[key] = self.added, text
+        self.added += 1
+        if self.filed:
+            self._file(key, text)
+        elif len(self.texts) > self.FEW:
+            self.filed = True
+            for k, (_, t) in self.texts.items():
+                self._file(k, t)
+
     def remove(self, key: str) -> None:
         _, text = self.texts.pop(key)
-        for piece in self._pieces(text):
-            self.holders[piece].discard(key)
-        if key in self.anchors:
-            self.anchored[self.anchors.pop(key)].discard(key)
+        if self.filed:
+            for piece in self._pieces(text):
+                self.holders[piece].discard(key)
+            if key in self.anchors:
+                self.anchored[self.anchors.pop(key)].discard(key)
 
     def related(self, text: str) -> list[str]:
         """Keys in the order in which they were added."""
-        pieces = self._pieces(text)
-        if not pieces:
+        if len(text) < self.SIZE:
             return []
+        if not self.filed:
+            long = len(text) > self.LONG
+            found = {k for k, (_, t) in self.texts.items() if t == text or (long and len(t) >= self.SIZE and (text in t or t in text))}
+            return sorted(found, key=self.texts.__getitem__)
+        pieces = self._pieces(text)
         around = min((self.holders.get(p, set()) for p in pieces), key=len)
         if len(text) > self.LONG:
             within = set().union(*(self.anchored.get(p, ()) for p in pieces))
@@ -173,7 +195,8 @@ def fuzzy_heading_dedup(docs: DataFrame) -> DataFrame:
 
     Which heading wins depends on those still standing, so a small Arrow function marks the keepers.
     """
-    marked = docs.withColumn("_keep", _distinct_headings(F.col("blocks.type"), F.col("blocks.text")))
+    lines = F.transform("blocks", lambda b: F.when(heading(b), b["text"]))
+    marked = docs.withColumn("_keep", _distinct_headings(F.col("blocks.type"), lines))
     kept = F.filter(F.arrays_zip("blocks", "_keep"), lambda z: z["_keep"])
     return marked.withColumn("blocks", F.transform(kept, lambda z: z["blocks"])).drop("_keep")
 
@@ -196,14 +219,14 @@ def heading_rank(docs: DataFrame) -> DataFrame:
         used = F.transform(F.filter(blocks, lambda b: heading(b) & (b["font_size"] > 0)), lambda b: F.bround(b["font_size"], 1))
         def level(sizes: Column) -> Column:
             def one(b: Column) -> Column:
-                text = strip(b["text"])
-                parts = F.regexp_extract(text, r"^(\d+(?:\.\d+)+)\s+.+$", 1)
-                rank = F.array_position(sizes, F.bround(b["font_size"], 1))
-                kind = (F.when(~heading(b), b["type"]).when(F.length(text) > 160, "body")
-                        .when(text.rlike(r"(?i)^(?:Module|Chapter|Unit)\s+\d+"), "h1")
-                        .when((parts != "") & (F.size(F.split(parts, r"\.")) == 2), "h2").when(parts != "", "h3")
-                        .when(rank.between(1, 3), F.concat(F.lit("h"), rank.cast("string"))).when(rank > 3, "body").otherwise(b["type"]))
-                return change(b, type=kind)
+                def ranked(text: Column) -> Column:
+                    parts = F.regexp_extract(text, r"^(\d+(?:\.\d+)+)\s+.+$", 1)
+                    rank = F.array_position(sizes, F.bround(b["font_size"], 1))
+                    by_rank = lambda r: (F.when(r.between(1, 3), F.concat(F.lit("h"), r.cast("string"))).when(r > 3, "body").otherwise(b["type"]))
+                    numbered = lambda x: F.when(x != "", F.when(F.size(F.split(x, r"\.")) == 2, "h2").otherwise("h3")).otherwise(let(rank, by_rank))
+                    return (F.when(F.length(text) > 160, "body").when(text.rlike(r"(?i)^(?:Module|Chapter|Unit)\s+\d+"), "h1")
+                            .otherwise(let(parts, numbered)))
+                return change(b, type=F.when(~heading(b), b["type"]).otherwise(let(trim_bound(b["text"]), ranked)))
             return F.transform(blocks, one)
         return let(F.sort_array(F.array_distinct(used), asc=False), level)
     return each(docs, run)
@@ -211,22 +234,49 @@ def heading_rank(docs: DataFrame) -> DataFrame:
 
 # What decides about a block reaches no further than this into its text from either end.
 REACH = 1000
-LIGHT = "struct<type:string,page:int,indent:int,head:string,tail:string,words:int,bullets:boolean,open:int>"
+LIGHT = "struct<type:string,page:int,indent:int,head:string,tail:string,brief:boolean,bullets:boolean,open:int>"
 NEW, SPACED, GLUED, SAME, OTHER = range(5)
 
 
-def _light(b: Column, reach: int | None) -> Column:
-    """What a fold needs of a block, worked out once: both ends of its text, its words, bullets and unclosed parentheses."""
-    text, t = b["text"], strip(b["text"])
+def _light(b: Column, reach: int | None, **facts: Callable[[Column], Column]) -> Column:
+    """What a fold needs of a block, worked out once: both ends of its text, and the ``facts`` that its rule asks for."""
     def cut(x: Column, right: bool) -> Column:
-        return x if reach is None else (F.right(x, F.lit(reach)) if right else F.left(x, F.lit(reach)))
-    opened = F.regexp_count(text, F.lit(r"\(")) - F.regexp_count(text, F.lit(r"\)"))
-    return F.struct(b["type"].alias("type"), b["page"].alias("page"), b["indent"].alias("indent"), cut(t, False).alias("head"), cut(text, True).alias("tail"),
-                    F.size(words(t)).alias("words"), text.rlike(f"[{BULLETS}]").alias("bullets"), opened.alias("open")).cast(LIGHT)
+        return x if reach is None else F.when(F.octet_length(x) > reach, F.right(x, F.lit(reach)) if right else F.left(x, F.lit(reach))).otherwise(x)
+    def ends(t: Column) -> Column:
+        found = [(facts[k](t) if k in facts else F.lit(None)).alias(k) for k in ("brief", "bullets", "open")]
+        return F.struct(b["type"].alias("type"), b["page"].alias("page"), b["indent"].alias("indent"), cut(t, False).alias("head"),
+                        cut(b["text"], True).alias("tail"), *found).cast(LIGHT)
+    return let(trim_bound(b["text"]), ends)
+
+
+def fewer_words(n: int) -> Callable[[Column], Column]:
+    """Whether a text without white space at its ends has fewer words: those after the n-th are not looked for."""
+    return lambda t: ~t.rlike(rf"(?U)^\S++(?:\s++\S++){{{n - 1}}}")
+
+
+def has_bullets(text: Column) -> Column:
+    """One range is found faster than ten signs, which all lie in it."""
+    return (F.octet_length(text) > F.length(text)) & text.rlike(f"[{min(BULLETS)}-{max(BULLETS)}]") & text.rlike(f"[{BULLETS}]")
+
+
+def starts(text: Column, pattern: str, n: int = 1) -> Column:
+    """Whether the first characters match; a pattern tied to the start of a longer text would still be tried at each of its places."""
+    return F.left(text, F.lit(n)).rlike(f"^{pattern}")
 
 
-def _merged(blocks: Column, rule: Callable[[Column, Column], Column], reach: int | None = REACH) -> Column:
-    """Blocks joined to the one before them: ``rule(last, block)`` says how, from what ``_light`` tells of what was merged so far and of the next block.
+def unclosed(text: Column) -> Column:
+    """Opening parentheses less closing ones."""
+    return F.length(F.replace(text, F.lit(")"), F.lit(""))) - F.length(F.replace(text, F.lit("("), F.lit("")))
+
+
+def ends_in(text: Column, marks: str) -> Column:
+    """Whether a text without white space at its end ends in one of the characters."""
+    return functools.reduce(operator.or_, [text.endswith(m) for m in marks])
+
+
+def _merged(blocks: Column, rule: Callable[[Column, Column], Column], reach: int | None = REACH, **facts: Callable[[Column], Column]) -> Column:
+    """Blocks joined to the one before them: ``rule(last, block)`` says how, from what ``_light`` tells (``brief`` of the next block only) of what was merged so
+    far and of the next block.
 
     NEW: not at all; SPACED: with a space; GLUED: after taking off the hyphen; SAME: the block goes; OTHER: it takes the place of the last one. The fold carries
     numbers and the ends of texts, and the places where blocks begin are cut out afterwards, so nothing grows with the length of what is merged.
@@ -237,9 +287,9 @@ def _merged(blocks: Column, rule: Callable[[Column, Column], Column], reach: int
             end = lambda x, sep: F.concat(x, F.lit(sep), b["tail"])
             tail = F.when(code == SPACED, end(last["tail"], " ")).otherwise(end(F.regexp_replace(last["tail"], r"[-–—]$", ""), ""))
             joined_ = F.struct(last["type"].alias("type"), last["page"].alias("page"), last["indent"].alias("indent"), last["head"].alias("head"),
-                               (F.right(tail, F.lit(reach)) if reach else tail).alias("tail"), (last["words"] + b["words"]).alias("words"),
+                               (F.right(tail, F.lit(reach)) if reach else tail).alias("tail"), b["brief"].alias("brief"),
                                (last["bullets"] | b["bullets"]).alias("bullets"), (last["open"] + b["open"]).alias("open")).cast(LIGHT)
-            now = F.when(code.isin(NEW, OTHER), b).when(code == SAME, last).otherwise(joined_)
+            now = F.when(either(code, NEW, OTHER), b).when(code == SAME, last).otherwise(joined_)
             return F.struct(now.alias("last"), F.array(code).cast("array<int>").alias("_new"))
         return let(F.coalesce(rule(last, b), F.lit(NEW)), after)
 
@@ -253,16 +303,16 @@ def _merged(blocks: Column, rule: Callable[[Column, Column], Column], reach: int
                 bare = F.when(F.coalesce(code(i + 1) == GLUED, F.lit(False)) & (i + 1 < F.size(part)), F.regexp_replace(own, r"[-–—]$", "")).otherwise(own)
                 return F.concat(F.when((i > 0) & (code(i) == SPACED), F.lit(" ")).otherwise(""), bare)
             def whole(k: Column) -> Column:
-                more = F.transform(F.filter(places, lambda i: (i == k) | ((i > k) & code(i).isin(SPACED, GLUED))), text)
-                return F.when(F.size(part) == 1, F.get(part, F.lit(0)).cast(BLOCK)).otherwise(change(F.get(part, k), text=joined(more, "")))
-            return let(base, whole)
+                more = F.transform(F.filter(places, lambda i: (i == k) | ((i > k) & either(code(i), SPACED, GLUED))), text)
+                return change(F.get(part, k), text=joined(more, ""))
+            return F.when(F.size(part) == 1, F.get(part, F.lit(0)).cast(BLOCK)).otherwise(let(base, whole))
         tagged = F.zip_with(bs, codes, lambda b, c: F.struct(b.alias("b"), c.alias("c")))
         return runs_of(tagged, lambda p, x: x["c"] == NEW, lambda part, at: let(F.transform(part, lambda x: x["b"]), lambda p: run(p, at)))
 
     def folded(bs: Column) -> Column:
-        lights = F.transform(bs, lambda b: _light(b, reach))
+        lights = F.transform(bs, lambda b: _light(b, reach, **facts))
         codes = let(lights, lambda v: fold_out(F.slice(v, 2, F.greatest(F.size(v), F.lit(1))), {"last": F.get(v, F.lit(0))}, step, "int"))
-        return let(F.concat(F.array(F.lit(NEW)), codes), lambda c: build(bs, c))
+        return let(F.concat(F.array(F.lit(NEW)), codes), lambda c: F.when(F.exists(c, lambda x: x != NEW), build(bs, c)).otherwise(bs.cast(f"array<{BLOCK}>")))
     return F.when(F.size(blocks) > 0, folded(blocks)).otherwise(none())
 
 
@@ -274,14 +324,22 @@ def heading_jumps(docs: DataFrame) -> DataFrame:
     """
     def lowered(blocks: Column) -> Column:
         level = lambda b: F.substring(b["type"], 2, 1).try_cast("int")
-        def put(levels: Column, order: Column) -> Column:
+        def put(levels: Column, places: Column, before: Column) -> Column:
             def new(b: Column, i: Column) -> Column:
-                k = F.get(order, i)
-                near = F.transform(F.sequence(F.lit(0), F.least(F.lit(5), k - 1)), lambda d: F.get(levels, k - 1 - d) + d)
-                return F.when(heading(b), change(b, type=F.concat(F.lit("h"), F.array_min(near).cast("string")))).otherwise(b)
+                run = F.floor(i / CHUNK).cast("int")
+                def at(k: Column) -> Column:
+                    near = F.transform(F.sequence(F.lit(0), F.least(F.lit(5), k - 1)), lambda d: F.get(levels, k - 1 - d) + d)
+                    return change(b, type=F.concat(F.lit("h"), F.array_min(near).cast("string")))
+                return F.when(heading(b), let((F.get(before, run) + F.array_position(F.get(places, run), i)).cast("int"), at)).otherwise(b)
             return F.transform(blocks, new)
-        levels = F.transform(F.filter(blocks, heading), level)
-        return let(levels, lambda v: let(running_count(blocks, heading), lambda o: put(v, o)))
+        # The number of a heading: those in the runs of blocks before its own, and its place among those of its run.
+        def placed(heads: Column) -> Column:
+            spots = lambda at: F.filter(F.sequence(at, F.least(at + CHUNK, F.size(heads)) - 1), lambda i: F.get(heads, i))
+            places = F.transform(F.sequence(F.lit(0), F.size(heads) - 1, F.lit(CHUNK)), spots)
+            total = lambda a, x: ({"n": a["n"] + F.size(x)}, F.array(a["n"]))
+            levels = F.transform(F.filter(blocks, heading), level)
+            return let(places, lambda p: let(fold_out(p, {"n": F.lit(0)}, total, "int"), lambda n: let(levels, lambda v: put(v, p, n))))
+        return F.when(F.exists(blocks, heading), let(F.transform(blocks, heading), placed)).otherwise(blocks)
 
     def single(blocks: Column) -> Column:
         def mark(first: Column, top: Column) -> Column:
@@ -295,10 +353,14 @@ def heading_jumps(docs: DataFrame) -> DataFrame:
 
     def merge(last: Column, b: Column) -> Column:
         both = heading(last) & heading(b)
-        same = F.lower(strip(last["tail"])) == F.lower(strip(b["tail"]))
+        same = F.lower(trim_bound(last["tail"])) == F.lower(trim_bound(b["tail"]))
         return F.when(both & same, SAME).when(both & (F.length(last["tail"]) < 3) & (last["type"] == b["type"]), OTHER)
 
-    return each(docs, lambda bs: _let_chain(bs, lowered, single, lambda x: _merged(x, merge, None)))
+    def merged(blocks: Column) -> Column:
+        follows = F.exists(F.sequence(F.lit(1), F.size(blocks) - 1), lambda i: heading(F.get(blocks, i - 1)) & heading(F.get(blocks, i)))
+        return F.when((F.size(blocks) > 1) & follows, _merged(blocks, merge, None)).otherwise(F.coalesce(blocks, none()))
+
+    return each(docs, lambda bs: _let_chain(bs, lowered, single, merged))
 
 
 def _let_chain(value: Column, *steps: Callable[[Column], Column]) -> Column:
@@ -310,34 +372,42 @@ def _let_chain(value: Column, *steps: Callable[[Column], Column]) -> Column:
 
 def split_bullets(docs: DataFrame) -> DataFrame:
     """Two or more inline bullets make one list block per item; a single one is read or removed."""
-    def one(b: Column) -> Column:
-        text = strip(b["text"])
-        n = F.regexp_count(text, F.lit(f"[{BULLETS}]"))
-        items = F.filter(F.transform(F.split(text, f"[{BULLETS}]"), lambda x: strip(x)), lambda x: F.length(x) > 1)
-        many = F.transform(items, lambda x: change(b, type=F.lit("list"), text=x))
+    def marked(b: Column, text: Column) -> Column:
         single = F.when(text.rlike(f"^[{BULLETS}]"), change(b, type=F.lit("list"))).otherwise(
-            change(b, text=strip(F.regexp_replace(b["text"], f"[{BULLETS}]", ""))))
-        return F.when((n >= 2) & (F.size(items) > 0), many).when(n == 1, F.array(single)).otherwise(F.array(b.cast(BLOCK)))
-    return each(docs, lambda bs: flat_map(bs, one))
+            change(b, text=trim(F.regexp_replace(b["text"], f"[{BULLETS}]", ""))))
+        # One part more than bullets.
+        def several(parts: Column) -> Column:
+            items = F.filter(F.transform(parts, lambda x: trim(x)), lambda x: F.length(x) > 1)
+            many = lambda v: F.when(F.size(v) > 0, F.transform(v, lambda x: change(b, type=F.lit("list"), text=x))).otherwise(F.array(b.cast(BLOCK)))
+            return F.when(F.size(parts) == 2, F.array(single)).otherwise(let(items, many))
+        return let(F.split(text, f"[{BULLETS}]"), several)
+    def one(b: Column) -> Column:
+        return F.when(has_bullets(b["text"]), let(trim_bound(b["text"]), lambda t: marked(b, t))).otherwise(F.array(b.cast(BLOCK)))
+    return flat_map(docs, one)
 
 
 # Fixed value: how ordered items begin.
 ORDERED = r"^(?:\()?([0-9a-zA-Z]|[ivxIVX]+)(?:\.|\))(?:\s+|$)"
+ORDERED_START = r"\(?(?:[0-9a-zA-Z][.)]|[ivxIVX]{2})"
 
 
 def list_format(docs: DataFrame) -> DataFrame:
     """Ordered and dashed list blocks recognised, their dashes removed; a dash stuck to a sentence is cut."""
-    def one(b: Column) -> Column:
-        text = strip(b["text"])
+    def formatted(b: Column, text: Column) -> Column:
         bare = F.regexp_replace(text, f"^[{DASHES} ]+", "")
-        ordered = text.rlike(ORDERED)
-        dashed = ~ordered & text.rlike(f"^[{DASHES}].") & (bare != "")
-        kind = F.when(ordered, "ordered_list").when(dashed & (b["type"] == "body"), "list").otherwise(b["type"])
-        body = F.when(dashed, bare).otherwise(b["text"])
-        new = (F.when(kind.isin("list", "ordered_list"), strip(F.regexp_replace(body, rf"^[{DASHES}]+\s*", "")))
-               .when(kind == "body", F.regexp_replace(body, r"([:\.])\s*-([A-Z])", "$1 $2")).otherwise(body))
-        return F.when(text == "", b.cast(BLOCK)).otherwise(change(b, type=kind, text=new))
-    return each(docs, lambda bs: F.transform(bs, one))
+        def told(ordered: Column, dashed: Column) -> Column:
+            kind = F.when(ordered, "ordered_list").when(dashed & (b["type"] == "body"), "list").otherwise(b["type"])
+            def put(v: Column) -> Column:
+                trimmed = lambda x: F.when(starts(x, f"[{DASHES}]"), trim(F.regexp_replace(x, rf"^[{DASHES}]+\s*", ""))).otherwise(trim_bound(x))
+                new = (F.when(either(v["kind"], "list", "ordered_list"), trimmed(v["body"]))
+                       .when((v["kind"] == "body") & v["body"].contains("-"), F.regexp_replace(v["body"], r"([:\.])\s*-([A-Z])", "$1 $2")).otherwise(v["body"]))
+                return change(b, type=v["kind"], text=new)
+            return let(F.struct(kind.alias("kind"), F.when(dashed, bare).otherwise(b["text"]).alias("body")), put)
+        marked = lambda o: let(~o & starts(text, f"[{DASHES}].", 2) & (bare != ""), lambda d: told(o, d))
+        return let(starts(text, ORDERED_START, 3) & text.rlike(ORDERED), marked)
+    def one(b: Column) -> Column:
+        return let(trim_bound(b["text"]), lambda t: F.when(t == "", b.cast(BLOCK)).otherwise(formatted(b, t)))
+    return docs.withColumn("blocks", F.transform("blocks", one))
 
 
 # Words after which a sentence goes on.
@@ -348,36 +418,38 @@ CONNECTORS = ["and", "or", "the", "of", "with", "to", "in", "a", "an", "for", "f
 def merge_continuations(docs: DataFrame) -> DataFrame:
     """Join a block to the one before it where the sentence visibly goes on."""
     def step(p: Column, b: Column) -> Column:
-        pt, t = strip(p["tail"]), b["head"]
-        lower = t.rlike(r"^\p{Ll}")
+        # Cheap tests come first, as the others are then often not needed.
+        t = b["head"]
+        lower = starts(t, r"\p{Ll}")
         first = F.regexp_extract(t, r"^\S+", 0)
-        last = F.lower(F.regexp_extract(pt, r"\S+$", 0))
-        n = b["words"]
-        open_end = ~pt.rlike(r"[.!?:\"']$")
-        linked = lambda marks: F.regexp_replace(last, f"[{marks}]+$", "").isin(CONNECTORS)
-        body = (lower | (open_end & ~pt.endswith(")") & (linked(".,;:") | pt.rlike("[,:;]$") | (n < 3) | ~F.right(pt, F.lit(10)).rlike("[.!?]")))
-                | ((b["indent"] > 0) & open_end))
-        after_list = (lower | t.startswith("(") | linked(",") | (open_end & F.lower(first).isin(CONNECTORS))
-                      | (~pt.rlike("[.!?]$") & t.rlike(r"^\p{Lu}") & (F.length(first) <= 5) & first.rlike("[,).]$")))
-        items = lower & ~((F.length(pt) < 40) & (F.length(t) < 40))
-        joins = (F.when((p["type"] == "body") & (b["type"] == "body"), body)
-                 .when(listed(p) & (b["type"] == "body"), after_list).when(listed(p) & listed(b), items).otherwise(False))
-        blocked = (p["type"].isin("table", "code") | b["type"].isin("table", "code") | heading(p) | heading(b) | (pt == "") | (t == "")
+        def joins(pt: Column) -> Column:
+            last = F.lower(F.regexp_extract(pt, r"\S+$", 0))
+            open_end = ~ends_in(pt, ".!?:\"'")
+            linked = lambda marks: F.regexp_replace(last, f"[{marks}]+$", "").isin(CONNECTORS)
+            body = (lower | (open_end & ((b["indent"] > 0) | (~ends_in(pt, ")") & (ends_in(pt, ",:;") | b["brief"] | ~F.right(pt, F.lit(10)).rlike("[.!?]") | linked(".,;:"))))))
+            after_list = (lower | t.startswith("(") | (~ends_in(pt, ".!?") & starts(t, r"\p{Lu}") & (F.length(first) <= 5) & first.rlike("[,).]$"))
+                          | (open_end & F.lower(first).isin(CONNECTORS)) | linked(","))
+            items = lower & ~((F.length(pt) < 40) & (F.length(t) < 40))
+            return (pt != "") & (F.when((p["type"] == "body") & (b["type"] == "body"), body)
+                                 .when(listed(p) & (b["type"] == "body"), after_list).when(listed(p) & listed(b), items).otherwise(False))
+        blocked = (either(p["type"], "table", "code") | either(b["type"], "table", "code") | heading(p) | heading(b) | (t == "")
                    | p["bullets"] | b["bullets"] | (p["page"] != b["page"]))
-        hyphen = p["tail"].rlike(r"(?s)^.+\p{L}[-–—]$")
-        return F.when(joins & ~blocked, F.when(hyphen, GLUED).otherwise(SPACED))
-    return each(docs, lambda bs: _merged(bs, step))
+        hyphen = F.right(p["tail"], F.lit(5)).rlike(r"(?s)^.+\p{L}[-–—]$")
+        return F.when(~blocked, F.when(let(trim_bound(p["tail"]), joins), F.when(hyphen, GLUED).otherwise(SPACED)))
+    return each(docs, lambda bs: _merged(bs, step, brief=fewer_words(3), bullets=has_bullets))
 
 
 def list_wrapping(docs: DataFrame) -> DataFrame:
     """Join list items that were wrapped onto the next block or left a parenthesis open."""
     def step(p: Column, b: Column) -> Column:
-        pt, t = strip(p["tail"]), b["head"]
-        usable = listed(p) & (listed(b) | (b["type"] == "body")) & (p["page"] == b["page"]) & (pt != "") & (t != "")
-        wrapped = (~pt.rlike("[.!?:]$") & t.rlike(r"^\p{Ll}")) | (~pt.rlike("[.!?]$") & (b["words"] < 5))
-        short = (F.length(pt) < 40) & (F.length(t) < 40)
-        return F.when(usable & wrapped & ~short, F.when(p["tail"].endswith("-"), GLUED).otherwise(SPACED)).when(usable & (p["open"] > 0), SPACED)
-    return each(docs, lambda bs: _merged(bs, step))
+        t = b["head"]
+        usable = listed(p) & (listed(b) | (b["type"] == "body")) & (p["page"] == b["page"]) & (t != "")
+        def joins(pt: Column) -> Column:
+            wrapped = (~ends_in(pt, ".!?:") & starts(t, r"\p{Ll}")) | (~ends_in(pt, ".!?") & b["brief"])
+            short = (F.length(pt) < 40) & (F.length(t) < 40)
+            return F.when(pt != "", F.when(~short & wrapped, F.when(p["tail"].endswith("-"), GLUED).otherwise(SPACED)).when(p["open"] > 0, SPACED))
+        return F.when(usable, let(trim_bound(p["tail"]), joins))
+    return each(docs, lambda bs: _merged(bs, step, brief=fewer_words(5), open=unclosed))
 
 
 def orphan_body(docs: DataFrame) -> DataFrame:
@@ -398,37 +470,43 @@ LABEL = r"(?:Advantages|Disadvantages|Features|Benefits|Drawbacks|Characteristic
 def split_list_headers(docs: DataFrame) -> DataFrame:
     """A list item that ends in the label of the next list gives up that label as a bold body block."""
     pattern = rf"(?i)^(.+?)\s+({LABEL}[^:]*:\s*)$"
-    def one(b: Column) -> Column:
-        text = strip(b["text"])
-        item, label = (strip(F.regexp_extract(text, pattern, i)) for i in (1, 2))
+    def split(b: Column, text: Column) -> Column:
+        item, label = (trim(F.regexp_extract(text, pattern, i)) for i in (1, 2))
         bold = change(b, type=F.lit("body"), text=F.concat(F.lit("**"), label, F.lit("**")))
-        return F.when(listed(b) & (F.length(item) > 5), F.array(change(b, text=item), bold)).otherwise(F.array(b.cast(BLOCK)))
-    return each(docs, lambda bs: flat_map(bs, one))
+        return let(item, lambda x: F.when(F.length(x) > 5, F.array(change(b, text=x), bold)).otherwise(F.array(b.cast(BLOCK))))
+    def one(b: Column) -> Column:
+        text = trim_bound(b["text"])
+        return F.when(listed(b) & text.endswith(":"), let(text, lambda t: split(b, t))).otherwise(F.array(b.cast(BLOCK)))
+    return flat_map(docs, one)
 
 
 def redundant_metadata(docs: DataFrame) -> DataFrame:
     """Module title lines, repeated titles and repeated module headings removed or reduced."""
     def run(blocks: Column, title: Column) -> Column:
         state = {"prev": F.lit(None).cast("string"), "module": F.lit(False), "h1": F.lit(False)}
-        def add(a: Folded, b: Column) -> Column:
-            t = strip(b["text"])
-            objective = strip(F.regexp_extract(t, r"(?i)(?:Module\s+)?Objective:\s*(.+)$", 1))
+        def told(a: Folded, b: Column, t: Column) -> Column:
+            objective = trim(F.regexp_extract(t, r"(?i)(?:Module\s+)?Objective:\s*(.+)$", 1))
             bold = lambda x: change(b, text=F.concat(F.lit("**Objective:** "), x))
-            rest = strip(F.regexp_extract(t, r"(?i)^Module\s+\d+\s*[–—\-]\s*(.+)", 1))
-            echo = ((title != "") & F.lower(t).contains(title) & (F.length(t) < F.length(title) + 15) & a["prev"].isNotNull()
+            rest = trim(F.regexp_extract(t, r"(?i)^Module\s+\d+\s*[–—\-]\s*(.+)", 1))
+            echo = ((title != "") & a["prev"].isNotNull() & (F.length(t) < F.length(title) + 15) & F.lower(t).contains(title)
                     & ((F.lower(a["prev"]) == F.lower(t)) | (F.regexp_count(t, F.lit(" ")) < 4)))
             first = (b["type"] == "h1") & ~a["h1"]
-            titled, standalone = t.rlike(r"(?i)^(?:\*\*)?Module\s+Title"), t.rlike(r"(?i)^Module\s+Objective:\s*")
-            module = heading(b) & t.rlike(r"(?i)^(?:Module|Chapter|Unit)\s+\d+")
-            reached = ~first & ~titled & ~standalone & ~echo & module
-            out = (F.when(first, b.cast(BLOCK)).when(titled & (objective != ""), bold(objective)).when(titled, F.lit(None).cast(BLOCK))
-                   .when(standalone, change(b, text=F.regexp_replace(t, r"(?i)^Module\s+Objective:", "**Objective:**")))
-                   .when(echo, F.lit(None).cast(BLOCK)).when(module & a["module"] & (rest != ""), change(b, type=F.lit("h3"), text=rest))
-                   .when(module & a["module"], F.lit(None).cast(BLOCK)).otherwise(b.cast(BLOCK)))
-            return let(F.array_compact(F.array(out)), lambda k: F.struct(
-                F.coalesce(F.get(k, F.lit(0))["text"], a["prev"]).alias("prev"), (a["module"] | reached).alias("module"), (a["h1"] | first).alias("h1"), k.alias("_new")))
+            named = starts(t, r"(?i)(?:\*\*)?Module", 8)
+            titled, standalone = named & t.rlike(r"(?i)^(?:\*\*)?Module\s+Title"), named & t.rlike(r"(?i)^Module\s+Objective:\s*")
+            module = heading(b) & starts(t, "(?i)(?:Module|Chapter|Unit)", 7) & t.rlike(r"(?i)^(?:Module|Chapter|Unit)\s+\d+")
+            one = lambda x: F.array_compact(F.array(x))
+            kept = (F.when(first, one(b.cast(BLOCK))).when(titled, F.when(objective != "", one(bold(objective))).otherwise(none()))
+                    .when(standalone, one(change(b, text=F.regexp_replace(t, r"(?i)^Module\s+Objective:", "**Objective:**")))).when(echo, none()))
+            again = F.when(rest != "", one(change(b, type=F.lit("h3"), text=rest))).otherwise(none())
+            def put(k: Column, reached: Column) -> Column:
+                return F.struct(F.coalesce(F.get(k, F.lit(0))["text"], a["prev"]).alias("prev"), (a["module"] | reached).alias("module"),
+                                (a["h1"] | first).alias("h1"), k.alias("_new"))
+            return let(kept, lambda k: F.when(k.isNotNull(), put(k, F.lit(False))).otherwise(
+                let(module, lambda m: let(F.when(m & a["module"], again).otherwise(one(b.cast(BLOCK))), lambda v: put(v, m & ~first)))))
+        def add(a: Folded, b: Column) -> Column:
+            return let(trim_bound(b["text"]), lambda t: told(a, b, t))
         return fold_out(blocks, state, add, BLOCK)
-    top = lambda bs: F.coalesce(F.lower(strip(first_where(bs, lambda b: b["type"] == "h1")["text"])), F.lit(""))
+    top = lambda bs: F.coalesce(F.lower(trim(first_where(bs, lambda b: b["type"] == "h1")["text"])), F.lit(""))
     return each(docs, lambda bs: let(top(bs), lambda h: run(bs, h)))
 
 
@@ -438,17 +516,18 @@ EXAMPLE = r"(?:^|\s)([A-Z][a-z]+(?:\s+[a-z]+)*+\s*:\s*\S+\s*=\s*[01]+)"
 
 def split_examples(docs: DataFrame) -> DataFrame:
     """A body line with two or more ``Label: x = bits`` gives its lead-in and one block per example."""
-    def one(b: Column) -> Column:
-        text = strip(b["text"])
+    def split(b: Column, text: Column) -> Column:
         def parts(found: Column) -> Column:
-            lead = strip(F.try_element_at(F.split(text, EXAMPLE, 2), F.lit(1)))
+            lead = trim(F.try_element_at(F.split(text, EXAMPLE, 2), F.lit(1)))
             def bold(x: Column) -> Column:
-                return F.concat(F.lit("**"), strip(F.substring_index(x, ":", 1)), F.lit(":** "), strip(F.regexp_replace(x, "^[^:]*:", "")))
+                return F.concat(F.lit("**"), trim(F.substring_index(x, ":", 1)), F.lit(":** "), trim(F.regexp_replace(x, "^[^:]*:", "")))
             texts = F.concat(F.filter(F.array(lead), lambda x: x != ""), F.transform(found, bold))
-            return F.when((b["type"] == "body") & (F.size(found) >= 2), F.transform(texts, lambda x: change(b, text=x))).otherwise(
-                F.array(b.cast(BLOCK)))
+            return F.when(F.size(found) >= 2, F.transform(texts, lambda x: change(b, text=x))).otherwise(F.array(b.cast(BLOCK)))
         return let(F.regexp_extract_all(text, F.lit(EXAMPLE), F.lit(1)), parts)
-    return each(docs, lambda bs: flat_map(bs, one))
+    def one(b: Column) -> Column:
+        whole = (b["type"] == "body") & b["text"].contains("=") & b["text"].contains(":")
+        return F.when(whole, let(trim_bound(b["text"]), lambda t: split(b, t))).otherwise(F.array(b.cast(BLOCK)))
+    return flat_map(docs, one)
 
 
 def list_header_extract(docs: DataFrame) -> DataFrame:
@@ -456,14 +535,16 @@ def list_header_extract(docs: DataFrame) -> DataFrame:
     tail = rf"(?is)^(.*?\.\s+)({LABEL}[^:]{{0,40}}:\s*)$"
     alone = rf"(?i)^({LABEL}[^:]*:\s*)$"
     def run(blocks: Column) -> Column:
-        def one(b: Column, i: Column) -> Column:
-            text = strip(b["text"])
-            body, label = (strip(F.regexp_extract(text, tail, k)) for k in (1, 2))
+        def split(b: Column, i: Column, text: Column) -> Column:
             nxt = F.coalesce(listed(F.get(blocks, i + 1)), F.lit(False))
             bold = lambda x: change(b, text=F.concat(F.lit("**"), x, F.lit("**")))
-            is_body = b["type"] == "body"
-            return (F.when(is_body & (body != "") & nxt, F.array(change(b, text=body), bold(label)))
-                    .when(is_body & text.rlike(alone), F.array(bold(text))).otherwise(F.array(b.cast(BLOCK))))
+            label = trim(F.regexp_extract(text, tail, 2))
+            lone = F.when(text.rlike(alone), F.array(bold(text))).otherwise(F.array(b.cast(BLOCK)))
+            cut = lambda body: F.when(body != "", F.array(change(b, text=body), bold(label))).otherwise(lone)
+            return F.when(nxt, let(trim(F.regexp_extract(text, tail, 1)), cut)).otherwise(lone)
+        def one(b: Column, i: Column) -> Column:
+            text = trim_bound(b["text"])
+            return F.when((b["type"] == "body") & text.endswith(":"), let(text, lambda t: split(b, i, t))).otherwise(F.array(b.cast(BLOCK)))
         return F.flatten(F.transform(blocks, one))
     return each(docs, run)
 
@@ -489,21 +570,22 @@ def to_markdown(docs: DataFrame) -> DataFrame:
     """
     def body(text: Column) -> Column:
         pattern = r"^([A-Z][a-zA-Z0-9\s/()]+?)\s*[-–—:]\s+(.+)$"
-        term, meaning = strip(F.regexp_extract(text, pattern, 1)), strip(F.regexp_extract(text, pattern, 2))
-        bold = F.concat(F.lit("**"), term, F.lit(":** "), meaning)
-        return F.when((F.length(text) <= 120) & text.rlike(pattern) & (F.length(term) < 40), bold).otherwise(text)
+        def defined(term: Column) -> Column:
+            meaning = trim(F.regexp_extract(text, pattern, 2))
+            return F.when((F.length(term) > 0) & (F.length(term) < 40), F.concat(F.lit("**"), term, F.lit(":** "), meaning)).otherwise(text)
+        # The first group begins with a letter, so it is empty only where nothing matches.
+        return F.when((F.octet_length(text) <= 480) & (F.length(text) <= 120), let(trim(F.regexp_extract(text, pattern, 1)), defined)).otherwise(text)
 
     def item(text: Column) -> Column:
         t = F.regexp_replace(text, rf"^[{BULLETS}{DASHES}]+\s*", "")
         t = F.regexp_replace(t, r"^\* ", "")
-        return strip(F.regexp_replace(t, r"^\d+[.)\\]\s*", ""))
+        return F.when(starts(text, rf"[{BULLETS}{DASHES}*\d]"), trim(F.regexp_replace(t, r"^\d+[.)\\]\s*", ""))).otherwise(text)
 
-    def render(b: Column) -> Column:
-        t = strip(b["text"])
+    def render(b: Column, t: Column) -> Column:
         lang = F.when(any_of(t, [re.escape(m) for m in JAVA]), "java").otherwise("")
-        safe = lambda x: F.regexp_replace(x, "<(?!!--)", "&lt;")
+        safe = lambda x: let(x, lambda v: F.when(v.contains("<"), F.regexp_replace(v, "<(?!!--)", "&lt;")).otherwise(v))
         mark = F.concat(F.repeat(F.lit("  "), F.least(b["indent"], F.lit(1))), F.when(b["type"] == "list", "- ").otherwise("1. "))
-        title = strip(F.regexp_replace(t, r"(?i)\s*\(cont\.?(?:inued)?\).*$", ""))
+        title = F.when(t.contains("("), trim(F.regexp_replace(t, r"(?i)\s*\(cont\.?(?:inued)?\).*$", ""))).otherwise(t)
         return (F.when(heading(b), safe(F.concat(F.repeat(F.lit("#"), F.substring(b["type"], 2, 1).try_cast("int")), F.lit(" "), title)))
                 .when(b["type"] == "table", safe(b["text"])).when(listed(b), safe(F.concat(mark, item(t))))
                 .when(b["type"] == "code", F.concat(F.lit("```"), lang, F.lit("\n"), t, F.lit("\n```")))
@@ -515,12 +597,12 @@ def to_markdown(docs: DataFrame) -> DataFrame:
             page = F.concat(F.lit("<!-- Page "), b["page"].cast("string"), F.lit(" -->\n\n"))
             tight = (listed(b) & (listed(p) | (p["type"] == "body"))) | ((b["type"] == "caption") & (p["type"] == "body"))
             lead = (F.when(p.isNull(), page).when(p["page"] != b["page"], F.concat(F.lit("\n\n"), page)).when(tight, "\n").otherwise("\n\n"))
-            return F.concat(lead, render(b))
+            return F.concat(lead, let(trim_bound(b["text"]), lambda t: render(b, t)))
         return F.transform(bs, piece)
 
-    known = lambda b: (heading(b) | listed(b) | b["type"].isin("table", "code", "body", "caption")) & (strip(b["text"]) != "")
+    known = lambda b: (heading(b) | listed(b) | either(b["type"], "table", "code", "body", "caption")) & (trim_bound(b["text"]) != "")
     text = joined(let(F.filter("blocks", known), weave), "")
-    return docs.select("doc_id", F.concat(strip(F.regexp_replace(text, r"\n{3,}", "\n\n")), F.lit("\n")).alias("markdown"))
+    return docs.select("doc_id", F.concat(trim(F.regexp_replace(text, r"\n{3,}", "\n\n")), F.lit("\n")).alias("markdown"))
 
 
 # Titles of slides with little to say, and words of trace captions.

@@ -851,3 +851,36 @@ def test_pages_and_fonts_are_worked_out_once(spark):
     assert plan(layout.spans_to_lines(pages)).count("format_string") == 1
     rows = spark.createDataFrame([(10.0, [("a", 1.0, 2.0)])], "height double, lines array<struct<text:string,top:double,bottom:double>>")
     assert plan(layout.drop_headers_footers(rows)).count(r"(?U)^\s+|\s+$") == 1
+
+
+def test_trim_equals_strip(spark):
+    """For every character, at both ends, within a text and alone."""
+    from scholia.functions.text import strip, trim, trim_bound
+    df = spark.createDataFrame([(chr(i),) for i in range(0x10000) if not 0xD800 <= i < 0xE000] + [("",), (None,), ("😀",)], "c string")
+    for s in (F.col("c"), F.concat(F.col("c"), F.lit(" a b\r"), F.col("c"), F.lit(" ")), F.concat(F.lit("a"), F.col("c"), F.lit("b"))):
+        x = df.select(s.alias("x"))
+        assert x.filter(~trim("x").eqNullSafe(strip("x")) | ~trim_bound(F.col("x")).eqNullSafe(strip("x"))).isEmpty()
+
+
+def test_block_passes_are_cheap(spark):
+    """Inside a lambda every mention of an expression is worked out again. No pass strips by a pattern or looks into short lists, and each pattern stands in few places."""
+    d = blocks(spark, ("h1", "Nets"), ("body", "• one • two"), ("list", "a"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for step in (B.exact_dedup, B.heading_rank, B.heading_jumps, B.split_bullets, B.list_format, B.merge_continuations, B.list_wrapping, B.orphan_body,
+                 B.split_list_headers, B.redundant_metadata, B.split_examples, B.list_header_extract, B.to_markdown):
+        told = plan(step(d))
+        assert "(?U)^\\s+|\\s+$" not in told and " IN (" not in told and told.count("regexp") <= 12, step.__name__
+
+
+def test_block_edges(spark):
+    """White space of other scripts, marks at either end, and blocks that a cheap test lets pass although the pattern does not."""
+    many = [("h1", "Nets"), ("body", " (iv) four "), ("body", "(iv four"), ("body", "ix"), ("body", "- -x"), ("body", "-"), ("list", "– dash"), ("body", "a: -B")]
+    assert shown(B.list_format(blocks(spark, *many))) == [
+        ("h1", "Nets"), ("ordered_list", "(iv) four"), ("body", "(iv four"), ("body", "ix"), ("list", "x"), ("body", "-"), ("list", "dash"), ("body", "a: B")]
+    assert shown(B.split_bullets(blocks(spark, ("body", "…"), ("body", "•"), ("body", "x • y "), ("body", "••"), ("body", "a • bc • d • ef")))) == [
+        ("body", "…"), ("list", "•"), ("body", "x  y"), ("body", "••"), ("list", "bc"), ("list", "ef")]
+    runs = blocks(spark, *[("h2" if i % 130 == 129 else "h1" if i == 0 else "body", f"text {i}") for i in range(400)], ("h5", "Last"), ("h5", "LAST"))
+    assert [t for t, _ in shown(B.heading_jumps(runs)) if t != "body"] == ["h1", "h2", "h2", "h2", "h3"]
+    assert [b.blocks for b in B.heading_jumps(runs.select("doc_id", F.lit(None).cast(f"array<{B.BLOCK}>").alias("blocks"))).collect()] == [[]]
+    lines = [f"{i} chapter on subject {i:03d}" for i in range(40)] + ["chapter on subject", "40 chapter on subject 007 and more"]
+    assert B.heading_survivors(["h2"] * 42, lines) == [i != 7 and i != 40 for i in range(42)]
